@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, shards, tiff
+from . import bpe, mixing, neardup, quality, shards, substring, tiff
 
-MODULES = (mixing, quality, bpe, tiff, shards)
+MODULES = (mixing, quality, neardup, bpe, tiff, shards, substring)
 
 
 def queries() -> dict:
