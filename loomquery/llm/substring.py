@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, map_batches, materialize, n_partitions, ship_package, table
+from .common import keyed_texts, map_batches, n_partitions, ship_package, table
 from .textgrams import U, mix, runs, slices
 
 WINDOW = 13
 SEED = 3
-BLOCK_BYTES = 32 << 20
-CHUNK_WORDS = 1_500_000
+BLOCK_BYTES = 12 << 20
+CHUNK_WORDS = 400_000
+SLICE_BYTES = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 LENGTH_BITS = 24
 
@@ -141,13 +142,20 @@ def parse_block(packed: list[bytes]) -> tuple[np.ndarray, ...]:
 FACTORS = "doc_id long, crc long, span long"
 
 
-def _factor_batch(ids: np.ndarray, sums: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+def _factor_table(ids: np.ndarray, sums: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.Table:
     """A span is its first word and its number of windows in one integer."""
-    return [pa.array(ids), pa.array(sums.astype(np.int64)), pa.array(start.astype(np.int64) << LENGTH_BITS | n)]
+    return pa.table([pa.array(ids), pa.array(sums.astype(np.int64)), pa.array(start.astype(np.int64) << LENGTH_BITS | n)], names=["doc_id", "crc", "span"])
+
+
+def _pack_factors(ids: np.ndarray, sums: np.ndarray, start: np.ndarray, n: np.ndarray) -> bytes:
+    return np.array([len(ids)], np.uint32).tobytes() + b"".join(map(_planes, (ids, sums, start, n.astype(np.uint32))))
 
 
 def factorise(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, crc (of the text), spans: the duplicate spans of each document that has any."""
+    """doc_id, crc (of the text), spans: the duplicate spans of each document that has any.
+
+    One shuffle: packed segments to their blocks. Factors that a chunk has settled travel with them, dealt out evenly.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     texts = keyed_texts(docs)
@@ -155,40 +163,42 @@ def factorise(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n_blocks = max(2 * n_partitions(spark), -(-total // BLOCK_BYTES))
 
     def deal(batches):
-        chunk = Chunk(window, n_blocks)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        names = ["doc_id", "crc", "span", "block", "segments"]
+        chunk, turn = Chunk(window, n_blocks), 0
 
         def emit():
+            nonlocal turn
             settled = chunk.settle()
             if settled is None:
                 return
             factors, segments = settled
-            for a in range(0, len(factors[0]), 100_000):
-                cols = _factor_batch(*(f[a : a + 100_000] for f in factors))
-                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(cols[0]), kinds[3]), pa.nulls(len(cols[0]), kinds[4])], names)
-            for a in range(0, len(segments), 64):
-                block, packed = zip(*segments[a : a + 64], strict=True)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(block), k) for k in kinds[:3]), pa.array(block, kinds[3]), pa.array(packed, kinds[4])], names)
+            rows = [(block, False, packed) for block, packed in segments]
+            if len(factors[0]):
+                rows.append(((int(factors[0][0]) + turn) % n_blocks, True, _pack_factors(*factors)))
+                turn += 1
+            for a in range(0, len(rows), 64):
+                block, done, packed = zip(*rows[a : a + 64], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(done), pa.array(packed, pa.binary())], ["block", "settled", "packed"])
 
         for batch in batches:
             ids = batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
             sums = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint32)
-            for a, b, words in slices(batch.column(1), lower=False):
+            for a, b, words in slices(batch.column(1), lower=False, limit=SLICE_BYTES):
                 chunk.add(ids[a:b], sums[a:b], words)
                 if chunk.words >= CHUNK_WORDS:
                     yield from emit()
         yield from emit()
 
     def parse(key, group):
-        out = parse_block(group.column("segments").to_pylist())
-        return pa.Table.from_arrays(_factor_batch(*out), ["doc_id", "crc", "span"])
+        done, packed = group.column("settled").to_pylist(), group.column("packed").to_pylist()
+        out = [_factor_table(*unpack(p)[:4]) for p, d in zip(packed, done, strict=True) if d]
+        open_segments = [p for p, d in zip(packed, done, strict=True) if not d]
+        if open_segments:
+            out.append(_factor_table(*parse_block(open_segments)))
+        return pa.concat_tables(out)
 
     keyed = texts.withColumn("crc", F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0).cast("long")))
-    dealt = materialize(keyed.mapInArrow(deal, FACTORS + ", block int, segments binary"), "rlz_segments")
-    local = dealt.where("block is null").select("doc_id", "crc", "span")
-    found = dealt.where("block is not null").select("block", "segments").groupBy("block").applyInArrow(parse, FACTORS)
-    return local.unionByName(found).groupBy("doc_id", "crc").agg(F.collect_list("span").alias("spans"))
+    dealt = keyed.mapInArrow(deal, "block int, settled boolean, packed binary")
+    return dealt.groupBy("block").applyInArrow(parse, FACTORS).groupBy("doc_id", "crc").agg(F.collect_list("span").alias("spans"))
 
 
 def keep_words(text: str | None, spans: np.ndarray | None, window: int) -> tuple[int, int, list[bytes] | None]:
