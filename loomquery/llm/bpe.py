@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import keyed_texts, map_batches, table
 
-MAX_STATES = 200_000
-MAX_PIECES = 400_000
+MAX_STATES = 250_000
+MAX_PIECES = 1_200_000
 DECODE_CHUNK = 8192
 
 
@@ -76,6 +76,8 @@ class MergeTransducer:
             self.ends[node] = rank
         self.adjacent: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
+        self.parts: dict[int, tuple[int, int]] = {}
+        self.regular = True
         self._reset()
 
     def _reset(self) -> None:
@@ -85,17 +87,54 @@ class MergeTransducer:
         self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
         self.flush: list[tuple[int, ...]] = [()]
 
+    def _split(self, token: int) -> tuple[int, int]:
+        """The two tokens that the token's last merge joins; (-1, -1) for a single byte."""
+        pair = self.parts.get(token)
+        if pair is None:
+            raw = self.bytes_of[token]
+            parts = [raw[i : i + 1] for i in range(len(raw))]
+            while len(parts) > 2:
+                best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            pair = (self.ranks.get(parts[0], -1), self.ranks.get(parts[1], -1)) if len(parts) == 2 else (-1, -1)
+            if len(parts) == 2 and max((x if len(p) > 1 else -1) for x, p in zip(pair, parts, strict=True)) >= token or -1 in pair and len(parts) == 2:
+                self.regular = False  # a part of higher rank: merges don't run in the order of ranks
+            self.parts[token] = pair
+        return pair
+
+    def _stay_apart(self, left: int, right: int) -> bool:
+        """Does no merge cross from left to right? Walks back in time: the side whose outermost merge is the later is split, until a joint would have come first."""
+        before_left = before_right = 1 << 60  # what next consumes the piece at the border, on either side
+        while True:
+            joint = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
+            if joint is not None and joint < before_left and joint <= before_right:
+                return False
+            made_left = left if len(self.bytes_of[left]) > 1 else -1
+            made_right = right if len(self.bytes_of[right]) > 1 else -1
+            if made_left < 0 and made_right < 0:
+                return True
+            if made_left > made_right:
+                before_left, left = left, self._split(left)[1]
+            else:
+                before_right, right = right, self._split(right)[0]
+            if not self.regular:
+                return False
+
     def _may_follow(self, left: int, right: int) -> bool:
-        if left < 0:
-            ok = self.alone.get(right)
-            if ok is None:
-                ok = self.alone[right] = merge_by_rank(self.bytes_of[right], self.ranks) == [right]
-            return ok
         ok = self.adjacent.get((left, right))
         if ok is None:
             if len(self.adjacent) > 1_000_000:
                 self.adjacent.clear()
-            ok = self.adjacent[left, right] = self._may_follow(-1, right) and merge_by_rank(self.bytes_of[left] + self.bytes_of[right], self.ranks) == [left, right]
+            reached = self.alone.get(right)
+            if reached is None:
+                reached = self.alone[right] = merge_by_rank(self.bytes_of[right], self.ranks) == [right]
+            if left < 0 or not reached:
+                ok = reached
+            else:
+                ok = self._stay_apart(left, right)
+                if not self.regular:
+                    ok = merge_by_rank(self.bytes_of[left] + self.bytes_of[right], self.ranks) == [left, right]
+            self.adjacent[left, right] = ok
         return ok
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -114,13 +153,11 @@ class MergeTransducer:
             moved.append(settled)
         if not moved:
             raise ValueError(f"the rank table has no token for byte {byte}")
-        common = 0
-        first = moved[0][0]
-        for common in range(len(first) + 1):
-            if common == len(first) or any(len(p) <= common or p[common] != first[common] for p, _, _ in moved):
-                break
+        first, common = moved[0][0], 0
+        while common < len(first) and all(len(p) > common and p[common] == first[common] for p, _, _ in moved):
+            common += 1
         out = first[:common]
-        key = tuple((p[common:], last, node) for p, last, node in moved)
+        key = tuple((p[common:], last, node) for p, last, node in moved) if common else tuple(moved)
         to = self.index.get(key)
         if to is None:
             to = self.index[key] = len(self.threads)
