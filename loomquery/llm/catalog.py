@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, neardup, quality, shards, substring, tiff
+from . import bpe, licences, mixing, neardup, quality, shards, substring, tiff, tokenfiles, warc
 
-MODULES = (mixing, quality, neardup, bpe, tiff, shards, substring)
+MODULES = (mixing, quality, neardup, tokenfiles, licences, bpe, tiff, shards, substring, warc)
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+    return {"pipeline": pipeline} | {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracles() -> dict:

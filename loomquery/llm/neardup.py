@@ -2,14 +2,19 @@
 
 One pass over the texts gives each document the size and a digest of its shingle set, N_HASHES minima, of which B low bits stay, packed as
 bit planes, and one key for each band of minima. Documents with equal sets fall into one class before anything else, so copies cost
-one counter each. Classes that share a band key are candidates:
+one counter each. Classes that share a band key are candidates. No step lists the pairs of a bucket:
 
-1. Each class is compared with the first class of each of its buckets: one link for a class and bucket, never all pairs.
-2. In a bucket that still holds several components, the classes outside its largest one are compared with all others in it of another component.
+1. Each class is compared with the head (smallest class) of each of its buckets, by the collision-corrected estimate from bit counts. Estimates of LOOSE or more
+   tie classes into clusters. In a bucket whose members lie in several clusters, those outside its largest one are compared with all of another cluster, and
+   a likely pair ties the two. A candidate pair that could reach the threshold is then within one cluster: two classes that near to each other can't
+   be both far from and near to the same head (the distance is a metric).
+2. In clusters of more than GRID classes, likely pairs of class and head are confirmed on full shingle sets; confirmed links give components. In smaller clusters
+   each class begins as a component.
+3. A cluster that holds several components is settled exactly: its classes outside the largest component (probes) meet all its classes (base) in a
+   grid of tasks, each with one block of at most about GRID probes and one of base. A first round on bit planes finds the classes with a likely partner in another component;
+   a second confirms these on full sets. Tasks return one link for each component that they join, not pairs of classes.
 
-The pairs are judged by the collision-corrected estimate from bit counts, then on full shingle sets. Nothing is capped: the second step looks
-at every candidate pair that the first left open. With rows R of a band and its number N a pair of similarity s is missed with chance
-(1 - s^R)^N, and by the estimate with one below 1e-8 at s = 0.8.
+Nothing is capped. With R rows in each of N bands, a pair of similarity s shares no band with chance (1 - s^R)^N, under 3e-6 at s = 0.8.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and kept; with fewer words than a shingle the whole
 sequence is the one shingle; rows that are equal are one class; rows with one id count as one document; an empty table gives an empty table; extra
@@ -28,17 +33,20 @@ from pyspark.sql import functions as F
 from .common import keyed_texts, map_batches, materialize, table
 from .textgrams import U, mix, series, slices
 
-N_HASHES = 128
-B = 4
-BAND_ROWS = 4
-N_BANDS = 25
+N_HASHES = 256
+B = 2
+BAND_ROWS = 6
+N_BANDS = 42
 WORDS_PER_SHINGLE = 5
 THRESHOLD = 80
 #: The estimate of a pair at the threshold lies this far below it with a chance under 1e-8 (about six standard deviations).
-SLACK = 0.23
+SLACK = 0.18
+#: Estimates from here on tie classes into a cluster that is looked through exactly.
+LOOSE = 0.45
+GRID = 500
 
 PLANES = tuple(f"p{i}" for i in range(B * N_HASHES // 64))
-_A, _C = series(N_HASHES, 11, odd=True), series(N_HASHES, 12)
+_A, _C = series(N_HASHES, 11).astype(np.uint32) | np.uint32(1), series(N_HASHES, 12).astype(np.uint32)
 _BAND = series(N_BANDS, 13)
 
 
@@ -65,11 +73,13 @@ def _short(hashes: np.ndarray) -> np.ndarray:
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """N_HASHES minima of each (non-empty) set."""
-    flat, starts = np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])])
-    out = np.empty((len(sets), N_HASHES), U)
+    """N_HASHES minima of each (non-empty) set, over 32-bit permutations of its hashes."""
+    flat, starts = np.concatenate(sets).astype(np.uint32), np.cumsum([0, *(len(s) for s in sets[:-1])])
+    out, held = np.empty((len(sets), N_HASHES), U), np.empty_like(flat)
     for j in range(N_HASHES):
-        out[:, j] = np.minimum.reduceat(flat * _A[j] + _C[j], starts)
+        np.multiply(flat, _A[j], out=held)
+        held += _C[j]
+        out[:, j] = np.minimum.reduceat(held, starts)
     return out
 
 
@@ -118,7 +128,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
         for s in shingle_sets(batch.column(1), k):
             held.append(s)
             size += len(s)
-            if size > 200_000:
+            if size > 100_000:
                 flush()
         flush()
         columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*planes, strict=True)), pa.array(bands, pa.list_(pa.int64()))]
@@ -147,34 +157,128 @@ def likely(a: str, b: str, threshold: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * threshold) & (estimate(a, b) >= threshold / 100 - SLACK)
 
 
-def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, threshold: int, name: str) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the threshold."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    firsts = classes.join(involved, "cls", "left_semi").select(F.col("doc_id").alias("id")).distinct()
+def digest(members: np.ndarray) -> int | None:
+    """The class of a set."""
+    return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True) if len(members) else None
+
+
+def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int, name: str) -> DataFrame:
+    """cls, members (the sorted set): one row for each class in ``wanted``, from the text of its first document."""
+    firsts = classes.join(wanted, "cls", "left_semi").select(F.col("doc_id").alias("id")).distinct()
 
     def collect(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = list(shingle_sets(batch.column(0), k))
-        cls = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
-        return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "members"])
+        return pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "members"])
 
     texts = keyed_texts(docs)
     texts = texts.join(firsts, texts["doc_id"].eqNullSafe(firsts["id"]), "left_semi").select("text")
     # Rows with one id may hold several texts; one set for each class is enough.
-    sets = materialize(map_batches(texts, collect, "cls long, members binary").join(involved, "cls", "left_semi").dropDuplicates(["cls"]), f"{name}_sets")
+    return materialize(map_batches(texts, collect, "cls long, members binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), name)
+
+
+def reaches(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+    return 100 * both >= threshold * (len(x) + len(y) - both)
+
+
+def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, threshold: int, name: str) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets reach the threshold."""
+    sets = full_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), k, f"{name}_sets")
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
-            both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            ok.append(100 * both >= threshold * (len(x) + len(y) - both))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+        ok = [reaches(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), threshold) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     x, y = sets.select(F.col("cls").alias("a"), F.col("members").alias("x")), sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
     joined = pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y")
     return materialize(map_batches(joined, judge, "a long, b long"), f"{name}_links")
 
 
+def _grid(rows: DataFrame) -> DataFrame:
+    """rows (with cluster, cls, label) of open clusters, dealt to tasks (cluster, i, j): block i of the probes with block j of the base."""
+    parts = rows.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n_base"), (F.sum("n") - F.max("n")).alias("n_probes")).where("n_probes > 0")
+    dealt = rows.join(sizes, "cluster").withColumn("ni", F.ceil(F.col("n_probes") / GRID).cast("int")).withColumn("nj", F.ceil(F.col("n_base") / GRID).cast("int"))
+    h = F.xxhash64("cls")
+    whole = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.pmod(h, F.col(n)).cast("int")
+    base = dealt.withColumn("probe", F.lit(False)).withColumn("j", own("nj")).withColumn("i", F.explode(whole("ni")))
+    probes = dealt.where("label <> largest").withColumn("probe", F.lit(True)).withColumn("i", own("ni")).withColumn("j", F.explode(whole("nj")))
+    return base.unionByName(probes.select(base.columns)).drop("largest", "n_base", "n_probes", "ni", "nj")
+
+
+class Block:
+    """The rows of one task of the grid, as arrays."""
+
+    def __init__(self, group: pa.Table, threshold: int):
+        numbers = {c: group.column(c).to_numpy() for c in ("cls", "label", "n_shingles", "probe")}
+        self.cls, self.label, self.n, probe = numbers["cls"], numbers["label"], numbers["n_shingles"], numbers["probe"].astype(bool)
+        self.planes = np.stack([group.column(p).to_numpy() for p in PLANES], axis=1).view(U)
+        self.probes, self.base = np.flatnonzero(probe), np.flatnonzero(~probe)
+        self.threshold = threshold
+
+    def partners(self, p: int) -> tuple[np.ndarray, np.ndarray]:
+        """Base rows of another component that are likely partners of a probe, and their estimates."""
+        words = N_HASHES // 64
+        x = self.planes[self.base] ^ self.planes[p]
+        differ = np.zeros(len(self.base), np.int64)
+        for w in range(words):
+            any_bit = x[:, w].copy()
+            for q in range(1, B):
+                any_bit |= x[:, q * words + w]
+            differ += np.bitwise_count(any_bit)
+        chance = 2.0**-B
+        estimates = (1 - differ / N_HASHES - chance) / (1 - chance)
+        n, m = self.n[p], self.n[self.base]
+        ok = (self.label[self.base] != self.label[p]) & (estimates >= self.threshold / 100 - SLACK) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * self.threshold)
+        return self.base[ok], estimates[ok]
+
+
+def settle_clusters(docs: DataFrame, classes: DataFrame, clustered: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Pairs (a, b) of labels whose components are linked within a cluster. clustered: cluster, cls, label."""
+    rows = clustered.join(classes.select("cls", "n_shingles", *PLANES), "cls")
+
+    def find(key, group):
+        block, live = Block(group, threshold), set()
+        for p in block.probes:
+            partners, _ = block.partners(p)
+            if len(partners):
+                live.add(int(block.cls[p]))
+                live.update(block.cls[partners].tolist())
+        return pa.table([pa.array(sorted(live), pa.int64())], names=["cls"])
+
+    live = materialize(_grid(rows).groupBy("cluster", "i", "j").applyInArrow(find, "cls long").distinct(), "nd_live")
+    sets = full_sets(docs, classes, live, k, "nd_live_sets")
+
+    def link(key, group):
+        block = Block(group, threshold)
+        members = group.column("members").combine_chunks()
+        sets_of = {}
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets_of:
+                sets_of[i] = np.frombuffer(members[i].as_buffer(), U)
+            return sets_of[i]
+
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        for p in block.probes:
+            partners, estimates = block.partners(p)
+            for q in partners[np.argsort(-estimates, kind="stable")].tolist():
+                a, b = root(int(block.label[p])), root(int(block.label[q]))
+                if a != b and reaches(of(p), of(q), threshold):
+                    up[max(a, b)] = min(a, b)
+        joined = sorted(up)
+        return pa.table([pa.array([root(x) for x in joined], pa.int64()), pa.array(joined, pa.int64())], names=["a", "b"])
+
+    return materialize(_grid(rows.join(sets, "cls")).groupBy("cluster", "i", "j").applyInArrow(link, "a long, b long"), "nd_settled")
+
+
 def components(links: DataFrame) -> DataFrame:
     """cls, label over the classes in links: the smallest class that each can reach.
 
@@ -201,31 +305,34 @@ def near_duplicates(docs: DataFrame, k: int = WORDS_PER_SHINGLE, threshold: int
     buckets = banded.groupBy("band").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = materialize(banded.join(buckets, "band"), "nd_members")
 
-    a, b = classes.alias("a"), classes.alias("b")
-
-    def filtered(pairs: DataFrame) -> DataFrame:
-        p = pairs.alias("p")
-        return p.join(b, F.col("p.b") == F.col("b.cls")).join(a, F.col("p.a") == F.col("a.cls")).where(likely("a", "b", threshold)).select("p.a", "p.b")
-
-    star = materialize(filtered(members.where("head <> cls").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()), "nd_star")
-    links = confirm(docs, classes, star, k, threshold, "nd_star")
+    a, b, p = classes.alias("a"), classes.alias("b"), members.where("head <> cls").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct().alias("p")
+    near_head = p.join(b, F.col("p.b") == F.col("b.cls")).join(a, F.col("p.a") == F.col("a.cls")).where(estimate("a", "b") >= LOOSE)
+    ties = materialize(near_head.select("p.a", "p.b", likely("a", "b", threshold).alias("likely")), "nd_ties")
+    clusters = components(ties)
+
+    placed = members.join(clusters, "cls", "left").select("band", "cls", F.coalesce("label", "cls").alias("cluster"))
+    sizes = placed.groupBy("band", "cluster").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    apart = materialize(placed.join(mixed, "band").join(classes, "cls").select("band", "cls", "cluster", "largest", "n_shingles", *PLANES), "nd_apart")
+    x, y = apart.alias("x"), apart.alias("y")
+    across = (F.col("x.band") == F.col("y.band")) & (F.col("x.cluster") != F.col("y.cluster")) & ((F.col("y.cluster") == F.col("y.largest")) | (F.col("x.cls") < F.col("y.cls"))) & likely("x", "y", threshold)
+    more = materialize(x.where("x.cluster <> x.largest").join(y, across).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().withColumn("likely", F.lit(True)), "nd_more_ties")
+    if more.limit(1).count():
+        ties = ties.unionByName(more)
+        clusters = components(ties)
+
+    placed = materialize(clusters.select("cls", F.col("label").alias("cluster")), "nd_clusters")
+    large = materialize(placed.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > GRID).select("cluster"), "nd_large")
+    if large.limit(1).count():
+        in_large = placed.join(large, "cluster", "left_semi").select("cls")
+        star = confirm(docs, classes, ties.where("likely").join(in_large, ties["a"] == in_large["cls"], "left_semi").select("a", "b"), k, threshold, "nd_star")
+        begun = components(star)
+        clustered = placed.join(begun, "cls", "left").select("cluster", "cls", F.coalesce("label", "cls").alias("label"))
+        links = star.unionByName(settle_clusters(docs, classes, materialize(clustered, "nd_clustered"), k, threshold))
+    else:
+        links = settle_clusters(docs, classes, placed.withColumn("label", F.col("cls")), k, threshold)
     labels = components(links)
 
-    labelled = members.join(labels, "cls", "left").select("band", "cls", F.coalesce("label", "cls").alias("label"))
-    parts = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    open_members = materialize(labelled.join(mixed, "band").join(classes, "cls").select("band", "cls", "label", "largest", "n_shingles", *PLANES), "nd_open")
-    x, y = open_members.alias("x"), open_members.alias("y")
-    outside = x.where("x.label <> x.largest")
-    across = (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.largest")) | (F.col("x.cls") < F.col("y.cls"))) & likely("x", "y", threshold)
-    rest = outside.join(y, across).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    rest = materialize(rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "nd_rest")
-    if rest.limit(1).count():
-        more = confirm(docs, classes, rest, k, threshold, "nd_rest")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = components(links)
-
     named = classes.select("cls", F.col("doc_id").alias("first_id")).join(labels, "cls", "left").select("cls", "first_id", F.coalesce("label", "cls").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_class = materialize(named.join(smallest, "label").select("cls", "component_id"), "nd_components")
