@@ -37,7 +37,9 @@ FOOTER = struct.Struct("<QQIIQ8s")  # documents, ids, bytes of an id, buckets, s
 BUCKET_KEYS = 4
 END_ID = 2
 SHARD_BYTES = 64 << 20
-MAX_WORDS = 600_000
+MAX_WORDS = 1_000_000
+#: Marks that are pieces of their own after a letter or digit; an apostrophe isn't, as it begins contractions.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 NULL_KEY = np.iinfo(np.int64).min
 
 
@@ -190,10 +192,15 @@ class WordTokenizer:
         return np.array(ids, f"<u{self.item}").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        """Sentence punctuation after a letter is a piece of its own: such a word is its stem and the mark."""
+        """A run of marks after a letter or digit is a piece of its own: such a word is its stem and the run."""
         if len(self.memo) > MAX_WORDS:
             self.memo.clear()
-        marked = {w: (w[:-1], w[-1:]) for w in words if len(w) > 1 and w[-1] in b".,!?;:" and 97 <= w[-2] <= 122}
+        marked = {}
+        for w in words:
+            text = w.decode()
+            stem = text.rstrip(MARKS)
+            if stem and len(stem) < len(text) and (stem[-1].isalpha() or stem[-1] in "0123456789"):
+                marked[w] = (stem.encode(), text[len(stem) :].encode())
         new = [w for w in {*(w for w in words if w not in marked), *(p for pair in marked.values() for p in pair)} if w not in self.memo]
         for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
             self.memo[w] = self.pack(e.ids)
