@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import keyed_texts, map_batches, table
 
-MAX_STATES = 250_000
-MAX_PIECES = 1_200_000
+MAX_STATES = 200_000
+MAX_PIECES = 800_000
 DECODE_CHUNK = 8192
 
 
@@ -287,11 +287,12 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
             ids_sha.append(hashlib.sha256(packed).hexdigest())
             dec_sha.append(decoded.hexdigest())
             if with_ids:
-                all_ids.append(ids)
+                all_ids.append(packed)
         columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(dec_sha), pa.array(same)]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decodes"]
         if with_ids:
-            columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+            ends = np.cumsum([0, *(len(p) // 4 for p in all_ids)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(all_ids), "<i4"))))
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names)
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
 
+BATCH_ROWS = 1000
+
 _local_scratch: list[str] = []
 
 
@@ -78,13 +80,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Arrow batches through fn, one out for one in."""
+    """Arrow batches through fn, one out for one in, some hundred rows at a time: long texts then don't pile up."""
     ship_package(df.sparkSession)
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                yield fn(b)
+            for a in range(0, b.num_rows, BATCH_ROWS):
+                yield fn(b.slice(a, BATCH_ROWS))
 
     return df.mapInArrow(run, schema)
 

@@ -4,9 +4,9 @@ One pass over the texts gives each document the size and a digest of its shingle
 bit planes, and one key for each band of minima. Documents with equal sets fall into one class before anything else, so copies cost
 one counter each. Classes that share a band key are candidates. No step lists the pairs of a bucket:
 
-1. Each class is compared with the head (smallest class) of each of its buckets, by the collision-corrected estimate from bit counts. Estimates of LOOSE or more
-   tie classes into clusters. In a bucket whose members lie in several clusters, those outside its largest one are compared with all of another cluster, and
-   a likely pair ties the two. A candidate pair that could reach the threshold is then within one cluster: two classes that near to each other can't
+1. In HEAD_BANDS of the bands each class is compared with the head (smallest class) of its bucket, by the collision-corrected estimate from bit counts. Estimates of
+   LOOSE or more tie classes into clusters. Then all bands are looked at, but only buckets whose members lie in several clusters: those outside its largest one
+   are compared with all of another cluster, and a likely pair ties the two. A candidate pair that could reach the threshold is then within one cluster: two classes that near to each other can't
    be both far from and near to the same head (the distance is a metric).
 2. In clusters of more than GRID classes, likely pairs of class and head are confirmed on full shingle sets; confirmed links give components. In smaller clusters
    each class begins as a component.
@@ -37,6 +37,7 @@ N_HASHES = 256
 B = 2
 BAND_ROWS = 6
 N_BANDS = 42
+HEAD_BANDS = 10
 WORDS_PER_SHINGLE = 5
 THRESHOLD = 80
 #: The estimate of a pair at the threshold lies this far below it with a chance under 1e-8 (about six standard deviations).
@@ -171,7 +172,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int, na
         return pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "members"])
 
     texts = keyed_texts(docs)
-    texts = texts.join(firsts, texts["doc_id"].eqNullSafe(firsts["id"]), "left_semi").select("text")
+    texts = texts.join(firsts.hint("merge"), texts["doc_id"].eqNullSafe(firsts["id"]), "left_semi").select("text")
     # Rows with one id may hold several texts; one set for each class is enough.
     return materialize(map_batches(texts, collect, "cls long, members binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), name)
 
@@ -181,9 +182,8 @@ def reaches(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
-def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, threshold: int, name: str) -> DataFrame:
+def confirm(sets: DataFrame, pairs: DataFrame, threshold: int, name: str) -> DataFrame:
     """The pairs (a, b) of classes whose full sets reach the threshold."""
-    sets = full_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), k, f"{name}_sets")
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = [reaches(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), threshold) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
@@ -234,7 +234,7 @@ class Block:
         return self.base[ok], estimates[ok]
 
 
-def settle_clusters(docs: DataFrame, classes: DataFrame, clustered: DataFrame, k: int, threshold: int) -> DataFrame:
+def settle_clusters(sets: DataFrame, classes: DataFrame, clustered: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of labels whose components are linked within a cluster. clustered: cluster, cls, label."""
     rows = clustered.join(classes.select("cls", "n_shingles", *PLANES), "cls")
 
@@ -248,8 +248,6 @@ def settle_clusters(docs: DataFrame, classes: DataFrame, clustered: DataFrame, k
         return pa.table([pa.array(sorted(live), pa.int64())], names=["cls"])
 
     live = materialize(_grid(rows).groupBy("cluster", "i", "j").applyInArrow(find, "cls long").distinct(), "nd_live")
-    sets = full_sets(docs, classes, live, k, "nd_live_sets")
-
     def link(key, group):
         block = Block(group, threshold)
         members = group.column("members").combine_chunks()
@@ -276,7 +274,7 @@ def settle_clusters(docs: DataFrame, classes: DataFrame, clustered: DataFrame, k
         joined = sorted(up)
         return pa.table([pa.array([root(x) for x in joined], pa.int64()), pa.array(joined, pa.int64())], names=["a", "b"])
 
-    return materialize(_grid(rows.join(sets, "cls")).groupBy("cluster", "i", "j").applyInArrow(link, "a long, b long"), "nd_settled")
+    return materialize(_grid(rows.join(live, "cls", "left_semi").join(sets, "cls")).groupBy("cluster", "i", "j").applyInArrow(link, "a long, b long"), "nd_settled")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -301,19 +299,19 @@ def near_duplicates(docs: DataFrame, k: int = WORDS_PER_SHINGLE, threshold: int
     sig = materialize(signatures(docs, k), "nd_signatures")
     full = sig.where(F.col("cls").isNotNull())
     classes = materialize(full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), *(F.max(p).alias(p) for p in PLANES)), "nd_classes")
-    banded = full.select("cls", F.explode("bands").alias("band")).distinct()
-    buckets = banded.groupBy("band").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = materialize(banded.join(buckets, "band"), "nd_members")
-
-    a, b, p = classes.alias("a"), classes.alias("b"), members.where("head <> cls").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct().alias("p")
+    banded = full.select("cls", F.explode(F.slice("bands", 1, HEAD_BANDS)).alias("band")).distinct()
+    buckets = banded.groupBy("band").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head < last").drop("last")
+    a, b, p = classes.alias("a"), classes.alias("b"), banded.join(buckets, "band").where("head <> cls").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct().alias("p")
     near_head = p.join(b, F.col("p.b") == F.col("b.cls")).join(a, F.col("p.a") == F.col("a.cls")).where(estimate("a", "b") >= LOOSE)
     ties = materialize(near_head.select("p.a", "p.b", likely("a", "b", threshold).alias("likely")), "nd_ties")
     clusters = components(ties)
 
-    placed = members.join(clusters, "cls", "left").select("band", "cls", F.coalesce("label", "cls").alias("cluster"))
+    placed = full.select("cls", "bands").join(clusters, "cls", "left").select(F.explode("bands").alias("band"), "cls", F.coalesce("label", "cls").alias("cluster")).distinct()
+    mixed = placed.groupBy("band").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("band")
+    placed = materialize(placed.join(mixed, "band", "left_semi"), "nd_mixed")
     sizes = placed.groupBy("band", "cluster").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    apart = materialize(placed.join(mixed, "band").join(classes, "cls").select("band", "cls", "cluster", "largest", "n_shingles", *PLANES), "nd_apart")
+    largest = sizes.groupBy("band").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("largest"))
+    apart = materialize(placed.join(largest, "band").join(classes, "cls").select("band", "cls", "cluster", "largest", "n_shingles", *PLANES), "nd_apart")
     x, y = apart.alias("x"), apart.alias("y")
     across = (F.col("x.band") == F.col("y.band")) & (F.col("x.cluster") != F.col("y.cluster")) & ((F.col("y.cluster") == F.col("y.largest")) | (F.col("x.cls") < F.col("y.cls"))) & likely("x", "y", threshold)
     more = materialize(x.where("x.cluster <> x.largest").join(y, across).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().withColumn("likely", F.lit(True)), "nd_more_ties")
@@ -322,15 +320,16 @@ def near_duplicates(docs: DataFrame, k: int = WORDS_PER_SHINGLE, threshold: int
         clusters = components(ties)
 
     placed = materialize(clusters.select("cls", F.col("label").alias("cluster")), "nd_clusters")
+    sets = full_sets(docs, classes, placed.select("cls"), k, "nd_sets")
     large = materialize(placed.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > GRID).select("cluster"), "nd_large")
     if large.limit(1).count():
         in_large = placed.join(large, "cluster", "left_semi").select("cls")
-        star = confirm(docs, classes, ties.where("likely").join(in_large, ties["a"] == in_large["cls"], "left_semi").select("a", "b"), k, threshold, "nd_star")
+        star = confirm(sets, ties.where("likely").join(in_large, ties["a"] == in_large["cls"], "left_semi").select("a", "b"), threshold, "nd_star")
         begun = components(star)
         clustered = placed.join(begun, "cls", "left").select("cluster", "cls", F.coalesce("label", "cls").alias("label"))
-        links = star.unionByName(settle_clusters(docs, classes, materialize(clustered, "nd_clustered"), k, threshold))
+        links = star.unionByName(settle_clusters(sets, classes, materialize(clustered, "nd_clustered"), threshold))
     else:
-        links = settle_clusters(docs, classes, placed.withColumn("label", F.col("cls")), k, threshold)
+        links = settle_clusters(sets, classes, placed.withColumn("label", F.col("cls")), threshold)
     labels = components(links)
 
     named = classes.select("cls", F.col("doc_id").alias("first_id")).join(labels, "cls", "left").select("cls", "first_id", F.coalesce("label", "cls").alias("label"))
