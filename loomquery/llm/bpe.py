@@ -35,6 +35,7 @@ from .common import keyed_texts, map_batches, table
 
 MAX_STATES = 200_000
 MAX_PIECES = 800_000
+MAX_PAIRS = 250_000
 DECODE_CHUNK = 8192
 
 
@@ -123,7 +124,7 @@ class MergeTransducer:
     def _may_follow(self, left: int, right: int) -> bool:
         ok = self.adjacent.get((left, right))
         if ok is None:
-            if len(self.adjacent) > 1_000_000:
+            if len(self.adjacent) > MAX_PAIRS:
                 self.adjacent.clear()
             reached = self.alone.get(right)
             if reached is None:
