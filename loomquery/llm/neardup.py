@@ -280,18 +280,20 @@ def settle_clusters(sets: DataFrame, classes: DataFrame, clustered: DataFrame, t
 def components(links: DataFrame) -> DataFrame:
     """cls, label over the classes in links: the smallest class that each can reach.
 
-    Labels move along links and are then looked up once more (pointer jumping), so long chains close in few rounds.
+    Each round moves every class to the smallest neighbour of its smallest neighbour and contracts the links by that, so those within a
+    settled part are gone before the next round and what is left shrinks fast.
     """
-    both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "cc_edges")
-    labels = materialize(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "cc_labels")
-    while True:
-        seen = both.join(labels, both["b"] == labels["cls"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        near = labels.join(seen, labels["cls"] == seen["node"]).select("cls", F.col("label").alias("old"), F.least("label", "near").alias("new"))
-        up = labels.select(F.col("cls").alias("up"), F.col("label").alias("top"))
-        moved = materialize(near.join(up, near["new"] == up["up"], "left").select("cls", F.least("new", F.coalesce("top", "new")).alias("label"), (F.least("new", F.coalesce("top", "new")) != F.col("old")).alias("changed")), "cc_labels")
-        labels = moved.select("cls", "label")
-        if not moved.where("changed").limit(1).count():
-            return labels
+    links = links.select("a", "b").where("a <> b")
+    edges = materialize(links.union(links.select(F.col("b"), F.col("a"))).distinct(), "cc_edges")
+    labels = materialize(edges.select(F.col("a").alias("cls")).distinct().withColumn("label", F.col("cls")), "cc_labels")
+    while edges.limit(1).count():
+        near = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("near")), "cc_near")
+        further = near.select(F.col("node").alias("near"), F.col("near").alias("to"))
+        moves = materialize(near.join(further, "near").select("node", "to"), "cc_moves")
+        from_a, from_b = moves.select(F.col("node").alias("a"), F.col("to").alias("la")), moves.select(F.col("node").alias("b"), F.col("to").alias("lb"))
+        edges = materialize(edges.join(from_a, "a").join(from_b, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "cc_edges")
+        labels = materialize(labels.join(moves, labels["label"] == moves["node"], "left").select("cls", F.coalesce("to", "label").alias("label")), "cc_labels")
+    return labels
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS_PER_SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -314,10 +316,12 @@ def near_duplicates(docs: DataFrame, k: int = WORDS_PER_SHINGLE, threshold: int
     apart = materialize(placed.join(largest, "band").join(classes, "cls").select("band", "cls", "cluster", "largest", "n_shingles", *PLANES), "nd_apart")
     x, y = apart.alias("x"), apart.alias("y")
     across = (F.col("x.band") == F.col("y.band")) & (F.col("x.cluster") != F.col("y.cluster")) & ((F.col("y.cluster") == F.col("y.largest")) | (F.col("x.cls") < F.col("y.cls"))) & likely("x", "y", threshold)
-    more = materialize(x.where("x.cluster <> x.largest").join(y, across).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().withColumn("likely", F.lit(True)), "nd_more_ties")
+    more = materialize(x.where("x.cluster <> x.largest").join(y, across).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.cluster").alias("ca"), F.col("y.cluster").alias("cb")).distinct(), "nd_more_ties")
     if more.limit(1).count():
-        ties = ties.unionByName(more)
-        clusters = components(ties)
+        ties = ties.unionByName(more.select("a", "b", F.lit(True).alias("likely")))
+        merged = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()).select(F.col("cls").alias("label"), F.col("label").alias("top"))
+        alone = more.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("ca").alias("label")), F.struct(F.col("b").alias("cls"), F.col("cb").alias("label")))).alias("r")).select("r.*")
+        clusters = clusters.unionByName(alone).distinct().join(merged, "label", "left").select("cls", F.coalesce("top", "label").alias("label"))
 
     placed = materialize(clusters.select("cls", F.col("label").alias("cluster")), "nd_clusters")
     sets = full_sets(docs, classes, placed.select("cls"), k, "nd_sets")
