@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids, and digests of ids and of the decoded text."""
-    return encode_decode(docs, *default_tokenizer(), with_ids=True)
+    """Ids, and digests of ids and of the decoded text. The workers also did the stages before, so the memos are smaller than by default."""
+    return encode_decode(docs, *default_tokenizer(), with_ids=True, max_states=100_000, max_pieces=400_000)
 
 
 STAGES = [

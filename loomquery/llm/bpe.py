@@ -184,9 +184,9 @@ class MergeTransducer:
 class BpeCodec:
     """A pattern that cuts texts into pieces, and the transducer that encodes each."""
 
-    def __init__(self, ranks_path: str, pattern: str):
-        self.ranks = read_ranks(ranks_path)
-        self.fst = MergeTransducer(self.ranks)
+    def __init__(self, ranks_path: str, pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES):
+        self.ranks, self.max_pieces = read_ranks(ranks_path), max_pieces
+        self.fst = MergeTransducer(self.ranks, max_states)
         self.pattern = regex.compile(pattern)
         self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for b, i in self.ranks.items():
@@ -200,7 +200,7 @@ class BpeCodec:
             return b"".join([memo[p] for p in pieces])
         except KeyError:
             pass
-        if len(memo) > MAX_PIECES:
+        if len(memo) > self.max_pieces:
             memo.clear()
         out = []
         for p in pieces:
@@ -256,19 +256,19 @@ class Utf8Machine:
 
 
 @functools.lru_cache(maxsize=2)
-def codec(ranks_path: str, pattern: str) -> BpeCodec:
+def codec(ranks_path: str, pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> BpeCodec:
     """One for each worker process: its states and pieces serve all its tasks."""
-    return BpeCodec(ranks_path, pattern)
+    return BpeCodec(ranks_path, pattern, max_states, max_pieces)
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> DataFrame:
     """For each document: doc_id, n_tokens, ids_sha256, decoded_sha256, decodes (the decoded text is the text), and the ids if asked for.
 
-    ``ranks_path`` is a path on every executor. One pass, no shuffle.
+    ``ranks_path`` is a path on every executor. One pass, no shuffle. The memos of a worker process stay until it ends: where it has other work too, bound them lower.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(ranks_path, pattern)
+        c = codec(ranks_path, pattern, max_states, max_pieces)
         n, ids_sha, dec_sha, same, all_ids = [], [], [], [], []
         for value in batch.column(1):
             text = value.as_py() or ""
