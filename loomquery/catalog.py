@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fixed as fx
+from .functions import replies
 from .functions import text as tx
-from .operators import chunking, ingest, retrieval, rules
-from .streaming import limiter
+from .operators import chat, chunking, ingest, retrieval, rules
+from .plans import answering
+from .streaming import limiter, upserts
 
 RULES = (
     ("ALPHA", "applicability", 0, "has_land", ("true", "unknown")),
@@ -243,4 +245,71 @@ def bbox_exclusion(spark, d):
     return chunking.outside_tables(b, t).groupBy("page").agg(F.count("*").alias("n_blocks"), F.sum("block").alias("sum_block"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_windows, page_join_ranges, workflow_render, chunk_summary, short_documents, ocr_preference, token_stats, bm25_topk, vector_topk, vector_topk_filtered, rrf_fusion, hybrid_provenance, rerank_gate, retrieval_metrics, eval_summary, refusal_flags, query_validation, injection_flags, pii_scrub, intent_attributes, scheme_match, missing_info, exact_dup_groups, watermark_filter, upsert_latest, id_collisions, resume_pending, user_history, titles, prompt_assembly, rate_limit, table_render, bbox_exclusion)}
+def json_props(spark, d):
+    e = _t(spark, d, "events")
+    return e.select("event_id", F.to_json(replies.string_list(F.col("props"), "k")).alias("k"), F.to_json(replies.string_list(F.col("props"), "missing")).alias("missing"))
+
+
+def rewrites_parse(spark, d):
+    """Replies made of messages: every third is no JSON, and every fifth has an item that is no string."""
+    c, turn = _t(spark, d, "conversations"), F.col("turn")
+    word = lambda i: F.element_at(F.split("text", " "), i)
+    reply = F.to_json(F.struct(F.array(word(1), F.concat(F.lit("  "), word(-1)), F.lit(" "), turn.cast("string")).alias("rewrites")))
+    reply = F.when(turn % 3 == 2, F.concat(F.lit("Sure: "), reply)).when(F.col("conv_id") % 5 == 0, F.concat(F.lit('{"rewrites": [1, "a", null, " b", true, "c", "d"]}'))).otherwise(reply)
+    return c.select("conv_id", "turn", F.array_join(answering.parse_rewrites(reply, 3), "|").alias("rewrites"))
+
+
+def source_keys(spark, d):
+    k = F.col("doc_id") % 3
+    kind = F.when(k == 0, "pdf").when(k == 1, "workflow").otherwise("image")
+    name = F.concat(F.lit(" "), F.upper("source"), F.when(F.col("doc_id") % 2 == 0, ".pdf.PDF").otherwise(".pdf"), F.lit(" "))
+    keyed = _t(spark, d, "documents").select(replies.source_key(kind, name, F.concat(F.lit("W"), F.col("lang"))).alias("key")).where("key is not null")
+    return keyed.groupBy("key.kind", "key.id").agg(F.count("*").alias("n"))
+
+
+def page_labels(spark, d):
+    p = chunking.page_chunks(_t(spark, d, "conversations").select(F.col("conv_id").alias("doc"), (F.col("turn") + 1).alias("page"), "text"))
+    return p.groupBy(replies.page_label(F.col("page_start"), F.col("page_end")).alias("label")).agg(F.count("*").alias("n"))
+
+
+def answer_outcomes(spark, d):
+    """The composite request over questions, some of them with a known defect."""
+    k = F.col("item_id") % 7
+    text = F.when(k == 1, F.lit("  ")).when(k == 2, F.concat(F.lit("developer mode "), "text")).when(k == 3, F.lit("zzqx unheard")).otherwise(F.col("text"))
+    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("text"))
+    a = answering.answer(asked, _chunks(spark, d))
+    return a.select("query_id", "outcome", F.coalesce("reason", F.lit("")).alias("reason"), F.round("top_score", 6).alias("top_score"), F.coalesce(F.size("passages"), F.lit(0)).alias("n_passages"), F.md5(F.encode("answer", "UTF-8")).alias("answer_digest"))
+
+
+def multi_query(spark, d):
+    """Each question and a rewrite of it, its words in reverse, the first half only."""
+    w = F.split("text", " ")
+    half = F.array_join(F.slice(w, F.lit(1), F.ceil(F.size(w) / 2).cast("int")), " ")
+    b = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array(F.struct(F.lit(0).alias("list_idx"), F.col("text")), F.struct(F.lit(1).alias("list_idx"), half.alias("text")))).alias("r")).select("query_id", "r.*")
+    return answering.multi_query(b, _chunks(spark, d)).select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "rank")
+
+
+def _chat_log(spark, d):
+    """A log of changes made of messages: a conversation's first turn creates it, later ones add to it, and some are another user's or end it."""
+    c = _t(spark, d, "conversations")
+    k, owner = F.col("conv_id") % 11, F.col("conv_id") % 5
+    op = F.when(F.col("turn") == 0, "create").when((k == 3) & (F.col("turn") == 2), "delete").when((k == 4) & (F.col("turn") == 1), "rename").otherwise("add")
+    user = F.when((k == 5) & (F.col("turn") == 0), F.lit(None)).when((k == 6) & (F.col("turn") % 2 == 1), F.lit("someone else")).otherwise(F.concat(F.lit("u"), owner.cast("string")))
+    seq = F.col("conv_id") * 1000 + F.col("turn")
+    return c.select(seq.alias("seq"), op.alias("op"), user.alias("user_id"), "conv_id", F.when(F.col("turn") <= 1, tx.title(F.col("text"))).alias("title"), "role", F.col("text").alias("content"), F.when(F.col("turn") % 2 == 1, '{"a": 1}').otherwise("{").alias("payload"), F.timestamp_seconds(seq).alias("at"))
+
+
+def chat_conversations(spark, d):
+    return chat.conversations(_chat_log(spark, d)).select("user_id", "conv_id", "title", "n_messages", "rank")
+
+
+def chat_messages(spark, d):
+    return chat.messages(_chat_log(spark, d)).select("conv_id", "pos", "role", F.md5(F.encode("content", "UTF-8")).alias("digest"), "payload")
+
+
+def key_rotation(spark, d):
+    e = _t(spark, d, "events").where("user_id is not null").select((F.col("user_id") % 50).alias("client"), F.col("event_id").alias("seq"), (F.col("event_id") % 4 == 0).alias("limited"))
+    return upserts.rotations(e, 3)
+
+
+QUERIES = {f.__name__: f for f in (json_props, rewrites_parse, source_keys, page_labels, answer_outcomes, multi_query, chat_conversations, chat_messages, key_rotation, chunk_windows, page_join_ranges, workflow_render, chunk_summary, short_documents, ocr_preference, token_stats, bm25_topk, vector_topk, vector_topk_filtered, rrf_fusion, hybrid_provenance, rerank_gate, retrieval_metrics, eval_summary, refusal_flags, query_validation, injection_flags, pii_scrub, intent_attributes, scheme_match, missing_info, exact_dup_groups, watermark_filter, upsert_latest, id_collisions, resume_pending, user_history, titles, prompt_assembly, rate_limit, table_render, bbox_exclusion)}

@@ -125,3 +125,37 @@ SELECT query_id, md5(t || chr(10) || chr(10) || 'Question: ' || text) AS digest
 FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, '| ' || turn || ' | ' || role || ' | ' || {_STRIP.format("replace(text, chr(10), ' ')")} || ' |' AS l FROM conversations) GROUP BY conv_id""",
     "bbox_exclusion": """SELECT l_linenumber % 2 AS page, count(*) AS n_blocks, sum(l_linenumber)::BIGINT AS sum_block FROM lineitem WHERE NOT (l_linenumber % 2 = 1 AND l_partkey % 90 + 5 BETWEEN 0 AND 50 AND l_suppkey % 90 + 5 BETWEEN 0 AND 60 AND l_orderkey IN (SELECT o_orderkey FROM orders)) GROUP BY 1""",
 }
+
+_HALF = "array_to_string(list_slice(string_split(text, ' '), 1, ceil(len(string_split(text, ' ')) / 2.0)::INT), ' ')"
+_CHAT = """c AS (SELECT *, conv_id % 11 AS k, conv_id * 1000 + turn AS seq FROM conversations),
+log AS (SELECT seq, conv_id, turn, role, text, CASE WHEN turn = 0 THEN 'create' WHEN k = 3 AND turn = 2 THEN 'delete' WHEN k = 4 AND turn = 1 THEN 'rename' ELSE 'add' END AS op,
+  CASE WHEN k = 5 AND turn = 0 THEN NULL WHEN k = 6 AND turn % 2 = 1 THEN 'someone else' ELSE 'u' || (conv_id % 5) END AS user_id FROM c),
+eff AS (SELECT l.* FROM log l JOIN log m ON m.conv_id = l.conv_id AND m.op = 'create' AND m.user_id = l.user_id
+  WHERE NOT EXISTS (SELECT 1 FROM log g WHERE g.conv_id = l.conv_id AND g.op = 'delete' AND g.user_id = m.user_id) AND (l.op <> 'add' OR l.role IN ('user', 'assistant')))"""
+
+
+SQL |= {
+    "json_props": """SELECT event_id, CASE WHEN json_extract(props, '$.k') IS NULL OR trim(json_extract_string(props, '$.k')) = '' THEN '[]' ELSE '["' || json_extract_string(props, '$.k') || '"]' END AS k, '[]' AS missing FROM events""",
+    "rewrites_parse": r"""WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations),
+r AS (SELECT conv_id, turn, [regexp_replace(x, '^[\s\xA0]+|[\s\xA0]+$', '', 'g') for x in [w[1], w[-1], '', turn::VARCHAR]] AS l FROM w)
+SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN '' WHEN conv_id % 5 = 0 THEN 'a|b|c' ELSE array_to_string(list_filter(l, lambda x: x <> '')[1:3], '|') END AS rewrites FROM r""",
+    "source_keys": "SELECT kind, id, count(*) AS n FROM (SELECT CASE doc_id % 3 WHEN 0 THEN 'pdf' ELSE 'workflow' END AS kind, CASE doc_id % 3 WHEN 0 THEN lower(source) || '.pdf' ELSE 'W' || lang END AS id FROM documents WHERE doc_id % 3 < 2) GROUP BY kind, id",
+    "chat_conversations": rf"""WITH {_CHAT}, s AS (SELECT user_id, conv_id, arg_max(CASE WHEN turn <= 1 THEN text END, seq) FILTER (op IN ('create', 'rename')) AS t, max(seq) AS u, count(*) FILTER (op = 'add') AS n_messages FROM eff GROUP BY ALL),
+q AS (SELECT *, replace({_STRIP.format("t")}, chr(10), ' ') AS q FROM s), x AS (SELECT *, regexp_replace(left(q, 48), ' [^ ]*$', '') AS cut FROM q)
+SELECT user_id, conv_id, CASE WHEN q = '' THEN 'New chat' WHEN length(q) <= 48 THEN q ELSE CASE WHEN cut = '' THEN left(q, 48) ELSE cut END || '…' END AS title, n_messages, row_number() OVER (PARTITION BY user_id ORDER BY u DESC, conv_id DESC)::INT AS rank FROM x""",
+    "chat_messages": f"WITH {_CHAT} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY seq)::INT AS pos, role, md5(text) AS digest, CASE WHEN turn % 2 = 1 THEN '{{\"a\": 1}}' END AS payload FROM eff WHERE op = 'add'",
+    "key_rotation": """WITH e AS (SELECT user_id % 50 AS client, count(*) AS n_calls, count(*) FILTER (event_id % 4 = 0) AS l FROM events WHERE user_id IS NOT NULL GROUP BY 1)
+SELECT client, n_calls, (l - l // 3)::INT AS n_rotations, (l // 3)::INT AS n_cooldowns, (l % 3)::INT AS current_key FROM e""",
+    "multi_query": f"""WITH b2 AS (SELECT item_id * 2 AS item_id, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, {_HALF} FROM benchmark), {_BM25.replace("__K__", "20").replace("FROM benchmark)", "FROM b2)")},
+f AS (SELECT query_id // 2 AS query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM bm GROUP BY ALL)
+SELECT query_id, chunk_id, round(s, 9) AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, chunk_id)::INT AS rank FROM f QUALIFY rank <= 5""",
+    "page_labels": "WITH p AS (" + SQL["page_join_ranges"] + ") SELECT CASE WHEN page_start = page_end THEN 'p. ' || page_start ELSE 'pp. ' || page_start || '-' || page_end END AS label, count(*) AS n FROM p GROUP BY 1",
+    "answer_outcomes": f"""WITH b2 AS (SELECT item_id, CASE item_id % 7 WHEN 1 THEN '  ' WHEN 2 THEN 'developer mode ' || text WHEN 3 THEN 'zzqx unheard' ELSE text END AS text, CASE item_id % 7 WHEN 1 THEN 'empty' WHEN 2 THEN 'prompt_injection' ELSE 'valid' END AS v FROM benchmark),
+{_BM25.replace("__K__", "20").replace("FROM benchmark)", "FROM b2 WHERE v = 'valid')")}, qs AS (SELECT item_id AS query_id, v, list_distinct({_TOKENS}) AS t FROM b2),
+s AS (SELECT query_id, chunk_id, rank, text, 8.0::DOUBLE * len(list_intersect(t, w)) / greatest(len(t), 1) - 4 AS score FROM bm JOIN qs USING (query_id) JOIN d USING (chunk_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rank) AS r FROM s QUALIFY r <= 5),
+g AS (SELECT query_id, max(score) FILTER (r = 1) AS top, count(*)::INT AS n, first(left(text, 800)) FILTER (r = 1) AS a FROM o GROUP BY query_id)
+SELECT query_id, CASE WHEN v <> 'valid' THEN 'invalid' WHEN n IS NULL THEN 'no_results' WHEN top >= -2 THEN 'answered' ELSE 'low_confidence' END AS outcome,
+  CASE WHEN v <> 'valid' THEN v WHEN top < -2 THEN printf('top score %.3f is below -2.000', top) ELSE '' END AS reason, round(top, 6) AS top_score, coalesce(n, 0)::INT AS n_passages, CASE WHEN top >= -2 THEN md5(regexp_replace(a, '{fx.EMAIL}', '[REDACTED_EMAIL]', 'g')) END AS answer_digest
+FROM qs LEFT JOIN g USING (query_id)""",
+}
