@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .functions import fixed as fx
 from .functions import replies
 from .functions import text as tx
-from .operators import chat, chunking, ingest, retrieval, rules
-from .plans import answering
+from .operators import chat, chunking, images, ingest, retrieval, rules
+from .plans import answering, evaluation, models
 from .streaming import limiter, upserts
 
 RULES = (
@@ -312,4 +312,87 @@ def key_rotation(spark, d):
     return upserts.rotations(e, 3)
 
 
-QUERIES = {f.__name__: f for f in (json_props, rewrites_parse, source_keys, page_labels, answer_outcomes, multi_query, chat_conversations, chat_messages, key_rotation, chunk_windows, page_join_ranges, workflow_render, chunk_summary, short_documents, ocr_preference, token_stats, bm25_topk, vector_topk, vector_topk_filtered, rrf_fusion, hybrid_provenance, rerank_gate, retrieval_metrics, eval_summary, refusal_flags, query_validation, injection_flags, pii_scrub, intent_attributes, scheme_match, missing_info, exact_dup_groups, watermark_filter, upsert_latest, id_collisions, resume_pending, user_history, titles, prompt_assembly, rate_limit, table_render, bbox_exclusion)}
+def _occurrences(spark, d):
+    """Documents as places of images: equal texts are one image."""
+    x = _t(spark, d, "documents")
+    name = F.concat(F.lit("file "), (F.col("doc_id") % 50).cast("string"), F.lit("(1).v2.pdf"))
+    return x.select(
+        ingest.content_hash(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("content_hash"), F.col("source").alias("scheme"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("parent_subfolder"), name.alias("filename"),
+        (F.col("doc_id") % 30 + 1).alias("page"), F.col("doc_id").alias("xref"),
+    )
+
+
+def _sidecars(spark, d):
+    """What a vision model said: of every seventh image nothing, and of others junk, a failure or a class that has no chunk."""
+    k = F.col("seq") % 7
+    kind = F.when(k == 0, "TABLE").when(k == 1, "CHART").when(k == 2, "INFOGRAPHIC").when(k == 3, "OTHER").when(k == 4, "CHART").otherwise("POSTER")
+    said = F.to_json(F.struct(
+        kind.alias("classification"), F.concat(F.lit(" image "), F.col("seq").cast("string")).alias("description"), F.array(F.lit("a"), F.concat(F.lit(" b"), (F.col("seq") % 10).cast("string"))).alias("key_information"),
+        F.array(F.lit("")).alias("dates"), F.lit(" ").alias("visible_text"), (k == 4).alias("vision_failed"),
+    ))
+    one = _occurrences(spark, d).groupBy("content_hash").agg(F.min("xref").alias("seq")).where(k != 6)
+    return one.select("content_hash", said.alias("sidecar"))
+
+
+def image_chunks(spark, d):
+    c = images.image_chunks(_occurrences(spark, d), images.cached(_sidecars(spark, d)))
+    return c.select("chunk_id", F.md5(F.encode("text", "UTF-8")).alias("digest"), "page_start", "vision_content_type", "vision_failed")
+
+
+def vision_coverage(spark, d):
+    return images.coverage(_occurrences(spark, d), images.cached(_sidecars(spark, d)))
+
+
+def _layout(spark, d):
+    """Messages as blocks of pages of three turns. Of every ninth conversation layout is lost, and every eleventh doesn't open."""
+    c = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.floor(F.col("turn") / 3).cast("int").alias("page"), F.col("turn").alias("pos"), "role", "text")
+    y = (F.col("pos") % 3) * 10
+    box = c.where("doc % 11 <> 10 and doc % 9 <> 0").select("doc", F.col("page") + 1, "pos", F.lit(0).alias("x0"), F.lit(50).alias("x1"), y.alias("y0"), (y + 8).alias("y1"), "text", F.when(F.col("pos") % 7 == 6, 1).otherwise(0).alias("block_type"), "role").toDF("doc", "page", "pos", "x0", "x1", "y0", "y1", "text", "block_type", "role")
+    at = box.where("pos % 4 = 1").select("doc", "page", "pos", "x0", "x1", "y0", "y1", F.when(F.col("pos") % 8 == 5, F.lit(None)).otherwise(F.array(F.array("role", "text"), F.array(F.col("pos").cast("string"), F.lit(None)))).alias("rows"))
+    plain = c.select("doc", F.col("pos").cast("int").alias("page"), "text")
+    return box.drop("role"), at, plain.where("doc % 11 <> 10 and doc % 9 = 0"), plain.where("doc % 11 = 10")
+
+
+def structured_chunks(spark, d):
+    c = chunking.structured_chunks(*_layout(spark, d))
+    return c.select("doc", "kind", F.col("idx").cast("int").alias("idx"), "page_start", "page_end", F.md5(F.encode("chunk", "UTF-8")).alias("digest"))
+
+
+def eval_modes(spark, d):
+    """A question's vector is the one of its number, and those of its rewrites are the ones 10, 20 and 30 on; a document's is the one of its id."""
+    e, b = _t(spark, d, "embeddings"), _t(spark, d, "benchmark")
+    v = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
+    near = lambda j: b.select((F.col("item_id") * 4 + j).alias("query_id"), (F.col("item_id") + 10 * j).alias("vec_id")).join(e, "vec_id").select("query_id", F.col("embedding").alias("v"))
+    lists = retrieval.vector_topk(near(0).unionByName(near(1)).unionByName(near(2)).unionByName(near(3)), v).select(F.floor(F.col("query_id") / 4).alias("query_id"), (F.col("query_id") % 4).cast("int").alias("list_idx"), "chunk_id", "score", "rank")
+    sources = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 3 < 2, F.col("source")).alias("key"))
+    expected = b.where("item_id % 5 > 0").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("key"))
+    out = evaluation.compare(_questions(spark, d), _chunks(spark, d), lists.where("list_idx = 0").drop("list_idx"), lists.where("list_idx > 0"), sources, expected)
+    return out.select("mode", "query_id", "hit_at_5", "hit_at_10", F.round("mrr_at_10", 6).alias("mrr_at_10"))
+
+
+def user_messages(spark, d):
+    """Messages to a model, with passages that stand for pages, workflows and images."""
+    r = retrieval.bm25(_questions(spark, d), _chunks(spark, d), k=fx.TOP_K).join(_t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source", "n_chars"), "chunk_id")
+    k = F.col("chunk_id") % 3
+    kind = F.when(k == 0, "pdf").when(k == 1, "workflow").otherwise("image")
+    head = models.passage_header(F.col("rank"), F.col("source"), kind, F.concat("source", F.lit(".pdf")), F.when(F.col("chunk_id") % 2 == 0, F.col("chunk_id")), F.when(F.col("chunk_id") % 2 == 0, F.col("chunk_id") + F.col("n_chars") % 2), F.concat(F.lit("W"), F.col("chunk_id").cast("string")))
+    g = r.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", head.alias("header"), "text"))).alias("p"))
+    q = _questions(spark, d).join(g, "query_id", "left")
+    return q.select("query_id", F.md5(F.encode(models.user_message(F.col("text"), F.col("p")), "UTF-8")).alias("digest"))
+
+
+def injection_spans(spark, d):
+    return _asked(spark, d).select("conv_id", "turn", F.coalesce(tx.injection_span(F.col("text")), F.lit("")).alias("span"))
+
+
+def truncated_chunks(spark, d):
+    return _t(spark, d, "documents").groupBy("source").agg(F.count_if(models.over_limit(F.col("text"), 512)).alias("n_over"), F.count("*").alias("n"))
+
+
+def served_requests(spark, d):
+    """Messages of users as requests of their conversation, five seconds a turn, two allowed in 25 seconds."""
+    c = _t(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("client"), (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), (F.col("turn") * 5).cast("double").alias("t"))
+    return limiter.admissions(c, limit=2, window_s=25).select("query_id", "client", "admitted")
+
+
+QUERIES = {f.__name__: f for f in (image_chunks, vision_coverage, structured_chunks, eval_modes, user_messages, injection_spans, truncated_chunks, served_requests, json_props, rewrites_parse, source_keys, page_labels, answer_outcomes, multi_query, chat_conversations, chat_messages, key_rotation, chunk_windows, page_join_ranges, workflow_render, chunk_summary, short_documents, ocr_preference, token_stats, bm25_topk, vector_topk, vector_topk_filtered, rrf_fusion, hybrid_provenance, rerank_gate, retrieval_metrics, eval_summary, refusal_flags, query_validation, injection_flags, pii_scrub, intent_attributes, scheme_match, missing_info, exact_dup_groups, watermark_filter, upsert_latest, id_collisions, resume_pending, user_history, titles, prompt_assembly, rate_limit, table_render, bbox_exclusion)}

@@ -23,6 +23,12 @@ def injection_name(text: Column) -> Column:
     return F.coalesce(*(F.when(text.rlike(f"(?i){p}"), F.lit(name)) for name, p in fx.INJECTION))
 
 
+def injection_span(text: Column) -> Column:
+    """What the first injection pattern matches, with up to 20 characters on either side, cut at 200; null if none matches."""
+    cases = (F.when(text.rlike(f"(?i){p}"), F.substring(F.regexp_extract(text, rf"(?i)[\s\S]{{0,20}}(?:{p})[\s\S]{{0,20}}", 0), 1, 200)) for _, p in fx.INJECTION)
+    return F.coalesce(*cases)
+
+
 def validation_reason(query: Column) -> Column:
     """valid, or the first rule that the query breaks."""
     q = strip(query)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
+from ..functions.text import strip
 
 
 def stem(filename: Column) -> Column:
@@ -84,8 +85,10 @@ def chunk_summary(chunks: DataFrame, by: str = "scheme") -> DataFrame:
     return chunks.groupBy(by).agg(F.count("*").alias("n_chunks"), F.round(F.avg(n), 1).alias("avg_length"), F.min(n).alias("min_length"), F.max(n).alias("max_length"), F.count_if(n < fx.CHUNK_SIZE // 2).alias("suspicious"))
 
 
-def image_chunk_id(scheme: Column, filename: Column, page: Column, xref: Column, content_hash: Column) -> Column:
-    return F.concat_ws("_", scheme, F.regexp_replace(stem(filename), "[^A-Za-z0-9._-]+", "_"), F.lit("img"), F.format_string("p%04d", page), F.concat(F.lit("x"), xref.cast("string")), F.concat(F.lit("h"), F.substring(content_hash, 1, 8)))
+def image_chunk_id(scheme: Column, subfolder: Column, filename: Column, page: Column, xref: Column, content_hash: Column) -> Column:
+    """Runs of characters other than letters, digits, dot, underscore and hyphen become one underscore, anywhere in the id."""
+    place = F.concat(F.format_string("img_p%04d", page), F.lit("_x"), xref.cast("string"), F.lit("_h"), F.substring(content_hash, 1, 8))
+    return F.regexp_replace(F.concat_ws("_", scheme, F.nullif(subfolder, F.lit("")), stem(filename), place), "[^A-Za-z0-9._-]+", "_")
 
 
 def image_text(classification: Column, fields: list[tuple[str, Column]]) -> Column:
@@ -106,3 +109,35 @@ def running_offsets(pages: DataFrame) -> DataFrame:
     marker = F.length(F.concat(F.lit("\n\n[PAGE "), F.col("page").cast("string"), F.lit("]\n\n")))
     before = F.coalesce(F.sum(marker + F.length("text")).over(Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return pages.select("doc", "page", (before + marker).cast("long").alias("at"))
+
+
+def structured_chunks(blocks: DataFrame, tables: DataFrame, raw_pages: DataFrame | None = None, unopened: DataFrame | None = None) -> DataFrame:
+    """doc, kind, idx, page_start, page_end, chunk from layout: each table whole (kind tbl), the other text in windows (kind c).
+
+    blocks: (doc, page, pos, x0, x1, y0, y1, text, block_type), of which type 0 or null is text; tables: (doc, page, pos, x0, x1, y0, y1, rows).
+    A table without rows, or with null for rows that couldn't be read, counts as none, and its text stays with the page. Where layout failed,
+    raw_pages (doc, page, text) has the page's text, and unopened (doc, page, text) all pages of a document; those are cut without layout.
+    A page without text besides tables has no marker.
+    """
+    read = tables.where(F.size("rows") > 0)
+    numbered = read.withColumn("idx", F.row_number().over(Window.partitionBy("doc").orderBy("page", "pos")) - 1)
+    whole = numbered.select("doc", F.lit("tbl").alias("kind"), "idx", F.col("page").alias("page_start"), F.col("page").alias("page_end"), pipe_table(F.col("rows")).alias("chunk"))
+    text = outside_tables(blocks.where((F.coalesce("block_type", F.lit(0)) == 0) & (strip(F.col("text")) != "")), read)
+    lines = text.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("b"))
+    pages = lines.select("doc", "page", strip(F.array_join(F.transform("b", lambda x: x["text"]), "\n")).alias("text"))
+    if raw_pages is not None:
+        pages = pages.unionByName(raw_pages.select("doc", "page", strip(F.col("text")).alias("text")))
+    pages = pages.where("text <> ''")
+    if unopened is not None:
+        has_text = unopened.groupBy("doc").agg(F.sum(F.length("text")).alias("n")).where("n > 0").select("doc")
+        pages = pages.unionByName(unopened.join(has_text, "doc", "left_semi").select("doc", "page", "text"))
+    return whole.unionByName(page_chunks(pages).select("doc", F.lit("c").alias("kind"), "idx", "page_start", "page_end", "chunk"))
+
+
+def structure_summary(chunks: DataFrame, unopened: DataFrame | None = None) -> DataFrame:
+    """doc, tables_detected, text_windows, fallback (open_failed or null) of structured_chunks."""
+    n = chunks.groupBy("doc").agg(F.count_if(F.col("kind") == "tbl").alias("tables_detected"), F.count_if(F.col("kind") == "c").alias("text_windows"))
+    if unopened is None:
+        return n.withColumn("fallback", F.lit(None).cast("string"))
+    lost = unopened.select("doc").distinct().withColumn("fallback", F.lit("open_failed"))
+    return n.join(lost, "doc", "full").na.fill(0, ["tables_detected", "text_windows"])

@@ -159,3 +159,63 @@ SELECT query_id, CASE WHEN v <> 'valid' THEN 'invalid' WHEN n IS NULL THEN 'no_r
   CASE WHEN v <> 'valid' THEN v WHEN top < -2 THEN printf('top score %.3f is below -2.000', top) ELSE '' END AS reason, round(top, 6) AS top_score, coalesce(n, 0)::INT AS n_passages, CASE WHEN top >= -2 THEN md5(regexp_replace(a, '{fx.EMAIL}', '[REDACTED_EMAIL]', 'g')) END AS answer_digest
 FROM qs LEFT JOIN g USING (query_id)""",
 }
+
+_IMAGES = """h AS (SELECT left(sha256(coalesce(text, '')), 16) AS h, source, CASE WHEN doc_id % 2 = 0 THEN lang END AS sub, 'file ' || (doc_id % 50) || '(1).v2' AS stem, doc_id % 30 + 1 AS page, doc_id FROM documents),
+m AS (SELECT h, min(doc_id) AS seq, CASE min(doc_id) % 7 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'CHART' WHEN 2 THEN 'INFOGRAPHIC' WHEN 3 THEN 'OTHER' WHEN 4 THEN 'CHART' END AS class FROM h GROUP BY h)"""
+_NL = "chr(10)"
+
+
+def _lines(*parts: str) -> str:
+    return f" || {_NL} || ".join(parts)
+
+
+_RSTRIP = r"regexp_replace({0}, '[\s\x0B\x1C-\x1F\x85\xA0]+$', '')"
+_TAB = "turn % 4 = 1 AND turn % 8 <> 5"
+_HEAD = """'[Chunk ' || rank || ']  scheme=' || source || CASE doc_id % 3 WHEN 0 THEN '  source_filename=' || source || '.pdf' || CASE WHEN doc_id % 2 = 0 THEN '  page_start=' || doc_id || CASE WHEN n_chars % 2 = 1 THEN '  page_end=' || (doc_id + 1) ELSE '' END ELSE '' END
+  WHEN 1 THEN '  workflow_id=W' || doc_id ELSE '' END"""
+
+
+def _admitted(events: str, limit: int, window: str) -> str:
+    """r: every request of ``events`` (client, query_id, t) with its client's log of admitted times, folded one request at a time."""
+    return f"""e AS (SELECT client, query_id, t, row_number() OVER (PARTITION BY client ORDER BY t, query_id) AS k FROM ({events})),
+r AS (SELECT client, query_id, k, [t] AS log, true AS admitted FROM e WHERE k = 1 UNION ALL
+  SELECT client, query_id, k, CASE WHEN len(f) < {limit} THEN list_append(f, t) ELSE f END, len(f) < {limit} FROM (SELECT e.client, e.query_id, e.k, e.t, list_filter(r.log, lambda x: x >= e.t - {window}) AS f FROM r JOIN e ON e.client = r.client AND e.k = r.k + 1))"""
+
+
+SQL |= {
+    "image_chunks": f"""WITH {_IMAGES} SELECT regexp_replace(concat_ws('_', source, sub, stem, printf('img_p%04d', page) || '_x' || doc_id || '_h' || left(h, 8)), '[^A-Za-z0-9._-]+', '_', 'g') AS chunk_id,
+md5(CASE WHEN seq % 7 = 4 THEN {_lines("'[IMAGE]'", "'classification: vision_failed'", q("description: " + fx.IMAGE_LOST), "'source: ' || stem || '.pdf page ' || page", "'content_hash: ' || h", "'[/IMAGE]'")}
+  ELSE {_lines("'[IMAGE]'", "'classification: ' || class", "'description: image ' || seq", "'key_information:'", "'  - a'", "'  - b' || (seq % 10)", "'dates:'", "'[/IMAGE]'")} END) AS digest,
+page AS page_start, class AS vision_content_type, seq % 7 = 4 AS vision_failed FROM h JOIN m USING (h) WHERE seq % 7 IN (0, 1, 2, 4)""",
+    "vision_coverage": f"WITH {_IMAGES} SELECT CASE WHEN seq % 7 = 4 THEN 'vision_failed' ELSE coalesce(class, 'cache_miss') END AS class, count(*) AS n FROM m GROUP BY 1",
+    "structured_chunks": rf"""WITH c AS (SELECT conv_id AS doc, turn, turn // 3 + 1 AS page, role, text, {_STRIP.format("text")} AS s FROM conversations),
+own AS (SELECT doc, page, {_STRIP.format("string_agg(text, chr(10) ORDER BY turn)")} AS text FROM c WHERE doc % 11 <> 10 AND doc % 9 <> 0 AND turn % 7 <> 6 AND NOT ({_TAB}) AND s <> '' GROUP BY doc, page),
+pg AS (SELECT * FROM own WHERE text <> '' UNION ALL SELECT doc, turn, s FROM c WHERE doc % 11 <> 10 AND doc % 9 = 0 AND s <> '' UNION ALL SELECT doc, turn, coalesce(text, '') FROM c WHERE doc % 11 = 10 AND doc IN (SELECT doc FROM c GROUP BY doc HAVING sum(length(text)) > 0)),
+p AS (SELECT *, chr(10) || chr(10) || '[PAGE ' || page || ']' || chr(10) || chr(10) AS m FROM pg),
+o AS (SELECT doc, page, coalesce(sum(length(m) + length(text)) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(m) AS pos FROM p),
+b AS (SELECT doc, string_agg(m || text, '' ORDER BY page) AS text, min(page) AS first FROM p GROUP BY doc), w AS ({_WIN.format("b")})
+SELECT w.doc, 'c' AS kind, idx, coalesce(max(page) FILTER (pos <= idx * 680), any_value(first))::INT AS page_start, coalesce(max(page) FILTER (pos < least(idx * 680 + 800, length(text))), any_value(first))::INT AS page_end, md5(substring(any_value(text), idx * 680 + 1, 800)) AS digest
+FROM w JOIN o ON w.doc = o.doc GROUP BY w.doc, idx
+UNION ALL SELECT doc, 'tbl', (row_number() OVER (PARTITION BY doc ORDER BY page, turn) - 1)::INT, page::INT, page::INT,
+  md5({_lines("'[TABLE]'", "'| ' || role || ' | ' || " + _STRIP.format("replace(text, chr(10), ' ')") + " || ' |'", "'| --- | --- |'", "'| ' || turn || ' |  |'", "'[/TABLE]'")}) FROM c WHERE doc % 11 <> 10 AND doc % 9 <> 0 AND {_TAB}""",
+    "eval_modes": f"""WITH vl AS (SELECT item_id AS query_id, j AS list_idx, b.vec_id AS chunk_id, row_number() OVER (PARTITION BY item_id, j ORDER BY round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS rank
+  FROM benchmark, range(4) AS n(j), embeddings a, embeddings b WHERE a.vec_id = item_id + 10 * j QUALIFY rank <= 20), v AS (SELECT * FROM vl WHERE list_idx = 0),
+{_BM25.replace("__K__", "20")}, qs AS (SELECT item_id AS query_id, list_distinct({_TOKENS}) AS t FROM benchmark),
+f0 AS (SELECT query_id, chunk_id, coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + bm.rank), 0) AS s FROM v FULL JOIN bm USING (query_id, chunk_id)),
+hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, chunk_id) AS rank FROM f0 QUALIFY rank <= 20),
+pools AS (SELECT 'reranked' AS mode, query_id, chunk_id, rank FROM v UNION ALL SELECT 'full', query_id, chunk_id, rank FROM hy),
+again AS (SELECT mode, query_id, chunk_id, row_number() OVER (PARTITION BY mode, query_id ORDER BY round(8.0::DOUBLE * len(list_intersect(t, w)) / greatest(len(t), 1) - 4, 9) DESC, rank) AS r FROM pools JOIN qs USING (query_id) JOIN d USING (chunk_id) QUALIFY r <= 5),
+qt AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM vl GROUP BY ALL),
+m AS (SELECT 'baseline' AS mode, query_id, chunk_id, rank FROM v UNION ALL SELECT mode, query_id, chunk_id, r FROM again UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM hy WHERE rank <= 5
+  UNION ALL (SELECT 'query_transform', query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, chunk_id) AS rank FROM qt QUALIFY rank <= 5)),
+k AS (SELECT mode, query_id, source, row_number() OVER (PARTITION BY mode, query_id ORDER BY rank) AS r FROM m JOIN documents ON doc_id = chunk_id WHERE doc_id % 3 < 2 AND source IS NOT NULL),
+f AS (SELECT mode, query_id, min(r) AS f FROM k WHERE query_id % 5 > 0 AND source = 'src' || (query_id % 20) GROUP BY ALL)
+SELECT mode, query_id, coalesce((f <= 5)::INT, 0) AS hit_at_5, coalesce((f <= 10)::INT, 0) AS hit_at_10, round(CASE WHEN f <= 10 THEN 1.0::DOUBLE / f ELSE 0 END, 6) AS mrr_at_10
+FROM (SELECT item_id AS query_id, unnest(['baseline', 'reranked', 'hybrid', 'query_transform', 'full']) AS mode FROM benchmark) LEFT JOIN f USING (mode, query_id)""",
+    "user_messages": f"""WITH {_BM25.replace("__K__", "5")}, p AS (SELECT query_id, string_agg({_HEAD} || chr(10) || x.text || chr(10), chr(10) ORDER BY rank) AS t FROM bm JOIN documents x ON doc_id = chunk_id GROUP BY query_id)
+SELECT item_id AS query_id, md5('RETRIEVED PASSAGES:' || chr(10) || chr(10) || coalesce({_RSTRIP.format("t")}, '(no passages retrieved)') || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'QUESTION: ' || text || chr(10)) AS digest FROM benchmark LEFT JOIN p ON item_id = query_id""",
+    "injection_spans": f"WITH {_ASKED} SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(text, {q('(?i)' + p)}) THEN left(regexp_extract(text, {q(f'(?i)[{chr(92)}s{chr(92)}S]{{0,20}}(?:{p})[{chr(92)}s{chr(92)}S]{{0,20}}')}), 200)" for _, p in fx.INJECTION) + " ELSE '' END AS span FROM asked",
+    "truncated_chunks": rf"SELECT source, count(*) FILTER (len(list_filter(regexp_split_to_array(text, '[\s]+'), lambda x: x <> '')) > 512) AS n_over, count(*) AS n FROM documents GROUP BY source",
+    "served_requests": "WITH RECURSIVE " + _admitted("SELECT conv_id AS client, conv_id * 1000 + turn AS query_id, turn * 5.0::DOUBLE AS t FROM conversations WHERE role = 'user'", 2, "25") + " SELECT query_id, client, admitted FROM r",
+    "rate_limit": "WITH RECURSIVE " + _admitted("SELECT user_id AS client, event_id AS query_id, epoch_us(ts) / 1e6 AS t FROM events WHERE user_id IS NOT NULL", 3, "43200") + " SELECT client, count(*) AS n_requests, count(*) FILTER (admitted) AS n_admitted FROM r GROUP BY client",
+}

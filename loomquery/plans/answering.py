@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as fx
 from ..functions import text as tx
 from ..operators import retrieval, rules
+from ..streaming import limiter
 
 PREVIEW_CHARS = 800
 
@@ -84,6 +85,18 @@ def respond(queries: DataFrame, chunks: DataFrame, rule_table: DataFrame, scheme
     return answers.join(discover(valid, rule_table, schemes, required), "query_id", "left")
 
 
+def serve(requests: DataFrame, chunks: DataFrame, rule_table: DataFrame, schemes: DataFrame, required: DataFrame, semantic: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+    """respond for a log (query_id, client, t, text) of requests. Those over their client's limit get the outcome rate_limited and nothing else; a request without a client or time isn't limited."""
+    refused = limiter.admissions(requests).where("not admitted").select("query_id")
+    answered = respond(requests.join(refused, "query_id", "left_anti").select("query_id", "text"), chunks, rule_table, schemes, required, semantic, settings)
+    return answered.unionByName(refused.withColumn("outcome", F.lit("rate_limited")), allowMissingColumns=True)
+
+
+def health(chunks: DataFrame) -> DataFrame:
+    """One row: the size of the collection, and ok if there is any."""
+    return chunks.agg(F.count("*").alias("n_chunks")).withColumn("status", F.when(F.col("n_chunks") > 0, "ok").otherwise("empty"))
+
+
 def multi_query(rewrites: DataFrame, chunks: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """query_id, chunk_id, rrf_score, first_list, rank over (query_id, list_idx, text): the question and its rewrites, each searched, all lists fused."""
     numbered = rewrites.withColumn("pair", F.struct("query_id", "list_idx"))

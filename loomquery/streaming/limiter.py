@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,17 +12,36 @@ from pyspark.sql import functions as F
 from ..functions import fixed as fx
 
 
-def limited(requests: DataFrame, limit: int = fx.RATE_LIMIT, window_s: int = fx.RATE_WINDOW_S) -> DataFrame:
-    """client, n_requests, n_admitted for a batch of (client, t in seconds): a fold over each client's requests in order of time."""
-    start = F.struct(F.array().cast("array<double>").alias("log"), F.lit(0).cast("long").alias("n"))
+def admissions(requests: DataFrame, limit: int = fx.RATE_LIMIT, window_s: int = fx.RATE_WINDOW_S) -> DataFrame:
+    """query_id, client, t, admitted for a batch of (query_id, client, t in seconds); equal times go by query_id.
+
+    Requests stream through a task in order of client and time, sorted by Spark, so memory holds one log of admitted times, however many a client sends.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        log, current = deque(), object()
+        for frame in frames:
+            flags = []
+            for client, t in zip(frame["client"], frame["t"], strict=True):
+                if client != current:
+                    log, current = deque(), client
+                while log and log[0] < t - window_s:
+                    log.popleft()
+                flags.append(len(log) < limit)
+                if flags[-1]:
+                    log.append(t)
+            yield frame.assign(admitted=flags)
 
-    def step(s, t):
-        log = F.filter(s["log"], lambda x: x >= t - window_s)
-        ok = F.size(log) < limit
-        return F.struct(F.when(ok, F.concat(log, F.array(t))).otherwise(log).alias("log"), (s["n"] + ok.cast("long")).alias("n"))
+    known = requests.where("client is not null and t is not null").select("query_id", "client", F.col("t").cast("double").alias("t"))
+    ordered = known.repartition("client").sortWithinPartitions("client", "t", "query_id")
+    types = {f.name: f.dataType.simpleString() for f in ordered.schema}
+    return ordered.mapInPandas(run, f"query_id {types['query_id']}, client {types['client']}, t double, admitted boolean")
 
-    g = requests.groupBy("client").agg(F.array_sort(F.collect_list(F.col("t").cast("double"))).alias("ts"))
-    return g.select("client", F.size("ts").cast("long").alias("n_requests"), F.aggregate("ts", start, step)["n"].alias("n_admitted"))
+
+def limited(requests: DataFrame, limit: int = fx.RATE_LIMIT, window_s: int = fx.RATE_WINDOW_S) -> DataFrame:
+    """client, n_requests, n_admitted for a batch of (client, t in seconds)."""
+    flags = admissions(requests.select(F.lit(0).alias("query_id"), "client", "t"), limit, window_s)
+    return flags.groupBy("client").agg(F.count("*").alias("n_requests"), F.count_if("admitted").alias("n_admitted"))
 
 
 def limited_stream(requests: DataFrame, limit: int = fx.RATE_LIMIT, window_s: int = fx.RATE_WINDOW_S) -> DataFrame:
