@@ -24,13 +24,13 @@ def corpus_terms(chunks: DataFrame) -> DataFrame:
     return words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
-def term_weights(postings: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, idf) with the floor for common terms, and one row of n and avgdl."""
+def term_weights(postings: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """(term, idf) with the floor for common terms, one row of n and avgdl, and the floor."""
     facts = chunks.select(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
     n = chunks.count()
     raw = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg(F.avg("raw") * fx.BM25_EPSILON).first()[0] or 0.0
-    return raw.select("term", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf")), facts
+    return raw.select("term", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf")), facts, floor
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = fx.POOL) -> DataFrame:
@@ -39,15 +39,21 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = fx.POOL) -> DataFrame:
     Postings meet query terms in an equi-join; chunks without a query term score 0 and fill up in order of id where fewer than k scored.
     """
     postings = corpus_terms(chunks)
-    idf, facts = term_weights(postings, chunks)
+    idf, facts, floor = term_weights(postings, chunks)
     avgdl = facts.first()["avgdl"] or 1.0
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (fx.BM25_K1 + 1) / (F.col("tf") + fx.BM25_K1 * (1 - fx.BM25_B + fx.BM25_B * F.col("dl") / avgdl))
     scored = postings.join(asked, "term").join(idf, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-    short = asked.select("query_id").distinct().join(scored.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id")
-    # At most 2k chunks: among them are k that a query with fewer than k hits hasn't hit.
-    first = chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k).agg(F.array_sort(F.collect_list("chunk_id")).alias("ids")).first()["ids"]
-    fill = short.select("query_id", F.explode(F.array(*map(F.lit, first))).alias("chunk_id")).join(scored, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    # Where common words weigh less than nothing, all hits may rank after chunks without a hit: those queries are held against every chunk.
+    hits = scored.where("score > 0") if floor < 0 else scored
+    short = asked.select("query_id").distinct().join(hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id")
+    if floor < 0:
+        pairs = chunks.select("chunk_id").join(short)
+    else:
+        # At most 2k chunks: among them are k that a query with fewer than k hits hasn't hit.
+        first = chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k).agg(F.array_sort(F.collect_list("chunk_id")).alias("ids")).first()["ids"]
+        pairs = short.select("query_id", F.explode(F.array(*map(F.lit, first))).alias("chunk_id"))
+    fill = pairs.join(scored, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.lit(0.0).alias("score"))
     return top(scored.unionByName(fill), "query_id", k, F.round("score", 9).desc(), F.col("chunk_id"))
 
 

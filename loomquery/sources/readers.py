@@ -39,14 +39,14 @@ def load_pages(spark: SparkSession, root: str, extract) -> DataFrame:
 
 def load_workflows(spark: SparkSession, root: str) -> DataFrame:
     """path, pos, fields (map): rows of CSV files other than *_index.csv. BOM, blanks around names and values go; nulls are ""; surplus fields are joined under ""."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.csv").text(root).select(F.col("_metadata.file_path").alias("path"), "value").where(~F.col("path").endswith("_index.csv"))
+    files = spark.read.option("pathGlobFilter", "*.csv").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").where(~F.col("path").endswith("_index.csv"))
 
     def run(frames):
         for frame in frames:
             rows = []
             for path, value in zip(frame["path"], frame["value"], strict=True):
                 for i, row in enumerate(csv.DictReader(io.StringIO(value.removeprefix("﻿")))):
-                    rows.append((path, i, {(k or "").strip(): ", ".join(v).strip() if isinstance(v, list) else (v or "").strip() for k, v in row.items()}))
+                    rows.append((path, i, {(k or "").strip(): ", ".join(x.strip() for x in v) if isinstance(v, list) else (v or "").strip() for k, v in row.items()}))
             yield pd.DataFrame(rows, columns=["path", "pos", "fields"])
 
     return files.mapInPandas(run, "path string, pos int, fields map<string,string>")

@@ -1,12 +1,14 @@
 """Composite requests and the conversation log, against small cases worked out by hand."""
 
 import datetime as dt
+import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomquery.functions import fixed as fx
-from loomquery.operators import chat
-from loomquery.plans import answering
+from loomquery.operators import chat, retrieval
+from loomquery.plans import answering, evaluation, models
 
 
 def test_outcomes(spark):
@@ -77,3 +79,78 @@ def test_isolation_of_owners(spark):
 def test_user_ids(spark):
     df = spark.createDataFrame([("a" * 32,), ("A" * 32,), ("a" * 31,), (None,)], "u string")
     assert [r.ok for r in df.select(chat.valid_user_id(F.col("u")).alias("ok")).collect()] == [True, False, False, False]
+
+
+RULES = [("S", "applicability", 0, "has_land", ["true", "unknown"]), ("S", "boost", 0, "crop_group", ["wheat"])]
+
+
+def rule_tables(spark):
+    return (
+        spark.createDataFrame(RULES, "code string, kind string, rule_idx int, attribute string, values array<string>"), spark.createDataFrame([("S", False)], "code string, always_include boolean"),
+        spark.createDataFrame([("S", 0, "gender", "share")], "code string, idx int, attribute string, why string"),
+    )
+
+
+def test_served_requests(spark):
+    chunks = spark.createDataFrame([(1, "wheat insurance covers hail"), (2, "rice loans"), (3, "tea")], "chunk_id long, text string")
+    log = [(1, "x", 0.0, "which schemes for wheat"), (2, "x", 1.0, None), (3, "y", 0.0, "hail")] + [(10 + i, "z", float(i), "rice") for i in range(fx.RATE_LIMIT + 2)]
+    requests = spark.createDataFrame(log, "query_id long, client string, t double, text string")
+    got = {r.query_id: r for r in answering.serve(requests, chunks, *rule_tables(spark)).collect()}
+    assert len(got) == len(log) and {k for k, r in got.items() if r.outcome == "rate_limited"} == {10 + fx.RATE_LIMIT, 11 + fx.RATE_LIMIT}
+    assert [(m.code, m.boost_hits) for m in got[1].matches] == [("S", 1)] and [(m.attribute, m.why) for m in got[1].missing] == [("gender", "share")]
+    assert (got[2].outcome, got[2].matches) == ("invalid", None) and (got[3].outcome, got[3].matches) == ("answered", None)
+    assert answering.health(chunks).first().asDict() == {"n_chunks": 3, "status": "ok"} and answering.health(chunks.where("false")).first().status == "empty"
+
+
+def test_calls_of_a_model(spark):
+    def connect():
+        refusals = {"twice": 2, "always": 99}
+
+        def complete(prompt):
+            if refusals.get(prompt, 0) > 0:
+                refusals[prompt] -= 1
+                raise models.RateLimited("429")
+            if prompt == "bad":
+                raise KeyError("k")
+            return {"content": " " if prompt == "long" else prompt.upper(), "finish_reason": "length" if prompt == "long" else "stop", "prompt_tokens": len(prompt), "completion_tokens": 2}
+
+        return complete
+
+    asked = ["ok", "twice", "always", "bad", "long", None]
+    out = models.call_model(spark.createDataFrame(list(enumerate(asked)), "query_id int, prompt string"), connect, models.Policy(retries=2, base_s=0.0))
+    got = {asked[r.query_id]: (r.reply, r.error, r.retries) for r in out.collect()}
+    assert got == {"ok": ("OK", None, 0), "twice": ("TWICE", None, 2), "always": (None, "refused after 2 retries: 429", 2), "bad": (None, "KeyError: 'k'", 0), "long": (fx.NO_ANSWER, None, 0), None: (None, "no prompt", 0)}
+    total = models.usage(out).first()
+    assert (total.n_calls, total.n_failed, total.prompt_tokens, total.completion_tokens, total.retries) == (6, 3, 11, 6, 4)
+
+
+def test_messages_without_passages(spark):
+    df = spark.sql("SELECT 'q' AS q, CAST(array() AS array<struct<header: string, text: string>>) AS p")
+    assert df.select(models.user_message(F.col("q"), F.col("p"))).first()[0] == "RETRIEVED PASSAGES:\n\n(no passages retrieved)\n\n---\n\nQUESTION: q\n"
+
+
+def test_modes_and_resume(spark):
+    questions = spark.createDataFrame([(1, "rice")], "query_id long, text string")
+    chunks = spark.createDataFrame([(1, "tea"), (2, "rice"), (3, "jute")], "chunk_id long, text string")
+    semantic = spark.createDataFrame([(1, 3, 0.9, 1), (1, 1, 0.8, 2), (1, 2, 0.7, 3)], "query_id long, chunk_id long, score double, rank int")
+    rewrites = spark.createDataFrame([(1, 1, 1, 1), (1, 2, 1, 1)], "query_id long, list_idx int, chunk_id long, rank int")
+    first = {m: evaluation.retrieve(m, questions, chunks, semantic, rewrites).where("rank = 1").first().chunk_id for m in evaluation.MODES}
+    assert first == {"baseline": 3, "reranked": 2, "hybrid": 2, "query_transform": 1, "full": 2}
+    with pytest.raises(ValueError):
+        evaluation.retrieve("other", questions, chunks, semantic)
+    sources = spark.createDataFrame([(3, None), (1, "k"), (2, "l")], "chunk_id long, key string")
+    hit = evaluation.scored(semantic, sources, spark.createDataFrame([(1, "k")], "query_id long, key string"), questions).first()
+    assert (hit.hit_at_5, hit.mrr_at_10) == (1, 1.0)
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "query_id long")
+    pending, lost = evaluation.resume(ids(1, 2, 3), ids(1), ids(1, 2))
+    assert ([r[0] for r in pending.orderBy("query_id").collect()], [r[0] for r in lost.collect()]) == ([2, 3], [2])
+
+
+def test_common_words_rank_below_none(spark):
+    chunks = spark.createDataFrame([(i, "a a" if i < 6 else "b") for i in range(8)], "chunk_id long, text string")
+    got = retrieval.bm25(spark.createDataFrame([(1, "a")], "query_id long, text string"), chunks, 3).orderBy("rank").collect()
+    idf = {"a": math.log(2.5) - math.log(6.5), "b": math.log(6.5) - math.log(2.5)}
+    assert sum(idf.values()) < 1e-12 and [r.chunk_id for r in got] == [0, 1, 2]
+    few = spark.createDataFrame([(i, "a c" if i < 6 else "c") for i in range(8)], "chunk_id long, text string")
+    got = retrieval.bm25(spark.createDataFrame([(1, "a")], "query_id long, text string"), few, 3).orderBy("rank").collect()
+    assert [(r.chunk_id, r.score < 0) for r in got] == [(6, False), (7, False), (0, True)]
