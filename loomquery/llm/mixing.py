@@ -29,6 +29,7 @@ MAX_REPEATS = 3
 BUCKET_ROWS = 4_000
 RANGES = 4_096
 SEED = 20_240_501
+HASH_BITS = 56
 
 
 def size_in_words(text: Column) -> Column:
@@ -70,15 +71,21 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
 
 
+def shuffle_hash() -> Column:
+    """HASH_BITS bits of an MD5 of the id, or of the row's key where there is none; SQL can say it too."""
+    return F.conv(F.substring(F.md5(F.encode(F.concat(F.lit(f"{SEED}-"), F.coalesce("doc_id", "rk").cast("string")), "UTF-8")), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def decide(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float = 1.0, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """doc_id, source, rk, n_rows, size, source_size, target, copies: one row for each distinct row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_in_words(F.col("text").cast("string")).alias("size"), row_key(docs).alias("rk"))
-    rows = materialize(rows.groupBy("doc_id", "source", "rk", "size").agg(F.count("*").alias("n_rows")).withColumn("h", F.xxhash64(F.lit(SEED), "rk")), "mix_rows")
+    rows = materialize(rows.groupBy("doc_id", "source", "rk", "size").agg(F.count("*").alias("n_rows")).withColumn("h", shuffle_hash()), "mix_rows")
     sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size"))
     targets = materialize(source_targets(sizes, weights, budget_share, max_repeats), "mix_targets")
     n = rows.count()
     buckets = max(1, -(-n // BUCKET_ROWS))
-    rows = rows.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
+    # Buckets are ranges of the hash, so the order doesn't depend on how many there are.
+    rows = rows.withColumn("bucket", F.shiftright(F.shiftright("h", 28) * F.lit(buckets), HASH_BITS - 28))
     per = rows.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("n_rows")).alias("words"))
     per = per.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")).alias("p")
     r, t = rows.alias("r"), targets.alias("t")
@@ -149,4 +156,16 @@ def op1_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_fair_mix": op1_fair_mix}
-ORACLES: dict[str, str] = {}
+
+_MIX_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}'))::BIGINT AS size, ('0x' || left(md5('{SEED}-' || doc_id), {HASH_BITS // 4}))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+c AS (SELECT *, {list(map(float, WEIGHTS))}[(rank - 1) % {len(WEIGHTS)} + 1]::DOUBLE AS w, source_size::DOUBLE * {MAX_REPEATS} AS cap, sum(source_size) OVER ()::DOUBLE AS budget FROM s),
+l AS (SELECT *, cap / w < (budget - (sum(cap) OVER o - cap)) / (sum(w) OVER () - sum(w) OVER o + w) AS capped FROM c WINDOW o AS (ORDER BY cap / w, rank)),
+t AS (SELECT *, CASE WHEN capped THEN cap ELSE least(cap, w * (budget - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN capped THEN 0 ELSE w END) OVER ()) END AS target FROM l),
+q AS (SELECT d.*, source_size, rank, target, budget, sum(size) OVER (PARTITION BY rank ORDER BY h) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT *, (copy * source_size + upto)::DOUBLE / target AS finish FROM q, range({MAX_REPEATS}) AS n(copy) WHERE target > 0),
+y AS (SELECT doc_id, sum(size) OVER (ORDER BY finish, rank, copy, h ROWS UNBOUNDED PRECEDING) <= budget AS fits FROM x),
+z AS (SELECT doc_id, count(*) FILTER (fits) AS copies FROM y GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, (size * coalesce(copies, 0))::BIGINT AS taken, source, coalesce(copies, 0)::INT AS copies FROM q LEFT JOIN z USING (doc_id)"""
+ORACLES = {"op1_fair_mix": _MIX_SQL}
