@@ -1,15 +1,21 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each sentence is normalised and looked up among known licence sentences, and the sequence of their identifiers is matched against
-ordered rules: a rule holds if its identifiers occur in its order, whatever known sentences lie between. A rule may supersede others that its text contains.
+Known licence sentences are found in a normalised text, and the sequence of their identifiers is matched against ordered rules: a rule holds if its
+identifiers occur in its order, whatever known sentences lie between. A rule may supersede others that its text contains; a separate text of them stays.
+
+A known sentence begins and ends at a line's edge or a sentence's end and may run over any lines of one paragraph: a line break inside it, with the comment
+marks and list marks around, counts as a blank. A line without a letter or digit is blank and ends a paragraph. Of known sentences from one place the
+longest counts, after those of its lines that are known sentences themselves.
 Everything happens within a row, in built-in expressions: no shuffle, no Python, and one group of copies or one source is no burden.
 
-Defined results: a null text has no sentences and no licences; so has an empty one; a sentence that isn't known is counted only; the order of
+Defined results: a null text has no sentences and no licences; so has an empty one; n_sentences counts what lies
+between sentence ends and line breaks, so a wrapped sentence counts once a line; a sentence that isn't known is counted only; the order of
 equal sentences doesn't matter; repeated rows repeat; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +24,11 @@ from pyspark.sql import functions as F
 from .common import table
 
 SENTENCE_END = r"[.!?]+(?:\s+|$)|\n"
+#: A line break and the next line's comment and list marks.
+LINE_START = r"[\r\n][^\p{L}\p{N}\r\n]*(?:(?:rem|dnl)\b[^\p{L}\p{N}\r\n]*)?(?:(?:[a-z0-9]|[ivx]+)\)[ \t]+)?"
+#: Each known sentence holds one of these; a text without them needs no search.
+HINTS = ("licens", "permission", "redistribution", "warranty", "reserved")
+
 
 # Sentences of public licence texts and notices.
 SENTENCES = {
@@ -77,22 +88,61 @@ def rule_pattern(names: tuple[str, ...]) -> str:
     return r"\|" + r"\|(?:.*\|)?".join(names) + r"\|"
 
 
+def unwrapped(text: Column) -> Column:
+    """Of a lower-case text, the words between single blanks; one line break where the text has one, two at ends of sentences and paragraphs."""
+    lines = F.regexp_replace(F.concat(F.lit("\n"), F.replace(text, F.lit("\r\n"), F.lit("\n"))), LINE_START, "\n")
+    ended = F.regexp_replace(lines, r"[.!?]+(?:\s+|$)", "\n\n")
+    edged = F.regexp_replace(ended, r"[^a-z0-9\n]*\n[^a-z0-9\n]*", "\n")
+    return F.trim(F.regexp_replace(edged, r"[^a-z0-9\n ][^a-z0-9\n]*| [^a-z0-9\n]+", " "))
+
+
+def sentence_pattern() -> str:
+    """Known sentences between line breaks, the longest first."""
+    known = sorted(sentence_table(), key=lambda s: (-len(s), s))
+    return r"(?<![^\n])(?:" + "|".join(s.replace(" ", r"[ \n]") for s in known) + r")(?![^\n])"
+
+
+#: One character for each identifier: runs of others are then character classes, which need no stack.
+CODES = {name: chr(0x100 + i) for i, name in enumerate(SENTENCES)}
+
+
+def compact_pattern(names: tuple[str, ...]) -> str:
+    """Over codes: the identifiers in order, without the first one again or a cut (#) between."""
+    codes = [CODES[n] for n in names]
+    return codes[0] + "".join(f"[^{codes[0]}{c}#]*+{c}" for c in codes[1:])
+
+
+def separate(codes: Column, licence: str, covered: str) -> Column:
+    """Whether a covered licence's text stands outside the texts of the licence that contains it."""
+    inner = next(names for name, names in RULES if name == covered)
+    outer = next(names for name, names in RULES if name == licence and set(inner) <= set(names))
+    rest = F.regexp_replace(codes, compact_pattern(outer), "#")
+    return rest.contains("#") & rest.rlike(compact_pattern(inner))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, sentence_ids (known ones in order, joined by bars), licences (sorted, joined by commas)."""
     known = F.create_map(*(F.lit(x) for pair in sentence_table().items() for x in pair))
-    sentences = F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), SENTENCE_END)
+    lower = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    sentences = F.split(lower, SENTENCE_END)
+    hinted = functools.reduce(Column.__or__, (F.contains(lower, F.lit(h)) for h in HINTS))
+    found = F.when(hinted, F.regexp_extract_all(unwrapped(lower), F.lit(sentence_pattern()), 0)).otherwise(F.array().cast("array<string>"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sentences.alias("s"), found.alias("f"))
+    counted = F.size(F.filter("s", lambda s: s.rlike("[a-z0-9]")))
 
-    def identify(s: Column) -> Column:
-        return F.try_element_at(known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    def identify(m: Column) -> Column:
+        lines = F.filter(F.transform(F.split(m, "\n"), lambda x: F.try_element_at(known, x)), lambda i: i.isNotNull())
+        return F.array_distinct(F.concat(lines, F.array(F.element_at(known, F.translate(m, "\n", " ")))))
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sentences.alias("s"))
-    counted = F.size(F.filter("s", lambda s: s.rlike("[a-z0-9]")))
-    out = out.select("doc_id", counted.cast("long").alias("n_sentences"), F.filter(F.transform("s", identify), lambda i: i.isNotNull()).alias("ids"))
+    out = out.select("doc_id", counted.cast("long").alias("n_sentences"), F.flatten(F.transform("f", identify)).alias("ids"))
     out = out.withColumn("sentence_ids", F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|")))
     held = F.array(*(F.when(F.col("sentence_ids").rlike(rule_pattern(names)), F.lit(licence)) for licence, names in RULES))
     found = F.array_sort(F.array_distinct(F.array_compact(held)))
-    for licence, covered in SUPERSEDES.items():
-        found = F.when(F.array_contains(found, licence), F.array_except(found, F.array(*map(F.lit, covered)))).otherwise(found)
+    code = F.create_map(*(F.lit(x) for pair in CODES.items() for x in pair))
+    codes = F.array_join(F.transform("ids", lambda i: F.element_at(code, i)), "")
+    for licence, covered in ((a, b) for a, bs in SUPERSEDES.items() for b in bs):
+        drop = F.array_contains(found, licence) & F.array_contains(found, covered) & ~separate(codes, licence, covered)
+        found = F.when(drop, F.array_remove(found, covered)).otherwise(found)
     # Few documents hold a known sentence: the rules are tried on those alone.
     return out.select("doc_id", "n_sentences", F.when(F.size("ids") > 0, F.col("sentence_ids")).otherwise("").alias("sentence_ids"), F.when(F.size("ids") > 0, F.array_join(found, ",")).otherwise("").alias("licences"))
 

@@ -165,6 +165,32 @@ def test_licences(spark, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    text = {i: s[0] for i, s in licences.SENTENCES.items()}
+
+    def wrap(*paragraphs, width=72, mark="", gap=True):
+        lines = ("\n\n" if gap else "\n").join(textwrap.fill(p, width) for p in paragraphs).split("\n")
+        return "\n".join(mark + x for x in lines)
+
+    mit = ("MIT License", "Copyright (c) 2020 A. Person", text["mit-grant"], text["mit-notice"], text["mit-warranty"] + " IN NO EVENT SHALL THE AUTHORS BE LIABLE.")
+    bsd2 = (text["bsd-use"], "1. " + text["bsd-source"], "2. " + text["bsd-binary"])
+    apache = (text["apache-head"] + " " + text["apache-copy"], "    http://www.apache.org/licenses/LICENSE-2.0", text["apache-asis"])
+    gpl = (text["gpl-free"], text["gpl-hope"] + " See the GNU General Public License for more details.")
+    cases = [
+        (wrap(*mit), "MIT"), (wrap(*mit, mark=" * "), "MIT"), (wrap(*mit, mark="# ", gap=False), "MIT"), (wrap(*mit, mark="//! ", width=40), "MIT"), (wrap(*mit).replace("\n", "\r\n"), "MIT"),
+        (wrap(*bsd2, mark=" * ", gap=False), "BSD-2-Clause"), (wrap(*bsd2, text["bsd-endorse"], mark="! "), "BSD-3-Clause"), (wrap(*(p.replace("1. ", "(a) ").replace("2. ", "2) ") for p in bsd2), gap=False), "BSD-2-Clause"),
+        (wrap(*apache, mark="# "), "Apache-2.0"), (wrap(*apache, mark="-- ", width=80), "Apache-2.0"), (wrap(*gpl, mark=";; "), "GPL-3.0-or-later"), (wrap(*gpl, mark="dnl "), "GPL-3.0-or-later"),
+        (wrap(text["isc-grant"], mark="% "), "ISC"), ("some words\nReleased under the MIT License.\nmore words", "MIT"), (text["isc-grant"].replace("for any", "for\n\nany"), ""), ("a word\nnot " + wrap(text["isc-grant"]), ""),
+        (wrap(*bsd2) + "\n\n" + wrap(*bsd2, text["bsd-endorse"]), "BSD-2-Clause,BSD-3-Clause"), (wrap(*bsd2, text["bsd-endorse"]) + "\n\n" + wrap(*bsd2, text["bsd-endorse"]), "BSD-3-Clause"),
+        (text["apache-head"].replace(" (the", "\n(the"), "Apache-2.0"), (wrap(*bsd2, text["bsd-endorse"]) + "\n\n" + wrap(*bsd2), "BSD-2-Clause,BSD-3-Clause"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in licences.scan(df).collect()} == {i: want for i, (_, want) in enumerate(cases)}
+    assert all(any(h in s for h in licences.HINTS) for s in licences.sentence_table())
+
+
 def test_bpe_equals_the_library(docs, rows, empty):
     import tiktoken
 
