@@ -187,10 +187,20 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.item = 2 if max(self.tokenizer.get_vocab_size(), END_ID + 1) <= 1 << 16 else 4
         self.memo: dict[bytes, bytes] = {}
+        self.closing: dict[str, bool] = {}
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.item}").tobytes()
 
+    def _closes(self, stem: str) -> bool:
+        """Whether marks after this stem are a piece of their own: the normalised stem, which may end in a combining mark where the stem ends in a letter, has to end in a letter or digit."""
+        if stem.isascii():
+            return stem[-1].isalnum()
+        last = self.tokenizer.normalizer.normalize_str(stem)[-1:]
+        if last not in self.closing:  # asked of the library, whose letters may be of another Unicode version
+            self.closing[last] = last.isalnum() and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(last + ".")) == 2
+        return self.closing[last]
+
     def _learn(self, words: list[bytes]) -> None:
         """A run of marks after a letter or digit is a piece of its own: such a word is its stem and the run."""
         if len(self.memo) > MAX_WORDS:
@@ -199,7 +209,7 @@ class WordTokenizer:
         for w in words:
             text = w.decode()
             stem = text.rstrip(MARKS)
-            if stem and len(stem) < len(text) and (stem[-1].isalpha() or stem[-1] in "0123456789"):
+            if stem and len(stem) < len(text) and self._closes(stem):
                 marked[w] = (stem.encode(), text[len(stem) :].encode())
         new = [w for w in {*(w for w in words if w not in marked), *(p for pair in marked.values() for p in pair)} if w not in self.memo]
         for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
@@ -208,7 +218,9 @@ class WordTokenizer:
             self.memo[w] = self.memo[stem] + self.memo[mark]
 
     def encode_packed(self, text: str) -> bytes:
-        raw = text.encode().lower()
+        raw = text.encode()
+        if b"\xcc" not in raw:  # no U+0300 to U+033F: some compose with a small letter but not with its capital
+            raw = raw.lower()
         if b"<|" in raw:  # may hold a special token's string, whose case counts
             return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         words, memo = raw.split(), self.memo

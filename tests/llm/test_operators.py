@@ -149,6 +149,15 @@ def test_token_files(docs, rows, spark, empty, tmp_path):
     assert tokenfiles.read_digests(tokenfiles.write_token_files(empty, path, f"file://{tmp_path}/c")).count() == 0
 
 
+def test_words_with_marks_equal_the_library():
+    t = tokenfiles.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    chars = [chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalnum()]
+    words = [f"a{c}." for c in chars] + ["BELED\u0130YES\u0130.", "\u09b9\u09df,", "\u09b9\u09af\u09bc,", "J\u030c.", "H\u0331x", "T\u0308!", "W\u030a", "Y\u030a"]
+    want = t.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+    wrong = [w for w, e in zip(words, want, strict=True) if t.encode_packed(w) != t.pack(e.ids)]
+    assert wrong == []
+
+
 def test_perfect_hash_finds_all_and_only_its_keys():
     keys = np.sort(np.random.default_rng(1).choice(10**12, 5000, replace=False))
     h = tokenfiles.key_hashes(keys, np.zeros(len(keys)), 1)
