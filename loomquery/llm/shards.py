@@ -22,10 +22,23 @@ N_SHARDS = 16
 BITS = 4
 
 
-def text_number(text: Column, width: int = 7) -> Column:
-    """The first bytes of a string as a number: the order of strings, as far as that many bytes tell it."""
-    head = F.rpad(F.substring(F.hex(F.encode(text, "UTF-8")), 1, 2 * width), 2 * width, "0")
-    return F.conv(head, 16, 10).cast("long")
+def string_bounds(rows: DataFrame, dims: tuple[str, ...], bins: int) -> dict[str, list[str]]:
+    """For each string column the values at which another 1 / bins of its rows ends: whole strings count, whatever prefix they share.
+
+    Only the table of distinct values is sorted, over all partitions; at most ``bins`` values of a column reach the driver.
+    """
+    spark = rows.sparkSession
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in dims))).alias("v")
+    counts = rows.select(each).select("v.*").where("value is not null").groupBy("dim", "value").agg(F.count("*").alias("rows"))
+    dealt = materialize(counts.repartitionByRange(n_partitions(spark), "dim", "value").withColumn("part", F.spark_partition_id()), "shard_values")
+    parts, dim = dealt.groupBy("dim", "part").agg(F.sum("rows").alias("part_rows")), Window.partitionBy("dim")
+    carried = parts.select("dim", "part", (F.sum("part_rows").over(dim.orderBy("part")) - F.col("part_rows")).alias("before"), F.sum("part_rows").over(dim).alias("n"))
+    within = F.sum("rows").over(Window.partitionBy("dim", "part").orderBy("value"))
+    ends = dealt.withColumn("within", within).join(carried, ["dim", "part"]).withColumn("upto", F.col("before") + F.col("within"))
+    out = {d: [] for d in dims}
+    for r in ends.where(f"upto * {bins} div n > (upto - rows) * {bins} div n").select("dim", "value").collect():
+        out[r.dim].append(r.value)
+    return out
 
 
 def hilbert_index(axes: list[Column], bits: int) -> Column:
@@ -57,7 +70,7 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
     return F.element_at(F.transform(F.array(flipped), weave), 1)
 
 
-def quantise(value: Column, bounds: list[int]) -> Column:
+def quantise(value: Column, bounds: list[int] | list[str]) -> Column:
     """How many of the ascending bounds lie below the value; null goes to bin 0."""
     bins = F.lit(0)
     for b in bounds:
@@ -71,13 +84,13 @@ def curve_order(docs: DataFrame, bits: int = BITS) -> DataFrame:
     text = F.col("text").cast("string")
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0).cast("long")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"),
-        text_number(F.col("lang").cast("string")).alias("lang"), text_number(F.col("source").cast("string")).alias("source"),
+        F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
     )
     narrow = materialize(narrow, "shard_rows")
     dims = ("lang", "source", "size", "doc_id")
     points = F.array(*(F.lit(i / (1 << bits)) for i in range(1, 1 << bits)))
-    # One row with 2^bits - 1 bounds for each dimension, whatever the input's size.
-    bounds = narrow.agg(*(F.percentile_approx(d, points, F.lit(10_000)).alias(d) for d in dims)).first()
+    # At most 2^bits bounds for each dimension, whatever the input's size.
+    bounds = string_bounds(narrow, dims[:2], 1 << bits) | narrow.agg(*(F.percentile_approx(d, points, F.lit(10_000)).alias(d) for d in dims[2:])).first().asDict()
     cells = narrow.withColumn("hilbert", hilbert_index([quantise(F.col(d), sorted(set(bounds[d] or []))) for d in dims], bits))
     keys = ["hilbert", "text_hash", "id_hash", "doc_id"]
     dealt = cells.withColumn("id_hash", F.xxhash64("doc_id")).select("doc_id", "size", "text_crc32", *keys[:3]).repartitionByRange(n_partitions(spark), *keys).sortWithinPartitions(*keys)

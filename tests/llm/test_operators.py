@@ -248,6 +248,14 @@ def test_hilbert_shards(docs, rows, empty, spark):
     assert [r.h for r in walk] == list(range(256)) and all(abs(a.x - b.x) + abs(a.y - b.y) == 1 for a, b in itertools.pairwise(walk))
 
 
+def test_hilbert_tells_sources_with_one_prefix_apart(spark):
+    names = [f"https://example.org/{i:02d}" for i in range(16)]
+    df = spark.createDataFrame([(None, "x", "en", s) for s in names for _ in range(3)], "doc_id long, text string, lang string, source string")
+    assert {d: sorted(b) for d, b in shards.string_bounds(df, ("lang", "source"), 16).items()} == {"lang": ["en"], "source": names}
+    got = shards.curve_order(df).groupBy("hilbert").count().collect()
+    assert len(got) == 16 and {r["count"] for r in got} == {3}
+
+
 def test_substring_dedup(docs, rows, empty):
     first, want = {}, {}
     for d, t, *_ in rows:
