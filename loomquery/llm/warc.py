@@ -2,7 +2,8 @@
 
 A revisit is joined as of its time to the latest earlier full response with the same canonical URL. The match counts only if the validators agree: an
 entity tag (weak comparison) if both have one, else the modification date, else the payload digest. The resolved record takes the response's payload
-and headers, except for the headers that a 304 answer may renew, which come from the revisit.
+and headers, except for the headers that a 304 answer may renew, which come from the revisit. A pair without a validator that both have is joined
+likewise, on the server's word alone, and its status says so: unvalidated.
 
 The as-of join survives a URL with a large share of all records. Records are range-partitioned by (URL, time), so such a URL spans many
 partitions; each looks back within itself, and the last response of each (partition, URL) is carried forward over a table with one row for each.
@@ -38,18 +39,19 @@ def _weak(tag: Column) -> Column:
 
 
 def validators_agree(a: Column, b: Column, digest_a: Column, digest_b: Column) -> Column:
-    """Header maps and payload digests of two records."""
+    """From header maps and payload digests of two records; null if they have no validator in common."""
     etag_a, etag_b = a["etag"], b["etag"]
     date_a, date_b = a["last-modified"], b["last-modified"]
     both = lambda x, y: x.isNotNull() & y.isNotNull()
-    return F.when(both(etag_a, etag_b), _weak(etag_a) == _weak(etag_b)).when(both(date_a, date_b), date_a == date_b).when(both(digest_a, digest_b), digest_a == digest_b).otherwise(F.lit(True))
+    return F.when(both(etag_a, etag_b), _weak(etag_a) == _weak(etag_b)).when(both(date_a, date_b), date_a == date_b).when(both(digest_a, digest_b), digest_a == digest_b)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row for each revisit: record_id, canonical_url, status, response_id, payload_digest, headers (merged).
 
     records: record_id long, kind ('response' or 'revisit'), url string, ts timestamp, headers map<string,string> with lower-case names, payload_digest
-    string. Payloads stay where they are: response_id leads to them. Status is resolved, validator_mismatch or no_response.
+    string. Payloads stay where they are: response_id leads to them. Status is resolved, unvalidated (joined without a
+    common validator), validator_mismatch or no_response.
     """
     spark = records.sparkSession
     narrow = records.select("record_id", (F.col("kind") == "response").alias("full"), canonical_url(F.col("url")).alias("url"), "ts", "headers", "payload_digest")
@@ -65,11 +67,12 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     carried = lasts.select("url", "part", F.last("last", ignorenulls=True).over(Window.partitionBy("url").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("far"))
     found = local.join(carried, ["url", "part"]).withColumn("hit", F.coalesce("near", "far"))
     agree = validators_agree(F.col("headers"), F.col("hit.headers"), F.col("payload_digest"), F.col("hit.payload_digest"))
-    found = found.withColumn("status", F.when(F.col("hit").isNull(), "no_response").when(agree, "resolved").otherwise("validator_mismatch"))
-    ok = F.col("status") == "resolved"
+    found = found.withColumn("status", F.when(F.col("hit").isNull(), "no_response").when(agree, "resolved").when(agree.isNull(), "unvalidated").otherwise("validator_mismatch"))
+    ok = F.col("status").isin("resolved", "unvalidated")
     renewed = F.array(*map(F.lit, RENEWED))
-    fresh = F.map_filter("headers", lambda k, v: F.array_contains(renewed, k))
-    kept = F.map_filter("hit.headers", lambda k, v: ~F.map_contains_key(fresh, k))
+    none = F.create_map().cast("map<string,string>")
+    fresh = F.map_filter(F.coalesce("headers", none), lambda k, v: F.array_contains(renewed, k))
+    kept = F.map_filter(F.coalesce("hit.headers", none), lambda k, v: ~F.map_contains_key(fresh, k))
     out = found.select("record_id", F.col("url").alias("canonical_url"), "status", F.when(ok, F.col("hit.record_id")).alias("response_id"), F.when(ok, F.col("hit.payload_digest")).alias("payload_digest"), F.when(ok, F.map_concat(kept, fresh)).otherwise(F.col("headers")).alias("headers"))
     lost = narrow.where("(url is null or ts is null) and not full")
     return out.unionByName(lost.select("record_id", F.col("url").alias("canonical_url"), F.lit("no_response").alias("status"), F.lit(None).cast("long").alias("response_id"), F.lit(None).cast("string").alias("payload_digest"), "headers"))

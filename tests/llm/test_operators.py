@@ -288,6 +288,20 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], rec)).count() == 0
 
 
+def test_revisits_without_headers_or_validators(spark):
+    import datetime as dt
+
+    t = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    rows = [
+        (1, "response", "http://a/", t(1), {"content-type": "t", "date": "d1"}, "x"), (2, "revisit", "http://a/", t(2), None, "x"), (3, "revisit", "http://a/", t(3), None, None),
+        (4, "response", "http://b/", t(1), None, None), (5, "revisit", "http://b/", t(2), {"etag": "e", "server": "s"}, "y"), (6, "revisit", "http://a/", t(4), None, "z"),
+    ]
+    df = spark.createDataFrame(rows, "record_id long, kind string, url string, ts timestamp, headers map<string,string>, payload_digest string")
+    got = {r.record_id: (r.status, r.response_id, r.headers) for r in warc.resolve_revisits(df).collect()}
+    whole = {"content-type": "t", "date": "d1"}
+    assert got == {2: ("resolved", 1, whole), 3: ("unvalidated", 1, whole), 5: ("unvalidated", 4, {"etag": "e"}), 6: ("validator_mismatch", None, None)}
+
+
 def test_pipeline_against_brute_force(spark, rows, tmp_path):
     import corpus_pipeline
 
