@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by hash-window lookup, in place of greedy relative Lempel-Ziv factoring: no match position is kept, and the hits of a factor may come from different documents.
 
 Documents are parsed against the text of all documents with smaller ids. That reference is cut into blocks by content: a window of WINDOW words
 goes to the block that the smallest hash of its SEED-word grams names (its anchor), so equal windows meet in one block wherever they stand, neighbouring
