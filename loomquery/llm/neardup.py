@@ -17,7 +17,8 @@ one counter each. Classes that share a band key are candidates. No step lists th
 Nothing is capped. With R rows in each of N bands, a pair of similarity s shares no band with chance (1 - s^R)^N, under 3e-6 at s = 0.8.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and kept; with fewer words than a shingle the whole
-sequence is the one shingle; rows that are equal are one class; rows with one id count as one document; an empty table gives an empty table; extra
+sequence is the one shingle; rows that are equal are one class; rows with one id count as one document in
+``near_duplicates``, while ``drop_near_duplicates`` decides on each row; an empty table gives an empty table; extra
 columns are ignored (``drop_near_duplicates`` keeps them).
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, keyed_texts, map_batches, materialize, table
+from .common import WORD_PATTERN, free_name, keyed_texts, map_batches, materialize, table
 from .textgrams import U, mix, series, slices
 
 N_HASHES = 256
@@ -93,7 +94,7 @@ def pack_planes(low: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, cls (digest of the set), the bit planes, bands (one key each); null where the set is empty."""
+    """doc_id, text_hash, n_shingles, cls (digest of the set), the bit planes, bands (one key each); the last three are null where the set is empty."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, cls, planes, bands = [], [], [], []
@@ -133,10 +134,10 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             if size > 100_000:
                 flush()
         flush()
-        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*planes, strict=True)), pa.array(bands, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "cls", *PLANES, "bands"])
+        columns = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*planes, strict=True)), pa.array(bands, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "cls", *PLANES, "bands"])
 
-    return map_batches(keyed_texts(docs), work, "doc_id long, n_shingles long, cls long, " + ", ".join(f"{p} long" for p in PLANES) + ", bands array<long>")
+    return map_batches(keyed_texts(docs).withColumn("text_hash", F.xxhash64("text")), work, "doc_id long, text_hash long, n_shingles long, cls long, " + ", ".join(f"{p} long" for p in PLANES) + ", bands array<long>")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -297,11 +298,11 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS_PER_SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable over links), kept (it is the smallest)."""
+def grouped_rows(docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, cls, component_id (smallest id of the group), first (the row that stands for the group): one row for each of docs; the last three are null without words."""
     sig = materialize(signatures(docs, k), "nd_signatures")
     full = sig.where(F.col("cls").isNotNull())
-    classes = materialize(full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), *(F.max(p).alias(p) for p in PLANES)), "nd_classes")
+    classes = materialize(full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("n_shingles"), *(F.max(p).alias(p) for p in PLANES)), "nd_classes")
     banded = full.select("cls", F.explode(F.slice("bands", 1, HEAD_BANDS)).alias("band")).distinct()
     buckets = banded.groupBy("band").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head < last").drop("last")
     a, b, p = classes.alias("a"), classes.alias("b"), banded.join(buckets, "band").where("head <> cls").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct().alias("p")
@@ -337,17 +338,39 @@ def near_duplicates(docs: DataFrame, k: int = WORDS_PER_SHINGLE, threshold: int
         links = settle_clusters(sets, classes, placed.withColumn("label", F.col("cls")), threshold)
     labels = components(links)
 
-    named = classes.select("cls", F.col("doc_id").alias("first_id")).join(labels, "cls", "left").select("cls", "first_id", F.coalesce("label", "cls").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_class = materialize(named.join(smallest, "label").select("cls", "component_id"), "nd_components")
-    out = sig.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = classes.select("cls", F.col("doc_id").alias("first_id"), "first").join(labels, "cls", "left").select("cls", "first_id", "first", F.coalesce("label", "cls").alias("label"))
+    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min("first").alias("first"))
+    of_class = materialize(named.select("cls", "label").join(smallest, "label").select("cls", "component_id", "first"), "nd_components")
+    return sig.select("doc_id", "text_hash", "n_shingles", "cls").join(of_class, "cls", "left")
+
+
+def near_duplicates(docs: DataFrame, k: int = WORDS_PER_SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable over links), kept (it is the smallest)."""
+    out = grouped_rows(docs, k, threshold).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS_PER_SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs: one document of each group, and all that are linked with nothing."""
-    gone = near_duplicates(docs, k, threshold).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """The rows of docs that stay, with the columns of docs: one row of each group, and all without words.
+
+    Rows are told apart by id and text, so a null id or one that several texts share costs no other row; the smallest id stays, a null id last.
+    """
+    rows = grouped_rows(docs, k, threshold).where("cls is not null")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    decided = materialize(rows.select("doc_id", "text_hash", stays.alias("stays")), "nd_decided")
+
+    def of(pairs: DataFrame):
+        return docs["doc_id"].cast("long").eqNullSafe(pairs["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == pairs["text_hash"])
+
+    gone = decided.where("not stays").select("doc_id", "text_hash").distinct()
+    again = decided.where("stays").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_hash")
+    again = materialize(again, "nd_again")
+    if not again.limit(1).count():
+        return docs.join(gone, of(gone), "left_anti")
+    key, hashed = free_name(docs, "_doc_id"), free_name(docs, "_text_hash")
+    once = docs.join(again, of(again), "left_semi").withColumn(key, F.col("doc_id").cast("long")).withColumn(hashed, F.xxhash64(F.col("text").cast("string"))).dropDuplicates([key, hashed]).drop(key, hashed)
+    rest = gone.union(again)
+    return docs.join(rest, of(rest), "left_anti").unionByName(once)
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

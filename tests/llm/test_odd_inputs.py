@@ -48,6 +48,14 @@ def test_near_duplicates_of_odd_rows(odd):
     assert {(1, 1), (2, 1), (3, 3), (4, 1)} == got
 
 
+def test_near_dedup_drops_only_copies(spark):
+    other = " ".join(f"v{i}" for i in range(60))
+    third = " ".join(f"x{i}" for i in range(60))
+    rows = [(None, LONG), (None, LONG), (1, LONG), (1, LONG), (1, LONG), (5, LONG + " end"), (5, other), (None, third), (None, third), (None, None), (7, " "), (7, " ")]
+    got = Counter(tuple(r) for r in neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect())
+    assert got == Counter([(1, LONG), (5, other), (None, third), (None, None), (7, " "), (7, " ")])
+
+
 def test_mix_counts_repeated_rows(odd):
     rows = mixing.decide(odd).collect()
     assert sum(r.n_rows for r in rows) == odd.count()
