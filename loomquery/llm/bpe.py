@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import keyed_texts, map_batches, table
+from .common import give_back, keyed_texts, map_batches, table
 
 MAX_STATES = 200_000
 MAX_PIECES = 800_000
@@ -261,10 +261,11 @@ def codec(ranks_path: str, pattern: str, max_states: int = MAX_STATES, max_piece
     return BpeCodec(ranks_path, pattern, max_states, max_pieces)
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES, keep_codec: bool = True) -> DataFrame:
     """For each document: doc_id, n_tokens, ids_sha256, decoded_sha256, decodes (the decoded text is the text), and the ids if asked for.
 
-    ``ranks_path`` is a path on every executor. One pass, no shuffle. The memos of a worker process stay until it ends: where it has other work too, bound them lower.
+    ``ranks_path`` is a path on every executor. One pass, no shuffle. The transducer and the memos of a worker process stay until it ends; where it
+    has other work too, ``keep_codec=False`` drops them after each task, and each task compiles its own.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -297,8 +298,12 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names)
 
+    def drop() -> None:
+        codec.cache_clear()
+        give_back()
+
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decodes boolean"
-    return map_batches(keyed_texts(docs), work, schema + (", ids array<int>" if with_ids else ""))
+    return map_batches(keyed_texts(docs), work, schema + (", ids array<int>" if with_ids else ""), give_back if keep_codec else drop)
 
 
 def default_tokenizer() -> tuple[str, str]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -79,14 +81,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Arrow batches through fn, one out for one in, some hundred rows at a time: long texts then don't pile up."""
+def give_back() -> None:
+    """Hand memory that a task has freed back to the system: a worker process lives on into other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, at_end: Callable[[], None] = give_back) -> DataFrame:
+    """Arrow batches through fn, one out for one in, some hundred rows at a time: long texts then don't pile up. at_end runs after a task's last batch."""
     ship_package(df.sparkSession)
 
     def run(batches):
         for b in batches:
             for a in range(0, b.num_rows, BATCH_ROWS):
                 yield fn(b.slice(a, BATCH_ROWS))
+        at_end()
 
     return df.mapInArrow(run, schema)
 
