@@ -2,7 +2,9 @@
 
 A file holds one run of documents in ascending order of id: raw ids one after another, and an index. The index is a minimal perfect hash by
 displacement: a key's hash names a bucket, the bucket's displacement names the slot, and n keys fill n slots. A slot has a fingerprint of its key, which
-turns away keys that aren't there, and the ordinal of the document. One lookup reads one displacement, one slot and two offsets, whatever the file's size.
+turns away most keys that aren't there, and the ordinal of the document, whose stored key settles the rest. ``Shard.get`` reads the footer once, and then
+for each key one displacement, one fingerprint, one ordinal, one key, two offsets and the ids, whatever the file's size. The manifest has the first and last key of
+each file; ``lookup`` sends keys to the files whose range holds them and fetches each by the index.
 
 The files go to the shared folder under names of their own for each attempt of a task; the manifest table, which Spark commits once,
 says which ones count. A lost executor costs the shards that it was writing.
@@ -10,8 +12,9 @@ says which ones count. A lost executor costs the shards that it was writing.
 Layout, little-endian: ids (2 or 4 bytes each), keys (int64, in order of documents), offsets (uint64, one more than documents), displacements (int32),
 fingerprints (uint32 by slot), ordinals (uint32 by slot), footer (FOOTER).
 
-Defined results: a null text is an empty one and has the end id only; null ids come first; rows with one id are kept side by side and keyed by (id, how
-many before it); an empty table gives no files and an empty result; extra columns are ignored.
+Defined results: a null text is an empty one and has the end id only; null ids come first; rows with one id lie side by side in the order of a hash of their
+texts, over as many files as they fill, and are keyed by (id, how many before it in the file); a text of any length is encoded whole, in memory in proportion to it;
+equal rows give equal results; an empty table gives no files and an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ import os
 import struct
 import uuid
 import zlib
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,10 @@ FOOTER = struct.Struct("<QQIIQ8s")  # documents, ids, bytes of an id, buckets, s
 BUCKET_KEYS = 4
 END_ID = 2
 SHARD_BYTES = 64 << 20
+#: The bound on files: their first and last keys (16 bytes each) go to every task of a lookup. Beyond it the files grow instead.
+MAX_FILES = 100_000
 MAX_WORDS = 1_000_000
+LEARN_WORDS = 50_000
 #: Marks that are pieces of their own after a letter or digit; an apostrophe isn't, as it begins contractions.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 NULL_KEY = np.iinfo(np.int64).min
@@ -129,52 +134,65 @@ class ShardWriter:
         return len(keys), int(offsets[-1])
 
 
-@dataclass
 class Shard:
-    """An open file: its index is in memory, ids are read by range."""
-
-    stream: object
-    item: int
-    seed: int
-    keys: np.ndarray
-    offsets: np.ndarray
-    displacements: np.ndarray
-    prints: np.ndarray
-    ordinals: np.ndarray
-
-    @classmethod
-    def open(cls, path: str) -> Shard:
+    """An open file. Single lookups read what they need; the arrays of the index are read whole when many are asked for."""
+
+    PARTS = (("keys", "<i8"), ("offsets", "<u8"), ("displacements", "<i4"), ("prints", "<u4"), ("ordinals", "<u4"))
+
+    def __init__(self, path: str):
         system, place = fs.FileSystem.from_uri(path)
-        stream = system.open_input_file(place)
-        end = stream.size()
+        self.stream = system.open_input_file(place)
+        end = self.stream.size()
         if end < FOOTER.size:
             raise ValueError(f"{path} is no token file")
-        n, n_ids, item, buckets, seed, magic = FOOTER.unpack(stream.read_at(FOOTER.size, end - FOOTER.size))
+        self.n, n_ids, self.item, buckets, self.seed, magic = FOOTER.unpack(self.stream.read_at(FOOTER.size, end - FOOTER.size))
         if magic != MAGIC:
             raise ValueError(f"{path} is no token file")
-        at, parts = n_ids * item, []
-        for kind, count in (("<i8", n), ("<u8", n + 1), ("<i4", buckets), ("<u4", n), ("<u4", n)):
-            size = np.dtype(kind).itemsize * count
-            parts.append(np.frombuffer(stream.read_at(size, at), kind))
-            at += size
-        return cls(stream, item, seed, *parts)
+        at, self.places = n_ids * self.item, {}
+        for (name, kind), count in zip(self.PARTS, (self.n, self.n + 1, buckets, self.n, self.n), strict=True):
+            self.places[name] = (at, count, np.dtype(kind))
+            at += np.dtype(kind).itemsize * count
+        self.held: dict[str, np.ndarray] = {}
+
+    def part(self, name: str) -> np.ndarray:
+        """One array of the index."""
+        if name not in self.held:
+            at, count, kind = self.places[name]
+            self.held[name] = np.frombuffer(self.stream.read_at(kind.itemsize * count, at), kind)
+        return self.held[name]
+
+    def items(self, name: str, i: int, n: int = 1) -> np.ndarray:
+        """n entries of one array of the index."""
+        if name in self.held:
+            return self.held[name][i : i + n]
+        at, _, kind = self.places[name]
+        return np.frombuffer(self.stream.read_at(kind.itemsize * n, at + kind.itemsize * i), kind)
 
     def find(self, keys: np.ndarray, nth: np.ndarray) -> np.ndarray:
-        """Ordinals of keys by the index; -1 where the fingerprint says that a key isn't there."""
-        if not len(self.keys):
+        """Ordinals of keys by the index; -1 where the fingerprint or the stored key says that a key isn't there."""
+        if not self.n or not len(keys):
             return np.full(len(keys), -1)
         h = key_hashes(keys, nth, self.seed)
-        slot = lookup_slots(h, self.displacements, len(self.keys))
-        return np.where(self.prints[slot] == (h >> U(32)).astype(np.uint32), self.ordinals[slot].astype(np.int64), -1)
+        slot = lookup_slots(h, self.part("displacements"), self.n)
+        ordinal = self.part("ordinals")[slot].astype(np.int64)
+        there = (self.part("prints")[slot] == (h >> U(32)).astype(np.uint32)) & (self.part("keys")[ordinal] == keys)
+        return np.where(there, ordinal, -1)
 
     def ids(self, ordinal: int) -> np.ndarray:
-        a, b = int(self.offsets[ordinal]), int(self.offsets[ordinal + 1])
+        a, b = self.items("offsets", ordinal, 2).tolist()
         return np.frombuffer(self.stream.read_at((b - a) * self.item, a * self.item), f"<u{self.item}")
 
     def get(self, key: int, nth: int = 0) -> np.ndarray | None:
-        """The ids of one document, in constant time."""
-        ordinal = int(self.find(np.array([key]), np.array([nth]))[0])
-        return None if ordinal < 0 else self.ids(ordinal)
+        """The ids of one document, by a constant number of small reads; None if the file doesn't hold it."""
+        if not self.n:
+            return None
+        h = key_hashes(np.array([key]), np.array([nth]), self.seed)
+        d = self.items("displacements", int(h[0] % U(self.places["displacements"][1])))
+        slot = int(lookup_slots(h, d, self.n)[0])
+        if self.items("prints", slot)[0] != (h >> U(32)).astype(np.uint32)[0]:
+            return None
+        ordinal = int(self.items("ordinals", slot)[0])
+        return self.ids(ordinal) if self.items("keys", ordinal)[0] == key else None
 
 
 class WordTokenizer:
@@ -201,10 +219,8 @@ class WordTokenizer:
             self.closing[last] = last.isalnum() and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(last + ".")) == 2
         return self.closing[last]
 
-    def _learn(self, words: list[bytes]) -> None:
-        """A run of marks after a letter or digit is a piece of its own: such a word is its stem and the run."""
-        if len(self.memo) > MAX_WORDS:
-            self.memo.clear()
+    def _encode_new(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of words that the memo lacks, and of their parts. A run of marks after a letter or digit is a piece of its own: such a word is its stem and the run."""
         marked = {}
         for w in words:
             text = w.decode()
@@ -212,10 +228,15 @@ class WordTokenizer:
             if stem and len(stem) < len(text) and self._closes(stem):
                 marked[w] = (stem.encode(), text[len(stem) :].encode())
         new = [w for w in {*(w for w in words if w not in marked), *(p for pair in marked.values() for p in pair)} if w not in self.memo]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.memo[w] = self.pack(e.ids)
+        found = {}
+        for a in range(0, len(new), LEARN_WORDS):
+            part = new[a : a + LEARN_WORDS]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                found[w] = self.pack(e.ids)
+        packed = lambda p: found[p] if p in found else self.memo[p]
         for w, (stem, mark) in marked.items():
-            self.memo[w] = self.memo[stem] + self.memo[mark]
+            found[w] = packed(stem) + packed(mark)
+        return found
 
     def encode_packed(self, text: str) -> bytes:
         raw = text.encode()
@@ -227,12 +248,13 @@ class WordTokenizer:
         try:
             return b"".join([memo[w] for w in words])
         except KeyError:
-            self._learn([w for w in set(words) if w not in memo])
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:  # the memo was emptied on the way
-            self._learn([w for w in set(words) if w not in memo])
-            return b"".join([memo[w] for w in words])
+            found = self._encode_new({w for w in words if w not in memo})
+        out = b"".join([found[w] if w in found else memo[w] for w in words])
+        if len(memo) + len(found) > MAX_WORDS:
+            memo.clear()
+        if len(found) <= MAX_WORDS:
+            memo.update(found)
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -241,13 +263,17 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+MANIFEST = "part int, path string, first_key long, last_key long, n_docs long, n_ids long"
+DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str) -> DataFrame:
-    """Encode and write all documents; the manifest: part, path, n_docs, n_ids, first_id (ids in all files before)."""
+    """Encode and write all documents; the manifest: part, path, first_key, last_key (the smallest long for null), n_docs, n_ids, first_id (ids in all files before)."""
     spark = docs.sparkSession
     ship_package(spark)
     texts = keyed_texts(docs)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(n_partitions(spark), -(-total // SHARD_BYTES))
+    n = max(n_partitions(spark), min(MAX_FILES, -(-total // SHARD_BYTES)))
 
     def write(batches):
         from pyspark import TaskContext
@@ -267,39 +293,58 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str) -> Data
         if writer is not None:
             n_docs, n_ids = writer.close()
             writer.stream.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
+            row = {"part": part, "path": path, "first_key": writer.keys[0], "last_key": writer.keys[-1], "n_docs": n_docs, "n_ids": n_ids}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("path", pa.string()), *((c, pa.int64()) for c in ("first_key", "last_key", "n_docs", "n_ids"))]))
 
-    dealt = texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    manifest = materialize(dealt.mapInArrow(write, "part int, path string, n_docs long, n_ids long"), "token_manifest")
+    # The text's hash splits an id that many rows share, null ones included.
+    by_key = ["doc_id", F.xxhash64("text")]
+    dealt = texts.repartitionByRange(n, *by_key).sortWithinPartitions(*by_key)
+    manifest = materialize(dealt.mapInArrow(write, MANIFEST), "token_manifest")
     # One row for each file: the running sum is over the manifest, not over documents.
     return manifest.withColumn("first_id", F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids"))
 
 
-def read_digests(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files, each fetched by its key through the index."""
+def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files whose id is in the column doc_id of keys, fetched by its key through the index.
+
+    Keys go to the files whose range holds them; more than one where rows with one id span files.
+    """
     ship_package(manifest.sparkSession)
+    files = manifest.select("part", "first_key", "last_key", "path", "first_id").orderBy("part").collect()  # at most MAX_FILES rows, or shuffle.partitions
+    first, last = (np.array([f[c] for f in files], np.int64) for c in ("first_key", "last_key"))
+    places = manifest.select("part", "path", "first_id")
 
-    def read(batches):
+    def deal(batches):
         for batch in batches:
-            for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard = Shard.open(path)
-                found = shard.find(shard.keys, occurrence(shard.keys))
-                for a in range(0, len(found), 5_000):
-                    part = found[a : a + 5_000]
-                    crc = [zlib.crc32(shard.ids(int(o)).astype("<u4").tobytes()) for o in part]
-                    begin, after = shard.offsets[part].astype(np.int64), shard.offsets[part + 1].astype(np.int64)
-                    keys = shard.keys[a : a + 5_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, mask=keys == NULL_KEY), pa.array(begin + first), pa.array(after - begin), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    spread = manifest.select("path", "first_id", "part").repartition(n_partitions(manifest.sparkSession), "part").select("path", "first_id")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            k = batch.column(0).fill_null(int(NULL_KEY)).to_numpy(zero_copy_only=False)
+            low, high = np.searchsorted(last, k, "left"), np.searchsorted(first, k, "right")
+            n = np.maximum(high - low, 0)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[at], pa.int32()), pa.array(np.repeat(k, n))], ["part", "key"])
+
+    numbers = np.array([f["part"] for f in files], np.int32)
+
+    def fetch(key, group):
+        shard = Shard(group.column("path")[0].as_py())
+        base, asked, nth, out = group.column("first_id")[0].as_py(), group.column("key").to_numpy(), 0, []
+        while len(asked):
+            found = shard.find(asked, np.full(len(asked), nth))
+            asked, found = asked[found >= 0], found[found >= 0]
+            crc = np.array([zlib.crc32(shard.ids(int(o)).astype("<u4").tobytes()) for o in found], np.int64)
+            begin, after = shard.part("offsets")[found].astype(np.int64), shard.part("offsets")[found + 1].astype(np.int64)
+            out.append(pa.table([pa.array(asked, mask=asked == NULL_KEY), pa.array(begin + base), pa.array(after - begin), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"]))
+            nth += 1
+        return pa.concat_tables(out)
+
+    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(deal, "part int, key long")
+    return asked.join(places, "part").groupBy("part").applyInArrow(fetch, DIGEST)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    manifest = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "token_files"))
-    return read_digests(manifest)
+    docs = table(spark, sf_dir, "documents")
+    return lookup(write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "token_files")), docs)
 
 
 QUERIES = {"op4_token_files": op4_token_files}

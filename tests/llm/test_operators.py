@@ -139,14 +139,59 @@ def test_token_files(docs, rows, spark, empty, tmp_path):
     from tokenizers import Tokenizer
 
     t, start = Tokenizer.from_file(path), 0
-    got = {r.doc_id: r for r in tokenfiles.read_digests(tokenfiles.write_token_files(docs, path, f"file://{tmp_path}")).collect()}
+    got = {r.doc_id: r for r in tokenfiles.lookup(tokenfiles.write_token_files(docs, path, f"file://{tmp_path}"), docs).collect()}
     for d, text, *_ in sorted(rows):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     twice = spark.createDataFrame([(1, "a"), (1, "b c"), (None, "d")], "doc_id long, text string")
-    assert tokenfiles.read_digests(tokenfiles.write_token_files(twice, path, f"file://{tmp_path}/b")).count() == 3
-    assert tokenfiles.read_digests(tokenfiles.write_token_files(empty, path, f"file://{tmp_path}/c")).count() == 0
+    pair = [(r.doc_id, r.start, r.n_tokens) for r in tokenfiles.lookup(tokenfiles.write_token_files(twice, path, f"file://{tmp_path}/b"), twice).orderBy("start").collect()]
+    one, two = (len(t.encode(x, add_special_tokens=False).ids) + 1 for x in ("a", "b c"))
+    first = len(t.encode("d", add_special_tokens=False).ids) + 1
+    assert pair[0] == (None, 0, first) and pair[1:] in ([(1, first, one), (1, first + one, two)], [(1, first, two), (1, first + two, one)])
+    assert tokenfiles.lookup(tokenfiles.write_token_files(empty, path, f"file://{tmp_path}/c"), empty).count() == 0
+
+
+def test_one_key_is_fetched_by_few_small_reads(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    many = spark.range(4000).selectExpr("id * 3 AS doc_id", "concat('word ', id) AS text")
+    manifest = tokenfiles.write_token_files(many, path, f"file://{tmp_path}").orderBy("part").collect()
+    assert [f.first_key for f in manifest] == sorted(f.first_key for f in manifest) and all(a.last_key < b.first_key for a, b in itertools.pairwise(manifest))
+    t = tokenfiles.tokenizer(path)
+    for key in (0, 3, 2997, 11997):
+        shard = tokenfiles.Shard(next(f.path for f in manifest if f.first_key <= key <= f.last_key))
+        read, whole = [], shard.stream
+
+        class Counting:
+            def read_at(self, n, at):
+                read.append(n)
+                return whole.read_at(n, at)
+
+        shard.stream = Counting()
+        assert shard.get(key).astype(f"<u{t.item}").tobytes() == t.encode_packed(f"word {key // 3}") + t.pack([2])
+        assert len(read) == 6 and sum(read) < 100 and shard.get(key + 1) is None
+
+
+@pytest.mark.parametrize("bound", [10, 1_000_000])
+def test_texts_with_more_words_than_the_memo(monkeypatch, bound):
+    monkeypatch.setattr(tokenfiles, "MAX_WORDS", bound)
+    t = tokenfiles.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    for n in (5, 30, 9, 200, 30_000):
+        text = " ".join(f"w{i}, x{i * 7}." for i in range(n))
+        assert t.encode_packed(text) == t.pack(t.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_texts_of_all_scripts_equal_the_library():
+    """Random texts over every assigned block, with marks, joiners and spaces of all kinds between."""
+    import unicodedata
+
+    t = tokenfiles.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(11)
+    chars = [chr(c) for c in range(1, 0x32000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    glue = list(" \t\n.,!?'\"-()_0aZ") + ["'s", "\u0301", "\u200d", "\u00a0", "\u2028", "\u3000", "\u0345", "\u1e9e", "\u0130", "\u03a3", "\u212a"]
+    texts = ["".join(rng.choice(chars[i : i + 60]) if rng.random() < 0.6 else rng.choice(glue) for _ in range(40)) for i in range(0, len(chars), 12)]
+    want = t.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [x for x, e in zip(texts, want, strict=True) if t.encode_packed(x) != t.pack(e.ids)] == []
 
 
 def test_words_with_marks_equal_the_library():
