@@ -1,17 +1,22 @@
-"""Substring dedup by hash-window lookup, in place of greedy relative Lempel-Ziv factoring: no match position is kept, and the hits of a factor may come from different documents.
+"""Substring dedup by relative Lempel-Ziv parsing.
 
 Documents are parsed against the text of all documents with smaller ids. That reference is cut into blocks by content: a window of WINDOW words
 goes to the block that the smallest hash of its SEED-word grams names (its anchor), so equal windows meet in one block wherever they stand, neighbouring
-windows mostly go to one block as one segment, and each window is looked up in the one block that can hold it. A block indexes its windows by hash with
-the smallest document of each. Segments are parsed greedily against it: the longest run of windows that the reference holds is one factor. A factor ends where
-the next window isn't in this block; windows that straddle two factors were themselves looked up in their own blocks, so nothing is lost at factor boundaries.
+windows mostly go to one block as one segment, and each window is looked up in the one block that can hold it. A block whose anchors are so common that it
+would outgrow one task's memory is cut further, by the hash of each window; a count of windows for each block comes first and finds these.
+
+A block indexes its text by window. A segment is parsed greedily from left to right: its first window that the reference holds is looked up, the reference
+position is the first one in the document with the smallest id, and from there the factor is extended word by word for as long as segment and reference agree.
+A factor is (start, length, source document, source position). The next factor begins with the window one word after the last that fits, which straddles the factor's end,
+so windows over factor boundaries are looked up themselves, and those that straddle two segments were sent to their own blocks. Factors of several blocks that
+continue each other in one source become one (``duplicate_factors``). The source is the first occurrence, not the longest of all; the words covered are the same.
 Factors of fewer than WINDOW words don't arise; the others are duplicate spans.
 
-Windows that repeat within one chunk of input are settled before the shuffle, and only those of the smallest document of each go on, so a passage
-that a third of all documents share reaches its block once for each chunk of input.
+Windows that repeat within one chunk of input are parsed before the shuffle, against the chunk as the reference block, and only those of the smallest document of
+each go on, so a passage that a third of all documents share reaches its block once for each chunk of input.
 
-Defined results: a null text has no words; texts shorter than a window stay whole; rows with one id are one document (none is a duplicate of
-the other); a null id is larger than all others; an empty table gives an empty table; extra columns are ignored (``drop_duplicate_spans`` keeps them).
+Defined results: a null text has no words; texts shorter than a window stay whole; a text of any length is parsed whole; rows with one id are one document (none is a
+duplicate of the other); a null id is larger than all others; an empty table gives an empty table; extra columns are ignored (``drop_duplicate_spans`` keeps them).
 """
 
 from __future__ import annotations
@@ -21,10 +26,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, map_batches, n_partitions, ship_package, table
+from .common import give_back, keyed_texts, map_batches, materialize, n_partitions, ship_package, table
 from .textgrams import U, mix, runs, slices
 
 WINDOW = 13
@@ -32,8 +37,11 @@ SEED = 3
 BLOCK_BYTES = 12 << 20
 CHUNK_WORDS = 400_000
 SLICE_BYTES = 1 << 20
+#: A block of more windows than this is cut into pieces of about half as many.
+HOT_WINDOWS = 1_000_000
+#: The bound on such blocks, whose numbers go to every task (16 bytes each): the more windows there are, the larger a block may be.
+MAX_HOT = 1_000_000
 NO_ID = np.iinfo(np.int64).max
-LENGTH_BITS = 24
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -56,38 +64,57 @@ def _unplanes(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-class Chunk:
-    """Words of a run of input documents: settles what repeats within it, and deals the rest to blocks."""
+class Dealer:
+    """Which block a window goes to. hot: (block, pieces) of the blocks that are cut by window."""
 
-    def __init__(self, window: int, n_blocks: int):
+    def __init__(self, window: int, n_blocks: int, hot: list[tuple[int, int]] = ()):
         self.window, self.n_blocks = window, n_blocks
+        self.hot = np.array(sorted(b for b, _ in hot), np.int64)
+        self.pieces = np.array([p for _, p in sorted(hot)], np.int64)
+        self.base = n_blocks + np.cumsum(self.pieces) - self.pieces
+
+    def blocks(self, words, whole: np.ndarray) -> np.ndarray:
+        seeds = sliding_min(words.grams(SEED), self.window - SEED + 1)
+        return (mix(seeds[whole]) % U(self.n_blocks)).astype(np.int64)
+
+    def cut(self, block: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return block
+        at = np.minimum(np.searchsorted(self.hot, block), len(self.hot) - 1)
+        piece = (mix(gram ^ U(0x5851F42D4C957F2D)) % self.pieces[at].astype(U)).astype(np.int64)
+        return np.where(self.hot[at] == block, self.base[at] + piece, block)
+
+
+class Chunk:
+    """Words of a run of input documents: parses what repeats within it, and deals the rest to blocks."""
+
+    def __init__(self, dealer: Dealer):
+        self.dealer = dealer
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.words = 0
 
     def add(self, ids: np.ndarray, sums: np.ndarray, words) -> None:
         """ids, sums: id and checksum of each document of ``words``."""
         self.words += len(words.hashes)
-        whole = np.flatnonzero(words.whole(self.window))
+        whole = np.flatnonzero(words.whole(self.dealer.window))
         if not len(whole):
             return
-        seeds = sliding_min(words.grams(SEED), self.window - SEED + 1)
-        doc = words.doc[whole]
-        block = (mix(seeds[whole].copy()) % U(self.n_blocks)).astype(np.int32)
-        self.parts.append((words.grams(self.window)[whole], ids[doc], sums[doc], (whole - words.first[doc]).astype(np.uint32), block))
+        doc, gram = words.doc[whole], words.grams(self.dealer.window)[whole]
+        self.parts.append((gram, ids[doc], sums[doc], (whole - words.first[doc]).astype(np.uint32), self.dealer.cut(self.dealer.blocks(words, whole), gram)))
 
     def settle(self):
-        """(factors, segments): factors are (id, checksum, start, windows); segments are (block, packed bytes)."""
+        """(factors, segments): factors as by parse(); segments are (block, packed bytes)."""
         if not self.parts:
             return None
         gram, ids, sums, start, block = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         self.parts, self.words = [], 0
-        found = seen_before(gram, ids)
-        # Windows of a document lie in reading order; a change of id, checksum or a gap ends a run.
-        row = ids ^ (sums.astype(np.int64) << 17)
-        gap = np.cumsum(np.diff(start.astype(np.int64), prepend=-1) != 1)
-        at, n = runs(found, row, gap)
-        factors = (ids[at], sums[at], start[at], n)
-        at, n = runs(~found, row, gap, block)
+        # Windows of a document lie in reading order; a change of id, checksum or a gap ends a segment.
+        begins = np.empty(len(gram), bool)
+        begins[0] = True
+        begins[1:] = (np.diff(start.astype(np.int64)) != 1) | (ids[1:] != ids[:-1]) | (sums[1:] != sums[:-1])
+        at, source, n, found = parse(gram, ids, begins)
+        factors = (ids[at], sums[at], start[at], n, ids[source], start[source])
+        at, n = runs(~found, np.cumsum(begins), block)
         if not len(at):
             return factors, []
         order = np.argsort(block[at], kind="stable")
@@ -103,25 +130,70 @@ class Chunk:
         return factors, segments
 
 
-def seen_before(gram: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each window: does a document with a smaller id hold it?"""
+def first_sources(gram: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each window, where the first equal one of the smallest id is, if that id is smaller than its own; else -1."""
     order = np.argsort(gram, kind="stable")
     g, i = gram[order], ids[order]
     new = np.empty(len(g), bool)
     new[0] = True
     np.not_equal(g[1:], g[:-1], out=new[1:])
     start = np.flatnonzero(new)
-    smallest = np.minimum.reduceat(i, start)
-    out = np.empty(len(g), bool)
-    out[order] = i > np.repeat(smallest, np.diff(start, append=len(g)))
+    group = np.cumsum(new) - 1
+    low = np.minimum.reduceat(i, start)[group]
+    out = np.full(len(g), -1)
+    hit = np.flatnonzero(i > low)
+    if len(hit):
+        smallest = np.flatnonzero(i == low)
+        first = np.empty(len(start), np.int64)
+        first[group[smallest[::-1]]] = order[smallest[::-1]]
+        out[order[hit]] = first[group[hit]]
     return out
 
 
-def unpack(raw: bytes) -> tuple[np.ndarray, ...]:
-    """id, checksum, start and length of each segment, and the windows of all."""
+def parse(gram: np.ndarray, ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The greedy factors of all segments against the whole block: (place, place in the reference, windows) of each, and which windows they cover.
+
+    begins: where a segment begins. A factor ends at the end of either segment.
+    """
+    source = first_sources(gram, ids)
+    found = source >= 0
+    at = np.flatnonzero(found)
+    if not len(at):
+        return at, at, at, found
+    # Runs in which each window's first source follows the one before it need no further look at the reference.
+    s = source[at]
+    new = np.empty(len(at), bool)
+    new[0] = True
+    new[1:] = (np.diff(at) != 1) | (np.diff(s) != 1) | begins[at[1:]] | begins[s[1:]]
+    first = np.flatnonzero(new)
+    at, s, n = at[first], s[first], np.diff(first, append=len(at))
+    ends = np.append(np.flatnonzero(begins)[1:], len(gram))
+    number = np.cumsum(begins) - 1
+    end, source_end = ends[number[at]], ends[number[s]]
+    further = (at + n < end) & (s + n < source_end)
+    further[further] = gram[(at + n)[further]] == gram[(s + n)[further]]
+    if not further.any():
+        return at, s, n, found
+    out, covered = [], 0
+    for i, q, k, more, e, f in zip(at.tolist(), s.tolist(), n.tolist(), further.tolist(), end.tolist(), source_end.tolist(), strict=True):
+        if i + k <= covered:
+            continue
+        if i < covered:
+            i, q, k = covered, q + covered - i, i + k - covered
+        if more:
+            while i + k < e and q + k < f and gram[i + k] == gram[q + k]:
+                k += 1
+        out.append((i, q, k))
+        covered = i + k
+    at, s, n = np.array(out, np.int64).T
+    return at, s, n, found
+
+
+def unpack(raw: bytes, kinds: tuple[str, ...] = ("<i8", "<u4", "<u4", "<u4")) -> tuple[np.ndarray, ...]:
+    """Of segments the id, checksum, start and length of each, and what follows: the windows of all."""
     (n,) = np.frombuffer(raw[:4], np.uint32)
     n, at, out = int(n), 4, []
-    for kind in ("<i8", "<u4", "<u4", "<u4"):
+    for kind in kinds:
         size = n * np.dtype(kind).itemsize
         out.append(_unplanes(raw[at : at + size], kind))
         at += size
@@ -129,30 +201,68 @@ def unpack(raw: bytes) -> tuple[np.ndarray, ...]:
 
 
 def parse_block(packed: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Index a block and factor its segments: (id, checksum, start, windows) of each factor."""
+    """Index a block and factor its segments: (id, checksum, start, windows, source id, source start) of each factor."""
     ids, sums, start, length, gram = (np.concatenate(c) for c in zip(*map(unpack, packed), strict=True))
-    found = seen_before(gram, np.repeat(ids, length))
-    segment = np.repeat(np.arange(len(length)), length)
-    at, n = runs(found, segment)
-    seg = segment[at]
-    first = np.cumsum(length) - length
-    return ids[seg], sums[seg], (start[seg] + (at - first[seg])).astype(np.int64), n
+    first = np.cumsum(length.astype(np.int64)) - length
+    begins = np.zeros(len(gram), bool)
+    begins[first] = True
+    owner = np.repeat(np.arange(len(length)), length)
+    at, source, n, _ = parse(gram, ids[owner], begins)
+    place = lambda x: start[owner[x]] + (x - first[owner[x]])
+    return ids[owner[at]], sums[owner[at]], place(at), n, ids[owner[source]], place(source)
 
 
-FACTORS = "doc_id long, crc long, span long"
+FACTORS = "doc_id long, crc long, start long, n long, source_id long, source_start long"
+FACTOR_KINDS = ("<i8", "<u4", "<u4", "<u4", "<i8", "<u4")
 
 
-def _factor_table(ids: np.ndarray, sums: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.Table:
-    """A span is its first word and its number of windows in one integer."""
-    return pa.table([pa.array(ids), pa.array(sums.astype(np.int64)), pa.array(start.astype(np.int64) << LENGTH_BITS | n)], names=["doc_id", "crc", "span"])
+def _factor_table(*columns: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=[x.split()[0] for x in FACTORS.split(", ")])
 
 
-def _pack_factors(ids: np.ndarray, sums: np.ndarray, start: np.ndarray, n: np.ndarray) -> bytes:
-    return np.array([len(ids)], np.uint32).tobytes() + b"".join(map(_planes, (ids, sums, start, n.astype(np.uint32))))
+def _pack_factors(*columns: np.ndarray) -> bytes:
+    return np.array([len(columns[0])], np.uint32).tobytes() + b"".join(_planes(c.astype(k)) for c, k in zip(columns, FACTOR_KINDS, strict=True))
+
+
+def _word_slices(batches):
+    """(ids, checksums or None, words) of runs of documents."""
+    for batch in batches:
+        ids = batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
+        sums = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint32) if batch.num_columns > 2 else None
+        for a, b, words in slices(batch.column(1), lower=False, limit=SLICE_BYTES):
+            yield ids[a:b], None if sums is None else sums[a:b], words
+
+
+def hot_blocks(texts: DataFrame, window: int, n_blocks: int) -> list[tuple[int, int]]:
+    """(block, pieces) of the blocks that hold too many windows for one task; at most MAX_HOT."""
+
+    def count(batches):
+        dealer, held, n = Dealer(window, n_blocks), [], 0
+
+        def emit():
+            block, windows = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(block), pa.array(windows.astype(np.int64))], ["block", "n"])
+
+        for _, _, words in _word_slices(batches):
+            whole = np.flatnonzero(words.whole(window))
+            if len(whole):
+                held.append(dealer.blocks(words, whole))
+                n += len(whole)
+            if n > 4 * CHUNK_WORDS:
+                yield emit()
+                held, n = [], 0
+        if held:
+            yield emit()
+        give_back()
+
+    sizes = materialize(texts.mapInArrow(count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")), "lz_block_sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT_WINDOWS, -(-total // MAX_HOT))
+    return [(r.block, -(-2 * r.n // limit)) for r in sizes.where(F.col("n") > limit).collect()]
 
 
 def factorise(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, crc (of the text), spans: the duplicate spans of each document that has any.
+    """One row for each factor: doc_id, crc (of the text), start and n (windows), source_id, source_start; a factor covers n + window - 1 words. NO_ID stands for null.
 
     One shuffle: packed segments to their blocks. Factors that a chunk has settled travel with them, dealt out evenly.
     """
@@ -161,9 +271,10 @@ def factorise(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts = keyed_texts(docs)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(2 * n_partitions(spark), -(-total // BLOCK_BYTES))
+    hot = hot_blocks(texts, window, n_blocks)
 
     def deal(batches):
-        chunk, turn = Chunk(window, n_blocks), 0
+        chunk, turn = Chunk(Dealer(window, n_blocks, hot)), 0
 
         def emit():
             nonlocal turn
@@ -177,39 +288,57 @@ def factorise(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 turn += 1
             for a in range(0, len(rows), 64):
                 block, done, packed = zip(*rows[a : a + 64], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(done), pa.array(packed, pa.binary())], ["block", "settled", "packed"])
-
-        for batch in batches:
-            ids = batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
-            sums = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint32)
-            for a, b, words in slices(batch.column(1), lower=False, limit=SLICE_BYTES):
-                chunk.add(ids[a:b], sums[a:b], words)
-                if chunk.words >= CHUNK_WORDS:
-                    yield from emit()
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(done), pa.array(packed, pa.binary())], ["block", "settled", "packed"])
+
+        for ids, sums, words in _word_slices(batches):
+            chunk.add(ids, sums, words)
+            if chunk.words >= CHUNK_WORDS:
+                yield from emit()
         yield from emit()
+        give_back()
 
-    def parse(key, group):
+    def work(key, group):
         done, packed = group.column("settled").to_pylist(), group.column("packed").to_pylist()
-        out = [_factor_table(*unpack(p)[:4]) for p, d in zip(packed, done, strict=True) if d]
+        out = [unpack(p, FACTOR_KINDS)[:6] for p, d in zip(packed, done, strict=True) if d]
         open_segments = [p for p, d in zip(packed, done, strict=True) if not d]
         if open_segments:
-            out.append(_factor_table(*parse_block(open_segments)))
-        return pa.concat_tables(out)
+            out.append(parse_block(open_segments))
+        columns = [np.concatenate(c) for c in zip(*((np.asarray(x, np.int64) for x in f) for f in out), strict=True)]
+        # Rows that are equal in id and text give equal factors: one of them is enough.
+        order = np.lexsort(columns[:3])
+        same = np.all([c[order][1:] == c[order][:-1] for c in columns[:4]], axis=0) if len(order) else np.zeros(0, bool)
+        return _factor_table(*(c[order][np.append(np.ones(min(1, len(order)), bool), ~same)] for c in columns))
 
     keyed = texts.withColumn("crc", F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0).cast("long")))
-    dealt = keyed.mapInArrow(deal, "block int, settled boolean, packed binary")
-    return dealt.groupBy("block").applyInArrow(parse, FACTORS).groupBy("doc_id", "crc").agg(F.collect_list("span").alias("spans"))
+    dealt = keyed.mapInArrow(deal, "block long, settled boolean, packed binary")
+    # The number of tasks follows the number of blocks, so that what a task reads doesn't grow with the input.
+    n_tasks = max(n_partitions(spark), (n_blocks + sum(p for _, p in hot)) // 2)
+    return dealt.repartition(n_tasks, "block").groupBy("block").applyInArrow(work, FACTORS)
+
+
+def duplicate_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The parse itself: doc_id, crc, start, n_words, source_id, source_start of each factor; starts are counted in words from 0.
+
+    Factors of different blocks that continue each other in one source are one.
+    """
+    order = Window.partitionBy("doc_id", "crc").orderBy("start", "n")
+    before = lambda c: F.lag(c).over(order)
+    follows = (before("start") + before("n") == F.col("start")) & (before("source_id") == F.col("source_id")) & (before("source_start") + before("n") == F.col("source_start"))
+    numbered = factorise(docs, window).withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    joined = numbered.groupBy("doc_id", "crc", "run").agg(F.min("start").alias("start"), (F.sum("n") + window - 1).alias("n_words"), F.min("source_id").alias("source_id"), F.min("source_start").alias("source_start"))
+    known = F.when(F.col("doc_id") != int(NO_ID), F.col("doc_id"))
+    return joined.select(known.alias("doc_id"), "crc", "start", "n_words", "source_id", "source_start")
 
 
-def keep_words(text: str | None, spans: np.ndarray | None, window: int) -> tuple[int, int, list[bytes] | None]:
-    """(number of words, number removed, the words that stay)."""
+def keep_words(text: str | None, spans: tuple[np.ndarray, np.ndarray] | None, window: int) -> tuple[int, int, list[bytes] | None]:
+    """(number of words, number removed, the words that stay). spans: starts and windows of the factors."""
     words = (text or "").encode().split()
-    if spans is None or not len(spans):
+    if spans is None or not len(spans[0]):
         return len(words), 0, words
-    start = spans >> LENGTH_BITS
+    start, n = spans
     edge = np.zeros(len(words) + 1, np.int64)
     np.add.at(edge, start, 1)
-    np.add.at(edge, start + (spans & ((1 << LENGTH_BITS) - 1)) + window - 1, -1)
+    np.add.at(edge, start + n + window - 1, -1)
     keep = np.cumsum(edge[:-1]) == 0
     return len(words), int(len(words) - keep.sum()), [w for w, k in zip(words, keep.tolist(), strict=True) if k]
 
@@ -228,13 +357,14 @@ def _with_spans(docs: DataFrame, window: int, *carried) -> DataFrame:
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(f"row{i}") for i, c in enumerate(carried)))
     schema = "doc_id long, crc long, packed binary" + "".join(f", row{i} {source.schema[f'row{i}'].dataType.simpleString()}" for i in range(len(carried)))
-    return map_batches(source, squeeze, schema).join(factorise(docs, window), ["doc_id", "crc"], "left")
+    spans = factorise(docs, window).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return map_batches(source, squeeze, schema).join(spans, ["doc_id", "crc"], "left")
 
 
 def _opened(batch: pa.RecordBatch, window: int):
     for packed, spans in zip(batch.column(0), batch.column(1), strict=True):
         raw = packed.as_py()
-        found = None if not spans.is_valid else np.array(spans.as_py(), np.int64)
+        found = None if not spans.is_valid else tuple(spans.values.field(i).to_numpy() for i in range(2))
         yield raw if raw is None else zlib.decompress(raw).decode(), found
 
 

@@ -301,7 +301,9 @@ def test_hilbert_tells_sources_with_one_prefix_apart(spark):
     assert len(got) == 16 and {r["count"] for r in got} == {3}
 
 
-def test_substring_dedup(docs, rows, empty):
+@pytest.mark.parametrize("hot", [1_000_000, 40])
+def test_substring_dedup(docs, rows, empty, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT_WINDOWS", hot)
     first, want = {}, {}
     for d, t, *_ in rows:
         w = words(t)
@@ -315,6 +317,34 @@ def test_substring_dedup(docs, rows, empty):
     out = {r.doc_id: r for r in substring.drop_duplicate_spans(docs).collect()}
     assert all(len(words(out[d].text)) == n - gone for d, (n, gone, _) in want.items()) and substring.drop_duplicate_spans(docs).columns == docs.columns
     assert substring.span_digest(empty).count() == 0
+    text = {d: words(t) for d, t, *_ in rows}
+    covered = defaultdict(set)
+    for r in substring.duplicate_factors(docs).collect():
+        assert r.source_id < r.doc_id and r.n_words >= 13
+        assert text[r.doc_id][r.start : r.start + r.n_words] == text[r.source_id][r.source_start : r.source_start + r.n_words]
+        covered[r.doc_id] |= set(range(r.start, r.start + r.n_words))
+    assert {d: len(c) for d, c in covered.items()} == {d: gone for d, (_, gone, _) in want.items() if gone}
+    if hot == 40:
+        assert substring.hot_blocks(docs.select("doc_id", "text"), 13, 8)
+
+
+def test_one_long_factor_and_greedy_steps():
+    """A source that is copied whole is one factor; one that repeats itself gives the longest runs that agree with its first occurrence."""
+    gram = np.array([1, 2, 3, 4, 1, 2, 3, 4, 5, 3, 4, 9, 7, 7, 7, 7, 7, 7, 7], np.uint64)
+    ids = np.array([1] * 4 + [2] * 5 + [3] * 3 + [4] * 2 + [5] * 5)
+    at, source, n, found = substring.parse(gram, ids, np.append(True, np.diff(ids) != 0))
+    assert list(zip(at.tolist(), source.tolist(), n.tolist(), strict=True)) == [(4, 0, 4), (9, 2, 2), (14, 12, 2), (16, 12, 2), (18, 12, 1)]
+    assert found.sum() == n.sum()
+
+
+def test_a_factor_of_more_than_2_to_24_windows():
+    n = (1 << 24) + 5
+    one = lambda x, kind: np.array([x], kind)
+    packed = substring._pack_factors(one(7, "<i8"), one(1, "<u4"), one(3, "<u4"), one(n, "<u4"), one(2, "<i8"), one(4, "<u4"))
+    assert [int(c[0]) for c in substring.unpack(packed, substring.FACTOR_KINDS)[:6]] == [7, 1, 3, n, 2, 4]
+    text = "a " * (n + 20)
+    total, removed, kept = substring.keep_words(text, (np.array([3]), np.array([n])), 13)
+    assert (total, removed, len(kept)) == (n + 20, n + 12, 8)
 
 
 def test_revisits(spark):
