@@ -1,8 +1,9 @@
 """Quality rules as a bitmask ledger.
 
-Every rule is evaluated once. The ledger keeps a document's measurements and one failure bit per rule; a
+Every rule is evaluated once. The ledger, a stored table (``store_ledger``), keeps a document's measurements and one failure bit per rule; a
 policy is a version with a mask of the bits that reject, so a new policy, or an ablation of one rule, is
-bitwise work over the ledger and never reads a text again.
+bitwise work over the stored ledger and never reads a text again. ``filter_quality`` applies one policy to the rows
+themselves on the way, without a ledger.
 
 Defined results: a null text has no words and no lines, all its measurements are 0 and it fails
 ``too_few_words``; an empty text likewise; very long texts cost memory in proportion to one text; repeated rows
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, keyed_texts, map_batches, table
+from .common import free_name, keyed_texts, map_batches, materialize, table
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -116,6 +117,11 @@ def build_ledger(docs: DataFrame) -> DataFrame:
     return out.withColumn("fail_bits", failure_bits())
 
 
+def store_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger, written once to the shared folder: policies and ablations read that table."""
+    return materialize(build_ledger(docs), "quality_ledger")
+
+
 def apply_policy(ledger: DataFrame, policy: int | str) -> DataFrame:
     """The ledger with base_failed and kept. ``policy`` is a version of POLICIES or a mask."""
     rejects = POLICIES[policy] if isinstance(policy, str) else policy
@@ -157,7 +163,7 @@ def filter_quality(docs: DataFrame, policy: int | str = "v2") -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = build_ledger(table(spark, sf_dir, "documents"))
+    ledger = store_ledger(table(spark, sf_dir, "documents"))
     return apply_policy(ledger, "v2").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
