@@ -1,11 +1,15 @@
 """TIFF as a media column: lossless storage of bytes as 8-bit samples, and a reader that emits one row for each page.
 
 The reader walks the chain of image directories (either byte order), decodes strips or tiles (stored, PackBits, LZW
-or deflate), undoes the horizontal predictor, and puts planes together. It works page by page.
+or deflate; either fill order), undoes the horizontal or the floating-point predictor, unpacks samples of 1, 2 and 4 bits, and puts planes together. It works
+page by page. Samples of floating point come out as the unsigned integers of their bits.
 
-Defined results: a null text is an empty one, stored as 64 zero bytes; a null or malformed file gives one page row
-with ``error`` set and no pixels; long texts go to several pages of bounded size; repeated rows repeat; an empty
-table gives an empty table; extra columns are ignored.
+Payloads are stored in several forms, which their checksum chooses: deflated strips, deflated tiles, LZW or PackBits.
+
+Defined results: a null text is an empty one, stored as 64 zero bytes; a null or malformed file gives one row with
+``error`` set, without pixels or payload; so does a page or tile of more than MAX_PAGE_BYTES, as one cell of a row has to hold it, and a form of
+compression that isn't named here; long texts go to several pages of bounded size; equal texts give equal rows and repeated rows
+repeat; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from .common import keyed_texts, map_batches, ship_package, table
 # Fixed values of the format (TIFF 6.0 and its Adobe supplement).
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 273, 277, 278, 279
-PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 284, 317, 322, 323, 324, 325
+FILL_ORDER, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 266, 284, 317, 322, 323, 324, 325
 STORED, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
@@ -157,17 +161,44 @@ def _inflate(data: bytes, size: int) -> bytes:
 
 
 COMPRESS = {STORED: bytes, LZW: lzw_encode, DEFLATE: lambda d: zlib.compress(d, 6), OLD_DEFLATE: lambda d: zlib.compress(d, 6), PACKBITS: packbits_encode}
+#: Each byte with its bits in reverse.
+MIRRORED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 EXPAND = {STORED: lambda d, n: bytes(d[:n]), LZW: lzw_decode, DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: packbits_decode}
 
 
-def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_rows: int = STRIP_ROWS, tile: tuple[int, int] | None = None, big_endian: bool = False, planar: int = 1) -> bytes:
-    """A file of the pages: arrays of uint8 or uint16, rows x columns or rows x columns x samples. tile: (rows, columns), multiples of 16."""
+def split_bytes(block: np.ndarray) -> np.ndarray:
+    """The floating-point predictor: of each row the bytes of all samples by significance, highest first, each less the one a pixel before."""
+    rows, width, samples = block.shape
+    size = block.dtype.itemsize
+    planes = block.astype(block.dtype.newbyteorder(">")).view(np.uint8).reshape(rows, width * samples, size).transpose(0, 2, 1).reshape(rows, -1, samples)
+    return np.concatenate([planes[:, :1], planes[:, 1:] - planes[:, :-1]], axis=1)
+
+
+def join_bytes(raw: np.ndarray, rows: int, width: int, samples: int, kind: np.dtype) -> np.ndarray:
+    planes = np.cumsum(raw.reshape(rows, -1, samples), axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, width * samples)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).astype(kind).reshape(rows, width, samples)
+
+
+def pack_bits(block: np.ndarray, bits: int) -> bytes:
+    """Samples of fewer than 8 bits, rows filled up to whole bytes."""
+    flat = np.unpackbits(block.reshape(len(block), -1, 1), axis=2)[:, :, 8 - bits :]
+    return np.packbits(flat.reshape(len(block), -1), axis=1).tobytes()
+
+
+def unpack_bits(raw: bytes, rows: int, width: int, samples: int, bits: int) -> np.ndarray:
+    flat = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)[:, : width * samples * bits].reshape(rows, width * samples, bits)
+    return np.packbits(flat, axis=2)[:, :, 0].reshape(rows, width, samples) >> (8 - bits)
+
+
+def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_rows: int = STRIP_ROWS, tile: tuple[int, int] | None = None, big_endian: bool = False, planar: int = 1, bits: int | None = None, fill_order: int = 1) -> bytes:
+    """A file of the pages: arrays of unsigned integers, rows x columns or rows x columns x samples. tile: (rows, columns), multiples of 16; bits: 1, 2 or 4 for packed samples."""
+    depth = bits
     e = ">" if big_endian else "<"
     out, link = bytearray((b"MM" if big_endian else b"II") + struct.pack(e + "HI", 42, 0)), 4
     for page in pages:
         image = page if page.ndim == 3 else page[:, :, None]
         h, w, s = image.shape
-        bits = image.dtype.itemsize * 8
+        bits = depth or image.dtype.itemsize * 8
         planes = [image] if planar == 1 else [image[:, :, k : k + 1] for k in range(s)]
         at, sizes = [], []
         for plane in planes:
@@ -179,12 +210,16 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
                         block = np.pad(block, ((0, th - block.shape[0]), (0, tw - block.shape[1]), (0, 0)))
                     if predictor == 2:
                         block = np.concatenate([block[:, :1], block[:, 1:] - block[:, :-1]], axis=1)
-                    packed = COMPRESS[compression](block.astype(block.dtype.newbyteorder(e)).tobytes())
+                    elif predictor == 3:
+                        block = split_bytes(block)
+                    packed = COMPRESS[compression](pack_bits(block, bits) if bits < 8 else block.astype(block.dtype.newbyteorder(e)).tobytes())
+                    if fill_order == 2:
+                        packed = packed.translate(MIRRORED)
                     out += b"\0" * (len(out) % 2)
                     at.append(len(out))
                     sizes.append(len(packed))
                     out += packed
-        fields = [(WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [bits] * s), (COMPRESSION, 3, [compression]), (PHOTOMETRIC, 3, [2 if s == 3 else 1]), (SAMPLES, 3, [s]), (PLANAR, 3, [planar]), (PREDICTOR, 3, [predictor])]
+        fields = [(WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [bits] * s), (COMPRESSION, 3, [compression]), (PHOTOMETRIC, 3, [2 if s == 3 else 1]), (SAMPLES, 3, [s]), (PLANAR, 3, [planar]), (PREDICTOR, 3, [predictor]), (FILL_ORDER, 3, [fill_order])]
         fields += [(TILE_WIDTH, 4, [tile[1]]), (TILE_LENGTH, 4, [tile[0]]), (TILE_OFFSETS, 4, at), (TILE_COUNTS, 4, sizes)] if tile else [(STRIP_OFFSETS, 4, at), (ROWS_PER_STRIP, 4, [strip_rows]), (STRIP_COUNTS, 4, sizes)]
         entries = bytearray()
         for tag, kind, values in sorted(fields):
@@ -213,6 +248,7 @@ class Page:
     bits: int
     compression: int
     predictor: int
+    tiled: bool
     pixels: np.ndarray
 
 
@@ -238,31 +274,37 @@ def _read_page(data: bytes, tags: dict[int, list[int]], e: str, index: int) -> P
     one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
     w, h, s = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     bits, compression, predictor, planar = one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
-    if not w or not h or bits not in (8, 16, 32) or len(set(tags.get(BITS, [bits]))) > 1:
+    if not w or not h or bits not in (1, 2, 4, 8, 16, 32, 64) or len(set(tags.get(BITS, [bits]))) > 1:
         raise TiffError(f"a page of {w} x {h} with {tags.get(BITS)} bits is not taken")
-    if compression not in EXPAND or predictor not in (1, 2):
+    if compression not in EXPAND or predictor not in ((1,) if bits < 8 else (1, 2, 3)):
         raise TiffError(f"compression {compression} with predictor {predictor} is not taken")
-    if w * h * s * bits // 8 > MAX_PAGE_BYTES:
+    kind = np.dtype(f"u{max(bits, 8) // 8}")
+    if w * h * s * kind.itemsize > MAX_PAGE_BYTES:
         raise TiffError("the page is too large")
-    kind = np.dtype(f"u{bits // 8}")
     tiled = TILE_OFFSETS in tags
     th, tw = (one(TILE_LENGTH), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, h), h), w)
     at, sizes = (tags.get(TILE_OFFSETS), tags.get(TILE_COUNTS)) if tiled else (tags.get(STRIP_OFFSETS), tags.get(STRIP_COUNTS))
     down, across, depth, planes = math.ceil(h / max(th or 0, 1)), math.ceil(w / max(tw or 0, 1)), s if planar == 1 else 1, 1 if planar == 1 else s
     if not th or not tw or not at or not sizes or min(len(at), len(sizes)) < down * across * planes:
         raise TiffError("strips or tiles are missing")
-    if th * tw * depth * bits // 8 > MAX_PAGE_BYTES:
+    if th * tw * depth * kind.itemsize > MAX_PAGE_BYTES:
         raise TiffError("a tile is too large")
     pixels = np.zeros((h, w, s), kind)
     for k in range(down * across * planes):
         plane, cell = divmod(k, down * across)
         y, x = cell // across * th, cell % across * tw
         rows = th if tiled else min(th, h - y)
-        size = rows * tw * depth * kind.itemsize
-        raw = EXPAND[compression](data[at[k] : at[k] + sizes[k]], size)
+        size = rows * (-(-tw * depth * bits // 8))
+        packed = data[at[k] : at[k] + sizes[k]]
+        raw = EXPAND[compression](packed.translate(MIRRORED) if one(FILL_ORDER, 1) == 2 else packed, size)
         if len(raw) < size:
             raise TiffError(f"strip or tile {k} is short")
-        block = np.frombuffer(raw[:size], kind.newbyteorder(e)).astype(kind).reshape(rows, tw, depth)
+        if bits < 8:
+            block = unpack_bits(raw[:size], rows, tw, depth, bits)
+        elif predictor == 3:
+            block = join_bytes(np.frombuffer(raw[:size], np.uint8), rows, tw, depth, kind)
+        else:
+            block = np.frombuffer(raw[:size], kind.newbyteorder(e)).astype(kind).reshape(rows, tw, depth)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=kind)
         put = block[: h - y, : w - x]
@@ -270,7 +312,7 @@ def _read_page(data: bytes, tags: dict[int, list[int]], e: str, index: int) -> P
             pixels[y : y + put.shape[0], x : x + put.shape[1]] = put
         else:
             pixels[y : y + put.shape[0], x : x + put.shape[1], plane] = put[:, :, 0]
-    return Page(index, w, h, s, bits, compression, predictor, pixels)
+    return Page(index, w, h, s, bits, compression, predictor, tiled, pixels)
 
 
 def iter_pages(data: bytes) -> Iterator[Page]:
@@ -294,10 +336,17 @@ def iter_pages(data: bytes) -> Iterator[Page]:
         at = following
 
 
+#: Of FORM_SHARE payloads, by checksum, one goes to each of these; the others are deflated strips. LZW and PackBits run in Python here, so their share is small.
+FORMS = ({"compression": LZW}, {"compression": PACKBITS}, {"compression": DEFLATE, "predictor": 2, "tile": (64, 32)}, {"compression": DEFLATE, "predictor": 2, "big_endian": True})
+FORM_SHARE = 16
+
+
 def store_payload(payload: bytes) -> bytes:
-    """Bytes, a multiple of ROW_BYTES of them, as deflated pages of ROW_BYTES columns."""
+    """Bytes, a multiple of ROW_BYTES of them, as pages of ROW_BYTES columns."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW_BYTES)
-    return write_tiff([rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)], DEFLATE, predictor=2)
+    choice = zlib.crc32(payload) % FORM_SHARE
+    form = FORMS[choice] if choice < len(FORMS) else {"compression": DEFLATE, "predictor": 2}
+    return write_tiff([rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)], **form)
 
 
 def pad(raw: bytes) -> bytes:
@@ -340,15 +389,15 @@ def decode_pages(media: DataFrame, key: str = "doc_id", column: str = "media") -
 
 def features(counts: np.ndarray, pages: int, rows: int) -> str:
     """Pages, rows, mean, distinct samples and entropy in bits of a histogram of samples."""
-    n = int(counts.sum())
+    n = max(int(counts.sum()), 1)
     share = counts[counts > 0] / n
     mean = float((counts * np.arange(256)).sum()) / n
     return f"pages={pages};rows={rows};mean={mean:.6f};distinct={len(share)};entropy={abs(float(-(share * np.log2(share)).sum())):.6f}"
 
 
 def media_digest(media: DataFrame) -> DataFrame:
-    """Reads the stored files back page by page; a digest row for each: payload, media and features of the samples."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """Reads the stored files back page by page; a digest row for each: payload, media and features of the samples; where a file can't be read, ``error`` in their place."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -356,13 +405,19 @@ def media_digest(media: DataFrame) -> DataFrame:
         for k, n, v in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2), strict=True):
             data = v.as_py()
             sha, size, pages, height, tail, counts = hashlib.sha256(), 0, 0, 0, b"", np.zeros(256, np.int64)
-            for p in iter_pages(data):
-                raw = p.pixels.tobytes()
-                sha.update(raw)
-                size, pages, height, tail = size + len(raw), pages + 1, height + p.height, (tail + raw[-ROW_BYTES:])[-ROW_BYTES:]
-                counts += np.bincount(p.pixels.ravel(), minlength=256)
-            rows.append((k, n, size, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), features(counts, pages, height)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            try:
+                for p in iter_pages(data or b""):
+                    raw = p.pixels.tobytes()
+                    sha.update(raw)
+                    size, pages, height, tail = size + len(raw), pages + 1, height + p.height, (tail + raw[-ROW_BYTES:])[-ROW_BYTES:]
+                    counts += np.bincount(p.pixels.view(np.uint8).ravel(), minlength=256)
+                read = (size, sha.hexdigest(), zlib.crc32(tail)) if pages else (0, sha.hexdigest(), 0)
+                seen, error = features(counts, pages, height), None
+            except TiffError as e:
+                read, seen, error = (None, None, None), None, str(e)
+            stored = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+            rows.append((k, n, *read, *stored, seen, error))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return map_batches(media, work, schema)
