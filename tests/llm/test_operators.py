@@ -99,7 +99,16 @@ def test_quality(docs, rows, empty):
         assert (r.n_words, r.n_repeat_words) == (len(w), len(hit))
     kept = quality.filter_quality(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.apply_policy(quality.build_ledger(docs), "v2").where("kept").collect()}
-    assert quality.ablations(quality.build_ledger(docs), "v2").where("rule = 'too_few_words'").first().n_failed >= 3
+    # Several policies and ablations over one stored ledger, which is all that they read.
+    ledger = quality.store_ledger(docs)
+    assert all("documents" not in f and "quality_ledger" in f for f in ledger.inputFiles())
+    facts = [(r, dict(zip(quality.MEASURES, quality.measure(r[1]), strict=True))) for r in rows]
+    fails = {r[0]: {n for n, c in quality.RULES if eval(c, {}, m)} for r, m in facts}  # noqa: S307
+    for policy, names in (("v1", {"too_few_words", "repeated_windows", "symbols", "duplicate_lines"}), ("v2", {n for n, _ in quality.RULES}), (quality.mask("shouting"), {"shouting"}), (0, set())):
+        base = set(quality.BASE_RULES)
+        assert {r.doc_id: r.kept for r in quality.apply_policy(ledger, policy).collect()} == {d: not f & (base | names) for d, f in fails.items()}
+        got = {r.rule: (r.n_failed, r.n_only_this) for r in quality.ablations(ledger, policy).collect()}
+        assert got == {n: (sum(n in f for f in fails.values()), sum(f & names == {n} for f in fails.values())) for n in names}
     assert quality.build_ledger(empty).count() == 0 == quality.filter_quality(empty).count()
 
 
@@ -245,6 +254,62 @@ def test_wrapped_licences(spark):
     assert all(any(h in s for h in licences.HINTS) for s in licences.sentence_table())
 
 
+PUBLISHED = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_FILE = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+
+
+def test_published_licence_files(spark):
+    """Whole files as published, a line for each paragraph, wrapped anew, behind comment marks, and one after the other; a sentence may also follow another or a colon in one line."""
+    import textwrap
+    from pathlib import Path
+
+    files = {"MIT": MIT_FILE, "BSD-3-Clause": BSD_FILE}
+    folder = Path("/usr/share/common-licenses")
+    files |= {licence: (folder / name).read_text("utf-8") for name, licence in PUBLISHED.items() if (folder / name).exists()}
+    forms = {
+        "whole": lambda t: t, "line": lambda t: "\n".join(" ".join(p.split()) for p in t.split("\n\n")), "narrow": lambda t: "\n\n".join(textwrap.fill(p, 50) for p in t.split("\n\n")), "marks": lambda t: "\n".join(" * " + x for x in t.split("\n")),
+        "hash": lambda t: "\n".join(f"# {x}".rstrip() for x in t.split("\n")), "dos": lambda t: t.replace("\n", "\r\n"),
+    }
+    cases = [(licence, name, f(t)) for licence, t in files.items() for name, f in forms.items()]
+    got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame([(i, t) for i, (*_, t) in enumerate(cases)], "doc_id long, text string")).collect()}
+    # A whole text of the GNU licences shows the notices that a program should carry, which name "or any later version".
+    wrong = [(licence, name, got[i]) for i, (licence, name, _) in enumerate(cases) if licence not in got[i].split(",") or {x.replace("-or-later", "") for x in got[i].split(",")} - {licence}]
+    assert wrong == []
+    both = spark.createDataFrame([(1, files["MIT"] + "\n\n" + files["BSD-3-Clause"]), (2, "x\n// SPDX-License-Identifier: MPL-2.0\ny"), (3, "SPDX-License-Identifier: 0BSD"), (4, " ".join(MIT_FILE[MIT_FILE.index("Permission") :].split())), (5, " ".join(BSD_FILE.split()))], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in licences.scan(both).collect()} == {1: "BSD-3-Clause,MIT", 2: "MPL-2.0", 3: "0BSD", 4: "MIT", 5: "BSD-3-Clause"}
+
+
 def test_bpe_equals_the_library(docs, rows, empty):
     import tiktoken
 
@@ -274,10 +339,76 @@ def test_tiff_round_trip(compression, big, predictor, tile, planar):
 def test_tiff_rows(docs, rows, spark, empty):
     for r in tiff.media_digest(tiff.encode_media(docs)).collect():
         payload = tiff.pad((rows[r.doc_id][1] or "").encode())
-        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32, r.error) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), None)
+        media = tiff.store_payload(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        count = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
+        share = count[count > 0] / len(payload)
+        assert r.feature == f"pages={-(-len(payload) // (64 * 65536))};rows={len(payload) // 64};mean={np.frombuffer(payload, np.uint8).mean():.6f};distinct={len(share)};entropy={abs(-(share * np.log2(share)).sum()):.6f}"
+    forms = Counter()
+    for i in range(200):
+        (page, *_) = tiff.iter_pages(tiff.store_payload(tiff.pad(b"text %d" % i)))
+        forms[page.compression, page.tiled] += 1
+    assert set(forms) == {(tiff.LZW, False), (tiff.PACKBITS, False), (tiff.DEFLATE, True), (tiff.DEFLATE, False)}
     bad = spark.createDataFrame([(1, None), (2, bytearray(b"II*\0\x08\0\0\0")), (3, bytearray(b"nonsense")), (4, bytearray(tiff.write_tiff([np.zeros((4, 4), np.uint8)] * 2)))], "doc_id long, media binary")
     assert Counter((r.key, r.error is None) for r in tiff.decode_pages(bad).collect()) == {(1, False): 1, (2, False): 1, (3, False): 1, (4, True): 2}
-    assert tiff.encode_media(empty).count() == 0
+    lost = {r.doc_id: r for r in tiff.media_digest(bad.withColumn("n_bytes", F.lit(1).cast("long")).select("doc_id", "n_bytes", "media")).collect()}
+    assert all(lost[i].error and lost[i].payload_sha256 is None and lost[i].n_bytes == 1 for i in (1, 2, 3)) and lost[1].media_bytes is None and lost[3].media_bytes == 8
+    assert lost[4].error is None and lost[4].payload_bytes == 32
+    assert tiff.encode_media(empty).count() == 0 == tiff.media_digest(tiff.encode_media(empty)).count()
+
+
+def test_tiff_vectors_of_the_specification():
+    packed = bytes.fromhex("FE AA 02 80 00 2A FD AA 03 80 00 2A 22 F7 AA")
+    assert tiff.packbits_decode(packed, 24) == bytes.fromhex("AA AA AA 80 00 2A AA AA AA AA 80 00 2A 22 AA AA AA AA AA AA AA AA AA AA")
+    codes = (256, 7, 258, 8, 8, 258, 6, 6, 257)
+    bits = "".join(f"{c:09b}" for c in codes)
+    data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.lzw_decode(data, 9) == bytes((7, 7, 7, 8, 8, 7, 7, 6, 6)) and tiff.lzw_encode(bytes((7, 7, 7, 8, 8, 7, 7, 6, 6))) == data
+
+
+@pytest.mark.parametrize("form", ["PackBits", "LZW", "ZLib", "Deflate", None])
+@pytest.mark.parametrize(("kind", "shape", "dtype"), [(10, (70, 50), np.uint8), (5, (33, 40, 3), np.uint8), (11, (40, 25), np.uint16), (12, (30, 45), np.uint8)])
+def test_tiff_of_another_writer(spark, form, kind, shape, dtype):
+    """Files by the TIFF writer of the Java class library: grey, colour, 16 bits and bilevel."""
+    jvm = spark._jvm
+    rng = np.random.default_rng(3)
+    image = rng.integers(0, 2, shape) if kind == 12 else rng.integers(0, 9, shape) * (7000 if dtype is np.uint16 else 20)
+    picture = jvm.java.awt.image.BufferedImage(shape[1], shape[0], kind)
+    raster = picture.getRaster()
+    for band in range(shape[2] if len(shape) == 3 else 1):
+        plane = image[:, :, band] if len(shape) == 3 else image
+        for y in range(shape[0]):
+            for x in range(shape[1]):
+                raster.setSample(x, y, band, int(plane[y, x]))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("tiff").next()
+    held = jvm.java.io.ByteArrayOutputStream()
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(held)
+    writer.setOutput(stream)
+    how = writer.getDefaultWriteParam()
+    if form:
+        how.setCompressionMode(2)
+        how.setCompressionType(form)
+    writer.write(None, jvm.javax.imageio.IIOImage(picture, None, None), how)
+    stream.flush()
+    (page,) = tiff.iter_pages(bytes(held.toByteArray()))
+    assert np.array_equal(page.pixels.squeeze(), image.astype(dtype))
+
+
+def test_tiff_small_samples_fill_order_and_floats():
+    rng = np.random.default_rng(5)
+    for bits in (1, 2, 4):
+        image = rng.integers(0, 1 << bits, (19, 37, 1), np.uint8)
+        for compression in (tiff.STORED, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE):
+            for order in (1, 2):
+                (page,) = tiff.iter_pages(tiff.write_tiff([image], compression, strip_rows=7, bits=bits, fill_order=order))
+                assert np.array_equal(page.pixels, image) and page.bits == bits
+    floats = rng.normal(size=(23, 31, 3)).astype(np.float32)
+    for big in (False, True):
+        (page,) = tiff.iter_pages(tiff.write_tiff([floats.view(np.uint32)], tiff.DEFLATE, 3, 5, big_endian=big))
+        assert np.array_equal(page.pixels.view(np.float32), floats)
+    with pytest.raises(tiff.TiffError, match="not taken"):
+        list(tiff.iter_pages(tiff.write_tiff([np.zeros((4, 4), np.uint8)], tiff.DEFLATE, predictor=9)))
 
 
 def test_hilbert_shards(docs, rows, empty, spark):
