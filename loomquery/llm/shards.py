@@ -7,12 +7,14 @@ the curve are neighbours in every dimension, so a shard covers a small box and m
 The sort is a range partition over (index, text hash, id hash), which also splits a cell, or a group of equal texts, that holds a
 large share of all rows. Ranks come from row numbers within the written partitions plus one carried count for each partition.
 
-Defined results: a null text has no bytes and checksum 0; null metadata goes to bin 0; equal rows are interchangeable and
-sit side by side; an empty table gives an empty table; extra columns are ignored (``write_shards`` keeps them).
+Defined results: a null text has no bytes and checksum 0; a text of any length counts with its bytes alone; null metadata goes to bin 0; equal rows are
+interchangeable and sit side by side; ties on the curve are broken by hashes of text and id; an empty table gives an empty table; extra columns are ignored (``write_shards`` keeps them).
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ N_SHARDS = 16
 BITS = 4
 
 
-def string_bounds(rows: DataFrame, dims: tuple[str, ...], bins: int) -> dict[str, list[str]]:
-    """For each string column the values at which another 1 / bins of its rows ends: whole strings count, whatever prefix they share.
+def string_quantiles(rows: DataFrame, dims: tuple[str, ...], bins: int) -> dict[str, list[tuple[str, int]]]:
+    """For each string column the values at which another 1 / bins of its rows ends, and how many such shares end there: whole strings count, whatever prefix they share.
 
     Only the table of distinct values is sorted, over all partitions; at most ``bins`` values of a column reach the driver.
     """
@@ -36,11 +38,17 @@ def string_bounds(rows: DataFrame, dims: tuple[str, ...], bins: int) -> dict[str
     within = F.sum("rows").over(Window.partitionBy("dim", "part").orderBy("value"))
     ends = dealt.withColumn("within", within).join(carried, ["dim", "part"]).withColumn("upto", F.col("before") + F.col("within"))
     out = {d: [] for d in dims}
-    for r in ends.where(f"upto * {bins} div n > (upto - rows) * {bins} div n").select("dim", "value").collect():
-        out[r.dim].append(r.value)
+    times = F.expr(f"upto * {bins} div n - (upto - rows) * {bins} div n").cast("int")
+    for r in ends.select("dim", "value", times.alias("times")).where("times > 0").collect():
+        out[r.dim].append((r.value, r.times))
     return out
 
 
+def string_bounds(rows: DataFrame, dims: tuple[str, ...], bins: int) -> dict[str, list[str]]:
+    """The values of string_quantiles alone."""
+    return {d: [v for v, _ in q] for d, q in string_quantiles(rows, dims, bins).items()}
+
+
 def hilbert_index(axes: list[Column], bits: int) -> Column:
     """Index on the Hilbert curve of a cell, from its coordinates of ``bits`` bits each (Skilling, "Programming the Hilbert curve", 2004).
 
@@ -70,11 +78,11 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
     return F.element_at(F.transform(F.array(flipped), weave), 1)
 
 
-def quantise(value: Column, bounds: list[int] | list[str]) -> Column:
-    """How many of the ascending bounds lie below the value; null goes to bin 0."""
+def quantise(value: Column, quantiles: list[tuple[int, int]] | list[tuple[str, int]]) -> Column:
+    """How many shares of the rows end below the value, so that few values still spread over all bins; null goes to bin 0."""
     bins = F.lit(0)
-    for b in bounds:
-        bins = bins + F.when(value > F.lit(b), 1).otherwise(0)
+    for bound, times in quantiles:
+        bins = bins + F.when(value > F.lit(bound), times).otherwise(0)
     return bins
 
 
@@ -90,8 +98,9 @@ def curve_order(docs: DataFrame, bits: int = BITS) -> DataFrame:
     dims = ("lang", "source", "size", "doc_id")
     points = F.array(*(F.lit(i / (1 << bits)) for i in range(1, 1 << bits)))
     # At most 2^bits bounds for each dimension, whatever the input's size.
-    bounds = string_bounds(narrow, dims[:2], 1 << bits) | narrow.agg(*(F.percentile_approx(d, points, F.lit(10_000)).alias(d) for d in dims[2:])).first().asDict()
-    cells = narrow.withColumn("hilbert", hilbert_index([quantise(F.col(d), sorted(set(bounds[d] or []))) for d in dims], bits))
+    numbers = narrow.agg(*(F.percentile_approx(d, points, F.lit(10_000)).alias(d) for d in dims[2:])).first().asDict()
+    quantiles = string_quantiles(narrow, dims[:2], 1 << bits) | {d: sorted(Counter(b or []).items()) for d, b in numbers.items()}
+    cells = narrow.withColumn("hilbert", hilbert_index([quantise(F.col(d), quantiles[d]) for d in dims], bits))
     keys = ["hilbert", "text_hash", "id_hash", "doc_id"]
     dealt = cells.withColumn("id_hash", F.xxhash64("doc_id")).select("doc_id", "size", "text_crc32", *keys[:3]).repartitionByRange(n_partitions(spark), *keys).sortWithinPartitions(*keys)
     numbered = materialize(dealt.withColumn("at", F.monotonically_increasing_id()), "shard_order")

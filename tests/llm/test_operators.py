@@ -424,6 +424,96 @@ def test_hilbert_shards(docs, rows, empty, spark):
     assert [r.h for r in walk] == list(range(256)) and all(abs(a.x - b.x) + abs(a.y - b.y) == 1 for a, b in itertools.pairwise(walk))
 
 
+def hilbert_of(cell, bits):
+    """Skilling's transform, step by step on plain integers."""
+    x, q = list(cell), 1 << (bits - 1)
+    while q > 1:
+        p = q - 1
+        for i in range(len(x)):
+            if x[i] & q:
+                x[0] ^= p
+            else:
+                t = (x[0] ^ x[i]) & p
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, len(x)):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[-1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return sum(((v >> b) & 1) << (b * len(x) + len(x) - 1 - i) for b in range(bits) for i, v in enumerate(x))
+
+
+def shards_brute(rows, n_shards=16, bits=4):
+    """doc_id, size, crc, shard, slot of each row: bins, curve, order and cut written out."""
+    import math
+
+    import xxhash
+
+    bins = 1 << bits
+    h_text = lambda t: 42 if t is None else xxhash.xxh64_intdigest(t.encode(), 42)
+    h_long = lambda v: 42 if v is None else xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), 42)
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    recs = [{"doc_id": d, "size": len((t or "").encode()) + 1, "crc": zlib.crc32((t or "").encode()), "text": t, "lang": lang, "source": source} for d, t, lang, source, *_ in rows]
+
+    def text_bounds(dim):
+        values = sorted(r[dim].encode() for r in recs if r[dim] is not None)
+        n, out = len(values), []
+        for v in sorted(set(values)):
+            upto, own = sum(x <= v for x in values), values.count(v)
+            out += [v] * (upto * bins // n - (upto - own) * bins // n)
+        return out
+
+    def number_bounds(dim):
+        values = sorted(r[dim] for r in recs if r[dim] is not None)
+        return [values[max(math.ceil(i / bins * len(values)) - 1, 0)] for i in range(1, bins)]
+
+    bounds = {"lang": text_bounds("lang"), "source": text_bounds("source"), "size": number_bounds("size"), "doc_id": number_bounds("doc_id")}
+    for r in recs:
+        value = lambda d: r[d].encode() if isinstance(r[d], str) else r[d]  # noqa: B023, E731
+        cell = [0 if r[d] is None else sum(b < value(d) for b in bounds[d]) for d in bounds]
+        r["key"] = (hilbert_of(cell, bits), signed(h_text(r["text"])), signed(h_long(r["doc_id"])), r["doc_id"])
+    recs.sort(key=lambda r: r["key"])
+    out, n, slots = [], len(recs), Counter()
+    for rank, r in enumerate(recs):
+        shard = rank * n_shards // n
+        out.append((r["doc_id"], r["size"], r["crc"], r["key"][0], shard, slots[shard]))
+        slots[shard] += 1
+    return out
+
+
+def test_hilbert_shards_against_brute_force(docs, rows):
+    got = shards.cut_runs(shards.curve_order(docs)).collect()
+    assert sorted((r.doc_id, r["size"], r.text_crc32, r.hilbert, r.shard, r.slot) for r in got) == sorted(shards_brute(rows))
+
+
+def test_written_shards_prune(spark, tmp_path):
+    """Shards along the curve: a query on one dimension reads few of them, where shards by id read all."""
+    rng = random.Random(5)
+    rows = [(i, "x " * int(rng.paretovariate(1) * 5 % 4000), rng.choice(["de", "en", "es", "fr"]), f"src{rng.randrange(20)}", 0) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    shards.write_shards(df, f"file://{tmp_path}/shards")
+    written = spark.read.parquet(f"file://{tmp_path}/shards")
+    back = [tuple(r) for r in written.select("doc_id", "text", "lang", "source", "n_chars", "shard_no").collect()]
+    assert sorted(r[:5] for r in back) == sorted(rows)
+    place = {r[0]: r[4] for r in shards_brute(rows)}
+    assert {r[0]: r[5] for r in back} == place
+    by = defaultdict(list)
+    for d, t, lang, source, *_ in rows:
+        by[place[d]].append((lang, source, len(t), d))
+    ways = {"lang": (0, ["de", "fr"]), "source": (1, ["src3", "src11"]), "size": (2, [10, 700]), "doc_id": (3, [5, 3900])}
+    read = {k: sum(min(r[i] for r in s) <= v <= max(r[i] for r in s) for v in values for s in by.values()) / (len(by) * len(values)) for k, (i, values) in ways.items()}
+    by_id = defaultdict(list)
+    for d, t, lang, source, *_ in rows:
+        by_id[d % 16].append((lang, source, len(t), d))
+    plain = {k: sum(min(r[i] for r in s) <= v <= max(r[i] for r in s) for v in values for s in by_id.values()) / (16 * len(values)) for k, (i, values) in ways.items()}
+    assert all(read[k] <= 0.8 * plain[k] for k in ways) and sum(read.values()) <= 0.6 * sum(plain.values()), (read, plain)
+
+
 def test_hilbert_tells_sources_with_one_prefix_apart(spark):
     names = [f"https://example.org/{i:02d}" for i in range(16)]
     df = spark.createDataFrame([(None, "x", "en", s) for s in names for _ in range(3)], "doc_id long, text string, lang string, source string")
