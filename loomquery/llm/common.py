@@ -23,7 +23,11 @@ WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
 
 BATCH_ROWS = 1000
 
+#: The bound on the table of marks that spread_join broadcasts.
+MARKS = 1 << 16
+
 _local_scratch: list[str] = []
+_own_scratch: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -39,9 +43,25 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{_local_scratch[0]}"
 
 
+def _delete(jvm, path: str, conf) -> None:
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(conf).delete(place, True)
+
+
+def _delete_at_exit(jvm, path: str, conf) -> None:
+    try:
+        _delete(jvm, path, conf)
+    except Exception:  # the JVM went first: what is left is scratch, under this application's name
+        pass
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table or a set of files in the shared folder."""
-    return f"{scratch_root(spark)}/loomquery/{uuid.uuid4().hex}/{name}"
+    """A fresh path for a table or a set of files in the shared folder. All paths of an application lie in one folder, which goes when the driver's process ends."""
+    own = f"{scratch_root(spark)}/loomquery/{spark.sparkContext.applicationId}"
+    if own not in _own_scratch:
+        _own_scratch.add(own)
+        atexit.register(_delete_at_exit, spark._jvm, own, spark._jsc.hadoopConfiguration())
+    return f"{own}/{uuid.uuid4().hex}/{name}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -49,7 +69,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomquery_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing will read again: all that came of them has been written."""
+    for t in tables:
+        path = t.__dict__.pop("_loomquery_path", None)
+        if path:
+            _delete(t.sparkSession._jvm, path, t.sparkSession._jsc.hadoopConfiguration())
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, heavy: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with facts, which has one row for each key, where the keys in ``heavy`` may have any number of rows.
+
+    Rows of a heavy key are dealt to all partitions by ``by``, and its fact is copied to each. Which keys are heavy is told by a table of at most MARKS hash values,
+    the one thing that is broadcast; a key that shares the hash value of a heavy one is spread too.
+    """
+    mark = lambda: F.pmod(F.xxhash64(key), F.lit(MARKS)).alias("_mark")
+    marks = F.broadcast(heavy.select(mark()).distinct().withColumn("_heavy", F.lit(True)))
+    n = n_partitions(rows.sparkSession)
+    salted = rows.withColumn("_mark", mark()).join(marks, "_mark", "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(by), F.lit(n))).otherwise(0).cast("int")).drop("_mark", "_heavy")
+    copied = facts.withColumn("_mark", mark()).join(marks, "_mark", "left").withColumn("_salt", F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))))).drop("_mark", "_heavy")
+    return salted.join(copied, [key, "_salt"], how).drop("_salt")
 
 
 def ship_package(spark: SparkSession) -> None:

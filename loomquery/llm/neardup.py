@@ -17,9 +17,12 @@ one counter each. Classes that share a band key are candidates. No step lists th
 Nothing is capped. With R rows in each of N bands, a pair of similarity s shares no band with chance (1 - s^R)^N, under 3e-6 at s = 0.8.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and kept; with fewer words than a shingle the whole
-sequence is the one shingle; rows that are equal are one class; rows with one id count as one document in
-``near_duplicates``, while ``drop_near_duplicates`` decides on each row; an empty table gives an empty table; extra
-columns are ignored (``drop_near_duplicates`` keeps them).
+sequence is the one shingle; a text of any length is shingled whole; equal texts are one class. Each row is judged by its own text: rows with one id and different
+texts may lie in different groups, and rows that are equal have equal results. component_id is the smallest id of a row's group, null only if no row of it has an id;
+a row is kept in ``near_duplicates`` if its id is that one, in ``drop_near_duplicates`` if it is the one row that stands for its group.
+An empty table gives an empty table; extra columns are ignored (``drop_near_duplicates`` keeps them).
+
+A cluster, band or hub of links that holds a large share of all rows is spread over all partitions before it meets its one fact (``spread_join``).
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, free_name, keyed_texts, map_batches, materialize, table
+from .common import WORD_PATTERN, discard, free_name, keyed_texts, map_batches, materialize, spread_join, table
 from .textgrams import U, mix, series, slices
 
 N_HASHES = 256
@@ -47,6 +50,8 @@ SLACK = 0.18
 #: Estimates from here on tie classes into a cluster that is looked through exactly.
 LOOSE = 0.45
 GRID = 500
+#: A band or a node of the link graph with more rows is spread over all partitions where it is joined.
+HUB = 1_000
 
 PLANES = tuple(f"p{i}" for i in range(B * N_HASHES // 64))
 _A, _C = series(N_HASHES, 11).astype(np.uint32) | np.uint32(1), series(N_HASHES, 12).astype(np.uint32)
@@ -192,7 +197,8 @@ def confirm(sets: DataFrame, pairs: DataFrame, threshold: int, name: str) -> Dat
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     x, y = sets.select(F.col("cls").alias("a"), F.col("members").alias("x")), sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
-    joined = pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y")
+    hubs = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("a")
+    joined = spread_join(pairs.select("a", "b").join(y, "b"), x, "a", hubs, "b").select("a", "b", "x", "y")
     return materialize(map_batches(joined, judge, "a long, b long"), f"{name}_links")
 
 
@@ -200,7 +206,7 @@ def _grid(rows: DataFrame) -> DataFrame:
     """rows (with cluster, cls, label) of open clusters, dealt to tasks (cluster, i, j): block i of the probes with block j of the base."""
     parts = rows.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     sizes = parts.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n_base"), (F.sum("n") - F.max("n")).alias("n_probes")).where("n_probes > 0")
-    dealt = rows.join(sizes, "cluster").withColumn("ni", F.ceil(F.col("n_probes") / GRID).cast("int")).withColumn("nj", F.ceil(F.col("n_base") / GRID).cast("int"))
+    dealt = spread_join(rows, sizes, "cluster", sizes.where(F.col("n_base") > GRID), "cls").withColumn("ni", F.ceil(F.col("n_probes") / GRID).cast("int")).withColumn("nj", F.ceil(F.col("n_base") / GRID).cast("int"))
     h = F.xxhash64("cls")
     whole = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n: F.pmod(h, F.col(n)).cast("int")
@@ -289,12 +295,21 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.union(links.select(F.col("b"), F.col("a"))).distinct(), "cc_edges")
     labels = materialize(edges.select(F.col("a").alias("cls")).distinct().withColumn("label", F.col("cls")), "cc_labels")
     while edges.limit(1).count():
-        near = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("near")), "cc_near")
+        near = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("near"), F.count("*").alias("degree")), "cc_near")
+        # Many nodes may have one and the same smallest neighbour: that one's row is what they all ask for.
+        asked = near.groupBy("near").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("near")
         further = near.select(F.col("node").alias("near"), F.col("near").alias("to"))
-        moves = materialize(near.join(further, "near").select("node", "to"), "cc_moves")
+        moves = materialize(spread_join(near.select("node", "near"), further, "near", asked, "node").select("node", "to"), "cc_moves")
+        hubs = near.where(F.col("degree") > HUB)
         from_a, from_b = moves.select(F.col("node").alias("a"), F.col("to").alias("la")), moves.select(F.col("node").alias("b"), F.col("to").alias("lb"))
-        edges = materialize(edges.join(from_a, "a").join(from_b, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "cc_edges")
-        labels = materialize(labels.join(moves, labels["label"] == moves["node"], "left").select("cls", F.coalesce("to", "label").alias("label")), "cc_labels")
+        half = spread_join(edges, from_a, "a", hubs.select(F.col("node").alias("a")), "b")
+        moved = materialize(spread_join(half, from_b, "b", hubs.select(F.col("node").alias("b")), "a").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "cc_edges")
+        to = moves.select(F.col("node").alias("label"), "to")
+        taken = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("label")
+        relabelled = materialize(spread_join(labels, to, "label", taken, "cls", "left").select("cls", F.coalesce("to", "label").alias("label")), "cc_labels")
+        discard(near, moves, edges, labels)
+        edges, labels = moved, relabelled
+    discard(edges)
     return labels
 
 
@@ -304,15 +319,17 @@ def grouped_rows(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     full = sig.where(F.col("cls").isNotNull())
     classes = materialize(full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("n_shingles"), *(F.max(p).alias(p) for p in PLANES)), "nd_classes")
     banded = full.select("cls", F.explode(F.slice("bands", 1, HEAD_BANDS)).alias("band")).distinct()
-    buckets = banded.groupBy("band").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head < last").drop("last")
-    a, b, p = classes.alias("a"), classes.alias("b"), banded.join(buckets, "band").where("head <> cls").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct().alias("p")
-    near_head = p.join(b, F.col("p.b") == F.col("b.cls")).join(a, F.col("p.a") == F.col("a.cls")).where(estimate("a", "b") >= LOOSE)
-    ties = materialize(near_head.select("p.a", "p.b", likely("a", "b", threshold).alias("likely")), "nd_ties")
+    buckets = banded.groupBy("band").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1")
+    hot = buckets.where(F.col("n") > HUB)
+    p = spread_join(banded, buckets.drop("n"), "band", hot, "cls").where("head <> cls").select(F.col("head").alias("ka"), F.col("cls").alias("kb")).distinct()
+    of = lambda k, x: classes.select(F.col("cls").alias(k), F.struct("n_shingles", *PLANES).alias(x))
+    met = spread_join(p.join(of("kb", "b"), "kb"), of("ka", "a"), "ka", hot.select(F.col("head").alias("ka")), "kb")
+    ties = materialize(met.where(estimate("a", "b") >= LOOSE).select(F.col("ka").alias("a"), F.col("kb").alias("b"), likely("a", "b", threshold).alias("likely")), "nd_ties")
     clusters = components(ties)
 
     placed = full.select("cls", "bands").join(clusters, "cls", "left").select(F.explode("bands").alias("band"), "cls", F.coalesce("label", "cls").alias("cluster")).distinct()
-    mixed = placed.groupBy("band").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("band")
-    placed = materialize(placed.join(mixed, "band", "left_semi"), "nd_mixed")
+    mixed = placed.groupBy("band").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("n")).where("low < high")
+    placed = materialize(spread_join(placed, mixed.select("band"), "band", mixed.where(F.col("n") > HUB), "cls"), "nd_mixed")
     sizes = placed.groupBy("band", "cluster").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("band").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("largest"))
     apart = materialize(placed.join(largest, "band").join(classes, "cls").select("band", "cls", "cluster", "largest", "n_shingles", *PLANES), "nd_apart")
@@ -329,7 +346,7 @@ def grouped_rows(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     sets = full_sets(docs, classes, placed.select("cls"), k, "nd_sets")
     large = materialize(placed.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > GRID).select("cluster"), "nd_large")
     if large.limit(1).count():
-        in_large = placed.join(large, "cluster", "left_semi").select("cls")
+        in_large = spread_join(placed, large, "cluster", large, "cls").select("cls")
         star = confirm(sets, ties.where("likely").join(in_large, ties["a"] == in_large["cls"], "left_semi").select("a", "b"), threshold, "nd_star")
         begun = components(star)
         clustered = placed.join(begun, "cls", "left").select("cluster", "cls", F.coalesce("label", "cls").alias("label"))
@@ -340,7 +357,9 @@ def grouped_rows(docs: DataFrame, k: int, threshold: int) -> DataFrame:
 
     named = classes.select("cls", F.col("doc_id").alias("first_id"), "first").join(labels, "cls", "left").select("cls", "first_id", "first", F.coalesce("label", "cls").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min("first").alias("first"))
-    of_class = materialize(named.select("cls", "label").join(smallest, "label").select("cls", "component_id", "first"), "nd_components")
+    big = named.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("label")
+    of_class = materialize(spread_join(named.select("cls", "label"), smallest, "label", big, "cls").select("cls", "component_id", "first"), "nd_components")
+    discard(classes, ties, clusters, placed, apart, more, sets, large, links, labels)
     return sig.select("doc_id", "text_hash", "n_shingles", "cls").join(of_class, "cls", "left")
 
 

@@ -48,6 +48,24 @@ def test_near_duplicates_of_odd_rows(odd):
     assert {(1, 1), (2, 1), (3, 3), (4, 1)} == got
 
 
+def test_rows_with_one_id_are_judged_by_their_texts(spark):
+    other = " ".join(f"v{i}" for i in range(60))
+    third = " ".join(f"x{i}" for i in range(60))
+    rows = [(3, LONG), (5, LONG), (5, other), (None, LONG), (None, third), (None, third), (None, None), (7, " ")]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect())
+    assert got == Counter([(3, 40, 3, True), (5, 40, 3, False), (5, 57, 5, True), (None, 40, 3, False), (None, 57, None, True), (None, 57, None, True), (None, 0, None, True), (7, 0, 7, True)])
+
+
+@pytest.mark.parametrize("hub", [1, 1000])
+def test_hubs_are_spread(spark, monkeypatch, hub):
+    """Near copies of one text, and a chain: the same groups whether or not hubs are spread."""
+    monkeypatch.setattr(neardup, "HUB", hub)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*words, f"end{i}"])) for i in range(30)] + [(100 + i, " ".join(f"c{j}" for j in range(i * 4, i * 4 + 120))) for i in range(8)] + [(200, "lone " + " ".join(f"z{j}" for j in range(80)))]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: 0 for i in range(30)}, **{100 + i: 100 for i in range(8)}, 200: 200}
+
+
 def test_near_dedup_drops_only_copies(spark):
     other = " ".join(f"v{i}" for i in range(60))
     third = " ".join(f"x{i}" for i in range(60))
