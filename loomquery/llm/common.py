@@ -23,7 +23,7 @@ WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
 
 BATCH_ROWS = 1000
 
-#: The bound on the table of marks that spread_join broadcasts.
+#: The bound on the marks of heavy keys that spread_join sends to the tasks.
 MARKS = 1 << 16
 
 _local_scratch: list[str] = []
@@ -82,17 +82,19 @@ def discard(*tables: DataFrame) -> None:
             _delete(t.sparkSession._jvm, path, t.sparkSession._jsc.hadoopConfiguration())
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str, heavy: DataFrame, by: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, heavy: DataFrame | None, by: str, how: str = "inner") -> DataFrame:
     """rows joined with facts, which has one row for each key, where the keys in ``heavy`` may have any number of rows.
 
-    Rows of a heavy key are dealt to all partitions by ``by``, and its fact is copied to each. Which keys are heavy is told by a table of at most MARKS hash values,
-    the one thing that is broadcast; a key that shares the hash value of a heavy one is spread too.
+    Rows of a heavy key are dealt to all partitions by ``by``, and its fact is copied to each. Which keys are heavy is told by hash values, of which there are at most
+    MARKS; a key that shares the hash value of a heavy one is spread too. Where nothing is heavy this is a plain join.
     """
-    mark = lambda: F.pmod(F.xxhash64(key), F.lit(MARKS)).alias("_mark")
-    marks = F.broadcast(heavy.select(mark()).distinct().withColumn("_heavy", F.lit(True)))
-    n = n_partitions(rows.sparkSession)
-    salted = rows.withColumn("_mark", mark()).join(marks, "_mark", "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(by), F.lit(n))).otherwise(0).cast("int")).drop("_mark", "_heavy")
-    copied = facts.withColumn("_mark", mark()).join(marks, "_mark", "left").withColumn("_salt", F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))))).drop("_mark", "_heavy")
+    mark = F.pmod(F.xxhash64(key), F.lit(MARKS)).cast("int")
+    marks = [] if heavy is None else [r[0] for r in heavy.select(mark).distinct().collect()]
+    if not marks:
+        return rows.join(facts, key, how)
+    n, spread = n_partitions(rows.sparkSession), mark.isin(marks)
+    salted = rows.withColumn("_salt", F.when(spread, F.pmod(F.xxhash64(by), F.lit(n))).otherwise(0).cast("int"))
+    copied = facts.withColumn("_salt", F.explode(F.when(spread, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
     return salted.join(copied, [key, "_salt"], how).drop("_salt")
 
 

@@ -189,24 +189,23 @@ def reaches(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
-def confirm(sets: DataFrame, pairs: DataFrame, threshold: int, name: str) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the threshold."""
+def confirm(sets: DataFrame, pairs: DataFrame, hubs: DataFrame, threshold: int, name: str) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets reach the threshold. hubs: the classes that may be the a of any number of pairs."""
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = [reaches(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), threshold) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     x, y = sets.select(F.col("cls").alias("a"), F.col("members").alias("x")), sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
-    hubs = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("a")
     joined = spread_join(pairs.select("a", "b").join(y, "b"), x, "a", hubs, "b").select("a", "b", "x", "y")
     return materialize(map_batches(joined, judge, "a long, b long"), f"{name}_links")
 
 
-def _grid(rows: DataFrame) -> DataFrame:
-    """rows (with cluster, cls, label) of open clusters, dealt to tasks (cluster, i, j): block i of the probes with block j of the base."""
+def _grid(rows: DataFrame, large: DataFrame | None) -> DataFrame:
+    """rows (with cluster, cls, label) of open clusters, of which those in ``large`` may be of any size, dealt to tasks (cluster, i, j): block i of the probes with block j of the base."""
     parts = rows.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     sizes = parts.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n_base"), (F.sum("n") - F.max("n")).alias("n_probes")).where("n_probes > 0")
-    dealt = spread_join(rows, sizes, "cluster", sizes.where(F.col("n_base") > GRID), "cls").withColumn("ni", F.ceil(F.col("n_probes") / GRID).cast("int")).withColumn("nj", F.ceil(F.col("n_base") / GRID).cast("int"))
+    dealt = spread_join(rows, sizes, "cluster", large, "cls").withColumn("ni", F.ceil(F.col("n_probes") / GRID).cast("int")).withColumn("nj", F.ceil(F.col("n_base") / GRID).cast("int"))
     h = F.xxhash64("cls")
     whole = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n: F.pmod(h, F.col(n)).cast("int")
@@ -242,8 +241,8 @@ class Block:
         return self.base[ok], estimates[ok]
 
 
-def settle_clusters(sets: DataFrame, classes: DataFrame, clustered: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of labels whose components are linked within a cluster. clustered: cluster, cls, label."""
+def settle_clusters(sets: DataFrame, classes: DataFrame, clustered: DataFrame, large: DataFrame | None, threshold: int) -> DataFrame:
+    """Pairs (a, b) of labels whose components are linked within a cluster. clustered: cluster, cls, label; large: the clusters of more than GRID classes."""
     rows = clustered.join(classes.select("cls", "n_shingles", *PLANES), "cls")
 
     def find(key, group):
@@ -255,7 +254,8 @@ def settle_clusters(sets: DataFrame, classes: DataFrame, clustered: DataFrame, t
                 live.update(block.cls[partners].tolist())
         return pa.table([pa.array(sorted(live), pa.int64())], names=["cls"])
 
-    live = materialize(_grid(rows).groupBy("cluster", "i", "j").applyInArrow(find, "cls long").distinct(), "nd_live")
+    live = materialize(_grid(rows, large).groupBy("cluster", "i", "j").applyInArrow(find, "cls long").distinct(), "nd_live")
+
     def link(key, group):
         block = Block(group, threshold)
         members = group.column("members").combine_chunks()
@@ -282,7 +282,7 @@ def settle_clusters(sets: DataFrame, classes: DataFrame, clustered: DataFrame, t
         joined = sorted(up)
         return pa.table([pa.array([root(x) for x in joined], pa.int64()), pa.array(joined, pa.int64())], names=["a", "b"])
 
-    return materialize(_grid(rows.join(live, "cls", "left_semi").join(sets, "cls")).groupBy("cluster", "i", "j").applyInArrow(link, "a long, b long"), "nd_settled")
+    return materialize(_grid(rows.join(live, "cls", "left_semi").join(sets, "cls"), large).groupBy("cluster", "i", "j").applyInArrow(link, "a long, b long"), "nd_settled")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -294,23 +294,30 @@ def components(links: DataFrame) -> DataFrame:
     links = links.select("a", "b").where("a <> b")
     edges = materialize(links.union(links.select(F.col("b"), F.col("a"))).distinct(), "cc_edges")
     labels = materialize(edges.select(F.col("a").alias("cls")).distinct().withColumn("label", F.col("cls")), "cc_labels")
-    while edges.limit(1).count():
+    n = labels.count()
+    while True:
         near = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("near"), F.count("*").alias("degree")), "cc_near")
-        # Many nodes may have one and the same smallest neighbour: that one's row is what they all ask for.
-        asked = near.groupBy("near").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("near")
+        widest = near.agg(F.max("degree")).first()[0]
+        if widest is None:
+            discard(near, edges)
+            return labels
+        # A node of many links is what many ask for; without such nodes no join here is uneven.
+        hubs = near.where(F.col("degree") > HUB).select("node") if widest > HUB else None
+        named = lambda c: None if hubs is None else hubs.select(F.col("node").alias(c))  # noqa: B023, E731
         further = near.select(F.col("node").alias("near"), F.col("near").alias("to"))
-        moves = materialize(spread_join(near.select("node", "near"), further, "near", asked, "node").select("node", "to"), "cc_moves")
-        hubs = near.where(F.col("degree") > HUB)
+        moves = materialize(spread_join(near.select("node", "near"), further, "near", named("near"), "node").select("node", "to"), "cc_moves")
         from_a, from_b = moves.select(F.col("node").alias("a"), F.col("to").alias("la")), moves.select(F.col("node").alias("b"), F.col("to").alias("lb"))
-        half = spread_join(edges, from_a, "a", hubs.select(F.col("node").alias("a")), "b")
-        moved = materialize(spread_join(half, from_b, "b", hubs.select(F.col("node").alias("b")), "a").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "cc_edges")
+        half = spread_join(edges, from_a, "a", named("a"), "b")
+        moved = materialize(spread_join(half, from_b, "b", named("b"), "a").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "cc_edges")
         to = moves.select(F.col("node").alias("label"), "to")
-        taken = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("label")
-        relabelled = materialize(spread_join(labels, to, "label", taken, "cls", "left").select("cls", F.coalesce("to", "label").alias("label")), "cc_labels")
+        relabelled = materialize(spread_join(labels, to, "label", heavy_values(labels, "label", n), "cls", "left").select("cls", F.coalesce("to", "label").alias("label")), "cc_labels")
         discard(near, moves, edges, labels)
         edges, labels = moved, relabelled
-    discard(edges)
-    return labels
+
+
+def heavy_values(rows: DataFrame, key: str, n: int) -> DataFrame | None:
+    """The values that more than HUB of n rows share; not looked for where all rows together are few."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HUB).select(key) if n > 100 * HUB else None
 
 
 def grouped_rows(docs: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -319,7 +326,7 @@ def grouped_rows(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     full = sig.where(F.col("cls").isNotNull())
     classes = materialize(full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("n_shingles"), *(F.max(p).alias(p) for p in PLANES)), "nd_classes")
     banded = full.select("cls", F.explode(F.slice("bands", 1, HEAD_BANDS)).alias("band")).distinct()
-    buckets = banded.groupBy("band").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1")
+    buckets = materialize(banded.groupBy("band").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1"), "nd_buckets")
     hot = buckets.where(F.col("n") > HUB)
     p = spread_join(banded, buckets.drop("n"), "band", hot, "cls").where("head <> cls").select(F.col("head").alias("ka"), F.col("cls").alias("kb")).distinct()
     of = lambda k, x: classes.select(F.col("cls").alias(k), F.struct("n_shingles", *PLANES).alias(x))
@@ -328,7 +335,7 @@ def grouped_rows(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     clusters = components(ties)
 
     placed = full.select("cls", "bands").join(clusters, "cls", "left").select(F.explode("bands").alias("band"), "cls", F.coalesce("label", "cls").alias("cluster")).distinct()
-    mixed = placed.groupBy("band").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("n")).where("low < high")
+    mixed = materialize(placed.groupBy("band").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n"), "nd_mixed_bands")
     placed = materialize(spread_join(placed, mixed.select("band"), "band", mixed.where(F.col("n") > HUB), "cls"), "nd_mixed")
     sizes = placed.groupBy("band", "cluster").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("band").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("largest"))
@@ -347,19 +354,19 @@ def grouped_rows(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     large = materialize(placed.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > GRID).select("cluster"), "nd_large")
     if large.limit(1).count():
         in_large = spread_join(placed, large, "cluster", large, "cls").select("cls")
-        star = confirm(sets, ties.where("likely").join(in_large, ties["a"] == in_large["cls"], "left_semi").select("a", "b"), threshold, "nd_star")
+        star = confirm(sets, ties.where("likely").join(in_large, ties["a"] == in_large["cls"], "left_semi").select("a", "b"), hot.select(F.col("head").alias("a")), threshold, "nd_star")
         begun = components(star)
         clustered = placed.join(begun, "cls", "left").select("cluster", "cls", F.coalesce("label", "cls").alias("label"))
-        links = star.unionByName(settle_clusters(sets, classes, materialize(clustered, "nd_clustered"), threshold))
+        links = star.unionByName(settle_clusters(sets, classes, materialize(clustered, "nd_clustered"), large, threshold))
     else:
-        links = settle_clusters(sets, classes, placed.withColumn("label", F.col("cls")), threshold)
+        links = settle_clusters(sets, classes, placed.withColumn("label", F.col("cls")), None, threshold)
     labels = components(links)
 
     named = classes.select("cls", F.col("doc_id").alias("first_id"), "first").join(labels, "cls", "left").select("cls", "first_id", "first", F.coalesce("label", "cls").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min("first").alias("first"))
-    big = named.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("label")
+    big = heavy_values(labels, "label", labels.count())
     of_class = materialize(spread_join(named.select("cls", "label"), smallest, "label", big, "cls").select("cls", "component_id", "first"), "nd_components")
-    discard(classes, ties, clusters, placed, apart, more, sets, large, links, labels)
+    discard(classes, buckets, mixed, ties, clusters, placed, apart, more, sets, large, links, labels)
     return sig.select("doc_id", "text_hash", "n_shingles", "cls").join(of_class, "cls", "left")
 
 
