@@ -78,8 +78,7 @@ def ocr_preference(spark, d):
 
 def token_stats(spark, d):
     c = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    p = retrieval.corpus_terms(c)
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return retrieval.term_counts(c)
 
 
 def _questions(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,66 +20,149 @@ def top(df: DataFrame, group: str, k: int, *order: Column, rank: str = "rank") -
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def corpus_terms(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf, dl: the postings of (chunk_id, text)."""
-    words = chunks.select("chunk_id", tokens(F.col("text")).alias("w")).select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """term, df, cf: how many chunks hold a term, and how often it occurs. A chunk's words and its distinct ones are counted side by side, within the task before anything is shuffled."""
+    words = tokens(F.col("text"))
+    tagged = lambda w, df, cf: F.transform(w, lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf")))
+    w = chunks.select(F.explode(F.concat(tagged(words, 0, 1), tagged(F.array_distinct(words), 1, 0))).alias("w"))
+    return w.groupBy("w.term").agg(F.sum("w.df").alias("df"), F.sum("w.cf").alias("cf"))
 
 
-def term_weights(postings: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """(term, idf) with the floor for common terms, one row of n and avgdl, and the floor."""
-    facts = chunks.select(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
-    n = chunks.count()
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = raw.agg(F.avg("raw") * fx.BM25_EPSILON).first()[0] or 0.0
-    return raw.select("term", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf")), facts, floor
+def corpus_facts(chunks: DataFrame, n: int) -> tuple[float, float]:
+    """(average length, weight floor of common terms) over n chunks, in one pass: only counts by term are shuffled, and a row without a term carries the lengths."""
+    words = tokens(F.col("text"))
+    rows = chunks.select(F.explode(F.concat(F.transform(F.array_distinct(words), lambda t: F.struct(t.alias("term"), F.lit(0).alias("dl"))), F.array(F.struct(F.lit("").alias("term"), F.size(words).alias("dl"))))).alias("r"))
+    terms = rows.groupBy("r.term").agg(F.count("*").alias("df"), F.sum("r.dl").alias("words"))
+    raw = F.when(F.col("term") != "", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    out = terms.agg(F.sum("words").alias("words"), F.avg(raw).alias("mean")).first()
+    return (out["words"] or 0) / n or 1.0, (out["mean"] or 0.0) * fx.BM25_EPSILON
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = fx.POOL) -> DataFrame:
-    """query_id, chunk_id, score, rank for (query_id, text) against (chunk_id, text).
+    """query_id, chunk_id, score, rank for (query_id, text) against (chunk_id, text). Without chunks there is nothing to search: an error.
 
-    Postings meet query terms in an equi-join; chunks without a query term score 0 and fill up in order of id where fewer than k scored.
+    Two passes over the corpus: one for the average length and the floor of common terms, one for the postings of the terms that are asked for, which are
+    picked out before any shuffle. Chunks without a query term score 0 and fill up in order of id where fewer than k scored.
     """
-    postings = corpus_terms(chunks)
-    idf, facts, floor = term_weights(postings, chunks)
-    avgdl = facts.first()["avgdl"] or 1.0
+    n = chunks.count()
+    if not n:
+        raise ValueError("the collection has no chunks")
+    avgdl, floor = corpus_facts(chunks, n)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    words = chunks.select("chunk_id", tokens(F.col("text")).alias("w")).select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    # Spark broadcasts the asked terms if they are few; else they meet the words in a shuffle join.
+    postings = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    idf = postings.groupBy("term").agg(F.count("*").alias("df")).select("term", F.when(raw < 0, F.lit(floor)).otherwise(raw).alias("idf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (fx.BM25_K1 + 1) / (F.col("tf") + fx.BM25_K1 * (1 - fx.BM25_B + fx.BM25_B * F.col("dl") / avgdl))
-    scored = postings.join(asked, "term").join(idf, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-    # Where common words weigh less than nothing, all hits may rank after chunks without a hit: those queries are held against every chunk.
+    scored = postings.join(asked.join(idf, "term"), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    # A fill ranks behind hits above 0 and before those below, which there are only where common words weigh less than nothing.
     hits = scored.where("score > 0") if floor < 0 else scored
     short = asked.select("query_id").distinct().join(hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id")
-    if floor < 0:
-        pairs = chunks.select("chunk_id").join(short)
-    else:
-        # At most 2k chunks: among them are k that a query with fewer than k hits hasn't hit.
-        first = chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k).agg(F.array_sort(F.collect_list("chunk_id")).alias("ids")).first()["ids"]
-        pairs = short.select("query_id", F.explode(F.array(*map(F.lit, first))).alias("chunk_id"))
-    fill = pairs.join(scored, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.lit(0.0).alias("score"))
+    fill = _unhit(short, scored, chunks, n, k, floor < 0).select("query_id", "chunk_id", F.lit(0.0).alias("score"))
     return top(scored.unionByName(fill), "query_id", k, F.round("score", 9).desc(), F.col("chunk_id"))
 
 
+def _unhit(short: DataFrame, scored: DataFrame, chunks: DataFrame, n: int, k: int, many_hits: bool) -> DataFrame:
+    """query_id, chunk_id: for each query in short at least the first k chunks, in order of id, that it hasn't hit, if there are so many.
+
+    A query with fewer than k hits finds them among the first 2k chunks. Where a query may have hit any number, the run of first chunks grows until each finds k.
+    """
+    m = 2 * k
+    while True:
+        first = chunks.select("chunk_id").orderBy("chunk_id").limit(m).agg(F.array_sort(F.collect_list("chunk_id")).alias("ids")).first()["ids"]
+        missing = short.select("query_id", F.explode(F.array(*map(F.lit, first))).alias("chunk_id")).join(scored, ["query_id", "chunk_id"], "left_anti")
+        if m >= n or not many_hits:
+            return missing
+        found = missing.groupBy("query_id").agg(F.count("*").alias("n"))
+        if not short.join(found, "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).limit(1).count():
+            return missing
+        m *= 8
+
+
+def _best(score: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row of scores the places of the best k: higher scores, to 9 digits, first, then smaller ids."""
+    score, out = np.round(score, 9), []
+    if score.shape[1] > k:
+        bar = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+    else:
+        bar = np.full(len(score), -np.inf)
+    for row, low in zip(score, bar, strict=True):
+        at = np.flatnonzero(row >= low)
+        out.append(at[np.lexsort((own[at], -row[at]))[:k]])
+    return out
+
+
+def _matrix(column) -> np.ndarray:
+    """An Arrow column of lists of one length as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+_HITS = "query_id long, chunk_id long, score double"
+
+
+def _hits(ids: np.ndarray, own: np.ndarray, score: np.ndarray, k: int) -> pa.Table:
+    best = _best(score, own, k)
+    return pa.table({"query_id": np.repeat(ids, [len(b) for b in best]), "chunk_id": np.concatenate([own[b] for b in best]).astype(np.int64), "score": np.concatenate([r[b] for r, b in zip(score, best, strict=True)]).astype(np.float64)})
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = fx.POOL) -> DataFrame:
-    """query_id, chunk_id, score, rank by inner product of (query_id, v) with (chunk_id, v), exact.
+    """query_id, chunk_id, score, rank by inner product of (query_id, v) with (chunk_id, v), exact. Filter vectors beforehand.
 
-    Query blocks meet vector blocks in a grid of tasks; each returns the best k of its block for each of its queries. Filter vectors beforehand.
+    Up to BLOCK queries go to every task as one matrix, and vectors pass by without a shuffle; more queries meet the vectors block by block in a grid of tasks.
+    A null vector, one with a null in it, or one of another length than the queries' first has no row.
     """
-    nq, nv = max(1, -(-queries.count() // BLOCK)), max(1, -(-vectors.count() // BLOCK))
+    size = queries.where("v is not null").select(F.size("v").alias("n")).limit(1).first()
+    if size is None:
+        return top(queries.sparkSession.createDataFrame([], _HITS), "query_id", k, F.col("score").desc())
+    whole = (F.size("v") == size["n"]) & ~F.exists("v", lambda x: x.isNull())
+    queries, vectors = queries.where(whole).select("query_id", "v"), vectors.where(whole).select("chunk_id", "v")
+    n_queries = queries.count()
+    found = _streamed(queries, vectors, k) if n_queries <= BLOCK else _grid(queries, vectors, n_queries, k)
+    return top(found, "query_id", k, F.round("score", 9).desc(), F.col("chunk_id"))
+
+
+def _streamed(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The best k of each task for each query; at most BLOCK queries reach the driver."""
+    asked = queries.toArrow()
+    ids, q = asked.column("query_id").to_numpy(), _matrix(asked.column("v"))
+
+    def scan(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(0).to_numpy()
+            hits = _hits(ids, own, q @ _matrix(batch.column(1)).T, k)
+            if held is None:
+                held = hits
+                continue
+            both = pa.concat_tables([held, hits])
+            query, chunk, score = (both.column(c).to_numpy() for c in ("query_id", "chunk_id", "score"))
+            order = np.lexsort((chunk, -np.round(score, 9), query))
+            query = query[order]
+            place = np.arange(len(order)) - np.searchsorted(query, query)
+            held = both.take(order[place < k])
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    return vectors.mapInArrow(scan, _HITS)
+
+
+def _grid(queries: DataFrame, vectors: DataFrame, n_queries: int, k: int) -> DataFrame:
+    nq, nv = -(-n_queries // BLOCK), max(1, -(-vectors.count() // BLOCK))
     q = queries.select(F.col("query_id").alias("id"), "v", F.lit(True).alias("asks"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long"))).alias("j"))
     v = vectors.select(F.col("chunk_id").alias("id"), "v", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("i"), F.pmod(F.xxhash64("chunk_id"), F.lit(nv)).alias("j"))
 
     def block(key, group):
         asks = np.array(group.column("asks").to_pylist(), bool)
-        ids = group.column("id").to_numpy()
-        m = np.array(group.column("v").to_pylist(), np.float64)
+        ids, m = group.column("id").to_numpy(), _matrix(group.column("v"))
         if not asks.any() or asks.all():
             return pa.table({"query_id": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        score, own = m[asks] @ m[~asks].T, ids[~asks]
-        best = [np.lexsort((own, -np.round(row, 9)))[:k] for row in score]
-        return pa.table({"query_id": np.repeat(ids[asks], [len(b) for b in best]), "chunk_id": np.concatenate([own[b] for b in best]), "score": np.concatenate([r[b] for r, b in zip(score, best, strict=True)])})
+        return _hits(ids[asks], ids[~asks], m[asks] @ m[~asks].T, k)
 
-    found = q.unionByName(v).groupBy("i", "j").applyInArrow(block, "query_id long, chunk_id long, score double")
-    return top(found, "query_id", k, F.round("score", 9).desc(), F.col("chunk_id"))
+    return q.unionByName(v).groupBy("i", "j").applyInArrow(block, _HITS)
 
 
 def fuse(lists: DataFrame, k: int = fx.TOP_K, rrf_k: int = fx.RRF_K) -> DataFrame:
@@ -100,6 +185,48 @@ def rerank(candidates: DataFrame, score: Column, k: int = fx.TOP_K) -> DataFrame
     return top(scored, "query_id", k, F.round("rerank_score", 9).desc(), F.col("original_rank"))
 
 
+def scored_by(pairs: DataFrame, connect: Callable[[], Callable[[list[str], list[str]], list[float]]], column: str = "model_score") -> DataFrame:
+    """pairs (question, text, ...) with the score that a model gives each, in batches; ``connect()`` makes the model once for each task. A null question or text has no score."""
+    names = [c for c in pairs.columns if c not in ("question", "text")]
+    row = pairs.select(F.struct(*(F.col(f"`{c}`") for c in pairs.columns)).alias("row"), "question", "text")
+
+    def run(batches):
+        score = None
+        for batch in batches:
+            questions, texts = (batch.column(c).to_pylist() for c in ("question", "text"))
+            whole = [i for i, (q, t) in enumerate(zip(questions, texts, strict=True)) if q is not None and t is not None]
+            score = score or connect()
+            out: list[float | None] = [None] * batch.num_rows
+            for i, s in zip(whole, score([questions[i] for i in whole], [texts[i] for i in whole]) if whole else [], strict=True):
+                out[i] = float(s)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.float64())], ["row", "score"])
+
+    done = row.mapInArrow(run, f"row {row.schema['row'].dataType.simpleString()}, score double")
+    return done.select(*(F.col(f"row.`{c}`").alias(c) for c in [*names, "question", "text"]), F.col("score").alias(column))
+
+
+def embedded(texts: DataFrame, connect: Callable[[], Callable[[list[str]], np.ndarray]], key: str = "query_id", batch: int = 64) -> DataFrame:
+    """key, v: the normalised embedding of each text of (key, text), by the model that ``connect()`` makes once for each task, ``batch`` texts a call. A null text, or one of norm 0, has a null vector."""
+
+    def run(batches):
+        embed = None
+        for b in batches:
+            for a in range(0, b.num_rows, batch):
+                part = b.slice(a, batch)
+                said = part.column(1).to_pylist()
+                at = [i for i, t in enumerate(said) if t is not None]
+                embed = embed or connect()
+                out: list[list[float] | None] = [None] * part.num_rows
+                if at:
+                    m = np.asarray(embed([said[i] for i in at]), np.float64)
+                    norm = np.linalg.norm(m, axis=1)
+                    for i, v, size in zip(at, m, norm, strict=True):
+                        out[i] = (v / size).tolist() if size > 0 else None
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.float64()))], [key, "v"])
+
+    return texts.select(key, "text").mapInArrow(run, f"{key} {texts.schema[key].dataType.simpleString()}, v array<double>")
+
+
 def overlap_score(query: Column, text: Column) -> Column:
     """The stand-in scorer, where no model is at hand: the share of distinct query words in the text, from -4 to 4."""
     q = F.array_distinct(tokens(query))
@@ -119,11 +246,17 @@ def retrieval_metrics(ranked: DataFrame, expected: DataFrame, queries: DataFrame
     return queries.select("query_id").join(hit, "query_id", "left").select("query_id", F.coalesce((f <= 5).cast("int"), F.lit(0)).alias("hit_at_5"), F.coalesce((f <= 10).cast("int"), F.lit(0)).alias("hit_at_10"), F.coalesce(F.when(f <= 10, 1.0 / f), F.lit(0.0)).alias("mrr_at_10"))
 
 
-def eval_summary(results: DataFrame, retrieval: tuple[str, ...], judged: tuple[str, ...]) -> DataFrame:
-    """Averages overall and by category. Retrieval metrics count all rows; judged ones leave out nulls and out_of_scope, and give 0 with an effective n of 0."""
+def eval_summary(results: DataFrame, retrieval: tuple[str, ...], judged: tuple[str, ...], refusal: str | None = None) -> DataFrame:
+    """Averages overall and by category. Retrieval metrics count all rows; judged ones leave out nulls and out_of_scope, and give 0 with an effective n of 0.
+
+    ``refusal`` is a metric of out_of_scope rows alone: the average of those of the bucket, null where it has none.
+    """
     counts = F.col("category") != "out_of_scope"
     aggs = [F.count("*").alias("n"), *(F.round(F.avg(m), 4).alias(m) for m in retrieval)]
     for m in judged:
         own = F.when(counts, F.col(m))
         aggs += [F.round(F.coalesce(F.avg(own), F.lit(0.0)), 4).alias(m), F.count(own).alias(f"{m}_n"), F.count(F.when(counts & F.col(m).isNull(), 1)).alias(f"{m}_failed")]
+    if refusal is not None:
+        outside = F.when(~counts, F.col(refusal))
+        aggs += [F.round(F.avg(outside), 4).alias(refusal), F.count(outside).alias(f"{refusal}_n")]
     return results.groupingSets([[], ["category"]], "category").agg(*aggs).withColumn("category", F.coalesce("category", F.lit("overall")))
