@@ -53,3 +53,44 @@ def test_stream_admits_as_the_batch_does(spark, tmp_path):
     q.stop()
     got = spark.sql("SELECT count(*) FROM admitted WHERE admitted").first()[0]
     assert got == limiter.limited(df, limit=5, window_s=10).first()["n_admitted"]
+
+
+def test_guardrails_equal_python_re(spark):
+    """Unicode digits, spaces and letters beside the patterns, two hits close together, and hits at the edges: as Python's own expressions see them."""
+    import random
+    import re
+
+    rng = random.Random(3)
+    parts = ["ignore", "Ignore", "all", "previous", "instructions", "god mode", "jailbreak mode", "you are now a different", "\u0938\u094d", "\u00a0", "\u2003", " ", " ", " ", "\n", "\x1c", "mode", "DAN", "\u212a", "\u017f", "show your system prompt", "[ end ]", "--- end", "x" * 30, "\u00e9", "_", "9", "act as another"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 14))) for _ in range(1500)] + ["god mode, jailbreak mode and so on and on", "a god mode"]
+    compiled = [(n, re.compile(p, re.IGNORECASE)) for n, p in fx.INJECTION]
+
+    def want(t):
+        for n, p in compiled:
+            m = p.search(t)
+            if m:
+                return n, t[max(0, m.start() - 20) : m.end() + 20][:200]
+        return None, None
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.n, r.s) for r in df.select("i", tx.injection_name(F.col("t")).alias("n"), tx.injection_span(F.col("t")).alias("s")).collect()}
+    assert [(t, got[i], want(t)) for i, t in enumerate(texts) if got[i] != want(t)] == []
+
+    digits = "0123456789\u0966\u0967\u0968\uff11\u0664"
+    bits = ["91", "+91", "98765", "43210", "9876543210", "1234", "5678", "9012", "-", " ", "\u00a0", ".", "x", "\u0939", "a.b@c.org", "@", "_", ",", "\u2003"]
+    texts = ["".join(rng.choice(bits) if rng.random() < 0.8 else "".join(rng.choice(digits) for _ in range(rng.choice([4, 5, 10]))) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    plain = [(n, re.compile(p)) for n, p in (("email", fx.EMAIL), ("aadhaar", fx.AADHAAR), ("phone", fx.PHONE))]
+
+    def scrubbed(t):
+        kinds = []
+        for n, p in plain:
+            if p.search(t):
+                kinds.append(n)
+            t = p.sub(f"[REDACTED_{n.upper()}]", t)
+        return t, kinds
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out, kinds = tx.scrub(F.col("t"))
+    got = {r.i: (r.o, r.k) for r in df.select("i", out.alias("o"), kinds.alias("k")).collect()}
+    staged = {r.i: (r.t, r.pii_kinds) for r in tx.scrub_rows(df, "t").collect()}
+    assert got == staged and [(t, got[i], scrubbed(t)) for i, t in enumerate(texts) if got[i] != scrubbed(t)] == []
