@@ -34,11 +34,11 @@ from .textgrams import U, mix, runs, slices
 
 WINDOW = 13
 SEED = 3
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 CHUNK_WORDS = 400_000
 SLICE_BYTES = 1 << 20
 #: A block of more windows than this is cut into pieces of about half as many.
-HOT_WINDOWS = 1_000_000
+HOT_WINDOWS = 4_000_000
 #: The bound on such blocks, whose numbers go to every task (16 bytes each): the more windows there are, the larger a block may be.
 MAX_HOT = 1_000_000
 NO_ID = np.iinfo(np.int64).max
@@ -217,11 +217,11 @@ FACTOR_KINDS = ("<i8", "<u4", "<u4", "<u4", "<i8", "<u4")
 
 
 def _factor_table(*columns: np.ndarray) -> pa.Table:
-    return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=[x.split()[0] for x in FACTORS.split(", ")])
+    return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=[x.split()[0] for x in FACTORS.split(", ")][: len(columns)])
 
 
 def _pack_factors(*columns: np.ndarray) -> bytes:
-    return np.array([len(columns[0])], np.uint32).tobytes() + b"".join(_planes(c.astype(k)) for c, k in zip(columns, FACTOR_KINDS, strict=True))
+    return np.array([len(columns[0])], np.uint32).tobytes() + b"".join(_planes(c.astype(k)) for c, k in zip(columns, FACTOR_KINDS, strict=False))
 
 
 def _word_slices(batches):
@@ -261,10 +261,10 @@ def hot_blocks(texts: DataFrame, window: int, n_blocks: int) -> list[tuple[int,
     return [(r.block, -(-2 * r.n // limit)) for r in sizes.where(F.col("n") > limit).collect()]
 
 
-def factorise(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def factorise(docs: DataFrame, window: int = WINDOW, sources: bool = True) -> DataFrame:
     """One row for each factor: doc_id, crc (of the text), start and n (windows), source_id, source_start; a factor covers n + window - 1 words. NO_ID stands for null.
 
-    One shuffle: packed segments to their blocks. Factors that a chunk has settled travel with them, dealt out evenly.
+    Without ``sources`` the last two are left out of what is shuffled and returned. One shuffle: packed segments to their blocks. Factors that a chunk has settled travel with them, dealt out evenly.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -272,6 +272,7 @@ def factorise(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(2 * n_partitions(spark), -(-total // BLOCK_BYTES))
     hot = hot_blocks(texts, window, n_blocks)
+    width = 6 if sources else 4
 
     def deal(batches):
         chunk, turn = Chunk(Dealer(window, n_blocks, hot)), 0
@@ -284,7 +285,7 @@ def factorise(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             factors, segments = settled
             rows = [(block, False, packed) for block, packed in segments]
             if len(factors[0]):
-                rows.append(((int(factors[0][0]) + turn) % n_blocks, True, _pack_factors(*factors)))
+                rows.append(((int(factors[0][0]) + turn) % n_blocks, True, _pack_factors(*factors[:width])))
                 turn += 1
             for a in range(0, len(rows), 64):
                 block, done, packed = zip(*rows[a : a + 64], strict=True)
@@ -299,10 +300,10 @@ def factorise(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def work(key, group):
         done, packed = group.column("settled").to_pylist(), group.column("packed").to_pylist()
-        out = [unpack(p, FACTOR_KINDS)[:6] for p, d in zip(packed, done, strict=True) if d]
+        out = [unpack(p, FACTOR_KINDS[:width])[:width] for p, d in zip(packed, done, strict=True) if d]
         open_segments = [p for p, d in zip(packed, done, strict=True) if not d]
         if open_segments:
-            out.append(parse_block(open_segments))
+            out.append(parse_block(open_segments)[:width])
         columns = [np.concatenate(c) for c in zip(*((np.asarray(x, np.int64) for x in f) for f in out), strict=True)]
         # Rows that are equal in id and text give equal factors: one of them is enough.
         order = np.lexsort(columns[:3])
@@ -313,7 +314,7 @@ def factorise(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     dealt = keyed.mapInArrow(deal, "block long, settled boolean, packed binary")
     # The number of tasks follows the number of blocks, so that what a task reads doesn't grow with the input.
     n_tasks = max(n_partitions(spark), (n_blocks + sum(p for _, p in hot)) // 2)
-    return dealt.repartition(n_tasks, "block").groupBy("block").applyInArrow(work, FACTORS)
+    return dealt.repartition(n_tasks, "block").groupBy("block").applyInArrow(work, ", ".join(FACTORS.split(", ")[:width]))
 
 
 def duplicate_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -357,7 +358,7 @@ def _with_spans(docs: DataFrame, window: int, *carried) -> DataFrame:
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(f"row{i}") for i, c in enumerate(carried)))
     schema = "doc_id long, crc long, packed binary" + "".join(f", row{i} {source.schema[f'row{i}'].dataType.simpleString()}" for i in range(len(carried)))
-    spans = factorise(docs, window).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = factorise(docs, window, sources=False).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     return map_batches(source, squeeze, schema).join(spans, ["doc_id", "crc"], "left")
 
 
