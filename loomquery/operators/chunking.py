@@ -9,50 +9,83 @@ from ..functions import fixed as fx
 from ..functions.text import strip
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
 def stem(filename: Column) -> Column:
     return F.regexp_replace(filename, r"\.[^.]*$", "")
 
 
 def windows(docs: DataFrame, text: str = "text", size: int = fx.CHUNK_SIZE, overlap: int = fx.CHUNK_OVERLAP) -> DataFrame:
-    """Sliding windows of characters: idx, start, end, chunk beside the columns of docs. An empty or null text has none."""
+    """Sliding windows of characters: idx, start, end, chunk beside the columns of docs. An empty or null text has none.
+
+    The text is cut once into pieces of a step each, and a window is its piece and the beginning of those that follow: the work grows with the text's length, not its square.
+    """
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive and overlap in [0, size)")
-    step, n = size - overlap, F.length(text)
+    step, pieces, length, window = size - overlap, *(free_name(docs, x) for x in ("_pieces", "_length", "_window"))
+    n, more = F.col(length), -(-overlap // step)
+    # Columns of their own: inside the lambda below they would be computed for each window.
+    cut = docs.withColumn(pieces, F.regexp_extract_all(F.col(text), F.lit(rf"[\s\S]{{1,{step}}}"), F.lit(0))).withColumn(length, F.length(text))
     last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-    out = docs.where(n > 0).withColumn("idx", F.explode(F.sequence(F.lit(0), last)))
-    start = F.col("idx") * step
-    return out.select("*", start.alias("start"), F.least(start + size, n).alias("end"), F.substring(F.col(text), start + 1, F.lit(size)).alias("chunk"))
+    at = lambda i, j: F.coalesce(F.get(F.col(pieces), i + j), F.lit(""))
+    tail = lambda i: F.substring(F.concat(*(at(i, j) for j in range(1, more + 1))), 1, overlap) if overlap else F.lit("")
+    made = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("idx"), (i * step).alias("start"), F.least(i * step + size, n).alias("end"), F.concat(at(i, 0), tail(i)).alias("chunk")))
+    return cut.where(n > 0).withColumn(window, F.explode(made)).select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"{window}.*"))
 
 
 def joined_pages(pages: DataFrame) -> DataFrame:
     """doc, blob, offsets from (doc, page, text): pages behind markers; an offset is where a page's text begins."""
-    marker = F.concat(F.lit("\n\n[PAGE "), F.col("page").cast("string"), F.lit("]\n\n"))
-    rows = F.array_sort(F.collect_list(F.struct("page", marker.alias("m"), F.col("text").alias("t"))))
-    g = pages.groupBy("doc").agg(rows.alias("p"))
-    part = lambda x: F.concat(x["m"], F.coalesce(x["t"], F.lit("")))
-    blob = F.array_join(F.transform("p", part), "")
-    before = lambda x, i: F.aggregate(F.slice("p", F.lit(1), i), F.lit(0), lambda n, y: n + F.length(part(y))) + F.length(x["m"])
-    return g.select("doc", blob.alias("blob"), F.transform("p", lambda x, i: F.struct(x["page"].alias("page"), before(x, i).alias("at"))).alias("offsets"))
+    marked = pages.select("doc", "page", F.concat(F.lit("\n\n[PAGE "), F.col("page").cast("string"), F.lit("]\n\n")).alias("m"), F.coalesce("text", F.lit("")).alias("t"))
+    before = F.sum(F.length("m") + F.length("t")).over(Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    placed = marked.withColumn("at", (F.coalesce(before, F.lit(0)) + F.length("m")).cast("int"))
+    rows = F.array_sort(F.collect_list(F.struct("page", "at", F.concat("m", "t").alias("part"))))
+    g = placed.groupBy("doc").agg(rows.alias("p"))
+    return g.select("doc", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("blob"), F.transform("p", lambda x: F.struct(x["page"].alias("page"), x["at"].alias("at"))).alias("offsets"))
+
 
+def window_pages(joined: DataFrame, size: int = fx.CHUNK_SIZE, overlap: int = fx.CHUNK_OVERLAP) -> DataFrame:
+    """joined_pages with ``starts`` and ``ends``: the first and last page of each window of the blob, in one walk over the pages.
 
-def page_range(offsets: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """Pages of a window: the last one that begins at or before its start, and before its end; the first page where there is none."""
-    first = F.element_at(offsets, 1)["page"]
-    last = lambda cond: F.coalesce(F.try_element_at(F.filter(offsets, cond), F.lit(-1))["page"], first)
-    return last(lambda o: o["at"] <= start), last(lambda o: o["at"] < end)
+    The first page is the last one that begins at or before the window's start, the last page the last one before its end; the document's first page where there is none.
+    """
+    step = size - overlap
+    last = F.greatest(F.lit(0), F.ceil((F.col("n") - size) / step)).cast("int")
+
+    def spread(first_window, pages: str) -> Column:
+        """A page for each window: page j holds the windows from its first one up to the next page's first one."""
+        upto = lambda j: F.coalesce(first_window(F.get(F.col(pages), j + 1)), F.col("last") + 1)
+        held = lambda o, j: F.when(j == 0, F.lit(0)).otherwise(F.greatest(first_window(o), F.lit(0)))
+        own = lambda o, j: F.greatest(F.least(F.greatest(upto(j), F.lit(0)), F.col("last") + 1) - held(o, j), F.lit(0))
+        return F.flatten(F.transform(pages, lambda o, j: F.array_repeat(o["page"], own(o, j).cast("int"))))
+
+    # A page that begins at the very end of the text holds no window's end. Each step is a column of its own, so that no lambda computes it again.
+    counted = joined.withColumn("n", F.length("blob"))
+    counted = counted.withColumn("last", last).withColumn("inside", F.filter("offsets", lambda o, j: (j == 0) | (o["at"] < F.col("n"))))
+    starts = spread(lambda o: F.ceil(o["at"] / step).cast("int"), "offsets")
+    ends = spread(lambda o: F.floor((o["at"] - size) / step).cast("int") + 1, "inside")
+    return counted.withColumn("starts", starts).withColumn("ends", ends).drop("n", "last", "inside")
 
 
 def page_chunks(pages: DataFrame) -> DataFrame:
     """doc, idx, page_start, page_end, chunk."""
-    w = windows(joined_pages(pages), "blob")
-    a, b = page_range(F.col("offsets"), F.col("start"), F.col("end"))
-    return w.select("doc", "idx", a.alias("page_start"), b.alias("page_end"), "chunk")
+    w = windows(window_pages(joined_pages(pages)).drop("offsets"), "blob")
+    return w.select("doc", "idx", F.get("starts", F.col("idx")).alias("page_start"), F.get("ends", F.col("idx")).alias("page_end"), "chunk")
 
 
 def chunk_id(scheme: Column, subfolder: Column, filename: Column, kind: str, idx: Column) -> Column:
     return F.concat_ws("_", scheme, subfolder, stem(filename), F.format_string(f"{kind}%04d", idx))
 
 
+def workflow_chunk_id(scheme: Column, workflow: Column) -> Column:
+    return F.concat(scheme, F.lit("_wf_"), workflow.cast("string"))
+
+
 def workflow_text(steps: DataFrame) -> DataFrame:
     """workflow, text from (workflow, title, scheme, url, pos, step_no, instruction, input_required, condition, extras map)."""
     line = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(label), F.col(c))).otherwise("")
@@ -85,6 +118,23 @@ def chunk_summary(chunks: DataFrame, by: str = "scheme") -> DataFrame:
     return chunks.groupBy(by).agg(F.count("*").alias("n_chunks"), F.round(F.avg(n), 1).alias("avg_length"), F.min(n).alias("min_length"), F.max(n).alias("max_length"), F.count_if(n < fx.CHUNK_SIZE // 2).alias("suspicious"))
 
 
+def document_summary(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """scheme, n_docs, n_chunks, zero_chunk_docs from documents (doc, scheme) and chunks (doc, ...)."""
+    n = docs.select("doc", "scheme").join(chunks.groupBy("doc").agg(F.count("*").alias("n")), "doc", "left")
+    return n.groupBy("scheme").agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), F.count_if(F.col("n").isNull()).alias("zero_chunk_docs"))
+
+
+def zero_chunk_documents(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The documents that gave no chunk."""
+    return docs.join(chunks.select("doc").distinct(), "doc", "left_anti")
+
+
+def table_summary(chunks: DataFrame, long: int = fx.LONG_TABLE) -> DataFrame:
+    """One row over structured chunks: tables, their average and largest length, and how many are long."""
+    n = F.length("chunk")
+    return chunks.where("kind = 'tbl'").agg(F.count("*").alias("n_tables"), F.coalesce(F.round(F.avg(n), 1), F.lit(0.0)).alias("avg_length"), F.coalesce(F.max(n), F.lit(0)).alias("max_length"), F.count_if(n > long).alias("n_long"))
+
+
 def image_chunk_id(scheme: Column, subfolder: Column, filename: Column, page: Column, xref: Column, content_hash: Column) -> Column:
     """Runs of characters other than letters, digits, dot, underscore and hyphen become one underscore, anywhere in the id."""
     place = F.concat(F.format_string("img_p%04d", page), F.lit("_x"), xref.cast("string"), F.lit("_h"), F.substring(content_hash, 1, 8))
@@ -104,13 +154,6 @@ def image_text(classification: Column, fields: list[tuple[str, Column]]) -> Colu
     return F.concat_ws("\n", *parts, F.lit("[/IMAGE]"))
 
 
-def running_offsets(pages: DataFrame) -> DataFrame:
-    """The same offsets as joined_pages, one row for each page, for documents too large for one row."""
-    marker = F.length(F.concat(F.lit("\n\n[PAGE "), F.col("page").cast("string"), F.lit("]\n\n")))
-    before = F.coalesce(F.sum(marker + F.length("text")).over(Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return pages.select("doc", "page", (before + marker).cast("long").alias("at"))
-
-
 def structured_chunks(blocks: DataFrame, tables: DataFrame, raw_pages: DataFrame | None = None, unopened: DataFrame | None = None) -> DataFrame:
     """doc, kind, idx, page_start, page_end, chunk from layout: each table whole (kind tbl), the other text in windows (kind c).
 
