@@ -14,6 +14,7 @@ from .functions import replies
 from .functions import text as tx
 from .operators import chat, chunking, images, ingest, retrieval, rules
 from .plans import answering, evaluation, models
+from .sources import collection, readers
 from .streaming import limiter, upserts
 
 RULES = (
@@ -55,7 +56,7 @@ def page_join_ranges(spark, d):
 def workflow_render(spark, d):
     c = _t(spark, d, "conversations")
     s = c.select(F.col("conv_id").cast("string").alias("workflow"), F.lit("").alias("title"), F.lit("S").alias("scheme"), F.lit(None).cast("string").alias("url"), F.col("turn").alias("pos"), F.col("turn").cast("string").alias("step_no"), F.col("text").alias("instruction"), F.lit("").alias("input_required"), F.when(F.col("role") == "user", "asked").otherwise("").alias("condition"), F.create_map(F.lit("role"), F.col("role")).alias("extras"))
-    return chunking.workflow_text(s).select(F.col("workflow").cast("long").alias("workflow"), F.md5(F.encode("text", "UTF-8")).alias("digest"), F.length("text").cast("long").alias("n"))
+    return chunking.workflow_text(s).select(F.col("workflow").cast("long").alias("workflow"), chunking.workflow_chunk_id(F.lit("S"), F.col("workflow")).alias("chunk_id"), F.md5(F.encode("text", "UTF-8")).alias("digest"), F.length("text").cast("long").alias("n"))
 
 
 def chunk_summary(spark, d):
@@ -64,7 +65,8 @@ def chunk_summary(spark, d):
 
 
 def short_documents(spark, d):
-    return _t(spark, d, "documents").where(F.length("text") < fx.EMPTY_PDF_CHARS).groupBy("source").agg(F.count("*").alias("n"))
+    pages = _t(spark, d, "documents").select(F.struct("source", "doc_id").alias("doc"), "text")
+    return readers.corpus_summary(pages).where("empty").groupBy(F.col("doc.source").alias("source")).agg(F.count("*").alias("n"))
 
 
 def _files(spark, d):
@@ -108,19 +110,39 @@ def vector_topk_filtered(spark, d):
 
 
 def rrf_fusion(spark, d):
-    lists = _vectors(spark, d).select("query_id", F.lit(0).alias("list_idx"), "chunk_id", "rank").unionByName(_vectors(spark, d, "label % 2 = 0").select("query_id", F.lit(1).alias("list_idx"), "chunk_id", "rank"))
+    """The list of a query's own vector, and that of the vector after it."""
+    e = _t(spark, d, "embeddings")
+    after = e.where("vec_id % 20 = 1").select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("v"))
+    second = retrieval.vector_topk(after, e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")))
+    lists = _vectors(spark, d).select("query_id", F.lit(0).alias("list_idx"), "chunk_id", "rank").unionByName(second.select("query_id", F.lit(1).alias("list_idx"), "chunk_id", "rank"))
     return retrieval.fuse(lists, k=fx.POOL).select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "first_list", "rank")
 
 
+def _question_vectors(spark, d):
+    """The pool of each question by the vector of its number among those of documents."""
+    e = _t(spark, d, "embeddings")
+    asked = _t(spark, d, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("v"))
+    return retrieval.vector_topk(asked, e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")))
+
+
 def hybrid_provenance(spark, d):
-    return retrieval.hybrid(_vectors(spark, d), _vectors(spark, d, "label % 2 = 0")).select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "semantic_rank", "bm25_rank", "rank")
+    """Hybrid search: vectors and BM25 over the same questions, fused, with where each row came from."""
+    h = retrieval.hybrid(_question_vectors(spark, d), retrieval.bm25(_questions(spark, d), _chunks(spark, d)))
+    return h.select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "semantic_rank", "bm25_rank", F.round("bm25_score", 6).alias("bm25_score"), "rank")
+
+
+def pool_overlap(spark, d):
+    """Of each question how many chunks either pool of a hybrid search holds, and both."""
+    ids = lambda df, c: df.groupBy("query_id").agg(F.collect_set("chunk_id").alias(c))
+    both = ids(_question_vectors(spark, d), "a").join(ids(retrieval.bm25(_questions(spark, d), _chunks(spark, d)), "b"), "query_id")
+    return both.select("query_id", replies.source_sets(F.col("a"), F.col("b")).alias("s")).select("query_id", "s.*")
 
 
 def rerank_gate(spark, d):
     q, c = _questions(spark, d), _chunks(spark, d)
     pool = retrieval.bm25(q, c).join(q.select("query_id", F.col("text").alias("question")), "query_id").join(c, "chunk_id")
     ranked = retrieval.rerank(pool, retrieval.overlap_score(F.col("question"), F.col("text")))
-    return retrieval.gate(q, ranked, 0.0).select("query_id", F.round("top_score", 6).alias("top_score"), "passed")
+    return retrieval.gate(q, ranked).select("query_id", F.round("top_score", 6).alias("top_score"), "passed")
 
 
 def _metrics(spark, d):
@@ -398,4 +420,148 @@ def served_requests(spark, d):
     return limiter.admissions(c, limit=2, window_s=25).select("query_id", "client", "admitted")
 
 
-QUERIES = {f.__name__: f for f in (image_chunks, vision_coverage, structured_chunks, eval_modes, user_messages, injection_spans, truncated_chunks, served_requests, json_props, rewrites_parse, source_keys, page_labels, answer_outcomes, multi_query, chat_conversations, chat_messages, key_rotation, chunk_windows, page_join_ranges, workflow_render, chunk_summary, short_documents, ocr_preference, token_stats, bm25_topk, vector_topk, vector_topk_filtered, rrf_fusion, hybrid_provenance, rerank_gate, retrieval_metrics, eval_summary, refusal_flags, query_validation, injection_flags, pii_scrub, intent_attributes, scheme_match, missing_info, exact_dup_groups, watermark_filter, upsert_latest, id_collisions, resume_pending, user_history, titles, prompt_assembly, rate_limit, table_render, bbox_exclusion)}
+def match_reasons(spark, d):
+    """Reasons of matches, each with the place in a scheme's paper that its rule cites."""
+    r, s, _ = _rules(spark)
+    cited = r.withColumn("filename", F.concat("code", F.lit(".pdf"))).withColumn("page", F.col("rule_idx") + 1)
+    a = _attributes(spark, d)
+    return rules.match_reasons(rules.match_schemes(a, r, s), a, cited)
+
+
+def provided_labels(spark, d):
+    a = _attributes(spark, d)
+    known = {c: F.col(c) for c in ("has_land", "occupation", "land_holding", "category", "gender", "region", "crop_group", "interests")}
+    return a.select("query_id", F.array_join(replies.provided_labels(**known), " | ").alias("labels"))
+
+
+def missing_labels(spark, d):
+    r, s, q = _rules(spark)
+    a = _attributes(spark, d)
+    lines = rules.missing_information(rules.match_schemes(a, r, s), q, a).groupBy("query_id").agg(F.array_sort(F.collect_list(F.concat("attribute", F.lit(": "), "why"))).alias("items"))
+    return lines.select("query_id", F.array_join(replies.missing_labels(F.col("items")), " | ").alias("labels"))
+
+
+def _cited_chunks(spark, d):
+    """Documents as chunks with all that a citation shows."""
+    k = F.col("doc_id") % 5
+    page = F.when(k > 0, (F.col("doc_id") % 40).cast("int"))
+    return _t(spark, d, "documents").select(
+        F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("scheme"), F.concat("source", F.when(k == 4, "_OCR").otherwise(""), F.lit(".pdf")).alias("source_filename"), F.lit("pdf").alias("source_type"),
+        page.alias("page_start"), (page + F.when(k == 3, 1).otherwise(0)).alias("page_end"), (k == 4).alias("is_ocr_source"), F.when(k == 2, F.col("lang")).alias("parent_subfolder"),
+    )
+
+
+def citation_lines(spark, d):
+    c = _cited_chunks(spark, d)
+    cited = c.select("chunk_id", replies.citation(c.columns).alias("c"))
+    line = replies.citation_line(F.col("chunk_id"), F.col("c.scheme"), F.col("c.source_filename"), F.col("c.page_start"), F.col("c.page_end"), F.col("c.is_ocr_source"))
+    return cited.select("chunk_id", line.alias("line"), "c.vision_failed", "c.parent_subfolder")
+
+
+def served_responses(spark, d):
+    """Questions as requests of three clients, one a second, two allowed in 25 seconds: limiter, validation, hybrid retrieval, gate, answer, citations and accounting."""
+    k = F.col("item_id") % 7
+    text = F.when(k == 1, F.lit("  ")).when(k == 2, F.concat(F.lit("developer mode "), "text")).otherwise(F.col("text"))
+    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 3).alias("client"), F.col("item_id").cast("double").alias("t"), text.alias("text"))
+    chunks = _cited_chunks(spark, d)
+    settings = answering.Settings(rate_limit=2, rate_window_s=25)
+    served = answering.serve(asked, chunks, *_rules(spark), settings=settings)
+    full = answering.with_accounting(answering.with_citations(served, chunks))
+    return full.select("query_id", "outcome", F.round("top_score", 6).alias("top_score"), F.coalesce(F.size("passages"), F.lit(0)).alias("n_passages"), F.size("citations").alias("n_citations"), F.array_join(F.transform("citations", lambda c: c["source_filename"]), ",").alias("cited"), "prompt_tokens", "finish_reason")
+
+
+def collection_records(spark, d):
+    c = _cited_chunks(spark, d).withColumn("vision_failed", F.col("chunk_id") % 9 == 0)
+    r = collection.records(c.withColumn("chunk_id", F.col("chunk_id").cast("string")))
+    lines = F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return r.select("chunk_id", F.size("metadata").alias("n_fields"), F.array_join(lines, "|").alias("metadata"))
+
+
+def collection_build(spark, d):
+    """The log of a build of text and image chunks."""
+    text = _cited_chunks(spark, d).select(F.col("chunk_id").cast("string").alias("chunk_id"), "text", F.col("source_type"))
+    return collection.build(text, images.image_chunks(_occurrences(spark, d), images.cached(_sidecars(spark, d))).select("chunk_id", "text", "source_type", "content_hash"))[2]
+
+
+def corpus_load(spark, d):
+    """Documents as pages of files, two a file; a file in 25 breaks. Schemes are languages, one of them without files."""
+    doc = F.floor(F.col("doc_id") / 2)
+    bad = doc % 25 == 7
+    pages = _t(spark, d, "documents").select(F.col("lang").alias("scheme"), doc.alias("doc"), (F.col("doc_id") % 2 + 1).alias("page"), F.when(~bad, F.col("text")).alias("text"), F.when(bad, F.lit("broken")).alias("error"))
+    return readers.summarise_corpus(pages, ["en", "de", "fr", "es", "xx"])
+
+
+def document_summary(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("scheme"), F.when(F.col("doc_id") % 10 == 3, "").otherwise(F.col("text")).alias("text"))
+    return chunking.document_summary(docs, chunking.windows(docs).select("doc", "chunk"))
+
+
+def table_summary(spark, d):
+    return chunking.table_summary(chunking.structured_chunks(*_layout(spark, d)))
+
+
+def _results(spark, d):
+    """Documents as questions of a run: judged by their labels, some out of scope, some of whose calls failed."""
+    docs = _t(spark, d, "documents").select("doc_id", "source", "n_chars").join(_t(spark, d, "labels"), "doc_id", "left")
+    hit, out = (F.col("n_chars") % 3 > 0).cast("int"), F.col("source") == "src0"
+    judged = [F.col("quality").cast("double").alias(m) if m == "faithfulness" else F.when(F.col("doc_id") % 4 > 0, F.col("n_chars") % 7 / 7.0).alias(m) for m in models.JUDGED]
+    return docs.select(
+        F.col("doc_id").alias("query_id"), F.when(out, "out_of_scope").otherwise(F.col("source")).alias("category"), hit.alias("hit_at_5"), hit.alias("hit_at_10"), (hit / 2.0).alias("mrr_at_10"), *judged, (F.col("doc_id") % 3 == 0).cast("double").alias("refusal_correct"),
+        F.when(F.col("doc_id") % 11 == 0, F.lit("refused")).alias("call_error"), F.col("n_chars").alias("prompt_tokens"), (F.col("n_chars") % 9).alias("completion_tokens"), F.lit(1).alias("reasoning_tokens"), F.lit(0).alias("retries"),
+    )
+
+
+def run_summary(spark, d):
+    return evaluation.run_summary(_results(spark, d))
+
+
+def run_totals(spark, d):
+    return evaluation.run_totals(_results(spark, d))
+
+
+def lost_results(spark, d):
+    """Ids that the progress of a run names but its results lack."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("query_id"))
+    return evaluation.resume(docs, _t(spark, d, "labels").select(F.col("doc_id").alias("query_id")), docs.where("query_id % 3 = 0"))[1]
+
+
+def key_pool(spark, d):
+    """The distinct words of a message, in the order of their first places, and how many batches of 7 they fill."""
+    c = _t(spark, d, "conversations").select("conv_id", "turn", replies.distinct_in_order(F.split("text", " ")).alias("w"))
+    return c.select("conv_id", "turn", F.md5(F.encode(F.array_join("w", ","), "UTF-8")).alias("digest"), F.size(replies.batches(F.col("w"), 7)).alias("n_batches"))
+
+
+def user_ids(spark, d):
+    u = F.when(F.col("user_id") % 3 == 0, F.md5(F.col("user_id").cast("string"))).when(F.col("user_id") % 3 == 1, F.upper(F.md5(F.col("user_id").cast("string")))).otherwise(F.col("user_id").cast("string"))
+    e = _t(spark, d, "events").select("event_id", u.alias("u"))
+    return e.select("event_id", chat.valid_user_id(F.col("u")).alias("valid"), chat.valid_user_id(chat.user_id_or_new(F.col("u"))).alias("given"))
+
+
+def vision_classes(spark, d):
+    """Messages as replies of a model that names a class."""
+    k = F.col("turn") % 4
+    said = F.when(k == 0, F.concat(F.lit(" an Infographic or table: "), "text")).when(k == 1, F.concat("text", F.lit(" chart"))).otherwise(F.col("text"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", replies.vision_class(said).alias("class"))
+
+
+def prompt_fill(spark, d):
+    filled = replies.fill("Give {n} rewrites of: {question} ({n})", question=F.col("text"), n=F.lit(3))
+    return _t(spark, d, "benchmark").select("item_id", filled.alias("prompt"))
+
+
+def key_lists(spark, d):
+    raw = F.concat(F.lit(" , "), F.replace("text", F.lit(" "), F.lit(" ,")), F.lit(",,"))
+    return _t(spark, d, "benchmark").select("item_id", F.array_join(replies.key_list(raw), "|").alias("keys"))
+
+
+def image_diagnostics(spark, d):
+    h = _t(spark, d, "documents").select(F.concat("lang", "source").alias("content_hash"), F.col("doc_id").alias("seq"), (F.col("n_chars") % 31 / 100.0).alias("area_ratio"))
+    return ingest.image_diagnostics(h)
+
+
+def image_occurrences(spark, d):
+    h = _t(spark, d, "documents").select(ingest.content_hash(F.encode("text", "UTF-8")).alias("content_hash"), F.col("doc_id").alias("seq"), (F.col("n_chars") % 100 / 100.0).alias("area_ratio"))
+    return ingest.image_occurrences(h).select("content_hash", "seq", "n", "is_representative")
+
+
+QUERIES = {f.__name__: f for f in (pool_overlap, match_reasons, provided_labels, missing_labels, citation_lines, served_responses, collection_records, collection_build, corpus_load, document_summary, table_summary, run_summary, run_totals, lost_results, key_pool, user_ids, vision_classes, prompt_fill, key_lists, image_diagnostics, image_occurrences, image_chunks, vision_coverage, structured_chunks, eval_modes, user_messages, injection_spans, truncated_chunks, served_requests, json_props, rewrites_parse, source_keys, page_labels, answer_outcomes, multi_query, chat_conversations, chat_messages, key_rotation, chunk_windows, page_join_ranges, workflow_render, chunk_summary, short_documents, ocr_preference, token_stats, bm25_topk, vector_topk, vector_topk_filtered, rrf_fusion, hybrid_provenance, rerank_gate, retrieval_metrics, eval_summary, refusal_flags, query_validation, injection_flags, pii_scrub, intent_attributes, scheme_match, missing_info, exact_dup_groups, watermark_filter, upsert_latest, id_collisions, resume_pending, user_history, titles, prompt_assembly, rate_limit, table_render, bbox_exclusion)}

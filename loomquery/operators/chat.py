@@ -56,5 +56,29 @@ def messages(log: DataFrame) -> DataFrame:
     return rows.select("user_id", "conv_id", pos.alias("pos"), "role", "content", F.when(F.try_parse_json("payload").isNotNull(), F.col("payload")).alias("payload"))
 
 
-def title_of(first_query: Column) -> Column:
-    return tx.title(first_query)
+def user_id_or_new(user_id: Column) -> Column:
+    """A valid user id as it is, for any other a new one: 32 hexadecimal digits."""
+    return F.when(valid_user_id(user_id), user_id).otherwise(F.replace(F.uuid(), F.lit("-"), F.lit("")))
+
+
+def migrated(legacy: DataFrame) -> DataFrame:
+    """Changes of the log for conversations (conv_id, title, created_at) from before there were owners: made, but nobody's, so no view shows them."""
+    null = lambda kind: F.lit(None).cast(kind)
+    return legacy.select(
+        F.col("conv_id").alias("seq"), F.lit("create").alias("op"), null("string").alias("user_id"), "conv_id", "title", null("string").alias("role"), null("string").alias("content"),
+        null("string").alias("payload"), F.col("created_at").cast("timestamp").alias("at"),
+    )
+
+
+def change(op: str, user_id: str, conv_id: int, at, seq: int, title: str | None = None, role: str | None = None, content: str | None = None, payload: str | None = None) -> tuple:
+    """One row of the log. A message in an unknown role is an error; who may change what, ``refused`` tells."""
+    if op not in ("create", "rename", "delete", "add"):
+        raise ValueError(f"unknown change {op!r}")
+    if op == "add" and role not in ROLES:
+        raise ValueError(f"unknown role {role!r}")
+    return seq, op, user_id, conv_id, title, role, content, payload, at
+
+
+def conversation(log: DataFrame, user_id: str, conv_id: int) -> DataFrame:
+    """One conversation of an owner; no row for another's, a deleted one, or one that doesn't exist."""
+    return conversations(log).where((F.col("user_id") == user_id) & (F.col("conv_id") == conv_id))

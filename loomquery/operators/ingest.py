@@ -20,6 +20,21 @@ def image_candidates(occurrences: DataFrame) -> DataFrame:
     return g.withColumn("watermark", (F.col("n") >= fx.WATERMARK_COUNT) & (F.col("max_area") <= fx.WATERMARK_AREA))
 
 
+def image_occurrences(occurrences: DataFrame) -> DataFrame:
+    """Each occurrence of the images that are kept, with its image's count and whether it is the representative: a watermark's go, and so do those below the size floor."""
+    kept = image_candidates(occurrences).where("not watermark").select("content_hash", "n", "representative")
+    return occurrences.where(F.col("area_ratio") >= fx.MIN_IMAGE_AREA).join(kept, "content_hash").withColumn("is_representative", F.col("seq") == F.col("representative")).drop("representative")
+
+
+def image_diagnostics(occurrences: DataFrame) -> DataFrame:
+    """One row: occurrences seen, those below the size floor, distinct images, those dropped as watermarks with their occurrences, and images kept."""
+    seen = occurrences.agg(F.count("*").alias("n_occurrences"), F.count_if(F.coalesce(F.col("area_ratio") < fx.MIN_IMAGE_AREA, F.lit(True))).alias("n_below_floor"))
+    c = image_candidates(occurrences)
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    kept = c.agg(F.count("*").alias("n_images"), F.count_if("watermark").alias("n_watermarks"), zero(F.sum(F.when(F.col("watermark"), F.col("n")))).alias("n_watermark_occurrences"), F.count_if(~F.col("watermark")).alias("n_kept"))
+    return seen.join(kept)
+
+
 def content_hash(data) -> F.Column:
     return F.substring(F.sha2(data, 256), 1, 16)
 

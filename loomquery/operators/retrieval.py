@@ -39,14 +39,14 @@ def corpus_facts(chunks: DataFrame, n: int) -> tuple[float, float]:
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = fx.POOL) -> DataFrame:
-    """query_id, chunk_id, score, rank for (query_id, text) against (chunk_id, text). Without chunks there is nothing to search: an error.
+    """query_id, chunk_id, score, rank for (query_id, text) against (chunk_id, text); no row without chunks. ``checked_collection`` tells an empty or broken collection beforehand.
 
     Two passes over the corpus: one for the average length and the floor of common terms, one for the postings of the terms that are asked for, which are
     picked out before any shuffle. Chunks without a query term score 0 and fill up in order of id where fewer than k scored.
     """
     n = chunks.count()
     if not n:
-        raise ValueError("the collection has no chunks")
+        return top(queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"), "query_id", k, F.col("score").desc())
     avgdl, floor = corpus_facts(chunks, n)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     words = chunks.select("chunk_id", tokens(F.col("text")).alias("w")).select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
@@ -63,6 +63,19 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = fx.POOL) -> DataFrame:
     return top(scored.unionByName(fill), "query_id", k, F.round("score", 9).desc(), F.col("chunk_id"))
 
 
+def checked_collection(chunks: DataFrame) -> DataFrame:
+    """chunks, if there are any and each has an id of its own and a text; else an error that says what is wrong."""
+    facts = chunks.agg(F.count("*").alias("n"), F.count_if(F.col("chunk_id").isNull()).alias("no_id"), F.count_if(F.col("text").isNull()).alias("no_text")).first()
+    if not facts["n"]:
+        raise ValueError("the collection is empty")
+    if facts["no_id"] or facts["no_text"]:
+        raise ValueError(f"{facts['no_id']} chunks have no id and {facts['no_text']} no text")
+    twice = chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).first()
+    if twice:
+        raise ValueError(f"chunk {twice['chunk_id']} occurs {twice['n']} times")
+    return chunks
+
+
 def _unhit(short: DataFrame, scored: DataFrame, chunks: DataFrame, n: int, k: int, many_hits: bool) -> DataFrame:
     """query_id, chunk_id: for each query in short at least the first k chunks, in order of id, that it hasn't hit, if there are so many.
 
@@ -70,6 +83,7 @@ def _unhit(short: DataFrame, scored: DataFrame, chunks: DataFrame, n: int, k: in
     """
     m = 2 * k
     while True:
+        # Of the chunk ids alone; at most m of them.
         first = chunks.select("chunk_id").orderBy("chunk_id").limit(m).agg(F.array_sort(F.collect_list("chunk_id")).alias("ids")).first()["ids"]
         missing = short.select("query_id", F.explode(F.array(*map(F.lit, first))).alias("chunk_id")).join(scored, ["query_id", "chunk_id"], "left_anti")
         if m >= n or not many_hits:

@@ -67,3 +67,15 @@ def missing_information(matches: DataFrame, required: DataFrame, attributes: Dat
     known = facts(attributes).where("value <> 'unknown'").select("query_id", "attribute").distinct()
     asked = matches.join(required, "code").groupBy("query_id", "attribute").agg(F.min_by("why", F.struct("rank", "idx")).alias("why"))
     return asked.join(known, ["query_id", "attribute"], "left_anti")
+
+
+def match_reasons(matches: DataFrame, attributes: DataFrame, rules: DataFrame) -> DataFrame:
+    """query_id, code, kind, rule_idx, attribute, matched: why a scheme was matched, by rules of applicability and boosts that something known about the person meets.
+
+    matched is the value, or the interests that the rule accepts, sorted and joined by commas. A rule that only the lack of knowledge meets is no reason.
+    Columns that the rules have of a source (filename, page, note) go along: they are the citation of the reason.
+    """
+    cited = [c for c in ("filename", "page", "note") if c in rules.columns]
+    accepted = rules.where("kind <> 'disqualifying'").select("code", "kind", "rule_idx", "attribute", F.explode("values").alias("value"), *cited)
+    met = matches.select("query_id", "code").join(facts(attributes).where("value <> 'unknown'"), "query_id").join(accepted, ["code", "attribute", "value"])
+    return met.groupBy("query_id", "code", "kind", "rule_idx", "attribute").agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("matched"), *(F.first(c).alias(c) for c in cited))

@@ -6,13 +6,14 @@ rescores (question, text) and ``generate`` makes an answer from (question, passa
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
+from ..functions import replies
 from ..functions import text as tx
 from ..operators import retrieval, rules
 from ..streaming import limiter
@@ -22,12 +23,30 @@ PREVIEW_CHARS = 800
 
 @dataclass(frozen=True)
 class Settings:
-    """What a caller may set for one run."""
+    """What a caller may set for one run. ``from_environment`` reads the numbers and names from variables with a prefix."""
 
     pool: int = fx.POOL
     top_k: int = fx.TOP_K
     min_score: float = fx.MIN_RERANK_SCORE
     score: Callable[[Column, Column], Column] = retrieval.overlap_score
+    rate_limit: int = fx.RATE_LIMIT
+    rate_window_s: int = fx.RATE_WINDOW_S
+    preview_chars: int = PREVIEW_CHARS
+    chunk_size: int = fx.CHUNK_SIZE
+    chunk_overlap: int = fx.CHUNK_OVERLAP
+    embed_batch: int = 64
+    generation_model: str = ""
+    judge_model: str = ""
+    embedding_model: str = ""
+    keys: tuple[str, ...] = ()
+    cooldown_s: float = 60.0
+
+    @classmethod
+    def from_environment(cls, environ: Mapping[str, str], prefix: str = "LOOMQUERY_") -> "Settings":
+        """Defaults, with what the variables set: LOOMQUERY_TOP_K and so on; keys are separated by commas, and blank ones go."""
+        kinds = {"int": int, "float": float, "str": str, "tuple[str, ...]": lambda v: tuple(k for k in map(str.strip, v.split(",")) if k)}
+        given = {f.name: kinds[f.type](environ[prefix + f.name.upper()]) for f in fields(cls) if f.type in kinds and prefix + f.name.upper() in environ}
+        return cls(**given)
 
 
 def extract_answer(question: Column, passages: Column) -> Column:
@@ -59,7 +78,7 @@ def answer(queries: DataFrame, chunks: DataFrame, semantic: DataFrame | None = N
     outcome = F.when(F.col("validation") != "valid", "invalid").when(F.col("p").isNull(), "no_results").when(~F.col("passed"), "low_confidence").otherwise("answered")
     raw = F.when(outcome == "answered", generate(F.col("text"), F.col("p")))
     scrubbed, kinds = tx.scrub(raw)
-    preview = F.transform("p", lambda x: F.struct(x["rank"].alias("rank"), x["chunk_id"].alias("chunk_id"), x["rerank_score"].alias("score"), tx.scrub(F.substring(x["text"], 1, PREVIEW_CHARS))[0].alias("preview")))
+    preview = F.transform("p", lambda x: F.struct(x["rank"].alias("rank"), x["chunk_id"].alias("chunk_id"), x["rerank_score"].alias("score"), tx.scrub(F.substring(x["text"], 1, settings.preview_chars))[0].alias("preview")))
     reason = F.when(outcome == "invalid", F.col("validation")).when(outcome == "low_confidence", F.format_string("top score %.3f is below %.3f", "top_score", F.lit(settings.min_score)))
     return all_rows.select("query_id", outcome.alias("outcome"), reason.alias("reason"), "top_score", preview.alias("passages"), scrubbed.alias("answer"), F.when(outcome == "answered", kinds).alias("pii_kinds"))
 
@@ -87,11 +106,29 @@ def respond(queries: DataFrame, chunks: DataFrame, rule_table: DataFrame, scheme
 
 def serve(requests: DataFrame, chunks: DataFrame, rule_table: DataFrame, schemes: DataFrame, required: DataFrame, semantic: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
     """respond for a log (query_id, client, t, text) of requests. Those over their client's limit get the outcome rate_limited and nothing else; a request without a client or time isn't limited."""
-    refused = limiter.admissions(requests).where("not admitted").select("query_id")
+    refused = limiter.admissions(requests, settings.rate_limit, settings.rate_window_s).where("not admitted").select("query_id")
     answered = respond(requests.join(refused, "query_id", "left_anti").select("query_id", "text"), chunks, rule_table, schemes, required, semantic, settings)
     return answered.unionByName(refused.withColumn("outcome", F.lit("rate_limited")), allowMissingColumns=True)
 
 
+def with_citations(answers: DataFrame, chunks: DataFrame) -> DataFrame:
+    """answers with the citations of their passages, in order: an answered question cites each passage, any other none."""
+    cited = answers.where("outcome = 'answered'").select("query_id", F.explode("passages").alias("p")).select("query_id", "p.rank", "p.chunk_id")
+    known = chunks.select("chunk_id", replies.citation(chunks.columns).alias("c"))
+    lists = cited.join(known, "chunk_id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "c"))), lambda x: x["c"]).alias("citations"))
+    none = F.array().cast(lists.schema["citations"].dataType)
+    return answers.join(lists, "query_id", "left").withColumn("citations", F.coalesce("citations", none))
+
+
+def with_accounting(answers: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """answers with what their model call cost (models.call_model): tokens, retries, latency, why it ended, its error. Without a call the counts are 0 and it is not_called."""
+    counts = ("prompt_tokens", "completion_tokens", "reasoning_tokens", "retries", "latency_ms")
+    if calls is None:
+        return answers.select("*", *(F.lit(0).cast("long").alias(c) for c in counts), F.lit("not_called").alias("finish_reason"), F.lit(None).cast("string").alias("llm_error"))
+    made = calls.select("query_id", *(F.col(c).cast("long").alias(c) for c in counts), "finish_reason", F.col("error").alias("llm_error"))
+    return answers.join(made, "query_id", "left").na.fill(0, list(counts)).na.fill("not_called", ["finish_reason"])
+
+
 def health(chunks: DataFrame) -> DataFrame:
     """One row: the size of the collection, and ok if there is any."""
     return chunks.agg(F.count("*").alias("n_chunks")).withColumn("status", F.when(F.col("n_chunks") > 0, "ok").otherwise("empty"))

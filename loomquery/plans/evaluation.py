@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import dataclasses
+import json
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import retrieval
+from ..sources import readers
+from ..streaming import upserts
 from .answering import Settings
+from .models import JUDGED
 
 MODES = ("baseline", "reranked", "hybrid", "query_transform", "full")
 
@@ -59,3 +68,83 @@ def resume(questions: DataFrame, results: DataFrame, progress: DataFrame) -> tup
     """(pending, lost): questions without a result, and ids that the progress table (query_id) names but the results lack, which are run again."""
     done = results.select("query_id").distinct()
     return questions.join(done, "query_id", "left_anti"), progress.select("query_id").distinct().join(done, "query_id", "left_anti")
+
+
+METRICS = ("hit_at_5", "hit_at_10", "mrr_at_10")
+
+
+def question_results(metrics: DataFrame, answers: DataFrame, judged: DataFrame, questions: DataFrame) -> DataFrame:
+    """One row for each question of a run: category, retrieval metrics, the judge's, whether the answer refuses, and the tokens of its call.
+
+    questions: (query_id, category); metrics by ``scored``; answers: (query_id, reply and counts of models.call_model); judged by models.judged.
+    """
+    refusal = answers.select("query_id", tx.is_refusal(F.col("reply")).alias("refusal_correct"), F.col("error").alias("call_error"), "prompt_tokens", "completion_tokens", "reasoning_tokens", "retries")
+    return questions.select("query_id", "category").join(metrics, "query_id", "left").join(judged, "query_id", "left").join(refusal, "query_id", "left")
+
+
+def run_summary(results: DataFrame) -> DataFrame:
+    """eval_summary over results of ``question_results``: retrieval metrics, the judge's, and refusal_correct of questions out of scope."""
+    return retrieval.eval_summary(results, METRICS, JUDGED, "refusal_correct")
+
+
+def run_totals(results: DataFrame) -> DataFrame:
+    """One row: questions, how many found nothing within ten ranks, failed calls, and tokens."""
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return results.agg(F.count("*").alias("n_questions"), F.count_if(F.coalesce("hit_at_10", F.lit(0)) == 0).alias("retrieval_failures"), F.count("call_error").alias("failed_calls"), *map(zero, ("prompt_tokens", "completion_tokens", "reasoning_tokens", "retries")))
+
+
+def write_progress(results: DataFrame, path: str, snapshot: dict) -> None:
+    """The ids that are done, with the run's settings: written whole as a new generation beside the last one, so a reader sees one of the two."""
+    done = results.select("query_id").distinct().withColumn("settings", F.lit(json.dumps(snapshot, sort_keys=True)))
+    done.write.mode("append").parquet(f"{path}/generation={time.time_ns():020d}")
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame | None:
+    """query_id, settings of the last complete generation; None before the first."""
+    return upserts.current(spark, path)
+
+
+def run(spark: SparkSession, path: str, questions: DataFrame, evaluate: Callable[[DataFrame], DataFrame], snapshot: dict) -> tuple[DataFrame, DataFrame]:
+    """(summary, totals) of a run that goes on where an earlier one stopped: results that path already has aren't made again.
+
+    evaluate gives question_results for the questions that it gets. Results are appended as JSON lines, then progress, then the summary are written.
+    """
+    results_path = f"{path}/results"
+    before = spark.read.json(results_path) if readers.exists(spark, f"{results_path}/_SUCCESS") else None
+    left = questions if before is None else resume(questions, before, before.select("query_id"))[0]
+    if left.limit(1).count():
+        readers.append_results(evaluate(left), results_path)
+    results = spark.read.json(results_path)
+    lacking = [F.lit(None).cast("double").alias(m) for m in (*JUDGED, "call_error") if m not in results.columns]
+    results = results.select("*", *lacking)
+    write_progress(results, f"{path}/progress", snapshot)
+    summary, totals = run_summary(results), run_totals(results)
+    readers.write_json(totals.withColumn("settings", F.lit(json.dumps(snapshot, sort_keys=True))), f"{path}/summary")
+    return summary, totals
+
+
+def snapshot_of(settings) -> dict:
+    """A run's settings as names and plain values; of keys only their number is kept, of functions their name."""
+    out = {}
+    for f in dataclasses.fields(settings):
+        v = getattr(settings, f.name)
+        out[f"n_{f.name}" if f.name.endswith("keys") else f.name] = len(v) if f.name.endswith("keys") else v.__name__ if callable(v) else v
+    return out
+
+
+def summary_lines(summary: DataFrame) -> list[str]:
+    """The summary as a table of text: categories by name, then overall; a row of questions out of scope shows its refusals, marked, in place of faithfulness, and no other judged metric."""
+    columns = ["n", *METRICS, *JUDGED]
+    lines = [f"{'category':<28} " + " ".join(f"{c:>18}" for c in columns)]
+    rows = sorted(summary.collect(), key=lambda r: (r["category"] == "overall", r["category"]))
+    for r in rows:
+        cells = []
+        for c in columns:
+            if r["category"] == "out_of_scope" and c == "faithfulness":
+                cells.append(f"*{r['refusal_correct'] or 0.0:.4f}")
+            elif r["category"] == "out_of_scope" and c in JUDGED:
+                cells.append("n/a")
+            else:
+                cells.append(f"{r[c] or 0}" if c == "n" else f"{r[c] or 0.0:.4f}")
+        lines.append(f"{r['category']:<28} " + " ".join(f"{x:>18}" for x in cells))
+    return lines

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import struct
 import time
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
+from ..functions.replies import USEFUL_CLASSES, VISION_CLASSES, fill
 from ..functions.text import strip
 
 REPLY_SCHEMA = "reply string, error string, finish_reason string, prompt_tokens long, completion_tokens long, reasoning_tokens long, retries int, latency_ms long"
@@ -68,6 +73,185 @@ def call_model(prompts: DataFrame, connect: Callable[[], Callable[[str], dict]],
     return prompts.select("query_id", "prompt").mapInPandas(run, f"query_id {key}, {REPLY_SCHEMA}")
 
 
+class RotatingClient:
+    """Calls through several keys: a refused call burns its key and goes on with the next unburned one; when all are burned they are all freed after a wait, ``cooldowns`` times at most.
+
+    ``connect(key)`` gives a client of a key, which raises RateLimited when refused. ``refuse_after`` makes each key refuse after so many calls, for trials. Any other error passes through.
+    """
+
+    def __init__(self, keys: list[str], connect: Callable[[str], Callable[[str], dict]], cooldown_s: float = 60.0, cooldowns: int = 1, refuse_after: int | None = None):
+        if not keys:
+            raise ValueError("no keys")
+        self.keys, self.connect, self.cooldown_s, self.left, self.refuse_after = keys, connect, cooldown_s, cooldowns, refuse_after
+        self.clients: dict[int, Callable[[str], dict]] = {}
+        self.at, self.burned, self.history = 0, set(), []
+        self.calls, self.since = [0] * len(keys), [0] * len(keys)
+        self.rotations = self.n_cooldowns = self.refusals = 0
+
+    def _call(self, prompt: str) -> dict:
+        if self.refuse_after is not None and self.since[self.at] >= self.refuse_after:
+            raise RateLimited("simulated")
+        if self.at not in self.clients:
+            self.clients[self.at] = self.connect(self.keys[self.at])
+        self.calls[self.at] += 1
+        self.since[self.at] += 1
+        return self.clients[self.at](prompt)
+
+    def _rotate(self) -> None:
+        self.burned.add(self.at)
+        n = len(self.keys)
+        ahead = next((k for k in ((self.at + i) % n for i in range(1, n + 1)) if k not in self.burned), None)
+        if ahead is None:
+            if self.left <= 0:
+                raise RateLimited("all keys are exhausted")
+            self.left -= 1
+            self.n_cooldowns += 1
+            time.sleep(self.cooldown_s)
+            self.burned.clear()
+            self.since, ahead = [0] * n, 0
+        else:
+            self.rotations += 1
+        self.history.append((self.at, ahead))
+        self.at = ahead
+
+    def __call__(self, prompt: str) -> dict:
+        while True:
+            try:
+                return self._call(prompt)
+            except RateLimited:
+                self.refusals += 1
+                self._rotate()
+
+    def stats(self) -> dict:
+        """Counts, and calls by key; a key shows its last four characters alone."""
+        return {"n_keys": len(self.keys), "current": f"...{self.keys[self.at][-4:]}", "rotations": self.rotations, "cooldowns": self.n_cooldowns, "refusals": self.refusals, "calls": list(self.calls), "history": list(self.history)}
+
+
+JUDGED = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
+
+
+def judged(rows: DataFrame, connect: Callable[[], Callable[[str, str, list[str], str], dict]]) -> DataFrame:
+    """query_id and the metrics of JUDGED for (query_id, question, answer, contexts, expected). ``connect()`` makes a task's judge, which gives a dict of metrics.
+
+    A metric that is missing, not a number, or whose judge fails is null; without contexts the judge gets one empty context.
+    """
+
+    def run(frames):
+        judge = None
+        for frame in frames:
+            out = []
+            for key, q, a, c, e in zip(*(frame[x] for x in ("query_id", "question", "answer", "contexts", "expected")), strict=True):
+                judge = judge or connect()
+                try:
+                    said = judge(q, a, list(c) if c is not None and len(c) else [""], e)
+                except Exception:  # noqa: BLE001  a judge that fails leaves its metrics empty
+                    said = {}
+                row = []
+                for m in JUDGED:
+                    try:
+                        v = float(said[m])
+                        row.append(v if v == v else None)
+                    except (KeyError, TypeError, ValueError):
+                        row.append(None)
+                out.append((key, *row))
+            yield pd.DataFrame(out, columns=["query_id", *JUDGED]).astype({m: "float64" for m in JUDGED})
+
+    key = rows.schema["query_id"].dataType.simpleString()
+    done = rows.select("query_id", "question", "answer", "contexts", "expected").mapInPandas(run, f"query_id {key}, " + ", ".join(f"{m} double" for m in JUDGED))
+    return done.select("query_id", *(F.nanvl(m, F.lit(None)).alias(m) for m in JUDGED))
+
+
+class VisionAdapter(Protocol):
+    """What a vision model has to offer: a class of an image, and its content as JSON."""
+
+    def classify(self, image: bytes, mime: str = "image/png") -> str: ...
+
+    def extract(self, image: bytes, kind: str, mime: str = "image/png") -> str: ...
+
+
+_ADAPTERS: dict[str, Callable[[], VisionAdapter]] = {}
+
+
+def register_adapter(provider: str, make: Callable[[], VisionAdapter]) -> None:
+    _ADAPTERS[provider.lower()] = make
+
+
+def make_adapter(provider: str) -> VisionAdapter:
+    """The adapter of a provider that has been registered; an unknown one is an error."""
+    if provider.lower() not in _ADAPTERS:
+        raise ValueError(f"unknown vision provider {provider!r}; known: {sorted(_ADAPTERS)}")
+    return _ADAPTERS[provider.lower()]()
+
+
+def seen(pictures: DataFrame, connect: Callable[[], VisionAdapter]) -> DataFrame:
+    """content_hash, classification, reply of (content_hash, image): each distinct image is classified, and read if its class is worth it; a failed call gives a blank reply."""
+
+    def run(frames):
+        adapter = None
+        for frame in frames:
+            rows = []
+            for key, image in zip(frame["content_hash"], frame["image"], strict=True):
+                adapter = adapter or connect()
+                try:
+                    kind = adapter.classify(bytes(image)).strip().upper()
+                    kind = next((c for c in VISION_CLASSES if c in kind), "OTHER")
+                except Exception:  # noqa: BLE001
+                    kind = "OTHER"
+                reply = None
+                if kind in USEFUL_CLASSES:
+                    try:
+                        reply = adapter.extract(bytes(image), kind)
+                    except Exception:  # noqa: BLE001
+                        reply = ""
+                rows.append((key, kind, reply))
+            yield pd.DataFrame(rows, columns=["content_hash", "classification", "reply"])
+
+    return pictures.select("content_hash", "image").dropDuplicates(["content_hash"]).mapInPandas(run, "content_hash string, classification string, reply string")
+
+
+def render_png(pixels: np.ndarray, max_px: int = 1024) -> bytes:
+    """Samples of 8 bits (rows x columns, or with 1, 3 or 4 channels) as PNG, the longer side at most max_px: each pixel of a smaller picture is the average of those that it covers."""
+    image = pixels if pixels.ndim == 3 else pixels[:, :, None]
+    h, w, n = image.shape
+    if max(h, w) > max_px:
+        scale = max_px / max(h, w)
+        rows, columns = max(int(h * scale), 1), max(int(w * scale), 1)
+        edges = lambda size, k: (np.arange(k) * size) // k
+        down = np.add.reduceat(image.astype(np.uint64), edges(h, rows), axis=0)
+        both = np.add.reduceat(down, edges(w, columns), axis=1)
+        count = np.outer(np.diff(edges(h, rows), append=h), np.diff(edges(w, columns), append=w))[:, :, None]
+        image = ((both + count // 2) // count).astype(np.uint8)
+        h, w = rows, columns
+    raw = np.concatenate([np.zeros((h, 1), np.uint8), image.reshape(h, -1)], axis=1).tobytes()
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[n], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def rendered(pictures: DataFrame, max_px: int = 1024) -> DataFrame:
+    """content_hash, png of raw pictures (content_hash, width, height, channels, pixels); one whose samples don't fit its size is null."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for w, h, n, p in zip(*(frame[c] for c in ("width", "height", "channels", "pixels")), strict=True):
+                ok = p is not None and n in (1, 3, 4) and len(p) == w * h * n > 0
+                out.append(render_png(np.frombuffer(bytes(p), np.uint8).reshape(h, w, n), max_px) if ok else None)
+            yield pd.DataFrame({"content_hash": frame["content_hash"], "png": out})
+
+    return pictures.select("content_hash", "width", "height", "channels", "pixels").mapInPandas(run, "content_hash string, png binary")
+
+
+def rewritten(questions: DataFrame, connect: Callable[[], Callable[[str], dict]], template: str, n: int = 3, policy: Policy = Policy()) -> DataFrame:
+    """query_id, list_idx, text: each question (list_idx 0) and up to n rewrites by a model. The template has {question} and {n}; a reply that can't be read gives none."""
+    from .answering import parse_rewrites
+
+    prompts = questions.select("query_id", fill(template, question=F.col("text"), n=F.lit(n)).alias("prompt"))
+    said = call_model(prompts, connect, policy).select("query_id", F.posexplode(parse_rewrites(F.col("reply"), n)).alias("pos", "text"))
+    own = questions.select("query_id", F.lit(0).alias("list_idx"), "text")
+    return own.unionByName(said.select("query_id", (F.col("pos") + 1).alias("list_idx"), "text"))
+
+
 def usage(results: DataFrame) -> DataFrame:
     """One row: calls, failures, tokens and retries."""
     return results.agg(F.count("*").alias("n_calls"), F.count("error").alias("n_failed"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("prompt_tokens", "completion_tokens", "reasoning_tokens", "retries")))
@@ -90,6 +274,21 @@ def user_message(question: Column, passages: Column) -> Column:
     return F.concat(F.lit("RETRIEVED PASSAGES:\n\n"), block, F.lit("\n\n---\n\nQUESTION: "), question, F.lit("\n"))
 
 
+def library_tokens(path: str) -> Callable[[Column], Column]:
+    """A count for ``over_limit`` by the tokenizers library with a vocabulary file that every executor has, special tokens included; one tokenizer for each worker."""
+    held = {}
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        if "t" not in held:
+            from tokenizers import Tokenizer
+
+            held["t"] = Tokenizer.from_file(path)
+        return pd.Series([len(e.ids) for e in held["t"].encode_batch_fast(texts.fillna("").tolist())])
+
+    return count
+
+
 def over_limit(text: Column, limit: int, count: Callable[[Column], Column] = lambda t: F.size(F.filter(F.split(strip(t), r"\s+"), lambda w: w != ""))) -> Column:
     """Would a model of so many tokens cut the text? ``count`` is the tokenizer's count; the stand-in counts words. Null: no."""
     return F.coalesce(count(text) > limit, F.lit(False))

@@ -44,20 +44,34 @@ def limited(requests: DataFrame, limit: int = fx.RATE_LIMIT, window_s: int = fx.
     return flags.groupBy("client").agg(F.count("*").alias("n_requests"), F.count_if("admitted").alias("n_admitted"))
 
 
-def limited_stream(requests: DataFrame, limit: int = fx.RATE_LIMIT, window_s: int = fx.RATE_WINDOW_S) -> DataFrame:
-    """client, t, admitted for a stream of (client, t): the state of a client is its log of admitted requests."""
+def limited_stream(requests: DataFrame, limit: int = fx.RATE_LIMIT, window_s: int = fx.RATE_WINDOW_S, expire: bool = False) -> DataFrame:
+    """client, t, admitted, and query_id where there is one, for a stream of (client, t): the state of a client is its log of admitted requests.
+
+    A request without a client or time isn't limited and has no row. Within a micro-batch requests go by time and id; one that comes after later ones is judged against the
+    log as it stands. With ``expire`` the log of a client that asks nothing for two windows goes; such a stream runs a batch for each timeout and so is never idle.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
+    own = ["query_id"] if "query_id" in kinds else []
+
     def admit(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         log = list(state.get[0]) if state.exists else []
-        times = sorted(t for f in frames for t in f["t"].tolist())
+        rows = pd.concat(list(frames)).sort_values(["t", *own], kind="stable")
         admitted = []
-        for t in times:
+        for t in rows["t"].tolist():
             log = [x for x in log if x >= t - window_s]
             admitted.append(len(log) < limit)
             if admitted[-1]:
                 log.append(t)
         state.update((log,))
-        yield pd.DataFrame({"client": [key[0]] * len(times), "t": times, "admitted": admitted})
+        if expire:
+            state.setTimeoutDuration(2000 * window_s)
+        yield rows[["client", "t", *own]].assign(admitted=admitted)[["client", "t", "admitted", *own]]
 
-    return requests.groupBy("client").applyInPandasWithState(admit, "client long, t double, admitted boolean", "log array<double>", "append", GroupStateTimeout.NoTimeout)
+    known = requests.where("client is not null and t is not null").select("client", F.col("t").cast("double").alias("t"), *own)
+    schema = f"client {kinds['client']}, t double, admitted boolean" + "".join(f", {c} {kinds[c]}" for c in own)
+    return known.groupBy("client").applyInPandasWithState(admit, schema, "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,24 +42,48 @@ def current(spark: SparkSession, table_path: str, before: int | None = None) ->
 
 
 def rotations(calls: DataFrame, n_keys: int) -> DataFrame:
-    """client, n_calls, n_rotations, n_cooldowns, current_key for a log (client, seq, limited) of calls.
+    """client, n_calls, n_rotations, n_cooldowns, current_key, n_limited for a log (client, seq, limited) of calls.
 
     A limited call burns the current key and moves to the next unburned one, wrapping around; when all are burned a cooldown frees all and the first is next.
+    Calls stream through a task in order of client and seq, sorted by Spark: memory holds one client's set of burned keys, however long its log.
     """
     if n_keys < 1:
         raise ValueError("n_keys must be positive")
-    start = F.struct(F.array().cast("array<int>").alias("burned"), F.lit(0).alias("key"), F.lit(0).alias("moved"), F.lit(0).alias("rested"))
-    ring = F.sequence(F.lit(1), F.lit(n_keys))
-
-    def step(s: Column, call: Column) -> Column:
-        burned = F.array_union(s["burned"], F.array(s["key"]))
-        ahead = F.filter(F.transform(ring, lambda i: F.pmod(s["key"] + i, F.lit(n_keys))), lambda k: ~F.array_contains(burned, k))
-        rests = F.size(ahead) == 0
-        after = F.struct(
-            F.when(rests, F.array().cast("array<int>")).otherwise(burned).alias("burned"), F.when(rests, F.lit(0)).otherwise(F.try_element_at(ahead, F.lit(1))).alias("key"),
-            (s["moved"] + F.when(rests, 0).otherwise(1)).alias("moved"), (s["rested"] + F.when(rests, 1).otherwise(0)).alias("rested"),
-        )
-        return F.when(call["limited"], after).otherwise(s)
-
-    g = calls.groupBy("client").agg(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("limited", F.lit(False)).alias("limited")))).alias("c"))
-    return g.select("client", F.size("c").cast("long").alias("n_calls"), F.aggregate("c", start, step).alias("s")).select("client", "n_calls", F.col("s.moved").alias("n_rotations"), F.col("s.rested").alias("n_cooldowns"), F.col("s.key").alias("current_key"))
+
+    def run(frames):
+        current, state, out = None, None, []
+
+        def rows():
+            return pd.DataFrame(out, columns=["client", "n_calls", "n_rotations", "n_cooldowns", "current_key", "n_limited"])
+
+        for frame in frames:
+            for client, limited in zip(frame["client"], frame["limited"], strict=True):
+                if state is None or client != current:
+                    if state is not None:
+                        out.append((current, *state[:5]))
+                    current, state = client, [0, 0, 0, 0, 0, set()]
+                state[0] += 1
+                if not limited:
+                    continue
+                state[4] += 1
+                state[5].add(state[3])
+                ahead = next((k for k in ((state[3] + i) % n_keys for i in range(1, n_keys + 1)) if k not in state[5]), None)
+                if ahead is None:
+                    state[2], state[3] = state[2] + 1, 0
+                    state[5].clear()
+                else:
+                    state[1], state[3] = state[1] + 1, ahead
+            if len(out) >= 10_000:
+                yield rows()
+                out = []
+        if state is not None:
+            out.append((current, *state[:5]))
+        yield rows()
+
+    ordered = calls.select("client", "seq", F.coalesce("limited", F.lit(False)).alias("limited")).where("client is not null").repartition("client").sortWithinPartitions("client", "seq")
+    return ordered.mapInPandas(run, f"client {ordered.schema['client'].dataType.simpleString()}, n_calls long, n_rotations int, n_cooldowns int, current_key int, n_limited long")
+
+
+def key_calls(calls: DataFrame) -> DataFrame:
+    """client, key, n_calls, n_limited of a log of calls (client, key, limited): the statistics of each key."""
+    return calls.groupBy("client", "key").agg(F.count("*").alias("n_calls"), F.count_if(F.coalesce("limited", F.lit(False))).alias("n_limited"))
