@@ -125,5 +125,5 @@ def batches(items: Column, size: int) -> Column:
     """An array cut into arrays of ``size`` items, the last one shorter."""
     if size <= 0:
         raise ValueError(f"batch size must be positive, got {size}")
-    n = F.ceil(F.size(items) / size).cast("int")
-    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice(items, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+    last = F.greatest(F.ceil(F.size(items) / size).cast("int") - 1, F.lit(0))
+    return F.filter(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * size + 1, F.lit(size))), lambda b: F.size(b) > 0)

@@ -96,7 +96,7 @@ def run_totals(results: DataFrame) -> DataFrame:
 def write_progress(results: DataFrame, path: str, snapshot: dict) -> None:
     """The ids that are done, with the run's settings: written whole as a new generation beside the last one, so a reader sees one of the two."""
     done = results.select("query_id").distinct().withColumn("settings", F.lit(json.dumps(snapshot, sort_keys=True)))
-    done.write.mode("append").parquet(f"{path}/generation={time.time_ns():020d}")
+    done.write.mode("append").parquet(f"{path}/generation={time.time_ns():012d}")
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame | None:
