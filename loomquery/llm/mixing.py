@@ -11,7 +11,7 @@ virtual time. As every unit of it carries the same number of words, equal ranges
 the range in which the budget runs out is refined, until few enough rows are left to sort exactly.
 
 Defined results: a null text has size 0 and adds nothing; a null source is a source of its own, the last; sources without
-words have target 0; rows that are equal in id, source and text are taken together; ties are broken by source, copy and hash;
+words have target 0; a text of any length counts as its words; rows that are equal in id, source and text are taken together; ties are broken by source, copy and hash;
 an empty table gives an empty mix; extra columns are ignored (``mix_documents`` keeps them).
 """
 
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, free_name, materialize, table
+from .common import WORD_PATTERN, free_name, materialize, n_partitions, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -78,6 +78,11 @@ def shuffle_hash() -> Column:
 
 def decide(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float = 1.0, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """doc_id, source, rk, n_rows, size, source_size, target, copies: one row for each distinct row of docs."""
+    return queued(docs, weights, budget_share, max_repeats).drop("h", "rank", "upto")
+
+
+def queued(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float = 1.0, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """decide() with each row's place in its source's queue: h, rank (of the source), upto (words up to and with it)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_in_words(F.col("text").cast("string")).alias("size"), row_key(docs).alias("rk"))
     rows = materialize(rows.groupBy("doc_id", "source", "rk", "size").agg(F.count("*").alias("n_rows")).withColumn("h", shuffle_hash()), "mix_rows")
     sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size"))
@@ -93,7 +98,7 @@ def decide(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: fl
     within = Window.partitionBy("r.source", "r.bucket").orderBy("r.h", "r.rk", "r.doc_id")
     queue = materialize(joined.select("r.doc_id", "r.source", "r.rk", "r.h", "r.n_rows", "r.size", "t.source_size", "t.rank", "t.target", (F.col("p.before") + F.sum(F.col("r.size") * F.col("r.n_rows")).over(within)).alias("upto")), "mix_queue")
     cut = _cut(queue, budget_share, max_repeats)
-    return queue.withColumn("copies", _copies(cut, max_repeats)).drop("h", "rank", "upto")
+    return queue.withColumn("copies", _copies(cut, max_repeats))
 
 
 def _finish(copy: Column) -> Column:
@@ -149,6 +154,17 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_sh
     return joined.withColumn(taken, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*(joined[f"`{c}`"] for c in docs.columns))
 
 
+def mix_in_order(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float = 1.0, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """mix_documents in the order of the mix: the rows that are taken, with ``finish``, their virtual finish time, range-partitioned and sorted by it; its first words hold the sources by weight, and so do those of any part."""
+    key, own, h, rank, rk, copy = (free_name(docs, x) for x in ("_row", "finish", "_h", "_rank", "_rk", "_copy"))
+    q = queued(docs, weights, budget_share, max_repeats).where("copies > 0")
+    q = q.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(F.col("doc_id").alias(f"{key}_id"), F.col("rk").alias(rk), F.col("h").alias(h), F.col("rank").alias(rank), F.col("copy").alias(copy), _finish(F.col("copy")).alias(own))
+    with_key = docs.withColumn(key, row_key(docs))
+    joined = with_key.join(q, (with_key[key] == q[rk]) & with_key["doc_id"].cast("long").eqNullSafe(q[f"{key}_id"]))
+    order = [own, rank, copy, h, rk]
+    return joined.repartitionByRange(n_partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select(*(joined[f"`{c}`"] for c in docs.columns), own)
+
+
 def op1_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = decide(table(spark, sf_dir, "documents"))
     rows = chosen.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))

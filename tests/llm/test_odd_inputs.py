@@ -83,3 +83,67 @@ def test_revisits_keep_odd_rows(spark):
     rec = "record_id long, kind string, url string, ts timestamp, headers map<string,string>, payload_digest string, part string, " + ", ".join(f"`{c}` string" for c in ("key", "rank", "status", "response_id", "bucket", "validator"))
     rows = [(None, "revisit", None, None, None, None, None, *"qqqqqq")] * 2 + [(1, None, "http://a/", None, None, None, None, *"qqqqqq"), (2, "revisit", "not a url", None, {}, "", "", *"qqqqqq")]
     assert Counter(r.record_id for r in warc.resolve_revisits(spark.createDataFrame(rows, rec)).collect()) == {None: 2, 2: 1}
+
+
+def test_odd_rows_have_their_values(odd, spark, tmp_path):
+    """Null ids and texts, repeated rows, white space alone: what each operator says of every row."""
+    import hashlib
+    import zlib
+
+    import numpy as np
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rows = [(r.doc_id, r.text, r.source) for r in odd.collect()]
+    split = lambda t: (t or "").encode().split()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    ledger = Counter((r.doc_id, r.n_words, r.word_chars, r.fail_bits & 1) for r in quality.build_ledger(odd).collect())
+    assert ledger == Counter((d, len(split(t)), sum(len(w.decode()) for w in split(t)), int(len(split(t)) < 50)) for d, t, _ in rows)
+    assert Counter(tuple(r) for r in quality.filter_quality(odd).select("doc_id", "text").collect()) == Counter((d, t) for d, t, _ in rows if quality.apply_policy(quality.build_ledger(spark.createDataFrame([(1, t)], "doc_id long, text string")), "v2").first().kept)
+    path, pattern = bpe.default_tokenizer()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    packed = lambda t: np.array(enc.encode_ordinary(t or ""), "<u4").tobytes()
+    assert Counter((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_decode(odd, path, pattern).collect()) == Counter((d, sha(packed(t)), sha((t or "").encode())) for d, t, _ in rows)
+    pad = lambda t: (t or "").encode() + bytes(-len((t or "").encode()) % 64 or (0 if t else 64))
+    assert Counter((r.doc_id, r.payload_sha256, r.tail_crc32) for r in tiff.media_digest(tiff.encode_media(odd)).collect()) == Counter((d, sha(pad(t)), zlib.crc32(pad(t)[-64:])) for d, t, _ in rows)
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(vocabulary)
+    crc = lambda x: zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    files = tokenfiles.lookup(tokenfiles.write_token_files(odd, vocabulary, f"file://{tmp_path}"), odd).orderBy("start").collect()
+    assert Counter((r.doc_id, r.ids_crc32) for r in files) == Counter((d, crc(x)) for d, x, _ in rows)
+    assert [r.start for r in files] == [sum(x.n_tokens for x in files[:i]) for i in range(len(files))] and [r.doc_id for r in files] == sorted((r.doc_id for r in files), key=lambda d: (d is not None, d))
+    first = {}
+    for d, x, _ in rows:
+        for i in range(len(split(x)) - 12):
+            g = tuple(split(x)[i : i + 13])
+            first[g] = min(first.get(g, 1 << 63), 1 << 62 if d is None else d)
+    removed = lambda d, x: len({i + o for i in range(len(split(x)) - 12) if first[tuple(split(x)[i : i + 13])] < (1 << 62 if d is None else d) for o in range(13)})
+    assert Counter((r.doc_id, r.n_words, r.n_removed) for r in substring.span_digest(odd).collect()) == Counter((d, len(split(x)), removed(d, x)) for d, x, _ in rows)
+    assert Counter((r.doc_id, r.n_sentences, r.licences) for r in licences.scan(odd).collect()) == Counter((d, int(bool(split(x)) and any(c.isascii() and c.isalnum() for c in x)), "") for d, x, _ in rows)
+    sizes = Counter((r.doc_id, r["size"]) for r in mixing.decide(odd).collect() for _ in range(r.n_rows))
+    assert sizes == Counter((d, len(split(x))) for d, x, _ in rows)
+
+
+def test_very_long_texts(spark, tmp_path):
+    """Five megabytes and 700000 words in one text, twice, through every operator on texts."""
+    import hashlib
+    import random
+
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(400_000)}" for _ in range(700_000)]
+    long = " ".join(words)
+    df = spark.createDataFrame([(1, long, "en", "a", 1), (2, long + " Released under the MIT License.", "en", "a", 1), (3, "short", "en", "b", 1)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert {r.doc_id: r.n_words for r in quality.build_ledger(df).collect()} == {1: 700_000, 2: 700_005, 3: 1}
+    assert {r.doc_id: r.licences for r in licences.scan(df.withColumn("text", df.text)).collect()} == {1: "", 2: "", 3: ""}
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in substring.span_digest(df).collect()} == {1: (700_000, 0), 2: (700_005, 700_000), 3: (1, 0)}
+    assert [(r.doc_id, r.start, r.n_words, r.source_id, r.source_start) for r in substring.duplicate_factors(df).collect()] == [(2, 0, 700_000, 1, 0)]
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id: r.payload_bytes for r in tiff.media_digest(tiff.encode_media(df)).collect()}[1] == -(-len(long) // 64) * 64
+    assert all(r.decodes for r in bpe.encode_decode(df, *bpe.default_tokenizer()).collect())
+    assert len({(r.shard, r.slot) for r in shards.cut_runs(shards.curve_order(df)).collect()}) == 3
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    n = len(Tokenizer.from_file(vocabulary).encode(long, add_special_tokens=False).ids) + 1
+    assert {r.doc_id: r.n_tokens for r in tokenfiles.lookup(tokenfiles.write_token_files(df, vocabulary, f"file://{tmp_path}"), df).collect()}[1] == n
+    assert hashlib.sha256(long.encode()).hexdigest() in {r.kept_sha256 for r in substring.span_digest(df).collect()}

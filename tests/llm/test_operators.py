@@ -89,6 +89,15 @@ def test_mix(docs, rows, empty):
     assert sorted((r.doc_id, r.copies) for r in mixing.decide(docs).collect()) == sorted((r.doc_id, r.copies) for r in got)
     assert mixing.mix_documents(docs).count() == sum(r.copies * r.n_rows for r in got) and mixing.mix_documents(docs).columns == docs.columns
     assert mixing.decide(empty).count() == 0 == mixing.mix_documents(empty).count()
+    ordered = mixing.mix_in_order(docs)
+    sequence = ordered.collect()
+    assert Counter(r.doc_id for r in sequence) == Counter(r.doc_id for r in mixing.mix_documents(docs).collect()) and ordered.columns == [*docs.columns, "finish"]
+    assert [r.finish for r in sequence] == sorted(r.finish for r in sequence)
+    # At any time every source is behind its share by less than two of its longest documents.
+    done = Counter()
+    for r in sequence:
+        done[r.source] += size[r.doc_id]
+        assert abs(done[r.source] - r.finish * target[r.source]) < 1e-6 * max(1, done[r.source])
 
 
 def test_quality(docs, rows, empty):
@@ -598,6 +607,62 @@ def test_revisits_without_headers_or_validators(spark):
     assert got == {2: ("resolved", 1, whole), 3: ("unvalidated", 1, whole), 5: ("unvalidated", 4, {"etag": "e"}), 6: ("validator_mismatch", None, None)}
 
 
+def sql_over(rows, query):
+    """The result of DuckDB SQL over a table documents of these rows."""
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    frame = pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=t) for i, (c, t) in enumerate((("doc_id", "Int64"), ("text", object), ("lang", object), ("source", object), ("n_chars", "Int64")))})  # noqa: F841
+    con.sql("CREATE TABLE documents AS SELECT doc_id::BIGINT AS doc_id, text::VARCHAR AS text, lang::VARCHAR AS lang, source::VARCHAR AS source, n_chars::BIGINT AS n_chars FROM frame")
+    cursor = con.sql(query)
+    return [dict(zip(cursor.columns, r, strict=True)) for r in cursor.fetchall()]
+
+
+def spans_brute(rows, window=13):
+    """The rows with the words that stay, joined by blanks where any went."""
+    first, out = {}, []
+    for d, t, *_ in rows:
+        w = words(t)
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            first[key] = min(first.get(key, d), d)
+    for d, t, lang, source, n in rows:
+        w = words(t)
+        gone = {i + o for i in range(len(w) - window + 1) if first[tuple(w[i : i + window])] < d for o in range(window)}
+        text = b" ".join(x for i, x in enumerate(w) if i not in gone).decode() if gone else t
+        out.append((d, text, lang, source, len(text) if text is not None else None))
+    return out
+
+
+def test_pipeline_against_independent_versions(spark, rows, tmp_path):
+    """Each stage against SQL, plain Python or the tokenizer's library; none of them calls the operators."""
+    import corpus_pipeline
+    import tiktoken
+
+    whole = [r[:5] for r in rows] + [(500 + i, rows[1][1] + f" tail{i} " * 3, "en", "s9", 9) for i in range(3)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(whole, kind).write.parquet(f"{tmp_path}/documents.parquet")
+    verdict = {r["doc_id"]: r["kept"] for r in sql_over(whole, quality.ORACLE)}
+    good = [r for r in whole if verdict[r[0]]]
+    component = near_brute(good, 5, 80)
+    single = [r for r in good if component[r[0]][1] == r[0]]
+    cut = spans_brute(single)
+    taken = {r["doc_id"]: r["copies"] for r in sql_over(cut, mixing._MIX_SQL)}
+    path, pattern = bpe.default_tokenizer()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    want = Counter((d, tuple(enc.encode_ordinary(t or ""))) for d, t, *_ in cut for _ in range(taken[d]))
+    stages = [good, single, cut]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for (name, stage), expected in zip(corpus_pipeline.STAGES, stages, strict=False):
+        docs = stage(spark, docs, str(tmp_path))
+        got = sorted(tuple(r) for r in docs.collect())
+        assert got == sorted((d, t, lang, source, n if t == next(x[1] for x in whole if x[0] == d) and name != "substring dedup" else len(t)) for d, t, lang, source, n in expected), name
+        docs = spark.createDataFrame(got, kind)
+    assert 0 < len(cut) < len(good) < len(whole) and any(a[1] != b[1] for a, b in zip(single, cut, strict=True))
+    assert Counter((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
 def test_pipeline_against_brute_force(spark, rows, tmp_path):
     import corpus_pipeline
 
