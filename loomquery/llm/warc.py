@@ -9,7 +9,8 @@ The as-of join survives a URL with a large share of all records. Records are ran
 partitions; each looks back within itself, and the last response of each (partition, URL) is carried forward over a table with one row for each.
 
 Defined results: records without a URL or time resolve to nothing; a response at the very time of a revisit isn't earlier; among responses of one time the
-largest record id is the latest; equal records give equal results; an empty table gives an empty table; extra columns are ignored.
+largest record id is the latest; equal records give equal results; URLs and headers of any length are taken whole; an empty table gives an empty table; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,16 +22,21 @@ from .common import materialize, n_partitions, table
 
 #: Headers that a 304 answer renews (RFC 9110, section 15.4.5), and the date of modification as a validator.
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^@/?#]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?"
+URL = r"^(?:([A-Za-z][A-Za-z0-9+.-]*)://)?(?:[^@/?#]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?"
 
 
 def canonical_url(url: Column) -> Column:
-    """Host, port unless a default one, path and sorted parameters. Scheme, user, www, fragment and a slash at the end don't count; case counts in path and parameters."""
+    """Host, port unless it is the scheme's own, path and sorted parameters. Scheme, user, www, fragment and a slash at the end don't count; case counts in path and parameters.
+
+    Percent-encoding and dot segments stay as they are written.
+    """
     part = lambda i: F.regexp_extract(url, URL, i)
-    host = F.regexp_replace(F.lower(part(1)), r"^www[0-9]*\.", "")
-    port = F.when(part(2).isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), part(2)))
-    path = F.regexp_replace(part(3), "/+$", "")
-    query = F.array_join(F.array_sort(F.filter(F.split(part(4), "&"), lambda p: p != "")), "&")
+    host = F.regexp_replace(F.lower(part(2)), r"^www[0-9]*\.", "")
+    scheme = F.lower(part(1))
+    own = (part(3) == "") | ((part(3) == "80") & (scheme != "https")) | ((part(3) == "443") & (scheme != "http"))
+    port = F.when(own, "").otherwise(F.concat(F.lit(":"), part(3)))
+    path = F.regexp_replace(part(4), "/+$", "")
+    query = F.array_join(F.array_sort(F.filter(F.split(part(5), "&"), lambda p: p != "")), "&")
     return F.concat(host, port, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
@@ -83,24 +89,41 @@ def header_text(headers: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
 
 
+HUB = "https://www.hub.example/"
+
+
 def crawl_log(pages: DataFrame) -> DataFrame:
-    """Records of a crawl of all pages and of a later conditional request for each: what a 304 answer leaves in an archive.
+    """Records of a crawl of all pages and of later conditional requests: what 304 answers leave in an archive.
 
-    A page is fetched at its id's second and asked for again three seconds later, over http, with the tag that it had.
+    A page is fetched at ten times its id's seconds. Every third has changed four seconds later, every seventh has no tag. It is asked for again three and six seconds
+    on, over http, with the first tag, and every fourth five seconds before its fetch. For every third page there is a request without validators for one common page, which is fetched anew
+    with every fiftieth: a tenth of all records share that URL.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"), F.octet_length(html).alias("n"))
-    first, again = F.timestamp_seconds("page_id"), F.timestamp_seconds(F.col("page_id") + 3)
-    tag = F.concat(F.lit('"'), F.substring("digest", 1, 16), F.lit('"'))
+    p = pages.select(F.col("page_id").cast("long").alias("p"), F.col("url").cast("string").alias("url"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"), F.sha2(F.encode(F.concat(html, F.lit("v2")), "UTF-8"), 256).alias("digest2"), F.octet_length(html).cast("string").alias("n"))
+    at = lambda s: F.timestamp_seconds(F.col("p") * 10 + s + 1000)
+    tag = lambda d: F.concat(F.lit('"'), F.substring(d, 1, 16), F.lit('"'))
     date = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")
-    pair = lambda *x: F.create_map(*(F.lit(v) if isinstance(v, str) else v for v in x))
-    both = F.explode(
-        F.array(
-            F.struct(F.lit("response").alias("kind"), (F.col("page_id") * 2).alias("record_id"), F.col("url").alias("url"), first.alias("ts"), pair("content-type", "text/html", "content-length", F.col("n").cast("string"), "etag", tag, "date", date(first)).alias("headers"), F.col("digest").alias("payload_digest")),
-            F.struct(F.lit("revisit").alias("kind"), (F.col("page_id") * 2 + 1).alias("record_id"), F.regexp_replace("url", "^https:", "http:").alias("url"), again.alias("ts"), pair("content-length", "0", "etag", F.concat(F.lit("W/"), tag), "date", date(again), "cache-control", "max-age=60").alias("headers"), F.lit(None).cast("string").alias("payload_digest")),
-        )
-    )
-    return p.select(both.alias("r")).select("r.*")
+    string = lambda v: F.lit(v) if isinstance(v, str) else v
+    known = lambda *pairs: F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("key"), string(v).alias("value")) for k, v in pairs)), lambda e: e["value"].isNotNull()))
+    none = F.lit(None).cast("string")
+
+    def response(i, s, url, digest, etag, n, when):
+        headers = known(("content-type", "text/html"), ("content-length", n), ("etag", etag), ("date", date(at(s))))
+        return F.when(when, F.struct(F.lit("response").alias("kind"), (F.col("p") * 8 + i).alias("record_id"), string(url).alias("url"), at(s).alias("ts"), headers.alias("headers"), digest.alias("payload_digest")))
+
+    def revisit(i, s, url, etag, when):
+        headers = known(("content-length", "0"), ("etag", etag), ("date", date(at(s))), ("cache-control", "max-age=60"))
+        return F.when(when, F.struct(F.lit("revisit").alias("kind"), (F.col("p") * 8 + i).alias("record_id"), string(url).alias("url"), at(s).alias("ts"), headers.alias("headers"), none.alias("payload_digest")))
+
+    every = lambda n, k=0: F.pmod("p", F.lit(n)) == k
+    plain, weak = F.regexp_replace("url", "^https:", "http:"), F.concat(F.lit("W/"), tag("digest"))
+    records = F.array(
+        response(0, 0, F.col("url"), F.col("digest"), F.when(~every(7), tag("digest")), F.col("n"), F.lit(True)), response(1, 4, F.col("url"), F.col("digest2"), tag("digest2"), F.col("n"), every(3)),
+        response(6, 0, HUB, F.sha2(F.encode(F.concat(F.lit("hub"), F.col("p").cast("string")), "UTF-8"), 256), none, F.lit("3"), every(50)),
+        revisit(2, 3, plain, weak, F.lit(True)), revisit(3, 6, plain, weak, F.lit(True)), revisit(4, -5, plain, weak, every(4)), revisit(5, 1, HUB.replace("https", "http"), none, every(3, 1)),
+    )
+    return p.select(F.explode(F.array_compact(records)).alias("r")).select("r.*")
 
 
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,20 +131,21 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("record_id", "canonical_url", "status", "response_id", "payload_digest", header_text(F.col("headers")).alias("headers"))
 
 
-_CANONICAL = r"""regexp_replace(lower(regexp_extract(url, '__URL__', 1)), '^www[0-9]*\.', '') ||
-  CASE WHEN regexp_extract(url, '__URL__', 2) IN ('', '80', '443') THEN '' ELSE ':' || regexp_extract(url, '__URL__', 2) END ||
-  regexp_replace(regexp_extract(url, '__URL__', 3), '/+$', '') ||
-  CASE WHEN regexp_extract(url, '__URL__', 4) = '' THEN '' ELSE '?' || array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '__URL__', 4), '&'), lambda x: x <> '')), '&') END""".replace("__URL__", URL)
+_CANONICAL = r"""regexp_replace(lower(regexp_extract(url, '__URL__', 2)), '^www[0-9]*\.', '') ||
+  CASE WHEN regexp_extract(url, '__URL__', 3) = '' OR (regexp_extract(url, '__URL__', 3) = '80' AND lower(regexp_extract(url, '__URL__', 1)) <> 'https') OR (regexp_extract(url, '__URL__', 3) = '443' AND lower(regexp_extract(url, '__URL__', 1)) <> 'http') THEN '' ELSE ':' || regexp_extract(url, '__URL__', 3) END ||
+  regexp_replace(regexp_extract(url, '__URL__', 4), '/+$', '') ||
+  CASE WHEN regexp_extract(url, '__URL__', 5) = '' THEN '' ELSE '?' || array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '__URL__', 5), '&'), lambda x: x <> '')), '&') END""".replace("__URL__", URL)
 ORACLE = rf"""
-WITH p AS (SELECT page_id, {_CANONICAL} AS canonical_url, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages),
-m AS (SELECT a.page_id, a.canonical_url, a.digest AS own, max_by(b.page_id, b.page_id) AS hit, max_by(b.digest, b.page_id) AS digest, max_by(b.n, b.page_id) AS n
-  FROM p a JOIN p b ON a.canonical_url = b.canonical_url AND b.page_id < a.page_id + 3 GROUP BY ALL),
-d AS (SELECT *, strftime(to_timestamp(page_id + 3) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS date FROM m)
-SELECT page_id * 2 + 1 AS record_id, canonical_url, CASE WHEN own = digest THEN 'resolved' ELSE 'validator_mismatch' END AS status,
-  CASE WHEN own = digest THEN hit * 2 END AS response_id, CASE WHEN own = digest THEN digest END AS payload_digest,
-  'cache-control: max-age=60' || chr(10) || 'content-length: ' || CASE WHEN own = digest THEN n::VARCHAR ELSE '0' END || chr(10) ||
-  CASE WHEN own = digest THEN 'content-type: text/html' || chr(10) ELSE '' END || 'date: ' || date || chr(10) || 'etag: W/"' || left(own, 16) || '"' AS headers
-FROM d
+WITH p AS (SELECT page_id AS p, {_CANONICAL} AS u, {_CANONICAL.replace("(url,", "(regexp_replace(url, '^https:', 'http:'),")} AS plain, sha256(coalesce(html, '')) AS d, sha256(coalesce(html, '') || 'v2') AS d2, strlen(coalesce(html, ''))::VARCHAR AS n FROM pages),
+resp AS (SELECT u, p * 10 AS s, p * 8 AS id, d AS digest, CASE WHEN p % 7 <> 0 THEN left(d, 16) END AS tag, n FROM p UNION ALL SELECT u, p * 10 + 4, p * 8 + 1, d2, left(d2, 16), n FROM p WHERE p % 3 = 0
+  UNION ALL SELECT 'hub.example', p * 10, p * 8 + 6, sha256('hub' || p), NULL, '3' FROM p WHERE p % 50 = 0),
+last AS (SELECT * FROM resp QUALIFY row_number() OVER (PARTITION BY u, s ORDER BY id DESC) = 1),
+rev AS (SELECT plain AS u, p * 10 + unnest([3, 6]) AS s, p * 8 + unnest([2, 3]) AS id, left(d, 16) AS tag FROM p UNION ALL SELECT plain, p * 10 - 5, p * 8 + 4, left(d, 16) FROM p WHERE p % 4 = 0 UNION ALL SELECT 'hub.example', p * 10 + 1, p * 8 + 5, NULL FROM p WHERE p % 3 = 1),
+j AS (SELECT rev.*, last.id AS hit, last.digest, last.tag AS have, last.n, strftime(to_timestamp(rev.s + 1000) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS date FROM rev ASOF LEFT JOIN last ON rev.u = last.u AND rev.s > last.s),
+k AS (SELECT *, CASE WHEN hit IS NULL THEN 'no_response' WHEN tag IS NULL OR have IS NULL THEN 'unvalidated' WHEN tag = have THEN 'resolved' ELSE 'validator_mismatch' END AS status FROM j), o AS (SELECT *, status IN ('resolved', 'unvalidated') AS ok FROM k)
+SELECT id AS record_id, u AS canonical_url, status, CASE WHEN ok THEN hit END AS response_id, CASE WHEN ok THEN digest END AS payload_digest,
+  'cache-control: max-age=60' || chr(10) || 'content-length: ' || CASE WHEN ok THEN n ELSE '0' END || CASE WHEN ok THEN chr(10) || 'content-type: text/html' ELSE '' END || chr(10) || 'date: ' || date ||
+  CASE WHEN tag IS NOT NULL THEN chr(10) || 'etag: W/"' || tag || '"' WHEN ok AND have IS NOT NULL THEN chr(10) || 'etag: "' || have || '"' ELSE '' END AS headers FROM o
 """
 
 QUERIES = {"op10_warc_revisits": op10_warc_revisits}
