@@ -339,10 +339,14 @@ def grouped_rows(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     placed = materialize(spread_join(placed, mixed.select("band"), "band", mixed.where(F.col("n") > HUB), "cls"), "nd_mixed")
     sizes = placed.groupBy("band", "cluster").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("band").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("largest"))
-    apart = materialize(placed.join(largest, "band").join(classes, "cls").select("band", "cls", "cluster", "largest", "n_shingles", *PLANES), "nd_apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    across = (F.col("x.band") == F.col("y.band")) & (F.col("x.cluster") != F.col("y.cluster")) & ((F.col("y.cluster") == F.col("y.largest")) | (F.col("x.cls") < F.col("y.cls"))) & likely("x", "y", threshold)
-    more = materialize(x.where("x.cluster <> x.largest").join(y, across).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.cluster").alias("ca"), F.col("y.cluster").alias("cb")).distinct(), "nd_more_ties")
+    full_bands = mixed.where(F.col("n") > HUB)
+    apart = materialize(spread_join(placed, largest, "band", full_bands, "cls").join(classes, "cls").select("band", "cls", "cluster", "largest", "n_shingles", *PLANES), "nd_apart")
+    # Those outside the largest cluster are the fewer ones: they are copied to where the others of a full band are dealt.
+    x = apart.where("cluster <> largest").select("band", F.struct("cls", "cluster", "n_shingles", *PLANES).alias("x"))
+    y = apart.select("band", F.struct("cls", "cluster", "largest", "n_shingles", *PLANES).alias("y"))
+    across = (F.col("x.cluster") != F.col("y.cluster")) & ((F.col("y.cluster") == F.col("y.largest")) | (F.col("x.cls") < F.col("y.cls"))) & likely("x", "y", threshold)
+    met = spread_join(y, x, "band", full_bands, "y.cls").where(across)
+    more = materialize(met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.cluster").alias("ca"), F.col("y.cluster").alias("cb")).distinct(), "nd_more_ties")
     if more.limit(1).count():
         ties = ties.unionByName(more.select("a", "b", F.lit(True).alias("likely")))
         merged = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()).select(F.col("cls").alias("label"), F.col("label").alias("top"))
