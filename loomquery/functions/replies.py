@@ -95,6 +95,11 @@ def missing_labels(items: Column) -> Column:
     return F.transform(F.slice(items, 1, fx.MAX_MISSING), lambda s: F.when(F.contains(s, F.lit(":")), strip(F.regexp_replace(s, r"(?s)^[^:]*:", ""))).otherwise(s))
 
 
+def shown_benefits(items: Column) -> Column:
+    """As many of a scheme's benefits as a reader is shown."""
+    return F.slice(items, 1, fx.MAX_BENEFITS)
+
+
 def citation_line(idx: Column, scheme: Column, name: Column, start: Column, end: Column, ocr: Column) -> Column:
     """A source below an answer: number, scheme, file, pages, and a badge for scanned text."""
     return F.concat(idx.cast("string"), F.lit(". "), scheme, F.lit(" — "), name, F.lit(" · "), page_label(start, end), F.when(F.coalesce(ocr, F.lit(False)), " · OCR").otherwise(""))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import images, ingest, retrieval
-from .readers import recovered, upsert_parquet
+from .readers import recovered, upsert_parquet, write_json
 
 #: What a record's metadata may hold, in order; a null is left out, and vision_failed is there only if true.
 METADATA = ("scheme", "source_type", "source_filename", "source_filepath", "is_ocr_source", "parent_subfolder", "page_start", "page_end", "workflow_id", "image_xref", "content_hash", "vision_content_type")
@@ -38,8 +39,9 @@ def upsert(spark: SparkSession, chunks: DataFrame, path: str, version: str, conn
 
     ``connect()`` makes the embedding model of a task, which gets ``batch`` texts a call; a call that fails costs its own batch alone: those rows go to ``path``_failures with the error.
     """
-    rows = records(chunks, version)
     given, clashes = chunks.count(), ingest.collisions(chunks, "chunk_id").count()
+    chunks = ingest.latest(chunks, "chunk_id", F.col(version).desc())
+    rows = records(chunks, version)
     failed = 0
     if connect is not None:
 
@@ -54,8 +56,10 @@ def upsert(spark: SparkSession, chunks: DataFrame, path: str, version: str, conn
 
             return call
 
-        vectors = retrieval.embedded(chunks.select("chunk_id", "text"), guarded, "chunk_id", batch).dropDuplicates(["chunk_id"])
-        rows = rows.join(vectors, "chunk_id", "left")
+        vectors = retrieval.embedded(chunks.select("chunk_id", "text"), guarded, "chunk_id", batch)
+        # Written once: the model isn't asked again by whoever reads the rows.
+        rows.join(vectors, "chunk_id", "left").write.mode("overwrite").parquet(f"{path}.embedded")
+        rows = spark.read.parquet(f"{path}.embedded")
         lost = rows.where("v is null").select("chunk_id")
         failed = lost.count()
         if failed:
@@ -79,6 +83,16 @@ def build(text_chunks: DataFrame | None, image_chunks: DataFrame | None) -> tupl
     return union, clashes, log
 
 
+def build_collection(spark: SparkSession, text_chunks: DataFrame, image_chunks: DataFrame, path: str, version: str, connect: Callable | None = None, skip_text: bool = False, skip_images: bool = False, dry_run: bool = False) -> dict:
+    """Both kinds of chunks into the collection at path; what was built is returned and written to ``path``_build as JSON. A dry run counts and writes nothing else."""
+    union, clashes, kinds = build(None if skip_text else text_chunks, None if skip_images else image_chunks)
+    log = {"dry_run": dry_run, "skip_text": skip_text, "skip_images": skip_images, "kinds": {r["source_type"]: r["n_chunks"] for r in kinds.collect()}, "collisions": [r["chunk_id"] for r in clashes.collect()]}
+    if not dry_run:
+        log |= asdict(upsert(spark, union, path, version, connect))
+    write_json(spark.createDataFrame([(json.dumps(log, sort_keys=True),)], "log string"), f"{path}_build")
+    return log
+
+
 def put_sidecars(spark: SparkSession, extractions: DataFrame, path: str) -> None:
     """(content_hash, e struct of images.SIDECAR, version) into the vision cache at path, as JSON by hash; the last version of a hash counts."""
     upsert_parquet(spark, extractions.select("content_hash", F.to_json("e").alias("sidecar"), "version"), path, "content_hash", "version")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,32 +15,37 @@ from ..operators.ingest import latest
 def upsert_stream(rows: DataFrame, table_path: str, checkpoint: str, key: str, version: str) -> StreamingQuery:
     """Each micro-batch is one generation of the table: what was there and the batch, the last version of each key.
 
-    Generations are folders named by batch id, so a batch that runs again after a failure writes the same folder from the same generation before it.
-    ``current`` reads the last complete one.
+    A generation's folder is named by its number, the stream's checkpoint and the batch. A batch that runs again after a failure finds its generation complete and leaves it,
+    or writes it anew from the one before it; a stream with a new checkpoint goes on from the last generation of the old one. ``current`` reads the last complete one.
     """
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = current(spark, table_path, before=batch_id)
-        both = batch if before is None else before.unionByName(batch)
-        latest(both, key, F.col(version).desc()).write.mode("overwrite").parquet(f"{table_path}/generation={batch_id:012d}")
+        spark, own = batch.sparkSession, f"{run}-{batch_id}"
+        last = max(generations(spark, table_path), default=(-1, ""))
+        if last[1].endswith(own):
+            return
+        both = batch if last[0] < 0 else spark.read.parquet(f"{table_path}/{last[1]}").unionByName(batch)
+        latest(both, key, F.col(version).desc()).write.mode("overwrite").parquet(f"{table_path}/generation={last[0] + 1:012d}-{own}")
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, table_path: str, before: int | None = None) -> DataFrame | None:
-    """The table's last complete generation (before a batch, if one is given); None if there is none."""
+def generations(spark: SparkSession, table_path: str) -> list[tuple[int, str]]:
+    """(number, folder) of the complete generations of a table."""
     path = spark._jvm.org.apache.hadoop.fs.Path(table_path)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return None
-    numbers = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        if name.startswith("generation=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            numbers.append(int(name.removeprefix("generation=")))
-    numbers = [n for n in numbers if before is None or n < before]
-    return spark.read.parquet(f"{table_path}/generation={max(numbers):012d}") if numbers else None
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(path)]
+    whole = [n for n in names if n.startswith("generation=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/{n}/_SUCCESS"))]
+    return [(int(n.removeprefix("generation=").split("-")[0]), n) for n in whole]
+
+
+def current(spark: SparkSession, table_path: str) -> DataFrame | None:
+    """The table's last complete generation; None if there is none."""
+    known = generations(spark, table_path)
+    return spark.read.parquet(f"{table_path}/{max(known)[1]}") if known else None
 
 
 def rotations(calls: DataFrame, n_keys: int) -> DataFrame:

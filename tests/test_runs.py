@@ -60,6 +60,22 @@ def test_collection_upsert(spark, tmp_path):
     assert {r.source_type: (r.n_chunks, r.n_ids) for r in log.collect()} == {"pdf": (3, 2), "image": (1, 1)}
     with pytest.raises(ValueError, match="nothing to build"):
         collection.build(None, None)
+    kinds = "chunk_id string, text string, source_type string, version int"
+    parts = spark.createDataFrame([("a", "x", "pdf", 1)], kinds), spark.createDataFrame([("i", "y", "image", 1), ("a", "z", "image", 2)], kinds)
+    built = str(tmp_path / "built")
+    dry = collection.build_collection(spark, *parts, built, "version", dry_run=True)
+    assert (dry["kinds"], dry["collisions"]) == ({"pdf": 1, "image": 2}, ["a"]) and readers.recovered(spark, built) is None
+    assert collection.build_collection(spark, *parts, built, "version", skip_images=True)["n_after"] == 1
+    assert collection.build_collection(spark, *parts, built, "version")["n_after"] == 2 and json.loads(spark.read.json(built + "_build").first().log)["n_collisions"] == 1
+
+
+def test_a_new_checkpoint_keeps_the_table(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "table")
+    for n, batch in enumerate(([("a", 1)], [("b", 2)])):
+        spark.createDataFrame(batch, "k string, v int").write.parquet(f"{source}{n}")
+        upserts.upsert_stream(spark.readStream.schema("k string, v int").parquet(f"{source}{n}"), table, str(tmp_path / f"checkpoint{n}"), "k", "v").awaitTermination()
+    assert sorted(map(tuple, upserts.current(spark, table).select("k", "v").collect())) == [("a", 1), ("b", 2)]
+    assert [n for n, _ in sorted(upserts.generations(spark, table))] == [0, 1]
 
 
 def test_a_crash_between_renames_loses_nothing(spark, tmp_path):
