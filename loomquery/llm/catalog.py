@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, licences, mixing, neardup, quality, shards, substring, tiff, tokenfiles, warc
+from . import bpe, clustering, divergence, licences, mixing, neardup, quality, shards, substring, tiff, tokenfiles, vectordup, warc
 
-MODULES = (mixing, quality, neardup, tokenfiles, licences, bpe, tiff, shards, substring, warc)
+MODULES = (mixing, quality, neardup, tokenfiles, licences, bpe, tiff, shards, substring, warc, divergence, clustering, vectordup)
 
 
 def pipeline(spark, sf_dir):
