@@ -15,8 +15,10 @@ Factors of fewer than WINDOW words don't arise; the others are duplicate spans.
 Windows that repeat within one chunk of input are parsed before the shuffle, against the chunk as the reference block, and only those of the smallest document of
 each go on, so a passage that a third of all documents share reaches its block once for each chunk of input.
 
+A row's spans find it again by its id and 128 bits of hash of its text, so texts that share an id, or have none, keep their own.
+
 Defined results: a null text has no words; texts shorter than a window stay whole; a text of any length is parsed whole; rows with one id are one document (none is a
-duplicate of the other); a null id is larger than all others; an empty table gives an empty table; extra columns are ignored (``drop_duplicate_spans`` keeps them).
+duplicate of the other), and each is cut by the spans of its own text; a null id is larger than all others; an empty table gives an empty table; extra columns are ignored (``drop_duplicate_spans`` keeps them).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import give_back, keyed_texts, map_batches, materialize, n_partitions, ship_package, table
@@ -42,6 +44,8 @@ HOT_WINDOWS = 4_000_000
 #: The bound on such blocks, whose numbers go to every task (16 bytes each): the more windows there are, the larger a block may be.
 MAX_HOT = 1_000_000
 NO_ID = np.iinfo(np.int64).max
+#: What tells a row from others: its id and two hashes of its text.
+ROW = np.dtype([("id", "<i8"), ("a", "<i8"), ("b", "<i8")])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -59,7 +63,7 @@ def _planes(x: np.ndarray) -> bytes:
     return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
-def _unplanes(raw: bytes, kind: str) -> np.ndarray:
+def _unplanes(raw: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
@@ -93,27 +97,27 @@ class Chunk:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.words = 0
 
-    def add(self, ids: np.ndarray, sums: np.ndarray, words) -> None:
-        """ids, sums: id and checksum of each document of ``words``."""
+    def add(self, rows: np.ndarray, words) -> None:
+        """rows: the ROW of each document of ``words``."""
         self.words += len(words.hashes)
         whole = np.flatnonzero(words.whole(self.dealer.window))
         if not len(whole):
             return
         doc, gram = words.doc[whole], words.grams(self.dealer.window)[whole]
-        self.parts.append((gram, ids[doc], sums[doc], (whole - words.first[doc]).astype(np.uint32), self.dealer.cut(self.dealer.blocks(words, whole), gram)))
+        self.parts.append((gram, rows[doc], (whole - words.first[doc]).astype(np.uint32), self.dealer.cut(self.dealer.blocks(words, whole), gram)))
 
     def settle(self):
         """(factors, segments): factors as by parse(); segments are (block, packed bytes)."""
         if not self.parts:
             return None
-        gram, ids, sums, start, block = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        gram, rows, start, block = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         self.parts, self.words = [], 0
-        # Windows of a document lie in reading order; a change of id, checksum or a gap ends a segment.
+        # Windows of a document lie in reading order; a change of row or a gap ends a segment.
         begins = np.empty(len(gram), bool)
         begins[0] = True
-        begins[1:] = (np.diff(start.astype(np.int64)) != 1) | (ids[1:] != ids[:-1]) | (sums[1:] != sums[:-1])
-        at, source, n, found = parse(gram, ids, begins)
-        factors = (ids[at], sums[at], start[at], n, ids[source], start[source])
+        begins[1:] = (np.diff(start.astype(np.int64)) != 1) | (rows[1:] != rows[:-1])
+        at, source, n, found = parse(gram, rows["id"], begins)
+        factors = (rows[at], start[at], n, rows["id"][source], start[source])
         at, n = runs(~found, np.cumsum(begins), block)
         if not len(at):
             return factors, []
@@ -125,7 +129,7 @@ class Chunk:
         for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True):
             s, k = at[a:b], n[a:b]
             inside = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(s, k)
-            head = [_planes(ids[s]), _planes(sums[s]), _planes(start[s]), _planes(k.astype(np.uint32))]
+            head = [_planes(rows[s]), _planes(start[s]), _planes(k.astype(np.uint32))]
             segments.append((int(owner[a]), np.array([len(s)], np.uint32).tobytes() + b"".join(head) + gram[inside].tobytes()))
         return factors, segments
 
@@ -189,8 +193,8 @@ def parse(gram: np.ndarray, ids: np.ndarray, begins: np.ndarray) -> tuple[np.nda
     return at, s, n, found
 
 
-def unpack(raw: bytes, kinds: tuple[str, ...] = ("<i8", "<u4", "<u4", "<u4")) -> tuple[np.ndarray, ...]:
-    """Of segments the id, checksum, start and length of each, and what follows: the windows of all."""
+def unpack(raw: bytes, kinds: tuple = (ROW, "<u4", "<u4")) -> tuple[np.ndarray, ...]:
+    """Of segments the row, start and length of each, and what follows: the windows of all."""
     (n,) = np.frombuffer(raw[:4], np.uint32)
     n, at, out = int(n), 4, []
     for kind in kinds:
@@ -201,23 +205,25 @@ def unpack(raw: bytes, kinds: tuple[str, ...] = ("<i8", "<u4", "<u4", "<u4")) ->
 
 
 def parse_block(packed: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Index a block and factor its segments: (id, checksum, start, windows, source id, source start) of each factor."""
-    ids, sums, start, length, gram = (np.concatenate(c) for c in zip(*map(unpack, packed), strict=True))
+    """Index a block and factor its segments: (row, start, windows, source id, source start) of each factor."""
+    rows, start, length, gram = (np.concatenate(c) for c in zip(*map(unpack, packed), strict=True))
     first = np.cumsum(length.astype(np.int64)) - length
     begins = np.zeros(len(gram), bool)
     begins[first] = True
     owner = np.repeat(np.arange(len(length)), length)
+    ids = rows["id"]
     at, source, n, _ = parse(gram, ids[owner], begins)
     place = lambda x: start[owner[x]] + (x - first[owner[x]])
-    return ids[owner[at]], sums[owner[at]], place(at), n, ids[owner[source]], place(source)
+    return rows[owner[at]], place(at), n, ids[owner[source]], place(source)
 
 
-FACTORS = "doc_id long, crc long, start long, n long, source_id long, source_start long"
-FACTOR_KINDS = ("<i8", "<u4", "<u4", "<u4", "<i8", "<u4")
+FACTORS = "doc_id long, text_a long, text_b long, start long, n long, source_id long, source_start long"
+FACTOR_KINDS = (ROW, "<u4", "<u4", "<i8", "<u4")
 
 
-def _factor_table(*columns: np.ndarray) -> pa.Table:
-    return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=[x.split()[0] for x in FACTORS.split(", ")][: len(columns)])
+def _factor_table(rows: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    flat = [rows[f] for f in ROW.names] + [c.astype(np.int64) for c in columns]
+    return pa.table([pa.array(np.ascontiguousarray(c)) for c in flat], names=[x.split()[0] for x in FACTORS.split(", ")][: len(flat)])
 
 
 def _pack_factors(*columns: np.ndarray) -> bytes:
@@ -225,12 +231,14 @@ def _pack_factors(*columns: np.ndarray) -> bytes:
 
 
 def _word_slices(batches):
-    """(ids, checksums or None, words) of runs of documents."""
+    """(rows, or None without hashes; words) of runs of documents."""
     for batch in batches:
-        ids = batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
-        sums = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint32) if batch.num_columns > 2 else None
+        rows = None
+        if batch.num_columns > 2:
+            rows = np.empty(batch.num_rows, ROW)
+            rows["id"], rows["a"], rows["b"] = batch.column(0).fill_null(int(NO_ID)).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy()
         for a, b, words in slices(batch.column(1), lower=False, limit=SLICE_BYTES):
-            yield ids[a:b], None if sums is None else sums[a:b], words
+            yield None if rows is None else rows[a:b], words
 
 
 def hot_blocks(texts: DataFrame, window: int, n_blocks: int) -> list[tuple[int, int]]:
@@ -243,7 +251,7 @@ def hot_blocks(texts: DataFrame, window: int, n_blocks: int) -> list[tuple[int,
             block, windows = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(block), pa.array(windows.astype(np.int64))], ["block", "n"])
 
-        for _, _, words in _word_slices(batches):
+        for _, words in _word_slices(batches):
             whole = np.flatnonzero(words.whole(window))
             if len(whole):
                 held.append(dealer.blocks(words, whole))
@@ -261,8 +269,13 @@ def hot_blocks(texts: DataFrame, window: int, n_blocks: int) -> list[tuple[int,
     return [(r.block, -(-2 * r.n // limit)) for r in sizes.where(F.col("n") > limit).collect()]
 
 
+def text_hashes(text: Column) -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("text_a"), F.xxhash64(F.lit(1), text).alias("text_b")]
+
+
 def factorise(docs: DataFrame, window: int = WINDOW, sources: bool = True) -> DataFrame:
-    """One row for each factor: doc_id, crc (of the text), start and n (windows), source_id, source_start; a factor covers n + window - 1 words. NO_ID stands for null.
+    """One row for each factor: doc_id, text_a and text_b (hashes of the text), start and n (windows), source_id, source_start; a factor covers n + window - 1 words. NO_ID stands for null.
 
     Without ``sources`` the last two are left out of what is shuffled and returned. One shuffle: packed segments to their blocks. Factors that a chunk has settled travel with them, dealt out evenly.
     """
@@ -272,7 +285,7 @@ def factorise(docs: DataFrame, window: int = WINDOW, sources: bool = True) -> Da
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(2 * n_partitions(spark), -(-total // BLOCK_BYTES))
     hot = hot_blocks(texts, window, n_blocks)
-    width = 6 if sources else 4
+    width = 5 if sources else 3
 
     def deal(batches):
         chunk, turn = Chunk(Dealer(window, n_blocks, hot)), 0
@@ -285,14 +298,14 @@ def factorise(docs: DataFrame, window: int = WINDOW, sources: bool = True) -> Da
             factors, segments = settled
             rows = [(block, False, packed) for block, packed in segments]
             if len(factors[0]):
-                rows.append(((int(factors[0][0]) + turn) % n_blocks, True, _pack_factors(*factors[:width])))
+                rows.append(((int(factors[0]["id"][0]) + turn) % n_blocks, True, _pack_factors(*factors[:width])))
                 turn += 1
             for a in range(0, len(rows), 64):
                 block, done, packed = zip(*rows[a : a + 64], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(done), pa.array(packed, pa.binary())], ["block", "settled", "packed"])
 
-        for ids, sums, words in _word_slices(batches):
-            chunk.add(ids, sums, words)
+        for keys, words in _word_slices(batches):
+            chunk.add(keys, words)
             if chunk.words >= CHUNK_WORDS:
                 yield from emit()
         yield from emit()
@@ -304,31 +317,30 @@ def factorise(docs: DataFrame, window: int = WINDOW, sources: bool = True) -> Da
         open_segments = [p for p, d in zip(packed, done, strict=True) if not d]
         if open_segments:
             out.append(parse_block(open_segments)[:width])
-        columns = [np.concatenate(c) for c in zip(*((np.asarray(x, np.int64) for x in f) for f in out), strict=True)]
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
         # Rows that are equal in id and text give equal factors: one of them is enough.
-        order = np.lexsort(columns[:3])
-        same = np.all([c[order][1:] == c[order][:-1] for c in columns[:4]], axis=0) if len(order) else np.zeros(0, bool)
+        order = np.lexsort((columns[1], *(columns[0][f] for f in ROW.names)))
+        same = np.all([c[order][1:] == c[order][:-1] for c in columns[:3]], axis=0) if len(order) else np.zeros(0, bool)
         return _factor_table(*(c[order][np.append(np.ones(min(1, len(order)), bool), ~same)] for c in columns))
 
-    keyed = texts.withColumn("crc", F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0).cast("long")))
-    dealt = keyed.mapInArrow(deal, "block long, settled boolean, packed binary")
+    dealt = texts.select("doc_id", "text", *text_hashes(F.col("text"))).mapInArrow(deal, "block long, settled boolean, packed binary")
     # The number of tasks follows the number of blocks, so that what a task reads doesn't grow with the input.
     n_tasks = max(n_partitions(spark), (n_blocks + sum(p for _, p in hot)) // 2)
-    return dealt.repartition(n_tasks, "block").groupBy("block").applyInArrow(work, ", ".join(FACTORS.split(", ")[:width]))
+    return dealt.repartition(n_tasks, "block").groupBy("block").applyInArrow(work, ", ".join(FACTORS.split(", ")[: width + 2]))
 
 
 def duplicate_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The parse itself: doc_id, crc, start, n_words, source_id, source_start of each factor; starts are counted in words from 0.
+    """The parse itself: doc_id, text_a, text_b, start, n_words, source_id, source_start of each factor; starts are counted in words from 0.
 
     Factors of different blocks that continue each other in one source are one.
     """
-    order = Window.partitionBy("doc_id", "crc").orderBy("start", "n")
+    order = Window.partitionBy("doc_id", "text_a", "text_b").orderBy("start", "n")
     before = lambda c: F.lag(c).over(order)
     follows = (before("start") + before("n") == F.col("start")) & (before("source_id") == F.col("source_id")) & (before("source_start") + before("n") == F.col("source_start"))
     numbered = factorise(docs, window).withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    joined = numbered.groupBy("doc_id", "crc", "run").agg(F.min("start").alias("start"), (F.sum("n") + window - 1).alias("n_words"), F.min("source_id").alias("source_id"), F.min("source_start").alias("source_start"))
+    joined = numbered.groupBy("doc_id", "text_a", "text_b", "run").agg(F.min("start").alias("start"), (F.sum("n") + window - 1).alias("n_words"), F.min("source_id").alias("source_id"), F.min("source_start").alias("source_start"))
     known = F.when(F.col("doc_id") != int(NO_ID), F.col("doc_id"))
-    return joined.select(known.alias("doc_id"), "crc", "start", "n_words", "source_id", "source_start")
+    return joined.select(known.alias("doc_id"), "text_a", "text_b", "start", "n_words", "source_id", "source_start")
 
 
 def keep_words(text: str | None, spans: tuple[np.ndarray, np.ndarray] | None, window: int) -> tuple[int, int, list[bytes] | None]:
@@ -350,16 +362,16 @@ def _with_spans(docs: DataFrame, window: int, *carried) -> DataFrame:
     n_rows = len(carried)
 
     def squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [v.as_py() for v in batch.column(1)]
-        raw = [None if t is None else t.encode() for t in texts]
-        crc = [0 if r is None else zlib.crc32(r) for r in raw]
+        raw = [None if not v.is_valid else zlib.compress(v.as_buffer(), 1) for v in batch.column(1)]
         ids = batch.column(0).fill_null(int(NO_ID))
-        return pa.RecordBatch.from_arrays([ids, pa.array(crc, pa.int64()), pa.array([None if r is None else zlib.compress(r, 1) for r in raw], pa.binary()), *batch.columns[2:]], ["doc_id", "crc", "packed", *(f"row{i}" for i in range(n_rows))])
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(f"row{i}") for i, c in enumerate(carried)))
-    schema = "doc_id long, crc long, packed binary" + "".join(f", row{i} {source.schema[f'row{i}'].dataType.simpleString()}" for i in range(len(carried)))
-    spans = factorise(docs, window, sources=False).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return map_batches(source, squeeze, schema).join(spans, ["doc_id", "crc"], "left")
+        return pa.RecordBatch.from_arrays([ids, *batch.columns[2:4], pa.array(raw, pa.binary()), *batch.columns[4:]], ["doc_id", "text_a", "text_b", "packed", *(f"row{i}" for i in range(n_rows))])
+
+    text = F.col("text").cast("string")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *text_hashes(text), *(c.alias(f"row{i}") for i, c in enumerate(carried)))
+    schema = "doc_id long, text_a long, text_b long, packed binary" + "".join(f", row{i} {source.schema[f'row{i}'].dataType.simpleString()}" for i in range(len(carried)))
+    key = ["doc_id", "text_a", "text_b"]
+    spans = factorise(docs, window, sources=False).groupBy(*key).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return map_batches(source, squeeze, schema).join(spans, key, "left")
 
 
 def _opened(batch: pa.RecordBatch, window: int):
