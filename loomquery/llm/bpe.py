@@ -10,7 +10,8 @@ them, and what all threads of a state have in common is emitted on the way in, s
 lookahead that the longest token bounds. At most one thread of a state stands at the trie's root: the
 segmentation of the bytes so far, which the end of a piece flushes.
 
-The states are a memo with a bound on their number: when it is reached the memo is dropped and built anew.
+The states are a memo with a bound on their number, looked at every STRIDE bytes, within a piece too: when it is reached the memo is dropped and built anew from the threads of the current state,
+which are all that the rest of the piece needs. So there are never more than the bound and STRIDE states, whatever the length of a piece. The memo of whole pieces is bounded likewise within a text.
 
 Decoding streams: token bytes go through an incremental UTF-8 state machine that holds back an incomplete
 character between chunks.
@@ -37,6 +38,7 @@ MAX_STATES = 200_000
 MAX_PIECES = 800_000
 MAX_PAIRS = 250_000
 DECODE_CHUNK = 8192
+STRIDE = 4096
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -88,6 +90,21 @@ class MergeTransducer:
         self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
         self.flush: list[tuple[int, ...]] = [()]
 
+    def _restart(self, state: int) -> int:
+        """Drop all states but the start and this one; its new number."""
+        key = self.threads[state]
+        self._reset()
+        if key not in self.index:
+            self._add(key)
+        return self.index[key]
+
+    def _add(self, key: tuple) -> int:
+        to = self.index[key] = len(self.threads)
+        self.threads.append(key)
+        self.arcs.append({})
+        self.flush.append(next((p for p, _, node in key if node == 0), ()))
+        return to
+
     def _split(self, token: int) -> tuple[int, int]:
         """The two tokens that the token's last merge joins; (-1, -1) for a single byte."""
         pair = self.parts.get(token)
@@ -161,22 +178,21 @@ class MergeTransducer:
         key = tuple((p[common:], last, node) for p, last, node in moved) if common else tuple(moved)
         to = self.index.get(key)
         if to is None:
-            to = self.index[key] = len(self.threads)
-            self.threads.append(key)
-            self.arcs.append({})
-            self.flush.append(next((p for p, _, node in key if node == 0), ()))
+            to = self._add(key)
         arc = self.arcs[state][byte] = (to, out)
         return arc
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        if len(self.threads) > self.max_states:
-            self._reset()
-        arcs, step, state, out = self.arcs, self._step, 0, []
-        for byte in piece:
-            arc = arcs[state].get(byte) or step(state, byte)
-            state = arc[0]
-            if arc[1]:
-                out += arc[1]
+        step, state, out = self._step, 0, []
+        for at in range(0, len(piece), STRIDE):
+            if len(self.threads) > self.max_states:
+                state = self._restart(state)
+            arcs = self.arcs
+            for byte in piece[at : at + STRIDE]:
+                arc = arcs[state].get(byte) or step(state, byte)
+                state = arc[0]
+                if arc[1]:
+                    out += arc[1]
         out += self.flush[state]
         return out
 
@@ -200,14 +216,14 @@ class BpeCodec:
             return b"".join([memo[p] for p in pieces])
         except KeyError:
             pass
-        if len(memo) > self.max_pieces:
-            memo.clear()
         out = []
         for p in pieces:
             packed = memo.get(p)
             if packed is None:
                 packed = np.array(self.fst.encode_piece(p.encode()), "<u4").tobytes()
                 if len(p) <= 64:
+                    if len(memo) >= self.max_pieces:
+                        memo.clear()
                     memo[p] = packed
             out.append(packed)
         return b"".join(out)
