@@ -147,3 +147,61 @@ def test_very_long_texts(spark, tmp_path):
     n = len(Tokenizer.from_file(vocabulary).encode(long, add_special_tokens=False).ids) + 1
     assert {r.doc_id: r.n_tokens for r in tokenfiles.lookup(tokenfiles.write_token_files(df, vocabulary, f"file://{tmp_path}"), df).collect()}[1] == n
     assert hashlib.sha256(long.encode()).hexdigest() in {r.kept_sha256 for r in substring.span_digest(df).collect()}
+
+
+def colliding_texts():
+    """Two texts of one CRC-32: the second has the words of a longer passage."""
+    import random
+    import zlib
+
+    rng, seen = random.Random(12), {}
+    while True:
+        text = " ".join(f"k{rng.randrange(1 << 20)}" for _ in range(rng.choice([3, 61])))
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if len(other.split()) != len(text.split()):
+            return sorted((text, other), key=len)
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_spans_of_texts_that_share_an_id_and_a_checksum(spark, key):
+    short, long = colliding_texts()
+    passage = " ".join(long.split()[10:50])
+    rows = [(1, passage), (key, short), (key, long), (9 if key else None, "a clean text of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.n_words, r.n_removed) for r in substring.span_digest(df).collect()) == Counter([(1, 40, 0), (key, 3, 0), (key, 61, 40), (9 if key else None, 6, 0)])
+    left = " ".join(long.split()[:10] + long.split()[50:])
+    assert Counter(tuple(r) for r in substring.drop_duplicate_spans(df).collect()) == Counter([rows[0], rows[1], (key, left), rows[3]])
+
+
+def test_one_piece_and_one_text_keep_the_bounds():
+    """A piece of many letters and a text of many pieces: ids as the library's, states and pieces within their bounds."""
+    import random
+
+    import tiktoken
+
+    path, pattern = bpe.default_tokenizer()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    c, rng = bpe.BpeCodec(path, pattern, max_states=3_000, max_pieces=500), random.Random(13)
+    most = 0
+    add = c.fst._add
+
+    def counted(key):
+        nonlocal most
+        most = max(most, len(c.fst.threads) + 1)
+        return add(key)
+
+    c.fst._add = counted
+    piece = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000))
+    assert c.encode(piece) == enc.encode_ordinary(piece) and most <= 3_000 + bpe.STRIDE
+    text = " ".join(f"w{i}" for i in range(20_000))
+    assert c.encode(text) == enc.encode_ordinary(text) and len(c.memo) <= 500
+
+
+def test_many_repeated_sentences_take_linear_time(spark):
+    import time
+
+    text = lambda *names: "\n".join(s for x, n in names for s in [licences.SENTENCES[x][0]] * n)
+    rows = [(1, text(("bsd-use", 10_000), ("bsd-source", 10_000))), (2, text(("bsd-use", 5_000), ("bsd-source", 5_000), ("bsd-binary", 1))), (3, text(("bsd-binary", 5_000), ("bsd-source", 5_000), ("bsd-use", 5_000)))]
+    began = time.time()
+    got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "BSD-2-Clause", 3: ""} and time.time() - began < 120
