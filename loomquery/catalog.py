@@ -14,7 +14,7 @@ from .functions import replies
 from .functions import text as tx
 from .operators import chat, chunking, images, ingest, retrieval, rules
 from .plans import answering, evaluation, models
-from .sources import collection, readers
+from .sources import collection, lexical, readers, shared
 from .streaming import limiter, upserts
 
 RULES = (
@@ -91,8 +91,14 @@ def _chunks(spark, d):
     return _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
 
+def _index(spark, d):
+    """The lexical index of documents, built by the first query of an application that needs it and read by the others."""
+    path = shared.derived(spark, _t(spark, d, "documents"), "lexical_index", lambda path: lexical.build_index(_chunks(spark, d), path))
+    return lexical.LexicalIndex(spark, path)
+
+
 def bm25_topk(spark, d):
-    return retrieval.bm25(_questions(spark, d), _chunks(spark, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return _index(spark, d).search(_questions(spark, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _vectors(spark, d, where="true"):
@@ -127,20 +133,20 @@ def _question_vectors(spark, d):
 
 def hybrid_provenance(spark, d):
     """Hybrid search: vectors and BM25 over the same questions, fused, with where each row came from."""
-    h = retrieval.hybrid(_question_vectors(spark, d), retrieval.bm25(_questions(spark, d), _chunks(spark, d)))
+    h = retrieval.hybrid(_question_vectors(spark, d), _index(spark, d).search(_questions(spark, d)))
     return h.select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "semantic_rank", "bm25_rank", F.round("bm25_score", 6).alias("bm25_score"), "rank")
 
 
 def pool_overlap(spark, d):
     """Of each question how many chunks either pool of a hybrid search holds, and both."""
     ids = lambda df, c: df.groupBy("query_id").agg(F.collect_set("chunk_id").alias(c))
-    both = ids(_question_vectors(spark, d), "a").join(ids(retrieval.bm25(_questions(spark, d), _chunks(spark, d)), "b"), "query_id")
+    both = ids(_question_vectors(spark, d), "a").join(ids(_index(spark, d).search(_questions(spark, d)), "b"), "query_id")
     return both.select("query_id", replies.source_sets(F.col("a"), F.col("b")).alias("s")).select("query_id", "s.*")
 
 
 def rerank_gate(spark, d):
     q, c = _questions(spark, d), _chunks(spark, d)
-    pool = retrieval.bm25(q, c).join(q.select("query_id", F.col("text").alias("question")), "query_id").join(c, "chunk_id")
+    pool = _index(spark, d).search(q).join(q.select("query_id", F.col("text").alias("question")), "query_id").join(c, "chunk_id")
     ranked = retrieval.rerank(pool, retrieval.overlap_score(F.col("question"), F.col("text")))
     return retrieval.gate(q, ranked).select("query_id", F.round("top_score", 6).alias("top_score"), "passed")
 
@@ -248,7 +254,7 @@ def titles(spark, d):
 
 
 def prompt_assembly(spark, d):
-    r = retrieval.bm25(_questions(spark, d), _chunks(spark, d), k=fx.TOP_K).join(_chunks(spark, d), "chunk_id")
+    r = _index(spark, d).search(_questions(spark, d), k=fx.TOP_K).join(_chunks(spark, d), "chunk_id")
     g = r.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("[Passage "), F.col("rank").cast("string"), F.lit("] d"), F.col("chunk_id").cast("string"), F.lit("\n"), F.col("text")).alias("p")))).alias("p"))
     q = _questions(spark, d).join(g, "query_id")
     return q.select("query_id", F.md5(F.encode(F.concat(F.array_join(F.transform("p", lambda x: x["p"]), "\n\n"), F.lit("\n\nQuestion: "), "text"), "UTF-8")).alias("digest"))
@@ -397,7 +403,7 @@ def eval_modes(spark, d):
 
 def user_messages(spark, d):
     """Messages to a model, with passages that stand for pages, workflows and images."""
-    r = retrieval.bm25(_questions(spark, d), _chunks(spark, d), k=fx.TOP_K).join(_t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source", "n_chars"), "chunk_id")
+    r = _index(spark, d).search(_questions(spark, d), k=fx.TOP_K).join(_t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source", "n_chars"), "chunk_id")
     k = F.col("chunk_id") % 3
     kind = F.when(k == 0, "pdf").when(k == 1, "workflow").otherwise("image")
     head = models.passage_header(F.col("rank"), F.col("source"), kind, F.concat("source", F.lit(".pdf")), F.when(F.col("chunk_id") % 2 == 0, F.col("chunk_id")), F.when(F.col("chunk_id") % 2 == 0, F.col("chunk_id") + F.col("n_chars") % 2), F.concat(F.lit("W"), F.col("chunk_id").cast("string")))
