@@ -14,7 +14,7 @@ from .functions import replies
 from .functions import text as tx
 from .operators import chat, chunking, images, ingest, retrieval, rules
 from .plans import answering, evaluation, models
-from .sources import collection, lexical, readers, shared
+from .sources import collection, lexical, readers, shared, vector_index
 from .streaming import limiter, upserts
 
 RULES = (
@@ -111,6 +111,18 @@ def vector_topk(spark, d):
     return _vectors(spark, d).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _vector_index(spark, d):
+    e = _t(spark, d, "embeddings")
+    path = shared.derived(spark, e, "vector_index", lambda path: vector_index.build_index(e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")), path))
+    return vector_index.VectorIndex(spark, path)
+
+
+def vector_index_topk(spark, d):
+    """The vectors of vector_topk searched through the index, all lists probed."""
+    q = _t(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    return _vector_index(spark, d).search(q).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 def vector_topk_filtered(spark, d):
     return _vectors(spark, d, "label = 1").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -570,4 +582,4 @@ def image_occurrences(spark, d):
     return ingest.image_occurrences(h).select("content_hash", "seq", "n", "is_representative")
 
 
-QUERIES = {f.__name__: f for f in (pool_overlap, match_reasons, provided_labels, missing_labels, citation_lines, served_responses, collection_records, collection_build, corpus_load, document_summary, table_summary, run_summary, run_totals, lost_results, key_pool, user_ids, vision_classes, prompt_fill, key_lists, image_diagnostics, image_occurrences, image_chunks, vision_coverage, structured_chunks, eval_modes, user_messages, injection_spans, truncated_chunks, served_requests, json_props, rewrites_parse, source_keys, page_labels, answer_outcomes, multi_query, chat_conversations, chat_messages, key_rotation, chunk_windows, page_join_ranges, workflow_render, chunk_summary, short_documents, ocr_preference, token_stats, bm25_topk, vector_topk, vector_topk_filtered, rrf_fusion, hybrid_provenance, rerank_gate, retrieval_metrics, eval_summary, refusal_flags, query_validation, injection_flags, pii_scrub, intent_attributes, scheme_match, missing_info, exact_dup_groups, watermark_filter, upsert_latest, id_collisions, resume_pending, user_history, titles, prompt_assembly, rate_limit, table_render, bbox_exclusion)}
+QUERIES = {f.__name__: f for f in (vector_index_topk, pool_overlap, match_reasons, provided_labels, missing_labels, citation_lines, served_responses, collection_records, collection_build, corpus_load, document_summary, table_summary, run_summary, run_totals, lost_results, key_pool, user_ids, vision_classes, prompt_fill, key_lists, image_diagnostics, image_occurrences, image_chunks, vision_coverage, structured_chunks, eval_modes, user_messages, injection_spans, truncated_chunks, served_requests, json_props, rewrites_parse, source_keys, page_labels, answer_outcomes, multi_query, chat_conversations, chat_messages, key_rotation, chunk_windows, page_join_ranges, workflow_render, chunk_summary, short_documents, ocr_preference, token_stats, bm25_topk, vector_topk, vector_topk_filtered, rrf_fusion, hybrid_provenance, rerank_gate, retrieval_metrics, eval_summary, refusal_flags, query_validation, injection_flags, pii_scrub, intent_attributes, scheme_match, missing_info, exact_dup_groups, watermark_filter, upsert_latest, id_collisions, resume_pending, user_history, titles, prompt_assembly, rate_limit, table_render, bbox_exclusion)}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
@@ -121,16 +121,31 @@ def _hits(ids: np.ndarray, own: np.ndarray, score: np.ndarray, k: int) -> pa.Tab
     return pa.table({"query_id": np.repeat(ids, [len(b) for b in best]), "chunk_id": np.concatenate([own[b] for b in best]).astype(np.int64), "score": np.concatenate([r[b] for r, b in zip(score, best, strict=True)]).astype(np.float64)})
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = fx.POOL) -> DataFrame:
+def one_length(vectors: DataFrame) -> int | None:
+    """The number of components that all vectors v have; None without vectors, an error where they differ."""
+    facts = vectors.where("v is not null").agg(F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
+    if facts["low"] != facts["high"]:
+        raise ValueError(f"vectors have from {facts['low']} to {facts['high']} components")
+    return facts["low"]
+
+
+#: Scores that a task holds at once.
+SCORES = 1 << 22
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = fx.POOL, observation: Observation | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank by inner product of (query_id, v) with (chunk_id, v), exact. Filter vectors beforehand.
 
     Up to BLOCK queries go to every task as one matrix, and vectors pass by without a shuffle; more queries meet the vectors block by block in a grid of tasks.
-    A null vector, one with a null in it, or one of another length than the queries' first has no row.
+    Queries of several lengths are an error. A null vector, one with a null in it, or one of another length than the queries has no row; ``observation`` counts these as
+    ``left_out`` while the vectors pass.
     """
-    size = queries.where("v is not null").select(F.size("v").alias("n")).limit(1).first()
+    size = one_length(queries)
     if size is None:
         return top(queries.sparkSession.createDataFrame([], _HITS), "query_id", k, F.col("score").desc())
-    whole = (F.size("v") == size["n"]) & ~F.exists("v", lambda x: x.isNull())
+    whole = F.coalesce((F.size("v") == size) & ~F.exists("v", lambda x: x.isNull()), F.lit(False))
+    if observation is not None:
+        vectors = vectors.observe(observation, F.count_if(~whole).alias("left_out"))
     queries, vectors = queries.where(whole).select("query_id", "v"), vectors.where(whole).select("chunk_id", "v")
     n_queries = queries.count()
     found = _streamed(queries, vectors, k) if n_queries <= BLOCK else _grid(queries, vectors, n_queries, k)
@@ -143,10 +158,8 @@ def _streamed(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     ids, q = asked.column("query_id").to_numpy(), _matrix(asked.column("v"))
 
     def scan(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        held, step = None, max(1, SCORES // max(1, len(ids)))
+        for batch in (b.slice(a, step) for b in batches for a in range(0, b.num_rows, step)):
             own = batch.column(0).to_numpy()
             hits = _hits(ids, own, q @ _matrix(batch.column(1)).T, k)
             if held is None:

@@ -141,6 +141,7 @@ FROM w JOIN o ON w.doc = o.doc GROUP BY w.doc, idx""",
     "token_stats": f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY term",
     "bm25_topk": f"WITH {_BM25.replace('__K__', '20')} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM bm",
     "vector_topk": f"WITH {_vec('v', 'true')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM v",
+    "vector_index_topk": f"WITH {_vec('v', 'true')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM v",
     "vector_topk_filtered": f"WITH {_vec('v', 'b.label = 1')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM v",
     "rrf_fusion": f"""WITH {_vec("v", "true")}, {_vec("u", "true").replace("a.vec_id AS query_id", "a.vec_id - 1 AS query_id").replace("a.vec_id % 20 = 0", "a.vec_id % 20 = 1")}, l AS (SELECT query_id, 0 AS list_idx, chunk_id, rank FROM v UNION ALL SELECT query_id, 1, chunk_id, rank FROM u),
 f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS s, min(list_idx)::INT AS first_list FROM l GROUP BY ALL)
