@@ -232,8 +232,11 @@ def scored_by(pairs: DataFrame, connect: Callable[[], Callable[[list[str], list[
     return done.select(*(F.col(f"row.`{c}`").alias(c) for c in [*names, "question", "text"]), F.col("score").alias(column))
 
 
-def embedded(texts: DataFrame, connect: Callable[[], Callable[[list[str]], np.ndarray]], key: str = "query_id", batch: int = 64) -> DataFrame:
-    """key, v: the normalised embedding of each text of (key, text), by the model that ``connect()`` makes once for each task, ``batch`` texts a call. A null text, or one of norm 0, has a null vector."""
+def embedded(texts: DataFrame, connect: Callable[[], Callable[[list[str]], np.ndarray]], key: str = "query_id", batch: int = 64, errors: bool = False) -> DataFrame:
+    """key, v: the normalised embedding of each text of (key, text), by the model that ``connect()`` makes once for each task, ``batch`` texts a call. A null text, or one of norm 0, has a null vector.
+
+    With ``errors`` a call that fails gives its texts no vector but a column ``error`` that says why, as do a null text and a vector without length; else it fails the job.
+    """
 
     def run(batches):
         embed = None
@@ -244,14 +247,20 @@ def embedded(texts: DataFrame, connect: Callable[[], Callable[[list[str]], np.nd
                 at = [i for i, t in enumerate(said) if t is not None]
                 embed = embed or connect()
                 out: list[list[float] | None] = [None] * part.num_rows
-                if at:
-                    m = np.asarray(embed([said[i] for i in at]), np.float64)
-                    norm = np.linalg.norm(m, axis=1)
-                    for i, v, size in zip(at, m, norm, strict=True):
-                        out[i] = (v / size).tolist() if size > 0 else None
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.float64()))], [key, "v"])
-
-    return texts.select(key, "text").mapInArrow(run, f"{key} {texts.schema[key].dataType.simpleString()}, v array<double>")
+                why = ["no text" if t is None else None for t in said]
+                try:
+                    m = np.asarray(embed([said[i] for i in at]), np.float64) if at else np.zeros((0, 1))
+                    for i, v, size in zip(at, m, np.linalg.norm(m, axis=1), strict=True):
+                        out[i], why[i] = ((v / size).tolist(), None) if size > 0 else (None, "no vector")
+                except Exception as e:
+                    if not errors:
+                        raise
+                    for i in at:
+                        out[i], why[i] = None, f"{type(e).__name__}: {e}"
+                columns = [part.column(0), pa.array(out, pa.list_(pa.float64())), pa.array(why, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns[: 3 if errors else 2], [key, "v", "error"][: 3 if errors else 2])
+
+    return texts.select(key, "text").mapInArrow(run, f"{key} {texts.schema[key].dataType.simpleString()}, v array<double>" + (", error string" if errors else ""))
 
 
 def overlap_score(query: Column, text: Column) -> Column:

@@ -9,8 +9,11 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from ..operators import images, ingest, retrieval
-from .readers import recovered, upsert_parquet, write_json
+from .readers import recovered, write_json
+from .shared import stored
+from .store import KeyedStore, Ledger
 
 #: What a record's metadata may hold, in order; a null is left out, and vision_failed is there only if true.
 METADATA = ("scheme", "source_type", "source_filename", "source_filepath", "is_ocr_source", "parent_subfolder", "page_start", "page_end", "workflow_id", "image_xref", "content_hash", "vision_content_type")
@@ -24,6 +27,30 @@ def records(chunks: DataFrame, *carried: str) -> DataFrame:
     return chunks.select("chunk_id", F.col("text").alias("document"), F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())).alias("metadata"), *carried)
 
 
+def signed_terms(rows: DataFrame) -> DataFrame:
+    """term, df, cf of rows (text, sign): how many texts gain or lose a term, and occurrences; under an empty term the texts themselves and their words."""
+    words = tokens(F.col("text"))
+    each = F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf")))
+    once = F.transform(F.array_distinct(words), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf")))
+    whole = F.array(F.struct(F.lit("").alias("term"), F.lit(1).alias("df"), F.size(words).alias("cf")))
+    return rows.select("sign", F.explode(F.concat(each, once, whole)).alias("w")).select("w.term", (F.col("sign") * F.col("w.df")).cast("long").alias("df"), (F.col("sign") * F.col("w.cf")).cast("long").alias("cf"))
+
+
+#: Corpus statistics that follow a store of chunks.
+TERMS = Ledger("terms", ("term",), ("df", "cf"), signed_terms)
+
+
+def term_statistics(store: KeyedStore) -> DataFrame:
+    """retrieval.term_counts of the store's chunks, without reading one."""
+    return store.ledger(TERMS).where("term <> ''")
+
+
+def sizes(store: KeyedStore) -> tuple[int, int]:
+    """(chunks, words) of the store."""
+    r = store.ledger(TERMS).where("term = ''").first()
+    return (r["df"], r["cf"]) if r else (0, 0)
+
+
 @dataclass(frozen=True)
 class Upserted:
     """What an upsert did: rows given, rows whose embedding failed (they stay out), ids given more than once, rows of the collection afterwards."""
@@ -37,36 +64,25 @@ class Upserted:
 def upsert(spark: SparkSession, chunks: DataFrame, path: str, version: str, connect: Callable | None = None, batch: int = 64) -> Upserted:
     """Records of chunks into the collection at path; of one id the last version counts, so a repeated upsert changes nothing.
 
-    ``connect()`` makes the embedding model of a task, which gets ``batch`` texts a call; a call that fails costs its own batch alone: those rows go to ``path``_failures with the error.
+    The table is a ``KeyedStore``: an upsert writes its own rows alone. ``connect()`` makes the embedding model of a task, which gets ``batch`` texts a call; a call that fails costs its own batch alone: those
+    rows go to ``path``_failures with the error. A null text, or one whose vector has no length, fails without one: "no text", "no vector".
     """
     given, clashes = chunks.count(), ingest.collisions(chunks, "chunk_id").count()
-    chunks = ingest.latest(chunks, "chunk_id", F.col(version).desc())
-    rows = records(chunks, version)
+    rows = ingest.latest(chunks, "chunk_id", F.col(version).desc())
     failed = 0
     if connect is not None:
-
-        def guarded():
-            embed = connect()
-
-            def call(texts):
-                try:
-                    return embed(texts)
-                except Exception:  # noqa: BLE001  a failed batch is a result
-                    return [[0.0]] * len(texts)
-
-            return call
-
-        vectors = retrieval.embedded(chunks.select("chunk_id", "text"), guarded, "chunk_id", batch)
         # Written once: the model isn't asked again by whoever reads the rows.
-        rows.join(vectors, "chunk_id", "left").write.mode("overwrite").parquet(f"{path}.embedded")
-        rows = spark.read.parquet(f"{path}.embedded")
-        lost = rows.where("v is null").select("chunk_id")
+        vectors = stored(retrieval.embedded(rows.select("chunk_id", "text"), connect, "chunk_id", batch, errors=True), "embedded")
+        lost = vectors.where("v is null").select("chunk_id", "error")
         failed = lost.count()
         if failed:
-            lost.withColumn("error", F.lit("no embedding")).write.mode("append").parquet(f"{path}_failures")
-        rows = rows.where("v is not null")
-    upsert_parquet(spark, rows, path, "chunk_id", version)
-    return Upserted(given, failed, clashes, recovered(spark, path).count())
+            lost.write.mode("append").parquet(f"{path}_failures")
+        rows = records(rows, version).join(vectors.where("v is not null").select("chunk_id", "v"), "chunk_id")
+    else:
+        rows = records(rows, version)
+    store = KeyedStore(spark, path, "chunk_id", version)
+    store.apply(rows)
+    return Upserted(given, failed, clashes, store.read().count())
 
 
 def build(text_chunks: DataFrame | None, image_chunks: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -94,17 +110,20 @@ def build_collection(spark: SparkSession, text_chunks: DataFrame, image_chunks:
 
 
 def put_sidecars(spark: SparkSession, extractions: DataFrame, path: str) -> None:
-    """(content_hash, e struct of images.SIDECAR, version) into the vision cache at path, as JSON by hash; the last version of a hash counts."""
-    upsert_parquet(spark, extractions.select("content_hash", F.to_json("e").alias("sidecar"), "version"), path, "content_hash", "version")
+    """(content_hash, e struct of images.SIDECAR, version) into the vision cache at path, as JSON in folders by hash; the last version of a hash counts."""
+    KeyedStore(spark, path, "content_hash", "version").apply(extractions.select("content_hash", F.to_json("e").alias("sidecar"), "version"))
 
 
-def get_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """What the cache holds and can read (images.cached); nothing where there is no cache."""
-    held = recovered(spark, path)
+def get_sidecars(spark: SparkSession, path: str, hashes: DataFrame | None = None) -> DataFrame:
+    """What the cache holds and can read (images.cached), of some hashes if asked: then only their folders are read. Nothing where there is no cache."""
+    cache = KeyedStore(spark, path)
+    held = None
+    if cache.exists:
+        held = cache.read() if hashes is None else cache.read_keys(hashes.select("content_hash"))
     return images.cached(held.select("content_hash", "sidecar") if held is not None else spark.createDataFrame([], "content_hash string, sidecar string"))
 
 
 def has_sidecar(spark: SparkSession, hashes: DataFrame, path: str) -> DataFrame:
     """content_hash, has, useful of the hashes asked for."""
-    held = get_sidecars(spark, path).select("content_hash", F.lit(True).alias("has"), images.replies.useful(F.col("classification"), F.col("vision_failed")).alias("useful"))
+    held = get_sidecars(spark, path, hashes).select("content_hash", F.lit(True).alias("has"), images.replies.useful(F.col("classification"), F.col("vision_failed")).alias("useful"))
     return hashes.select("content_hash").distinct().join(held, "content_hash", "left").na.fill(False)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
 from ..operators.ingest import latest, prefer_ocr
+from .store import KeyedStore
 
 RULES_SCHEMA = "schemes array<struct<code:string,always_include:boolean,applicability_rules:array<struct<attribute:string,values:array<string>>>,disqualifying_rules:array<struct<attribute:string,values:array<string>>>,match_boost_if:array<struct<attribute:string,values:array<string>>>,required_information:array<struct<attribute:string,why_needed:string>>>>"
 
@@ -132,7 +133,10 @@ def _swap(spark: SparkSession, path: str) -> None:
 
 
 def recovered(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at path, or what a crash between two renames left of it: the next one if it is complete, else the old one. None if there is none."""
+    """The table at path, a store of deltas or plain Parquet; of the latter, what a crash between two renames left of it: the next one if it is complete, else the old one. None if there is none."""
+    held = KeyedStore(spark, path)
+    if held.exists:
+        return held.read()
     for suffix in ("", ".next", ".old"):
         if exists(spark, f"{path}{suffix}/_SUCCESS"):
             return spark.read.parquet(f"{path}{suffix}")

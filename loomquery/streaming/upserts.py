@@ -9,41 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import latest
+from ..sources.store import KeyedStore, Ledger, Log
 
 
-def upsert_stream(rows: DataFrame, table_path: str, checkpoint: str, key: str, version: str) -> StreamingQuery:
-    """Each micro-batch is one generation of the table: what was there and the batch, the last version of each key.
+def upsert_stream(rows: DataFrame, table_path: str, checkpoint: str, key: str, version: str, ledgers: tuple[Ledger, ...] = ()) -> StreamingQuery:
+    """Each micro-batch is one delta of the ``KeyedStore`` at table_path: the last version of each key counts, and what a batch writes follows its own size.
 
-    A generation's folder is named by its number, the stream's checkpoint and the batch. A batch that runs again after a failure finds its generation complete and leaves it,
-    or writes it anew from the one before it; a stream with a new checkpoint goes on from the last generation of the old one. ``current`` reads the last complete one.
+    The manifest names the stream (its checkpoint) and the batch, so a batch that runs again after a failure changes nothing; a stream with a new checkpoint goes on from the table as it is.
     """
-    run = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
+    run = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark, own = batch.sparkSession, f"{run}-{batch_id}"
-        last = max(generations(spark, table_path), default=(-1, ""))
-        if last[1].endswith(own):
-            return
-        both = batch if last[0] < 0 else spark.read.parquet(f"{table_path}/{last[1]}").unionByName(batch)
-        latest(both, key, F.col(version).desc()).write.mode("overwrite").parquet(f"{table_path}/generation={last[0] + 1:012d}-{own}")
+        KeyedStore(batch.sparkSession, table_path, key, version, ledgers=ledgers).apply(batch, stream=(run, batch_id))
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def generations(spark: SparkSession, table_path: str) -> list[tuple[int, str]]:
-    """(number, folder) of the complete generations of a table."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table_path)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(path)]
-    whole = [n for n in names if n.startswith("generation=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/{n}/_SUCCESS"))]
+    """(number, name) of the states of a table: manifests of a store, or complete folders generation=number."""
+    log = Log(spark, f"{table_path}/_log")
+    known = log.numbers()
+    if known:
+        return [(n, f"{n:020d}") for n in known]
+    whole = [n for n in log.names(table_path) if n.startswith("generation=") and log.names(f"{table_path}/{n}").count("_SUCCESS")]
     return [(int(n.removeprefix("generation=").split("-")[0]), n) for n in whole]
 
 
 def current(spark: SparkSession, table_path: str) -> DataFrame | None:
-    """The table's last complete generation; None if there is none."""
+    """The table's last state; None if there is none."""
+    held = KeyedStore(spark, table_path)
+    if held.exists:
+        return held.read()
     known = generations(spark, table_path)
     return spark.read.parquet(f"{table_path}/{max(known)[1]}") if known else None
 
