@@ -16,6 +16,7 @@ from ..functions import fixed as fx
 from ..functions import replies
 from ..functions import text as tx
 from ..operators import retrieval, rules
+from ..sources.lexical import LexicalIndex
 from ..streaming import limiter
 
 PREVIEW_CHARS = 800
@@ -54,60 +55,77 @@ def extract_answer(question: Column, passages: Column) -> Column:
     return F.substring(F.element_at(passages, 1)["text"], 1, PREVIEW_CHARS)
 
 
-def ranked_passages(queries: DataFrame, chunks: DataFrame, semantic: DataFrame | None, settings: Settings) -> DataFrame:
-    """query_id, chunk_id, text, original_rank, rerank_score, rank: lexical hits, fused with semantic ones where given, rescored."""
-    pool = retrieval.bm25(queries, chunks, settings.pool)
+def lexical_pool(queries: DataFrame, chunks: DataFrame, index: LexicalIndex | None, k: int) -> DataFrame:
+    """BM25 over the chunks, by their stored index where there is one."""
+    return retrieval.bm25(queries, chunks, k) if index is None else index.search(queries, k)
+
+
+def ranked_passages(queries: DataFrame, chunks: DataFrame, semantic: DataFrame | None, settings: Settings, index: LexicalIndex | None = None) -> DataFrame:
+    """query_id, chunk_id, text, semantic_rank, bm25_rank, original_rank, rerank_score, rank: lexical hits, fused with semantic ones where given, rescored."""
+    pool = lexical_pool(queries, chunks, index, settings.pool)
     if semantic is not None:
-        pool = retrieval.hybrid(semantic, pool, settings.pool)
+        pool = retrieval.hybrid(semantic.join(queries.select("query_id"), "query_id", "left_semi"), pool, settings.pool)
+    else:
+        pool = pool.select("*", F.lit(None).cast("int").alias("semantic_rank"), F.col("rank").alias("bm25_rank"))
     asked = queries.select("query_id", F.col("text").alias("question"))
-    full = pool.select("query_id", "chunk_id", "rank").join(chunks.select("chunk_id", "text"), "chunk_id").join(asked, "query_id")
+    full = pool.select("query_id", "chunk_id", "rank", "semantic_rank", "bm25_rank").join(chunks.select("chunk_id", "text"), "chunk_id").join(asked, "query_id")
     return retrieval.rerank(full, settings.score(F.col("question"), F.col("text")), settings.top_k).drop("question")
 
 
-def answer(queries: DataFrame, chunks: DataFrame, semantic: DataFrame | None = None, settings: Settings = Settings(), generate: Callable[[Column, Column], Column] = extract_answer) -> DataFrame:
+def answer(queries: DataFrame, chunks: DataFrame, semantic: DataFrame | None = None, settings: Settings = Settings(), generate: Callable[[Column, Column], Column] = extract_answer, index: LexicalIndex | None = None) -> DataFrame:
     """query_id, outcome, reason, top_score, passages, answer (scrubbed), pii_kinds for (query_id, text).
 
     outcome is invalid (validation's reason follows), no_results, low_confidence or answered. Passages come back with refusals too, previews cut first and scrubbed then.
     """
     checked = queries.select("query_id", "text", tx.validation_reason(F.col("text")).alias("validation"))
     valid = checked.where("validation = 'valid'").select("query_id", tx.strip(F.col("text")).alias("text"))
-    ranked = ranked_passages(valid, chunks, semantic, settings)
+    ranked = ranked_passages(valid, chunks, semantic, settings, index)
     gated = retrieval.gate(valid, ranked, settings.min_score)
-    found = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "rerank_score", "original_rank", "text"))).alias("p"))
+    found = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "rerank_score", "original_rank", "text", "semantic_rank", "bm25_rank"))).alias("p"))
     all_rows = checked.join(gated, "query_id", "left").join(found, "query_id", "left")
     outcome = F.when(F.col("validation") != "valid", "invalid").when(F.col("p").isNull(), "no_results").when(~F.col("passed"), "low_confidence").otherwise("answered")
     raw = F.when(outcome == "answered", generate(F.col("text"), F.col("p")))
     scrubbed, kinds = tx.scrub(raw)
-    preview = F.transform("p", lambda x: F.struct(x["rank"].alias("rank"), x["chunk_id"].alias("chunk_id"), x["rerank_score"].alias("score"), tx.scrub(F.substring(x["text"], 1, settings.preview_chars))[0].alias("preview")))
+    preview = F.transform("p", lambda x: F.struct(x["rank"].alias("rank"), x["chunk_id"].alias("chunk_id"), x["rerank_score"].alias("score"), tx.scrub(F.substring(x["text"], 1, settings.preview_chars))[0].alias("preview"), x["semantic_rank"].alias("semantic_rank"), x["bm25_rank"].alias("bm25_rank")))
     reason = F.when(outcome == "invalid", F.col("validation")).when(outcome == "low_confidence", F.format_string("top score %.3f is below %.3f", "top_score", F.lit(settings.min_score)))
     return all_rows.select("query_id", outcome.alias("outcome"), reason.alias("reason"), "top_score", preview.alias("passages"), scrubbed.alias("answer"), F.when(outcome == "answered", kinds).alias("pii_kinds"))
 
 
+#: What a match shows of its scheme, where the table has it.
+SHOWN = ("name", "long_name", "category", "one_liner", "key_benefits", "who_should_apply", "how_to_register", "follow_up", "authority")
+
+
 def discover(queries: DataFrame, rule_table: DataFrame, schemes: DataFrame, required: DataFrame) -> DataFrame:
-    """query_id, provided, matches, missing for questions that ask for schemes or name an attribute; the others have no row.
+    """query_id, provided, matches, reasons, missing for questions that ask for schemes or name an attribute; the others have no row.
 
-    provided: (attribute, value) of what is known, in fixed order; matches: (rank, code, boost_hits); missing: (attribute, why), by the first match that asks.
+    provided: (attribute, value) of what is known, in fixed order; matches: (rank, code, boost_hits) and what the schemes table has of SHOWN, benefits as many as a reader is shown; reasons: why, by rules
+    that something known meets, (rank, kind, rule_idx, code, attribute, matched) and the place that the rule cites; missing: (attribute, why), by the first match that asks.
     """
     known = rules.extract_attributes(queries).where("intent or any_explicit")
     matched = rules.match_schemes(known, rule_table, schemes)
     named = F.filter(F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in rules.ATTRIBUTES)), lambda x: x["value"] != "unknown")
     tags = F.when(F.size("interests") > 0, F.array(F.struct(F.lit("interests").alias("attribute"), F.array_join("interests", ", ").alias("value")))).otherwise(F.array().cast("array<struct<attribute:string,value:string>>"))
-    hits = matched.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "code", "boost_hits"))).alias("matches"))
+    shown = [F.col(f"s.{c}") if c != "key_benefits" else replies.shown_benefits(F.col("s.key_benefits")).alias("key_benefits") for c in SHOWN if c in schemes.columns]
+    told = matched.alias("m").join(schemes.alias("s"), F.col("m.code") == F.col("s.code")) if shown else matched.alias("m")
+    hits = told.groupBy("m.query_id").agg(F.array_sort(F.collect_list(F.struct("m.rank", "m.code", "m.boost_hits", *shown))).alias("matches"))
+    cited = [c for c in ("filename", "page", "note") if c in rule_table.columns]
+    why = rules.match_reasons(matched, known, rule_table).join(matched.select("query_id", "code", "rank"), ["query_id", "code"])
+    reasons = why.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "kind", "rule_idx", "code", "attribute", "matched", *cited))).alias("reasons"))
     lacking = rules.missing_information(matched, required, known).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("attribute", "why"))).alias("missing"))
-    return known.select("query_id", F.concat(named, tags).alias("provided")).join(hits, "query_id", "left").join(lacking, "query_id", "left")
+    return known.select("query_id", F.concat(named, tags).alias("provided")).join(hits, "query_id", "left").join(reasons, "query_id", "left").join(lacking, "query_id", "left")
 
 
-def respond(queries: DataFrame, chunks: DataFrame, rule_table: DataFrame, schemes: DataFrame, required: DataFrame, semantic: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+def respond(queries: DataFrame, chunks: DataFrame, rule_table: DataFrame, schemes: DataFrame, required: DataFrame, semantic: DataFrame | None = None, settings: Settings = Settings(), index: LexicalIndex | None = None) -> DataFrame:
     """Answers with discovery beside them: one row for each question. Turned-away questions get no discovery."""
-    answers = answer(queries, chunks, semantic, settings)
+    answers = answer(queries, chunks, semantic, settings, index=index)
     valid = queries.where(tx.validation_reason(F.col("text")) == "valid")
     return answers.join(discover(valid, rule_table, schemes, required), "query_id", "left")
 
 
-def serve(requests: DataFrame, chunks: DataFrame, rule_table: DataFrame, schemes: DataFrame, required: DataFrame, semantic: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+def serve(requests: DataFrame, chunks: DataFrame, rule_table: DataFrame, schemes: DataFrame, required: DataFrame, semantic: DataFrame | None = None, settings: Settings = Settings(), index: LexicalIndex | None = None) -> DataFrame:
     """respond for a log (query_id, client, t, text) of requests. Those over their client's limit get the outcome rate_limited and nothing else; a request without a client or time isn't limited."""
     refused = limiter.admissions(requests, settings.rate_limit, settings.rate_window_s).where("not admitted").select("query_id")
-    answered = respond(requests.join(refused, "query_id", "left_anti").select("query_id", "text"), chunks, rule_table, schemes, required, semantic, settings)
+    answered = respond(requests.join(refused, "query_id", "left_anti").select("query_id", "text"), chunks, rule_table, schemes, required, semantic, settings, index)
     return answered.unionByName(refused.withColumn("outcome", F.lit("rate_limited")), allowMissingColumns=True)
 
 
@@ -134,10 +152,10 @@ def health(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n_chunks")).withColumn("status", F.when(F.col("n_chunks") > 0, "ok").otherwise("empty"))
 
 
-def multi_query(rewrites: DataFrame, chunks: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def multi_query(rewrites: DataFrame, chunks: DataFrame, settings: Settings = Settings(), index: LexicalIndex | None = None) -> DataFrame:
     """query_id, chunk_id, rrf_score, first_list, rank over (query_id, list_idx, text): the question and its rewrites, each searched, all lists fused."""
     numbered = rewrites.withColumn("pair", F.struct("query_id", "list_idx"))
-    hits = retrieval.bm25(numbered.select(F.to_json("pair").alias("query_id"), "text"), chunks, settings.pool)
+    hits = lexical_pool(numbered.select(F.to_json("pair").alias("query_id"), "text"), chunks, index, settings.pool)
     key = F.from_json("query_id", f"query_id {rewrites.schema['query_id'].dataType.simpleString()}, list_idx int")
     return retrieval.fuse(hits.select(key.alias("k"), "chunk_id", "rank").select("k.query_id", "k.list_idx", "chunk_id", "rank"), settings.top_k)
 

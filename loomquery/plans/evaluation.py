@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import dataclasses
 import json
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,8 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import retrieval
 from ..sources import readers
+from ..sources.lexical import LexicalIndex
+from ..sources.store import KeyedStore
 from ..streaming import upserts
-from .answering import Settings
+from .answering import Settings, lexical_pool
 from .models import JUDGED
 
 MODES = ("baseline", "reranked", "hybrid", "query_transform", "full")
@@ -26,7 +27,7 @@ def _rescored(pool: DataFrame, questions: DataFrame, chunks: DataFrame, settings
     return retrieval.rerank(full, settings.score(F.col("question"), F.col("text")), settings.top_k)
 
 
-def retrieve(mode: str, questions: DataFrame, chunks: DataFrame, semantic: DataFrame, rewrites: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+def retrieve(mode: str, questions: DataFrame, chunks: DataFrame, semantic: DataFrame, rewrites: DataFrame | None = None, settings: Settings = Settings(), index: LexicalIndex | None = None) -> DataFrame:
     """query_id, chunk_id, rank as a mode finds them.
 
     semantic: (query_id, chunk_id, score, rank), the pool for each question; rewrites: (query_id, list_idx, chunk_id, rank), the same for each rewrite, with list_idx above 0.
@@ -41,7 +42,7 @@ def retrieve(mode: str, questions: DataFrame, chunks: DataFrame, semantic: DataF
         own = semantic.select("query_id", F.lit(0).alias("list_idx"), "chunk_id", "rank")
         out = retrieval.fuse(own if rewrites is None else own.unionByName(rewrites.select("query_id", "list_idx", "chunk_id", "rank")), settings.top_k)
     elif mode in ("hybrid", "full"):
-        pool = retrieval.hybrid(semantic, retrieval.bm25(questions.select("query_id", "text"), chunks, settings.pool), settings.pool)
+        pool = retrieval.hybrid(semantic, lexical_pool(questions.select("query_id", "text"), chunks, index, settings.pool), settings.pool)
         out = pool.where(F.col("rank") <= settings.top_k) if mode == "hybrid" else _rescored(pool, questions, chunks, settings)
     else:
         raise ValueError(f"unknown mode {mode!r}")
@@ -55,11 +56,11 @@ def scored(ranked: DataFrame, sources: DataFrame, expected: DataFrame, questions
     return retrieval.retrieval_metrics(keyed.withColumn("rank", place).select("query_id", "key", "rank"), expected, questions)
 
 
-def compare(questions: DataFrame, chunks: DataFrame, semantic: DataFrame, rewrites: DataFrame | None, sources: DataFrame, expected: DataFrame, modes: tuple[str, ...] = MODES, settings: Settings = Settings()) -> DataFrame:
+def compare(questions: DataFrame, chunks: DataFrame, semantic: DataFrame, rewrites: DataFrame | None, sources: DataFrame, expected: DataFrame, modes: tuple[str, ...] = MODES, settings: Settings = Settings(), index: LexicalIndex | None = None) -> DataFrame:
     """mode, query_id and the metrics, for all modes."""
     out = None
     for mode in modes:
-        part = scored(retrieve(mode, questions, chunks, semantic, rewrites, settings), sources, expected, questions).withColumn("mode", F.lit(mode))
+        part = scored(retrieve(mode, questions, chunks, semantic, rewrites, settings, index), sources, expected, questions).withColumn("mode", F.lit(mode))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -94,35 +95,56 @@ def run_totals(results: DataFrame) -> DataFrame:
 
 
 def write_progress(results: DataFrame, path: str, snapshot: dict) -> None:
-    """The ids that are done, with the run's settings: written whole as a new generation beside the last one, so a reader sees one of the two."""
+    """The ids that are done, with the run's settings, as the next state of the table at path."""
     done = results.select("query_id").distinct().withColumn("settings", F.lit(json.dumps(snapshot, sort_keys=True)))
-    done.write.mode("append").parquet(f"{path}/generation={time.time_ns():012d}")
+    KeyedStore(results.sparkSession, path, "query_id").apply(done)
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame | None:
-    """query_id, settings of the last complete generation; None before the first."""
+    """query_id, settings of the last complete state; None before the first."""
     return upserts.current(spark, path)
 
 
-def run(spark: SparkSession, path: str, questions: DataFrame, evaluate: Callable[[DataFrame], DataFrame], snapshot: dict) -> tuple[DataFrame, DataFrame]:
-    """(summary, totals) of a run that goes on where an earlier one stopped: results that path already has aren't made again.
+def run(spark: SparkSession, path: str, questions: DataFrame, evaluate: Callable[[DataFrame], DataFrame], snapshot: dict, batch: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(summary, totals) of a run that saves as it goes and goes on where an earlier one stopped.
 
-    evaluate gives question_results for the questions that it gets. Results are appended as JSON lines, then progress, then the summary are written.
+    evaluate gives question_results for the questions that it gets, about ``batch`` at a time. What is pending is written as a plan, one file for each batch; a stream reads a plan file by file, and each
+    batch's results and its number become one state of the results, so a run that is killed goes on with the batch that it was at, and no finished question is evaluated again. A plan that an earlier run
+    left is finished first; questions that got no result, or are new, make the next one.
     """
-    results_path = f"{path}/results"
-    before = spark.read.json(results_path) if readers.exists(spark, f"{results_path}/_SUCCESS") else None
-    left = questions if before is None else resume(questions, before, before.select("query_id"))[0]
-    if left.limit(1).count():
-        readers.append_results(evaluate(left), results_path)
-    results = spark.read.json(results_path)
-    lacking = [F.lit(None).cast("double").alias(m) for m in (*JUDGED, "call_error") if m not in results.columns]
-    results = results.select("*", *lacking)
-    write_progress(results, f"{path}/progress", snapshot)
-    summary, totals = run_summary(results), run_totals(results)
+    results = KeyedStore(spark, f"{path}/results", "query_id")
+    plans = len(results.log.names(f"{path}/plans"))
+    if plans and readers.exists(spark, f"{path}/plans/{plans - 1:06d}/_SUCCESS"):
+        _follow(spark, path, plans - 1, evaluate, results)
+    held = results.read()
+    left = questions if held is None else resume(questions, held, held.select("query_id"))[0]
+    n = left.count()
+    if n:
+        left.repartitionByRange(-(-n // batch), "query_id").write.mode("overwrite").option("maxRecordsPerFile", batch).parquet(f"{path}/plans/{plans:06d}")
+        _follow(spark, path, plans, evaluate, results)
+    done = results.read()
+    lacking = [F.lit(None).cast("double").alias(m) for m in (*JUDGED, "call_error") if m not in done.columns]
+    done = done.select("*", *lacking)
+    write_progress(done, f"{path}/progress", snapshot)
+    summary, totals = run_summary(done), run_totals(done)
     readers.write_json(totals.withColumn("settings", F.lit(json.dumps(snapshot, sort_keys=True))), f"{path}/summary")
     return summary, totals
 
 
+def _follow(spark: SparkSession, path: str, plan: int, evaluate: Callable[[DataFrame], DataFrame], results: KeyedStore) -> None:
+    """Evaluate what a plan has left: a stream over its files, one a batch, whose checkpoint and results name the batches that are done."""
+    folder = f"{path}/plans/{plan:06d}"
+
+    def save(part: DataFrame, number: int) -> None:
+        name = f"plan-{plan:06d}"
+        if results.state()["streams"].get(name, -1) < number:
+            results.apply(evaluate(part), stream=(name, number))
+
+    source = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = source.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/checkpoints/{plan:06d}").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def snapshot_of(settings) -> dict:
     """A run's settings as names and plain values; of keys only their number is kept, of functions their name."""
     out = {}

@@ -13,7 +13,12 @@ from ..functions import fixed as fx
 from ..operators.ingest import latest, prefer_ocr
 from .store import KeyedStore
 
-RULES_SCHEMA = "schemes array<struct<code:string,always_include:boolean,applicability_rules:array<struct<attribute:string,values:array<string>>>,disqualifying_rules:array<struct<attribute:string,values:array<string>>>,match_boost_if:array<struct<attribute:string,values:array<string>>>,required_information:array<struct<attribute:string,why_needed:string>>>>"
+_SOURCE = "struct<filename:string,page:int,note:string>"
+_RULES = f"array<struct<attribute:string,values:array<string>,source:{_SOURCE}>>"
+RULES_SCHEMA = (
+    f"schemes array<struct<code:string,always_include:boolean,applicability_rules:{_RULES},disqualifying_rules:{_RULES},match_boost_if:{_RULES},required_information:array<struct<attribute:string,why_needed:string>>,"
+    f"name:string,long_name:string,category:string,one_liner:string,key_benefits:array<string>,who_should_apply:string,how_to_register:map<string,string>,follow_up_query_hint:string,authoritative_source:{_SOURCE}>>"
+)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -30,7 +35,7 @@ def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 
 
 def load_pages(spark: SparkSession, root: str, extract) -> DataFrame:
-    """path, page, text, error of PDF files. ``extract(bytes)`` yields page texts (a failed page ""); a file on which it raises gives one row with an error. A root that isn't there has none."""
+    """path, page, text, error of PDF files. ``extract(bytes)`` yields page texts (a failed page ""); a file on which it raises gives one row with an error, a file without pages one row without a page. A root that isn't there has none."""
     if not exists(spark, root):
         return spark.createDataFrame([], "path string, page int, text string, error string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(root).select("path", "content")
@@ -40,10 +45,10 @@ def load_pages(spark: SparkSession, root: str, extract) -> DataFrame:
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
-                    rows += [(path, i, t or "", None) for i, t in enumerate(extract(content), 1)]
+                    rows += [(path, i, t or "", None) for i, t in enumerate(extract(content), 1)] or [(path, None, None, None)]
                 except Exception as e:  # noqa: BLE001  a broken file is a result
                     rows.append((path, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "page", "text", "error"])
+            yield pd.DataFrame(rows, columns=["path", "page", "text", "error"]).astype({"page": "Int32"})
 
     return files.mapInPandas(run, "path string, page int, text string, error string")
 
@@ -84,30 +89,43 @@ def summarise_corpus(pages: DataFrame, schemes: list[str]) -> DataFrame:
 
 
 def load_workflows(spark: SparkSession, root: str) -> DataFrame:
-    """path, pos, fields (map): rows of CSV files other than *_index.csv. BOM, blanks around names and values go; nulls are ""; surplus fields are joined under ""."""
-    files = spark.read.option("pathGlobFilter", "*.csv").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").where(~F.col("path").endswith("_index.csv"))
+    """path, pos, fields (map), error: rows of CSV files other than *_index.csv. BOM, blanks around names and values go; nulls are ""; surplus fields are joined under "".
+
+    A file that can't be read as UTF-8 or as CSV gives one row with an error and none of its rows. A root that isn't there has none.
+    """
+    if not exists(spark, root):
+        return spark.createDataFrame([], "path string, pos int, fields map<string,string>, error string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(root).select("path", "content").where(~F.col("path").endswith("_index.csv"))
 
     def run(frames):
         for frame in frames:
             rows = []
-            for path, value in zip(frame["path"], frame["value"], strict=True):
-                for i, row in enumerate(csv.DictReader(io.StringIO(value.removeprefix("﻿")))):
-                    rows.append((path, i, {(k or "").strip(): ", ".join(x.strip() for x in v) if isinstance(v, list) else (v or "").strip() for k, v in row.items()}))
-            yield pd.DataFrame(rows, columns=["path", "pos", "fields"])
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    read = csv.DictReader(io.StringIO(bytes(content).decode("utf-8-sig")))
+                    rows += [(path, i, {(k or "").strip(): ", ".join(x.strip() for x in v) if isinstance(v, list) else (v or "").strip() for k, v in row.items()}, None) for i, row in enumerate(read)]
+                except (UnicodeDecodeError, csv.Error) as e:  # a broken file is a result
+                    rows.append((path, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "pos", "fields", "error"]).astype({"pos": "Int32"})
 
-    return files.mapInPandas(run, "path string, pos int, fields map<string,string>")
+    return files.mapInPandas(run, "path string, pos int, fields map<string,string>, error string")
 
 
 def load_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rules, schemes, required) from a rule file; booleans in values become strings."""
+    """(rules, schemes, required) from a rule file; booleans in values become strings.
+
+    rules have the place that each cites (filename, page, note); schemes what a match shows (answering.SHOWN), ``authority`` being where the scheme itself is described.
+    """
     s = spark.read.schema(RULES_SCHEMA).option("multiLine", True).json(path).select(F.explode("schemes").alias("s")).select("s.*")
     kinds = (("applicability", "applicability_rules"), ("disqualifying", "disqualifying_rules"), ("boost", "match_boost_if"))
     rules = None
     for kind, column in kinds:
-        part = s.select("code", F.lit(kind).alias("kind"), F.posexplode(column).alias("rule_idx", "r")).select("code", "kind", "rule_idx", "r.attribute", "r.values")
+        part = s.select("code", F.lit(kind).alias("kind"), F.posexplode(column).alias("rule_idx", "r")).select("code", "kind", "rule_idx", "r.attribute", "r.values", "r.source.filename", "r.source.page", "r.source.note")
         rules = part if rules is None else rules.unionByName(part)
     required = s.select("code", F.posexplode("required_information").alias("idx", "r")).select("code", "idx", "r.attribute", F.col("r.why_needed").alias("why"))
-    return rules, s.select("code", F.coalesce("always_include", F.lit(False)).alias("always_include")), required
+    shown = ("name", "long_name", "category", "one_liner", "key_benefits", "who_should_apply", "how_to_register")
+    schemes = s.select("code", F.coalesce("always_include", F.lit(False)).alias("always_include"), *shown, F.col("follow_up_query_hint").alias("follow_up"), F.col("authoritative_source").alias("authority"))
+    return rules, schemes, required
 
 
 def load_questions(spark: SparkSession, path: str, n: int = 0) -> DataFrame:
@@ -161,6 +179,6 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def corpus_summary(pages: DataFrame) -> DataFrame:
-    """doc, total_pages, total_chars, empty."""
-    g = pages.groupBy("doc").agg(F.count("*").alias("total_pages"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("total_chars"))
+    """doc, total_pages, total_chars, empty. A row without a page, where there are pages, says that its document has none."""
+    g = pages.groupBy("doc").agg(F.count("page" if "page" in pages.columns else "*").alias("total_pages"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("total_chars"))
     return g.withColumn("empty", F.col("total_chars") < fx.EMPTY_PDF_CHARS)
