@@ -14,7 +14,7 @@ from .functions import replies
 from .functions import text as tx
 from .operators import chat, chunking, images, ingest, retrieval, rules
 from .plans import answering, evaluation, models
-from .sources import collection, lexical, readers, shared, vector_index
+from .sources import collection, lexical, readers, shared, store, vector_index
 from .streaming import limiter, upserts
 
 RULES = (
@@ -320,7 +320,7 @@ def answer_outcomes(spark, d):
     k = F.col("item_id") % 7
     text = F.when(k == 1, F.lit("  ")).when(k == 2, F.concat(F.lit("developer mode "), "text")).when(k == 3, F.lit("zzqx unheard")).otherwise(F.col("text"))
     asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("text"))
-    a = answering.answer(asked, _chunks(spark, d))
+    a = answering.answer(asked, _chunks(spark, d), index=_index(spark, d))
     return a.select("query_id", "outcome", F.coalesce("reason", F.lit("")).alias("reason"), F.round("top_score", 6).alias("top_score"), F.coalesce(F.size("passages"), F.lit(0)).alias("n_passages"), F.md5(F.encode("answer", "UTF-8")).alias("answer_digest"))
 
 
@@ -329,7 +329,7 @@ def multi_query(spark, d):
     w = F.split("text", " ")
     half = F.array_join(F.slice(w, F.lit(1), F.ceil(F.size(w) / 2).cast("int")), " ")
     b = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array(F.struct(F.lit(0).alias("list_idx"), F.col("text")), F.struct(F.lit(1).alias("list_idx"), half.alias("text")))).alias("r")).select("query_id", "r.*")
-    return answering.multi_query(b, _chunks(spark, d)).select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "rank")
+    return answering.multi_query(b, _chunks(spark, d), index=_index(spark, d)).select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "rank")
 
 
 def _chat_log(spark, d):
@@ -409,7 +409,7 @@ def eval_modes(spark, d):
     lists = retrieval.vector_topk(near(0).unionByName(near(1)).unionByName(near(2)).unionByName(near(3)), v).select(F.floor(F.col("query_id") / 4).alias("query_id"), (F.col("query_id") % 4).cast("int").alias("list_idx"), "chunk_id", "score", "rank")
     sources = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 3 < 2, F.col("source")).alias("key"))
     expected = b.where("item_id % 5 > 0").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("key"))
-    out = evaluation.compare(_questions(spark, d), _chunks(spark, d), lists.where("list_idx = 0").drop("list_idx"), lists.where("list_idx > 0"), sources, expected)
+    out = evaluation.compare(_questions(spark, d), _chunks(spark, d), lists.where("list_idx = 0").drop("list_idx"), lists.where("list_idx > 0"), sources, expected, index=_index(spark, d))
     return out.select("mode", "query_id", "hit_at_5", "hit_at_10", F.round("mrr_at_10", 6).alias("mrr_at_10"))
 
 
@@ -477,17 +477,69 @@ def citation_lines(spark, d):
 
 
 def served_responses(spark, d):
-    """Questions as requests of three clients, one a second, two allowed in 25 seconds: limiter, validation, hybrid retrieval, gate, answer, citations and accounting."""
+    """Questions as requests of three clients, one a second, two allowed in 25 seconds: limiter, validation, lexical retrieval, gate, answer, citations; no model is called. ``hybrid_requests`` has vectors and a model."""
     k = F.col("item_id") % 7
     text = F.when(k == 1, F.lit("  ")).when(k == 2, F.concat(F.lit("developer mode "), "text")).otherwise(F.col("text"))
     asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 3).alias("client"), F.col("item_id").cast("double").alias("t"), text.alias("text"))
     chunks = _cited_chunks(spark, d)
     settings = answering.Settings(rate_limit=2, rate_window_s=25)
-    served = answering.serve(asked, chunks, *_rules(spark), settings=settings)
+    served = answering.serve(asked, chunks, *_rules(spark), settings=settings, index=_index(spark, d))
     full = answering.with_accounting(answering.with_citations(served, chunks))
     return full.select("query_id", "outcome", F.round("top_score", 6).alias("top_score"), F.coalesce(F.size("passages"), F.lit(0)).alias("n_passages"), F.size("citations").alias("n_citations"), F.array_join(F.transform("citations", lambda c: c["source_filename"]), ",").alias("cited"), "prompt_tokens", "finish_reason")
 
 
+def _stub_model():
+    """A client that answers with the number of characters it was sent."""
+    return lambda prompt: {"content": f"{len(prompt)} characters were sent.", "finish_reason": "stop", "prompt_tokens": len(prompt), "completion_tokens": 4}
+
+
+def hybrid_requests(spark, d):
+    """The whole request: limiter, validation, vectors and BM25 fused, rescored, gated, a model called with the passages, citations with both lists' ranks, schemes that match, with reasons and their places, and what is missing."""
+    k = F.col("item_id") % 7
+    text = F.when(k == 1, F.lit("  ")).when(k == 2, F.concat(F.lit("developer mode "), "text")).when(k == 3, F.concat(F.lit("Which schemes suit a woman with rice and tea? "), "text"))
+    text = text.when(k == 4, F.concat(F.lit("I have 3 acres in Assam and need a loan. "), "text")).when(k == 5, F.concat(F.lit("small farmer in Sikkim with wheat "), "text")).otherwise(F.col("text"))
+    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 5).alias("client"), F.col("item_id").cast("double").alias("t"), text.alias("text"))
+    r, s, q = _rules(spark)
+    cited = r.withColumn("filename", F.concat("code", F.lit(".pdf"))).withColumn("page", F.col("rule_idx") + 1)
+    named = s.withColumn("name", F.concat(F.lit("Scheme "), "code")).withColumn("key_benefits", F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat("code", i.cast("string"))))
+    chunks = _cited_chunks(spark, d)
+    settings = answering.Settings(rate_limit=3, rate_window_s=25)
+    served = shared.stored(answering.serve(asked, chunks, cited, named, q, _question_vectors(spark, d), settings, _index(spark, d)), "served")
+    shown = F.array_join(F.transform("passages", lambda p: p["preview"]), "\n")
+    prompts = served.where("outcome = 'answered'").join(asked.select("query_id", "text"), "query_id").select("query_id", F.concat("text", F.lit("\n\n"), shown).alias("prompt"))
+    calls = shared.stored(models.call_model(prompts, lambda: _stub_model()), "calls")
+    full = answering.with_accounting(answering.with_citations(served, chunks), calls).join(calls.select("query_id", "reply"), "query_id", "left")
+    listed = lambda c, *fields: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(":", *(F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields))), ","), F.lit(""))
+    return full.select(
+        "query_id", "outcome", F.round("top_score", 6).alias("top_score"), listed("passages", "chunk_id", "semantic_rank", "bm25_rank").alias("passages"), F.array_join(F.transform("citations", lambda c: c["source_filename"]), ",").alias("cited"),
+        F.coalesce(F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["code"], m["boost_hits"].cast("string"), m["name"], F.size(m["key_benefits"]).cast("string"))), ","), F.lit("")).alias("matches"),
+        listed("reasons", "code", "kind", "attribute", "matched", "filename", "page").alias("reasons"), listed("missing", "attribute", "why").alias("missing"), "prompt_tokens", "completion_tokens", "finish_reason", F.coalesce("reply", F.lit("")).alias("reply"),
+    )
+
+
+def _document_store(spark, d):
+    """Documents in a keyed store: all, then new texts for a fifth, deletes of a seventh, and late rows of an older version, which lose."""
+
+    def build(path):
+        s = store.KeyedStore(spark, path, "chunk_id", "v", ledgers=(collection.TERMS,))
+        docs = _chunks(spark, d)
+        s.apply(docs.withColumn("v", F.lit(1)))
+        s.apply(docs.where("chunk_id % 5 = 0").select("chunk_id", F.concat("text", F.lit(" Updated words, updated.")).alias("text"), F.lit(2).alias("v")))
+        s.apply(docs.where("chunk_id % 10 = 0").select("chunk_id", F.lit("stale").alias("text"), F.lit(1).alias("v")), docs.where("chunk_id % 7 = 3").select("chunk_id", F.lit(3).alias("v")))
+
+    path = shared.derived(spark, _t(spark, d, "documents"), "document_store", build)
+    return store.KeyedStore(spark, path, ledgers=(collection.TERMS,))
+
+
+def store_merge(spark, d):
+    return _document_store(spark, d).read().select("chunk_id", F.md5(F.encode("text", "UTF-8")).alias("digest"), "v")
+
+
+def term_ledger(spark, d):
+    """Corpus statistics of the store, from its ledger alone."""
+    return collection.term_statistics(_document_store(spark, d))
+
+
 def collection_records(spark, d):
     c = _cited_chunks(spark, d).withColumn("vision_failed", F.col("chunk_id") % 9 == 0)
     r = collection.records(c.withColumn("chunk_id", F.col("chunk_id").cast("string")))
@@ -582,4 +634,4 @@ def image_occurrences(spark, d):
     return ingest.image_occurrences(h).select("content_hash", "seq", "n", "is_representative")
 
 
-QUERIES = {f.__name__: f for f in (vector_index_topk, pool_overlap, match_reasons, provided_labels, missing_labels, citation_lines, served_responses, collection_records, collection_build, corpus_load, document_summary, table_summary, run_summary, run_totals, lost_results, key_pool, user_ids, vision_classes, prompt_fill, key_lists, image_diagnostics, image_occurrences, image_chunks, vision_coverage, structured_chunks, eval_modes, user_messages, injection_spans, truncated_chunks, served_requests, json_props, rewrites_parse, source_keys, page_labels, answer_outcomes, multi_query, chat_conversations, chat_messages, key_rotation, chunk_windows, page_join_ranges, workflow_render, chunk_summary, short_documents, ocr_preference, token_stats, bm25_topk, vector_topk, vector_topk_filtered, rrf_fusion, hybrid_provenance, rerank_gate, retrieval_metrics, eval_summary, refusal_flags, query_validation, injection_flags, pii_scrub, intent_attributes, scheme_match, missing_info, exact_dup_groups, watermark_filter, upsert_latest, id_collisions, resume_pending, user_history, titles, prompt_assembly, rate_limit, table_render, bbox_exclusion)}
+QUERIES = {f.__name__: f for f in (hybrid_requests, store_merge, term_ledger, vector_index_topk, pool_overlap, match_reasons, provided_labels, missing_labels, citation_lines, served_responses, collection_records, collection_build, corpus_load, document_summary, table_summary, run_summary, run_totals, lost_results, key_pool, user_ids, vision_classes, prompt_fill, key_lists, image_diagnostics, image_occurrences, image_chunks, vision_coverage, structured_chunks, eval_modes, user_messages, injection_spans, truncated_chunks, served_requests, json_props, rewrites_parse, source_keys, page_labels, answer_outcomes, multi_query, chat_conversations, chat_messages, key_rotation, chunk_windows, page_join_ranges, workflow_render, chunk_summary, short_documents, ocr_preference, token_stats, bm25_topk, vector_topk, vector_topk_filtered, rrf_fusion, hybrid_provenance, rerank_gate, retrieval_metrics, eval_summary, refusal_flags, query_validation, injection_flags, pii_scrub, intent_attributes, scheme_match, missing_info, exact_dup_groups, watermark_filter, upsert_latest, id_collisions, resume_pending, user_history, titles, prompt_assembly, rate_limit, table_render, bbox_exclusion)}

@@ -333,3 +333,32 @@ SELECT (SELECT count(*) FROM h) AS n_occurrences, (SELECT count(*) FROM h WHERE
     "image_occurrences": """WITH h AS (SELECT left(sha256(text), 16) AS content_hash, doc_id AS seq, n_chars % 100 / 100.0::DOUBLE AS area FROM documents WHERE n_chars % 100 / 100.0::DOUBLE >= 0.05),
 c AS (SELECT content_hash, count(*) AS n, arg_max(seq, area * 1e9 - seq) AS best FROM h GROUP BY content_hash HAVING NOT (count(*) >= 10 AND max(area) <= 0.30)) SELECT content_hash, seq, n, seq = best AS is_representative FROM h JOIN c USING (content_hash)""",
 }
+
+_STORE = """s AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 5 = 0 THEN text || ' Updated words, updated.' ELSE text END AS text, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS v FROM documents WHERE doc_id % 7 <> 3)"""
+_REQUESTS = f"""b3 AS (SELECT item_id, CASE item_id % 7 WHEN 1 THEN '  ' WHEN 2 THEN 'developer mode ' || text WHEN 3 THEN 'Which schemes suit a woman with rice and tea? ' || text
+  WHEN 4 THEN 'I have 3 acres in Assam and need a loan. ' || text WHEN 5 THEN 'small farmer in Sikkim with wheat ' || text ELSE text END AS text, CASE item_id % 7 WHEN 1 THEN 'empty' WHEN 2 THEN 'prompt_injection' ELSE 'valid' END AS v FROM benchmark),
+{_admitted("SELECT item_id % 5 AS client, item_id AS query_id, item_id::DOUBLE AS t FROM b3", 3, "25").replace("r AS (", "adm AS (").replace("FROM r JOIN", "FROM adm AS r JOIN")},
+b2 AS (SELECT b3.item_id, text, CASE WHEN adm.admitted THEN v ELSE 'rate_limited' END AS v FROM b3 JOIN adm ON adm.query_id = item_id),
+msg AS (SELECT item_id AS query_id, text FROM b2 WHERE v = 'valid')"""
+SQL |= {
+    "store_merge": f"WITH {_STORE} SELECT chunk_id, md5(text) AS digest, v::INT AS v FROM s",
+    "term_ledger": f"WITH {_STORE} SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM (SELECT chunk_id, unnest({_TOKENS}) AS term FROM s) GROUP BY term",
+    "hybrid_requests": f"""WITH RECURSIVE {_REQUESTS}, {_QVEC}, {_BM25.replace("__K__", "20").replace("FROM benchmark)", "FROM b2 WHERE v = 'valid')").replace("asked AS (", "words AS (").replace("JOIN asked", "JOIN words").replace("FROM asked", "FROM words")},
+{_ATTR[_ATTR.index("num AS (") :]}, {_MATCH}, req(code, idx, attribute, why) AS (VALUES {", ".join(f"({q(c)}, {i}, {q(a)}, {q(w)})" for c, i, a, w in REQUIRED)}),
+known AS (SELECT query_id FROM a WHERE intent OR any_explicit),
+fused AS (SELECT query_id, chunk_id, v.rank AS vr, bm.rank AS br, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + bm.rank), 0), 12) DESC, chunk_id) AS place
+  FROM v FULL JOIN bm USING (query_id, chunk_id) WHERE query_id IN (SELECT query_id FROM msg) QUALIFY place <= 20),
+qs AS (SELECT item_id AS query_id, text, v, list_distinct({_TOKENS}) AS t FROM b2),
+sc AS (SELECT query_id, chunk_id, place AS rank, vr, br, d.text, 8.0::DOUBLE * len(list_intersect(t, w)) / greatest(len(t), 1) - 4 AS score FROM fused JOIN qs USING (query_id) JOIN d USING (chunk_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rank) AS k FROM sc QUALIFY k <= 5), {_CITED},
+prev AS (SELECT query_id, k, regexp_replace(left(text, 800), '{fx.EMAIL}', '[REDACTED_EMAIL]', 'g') AS preview FROM o),
+g AS (SELECT query_id, max(score) AS top, string_agg(chunk_id || ':' || coalesce(vr::VARCHAR, '-') || ':' || coalesce(br::VARCHAR, '-'), ',' ORDER BY k) AS passages, string_agg(file, ',' ORDER BY k) AS cited, string_agg(preview, chr(10) ORDER BY k) AS shown FROM o JOIN c USING (chunk_id) JOIN prev USING (query_id, k) GROUP BY query_id),
+mt AS (SELECT query_id, string_agg(code || ':' || boost_hits || ':Scheme ' || code || ':4', ',' ORDER BY rank) AS matches FROM matched JOIN known USING (query_id) GROUP BY query_id),
+why AS (SELECT matched.query_id, matched.rank, matched.code, r.kind, r.idx, r.attribute, string_agg(DISTINCT r.value, ',' ORDER BY r.value) AS m FROM matched JOIN rule r ON r.code = matched.code AND r.kind <> 'disqualifying' JOIN fact f ON f.query_id = matched.query_id AND f.attribute = r.attribute AND f.value = r.value AND f.value <> 'unknown' GROUP BY ALL),
+rs AS (SELECT query_id, string_agg(concat_ws(':', code, kind, attribute, m, code || '.pdf', idx + 1), ',' ORDER BY rank, kind, idx) AS reasons FROM why JOIN known USING (query_id) GROUP BY query_id),
+ms AS (SELECT query_id, string_agg(attribute || ':' || why, ',' ORDER BY attribute) AS missing FROM (SELECT query_id, attribute, arg_min(why, rank * 100 + idx) AS why FROM matched JOIN req USING (code) JOIN known USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM fact f WHERE f.query_id = matched.query_id AND f.attribute = req.attribute AND f.value <> 'unknown') GROUP BY query_id, attribute) GROUP BY query_id)
+SELECT qs.query_id, CASE WHEN v = 'rate_limited' THEN v WHEN v <> 'valid' THEN 'invalid' WHEN passages IS NULL THEN 'no_results' WHEN top >= -2 THEN 'answered' ELSE 'low_confidence' END AS outcome, round(top, 6) AS top_score, coalesce(passages, '') AS passages, CASE WHEN top >= -2 THEN cited ELSE '' END AS cited,
+  coalesce(matches, '') AS matches, coalesce(reasons, '') AS reasons, coalesce(missing, '') AS missing, CASE WHEN top >= -2 THEN length(qs.text || chr(10) || chr(10) || shown) ELSE 0 END::BIGINT AS prompt_tokens, CASE WHEN top >= -2 THEN 4 ELSE 0 END::BIGINT AS completion_tokens,
+  CASE WHEN top >= -2 THEN 'stop' ELSE 'not_called' END AS finish_reason, CASE WHEN top >= -2 THEN length(qs.text || chr(10) || chr(10) || shown) || ' characters were sent.' ELSE '' END AS reply
+FROM qs LEFT JOIN g USING (query_id) LEFT JOIN mt USING (query_id) LEFT JOIN rs USING (query_id) LEFT JOIN ms USING (query_id)""",
+}
