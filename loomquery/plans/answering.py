@@ -107,7 +107,7 @@ def discover(queries: DataFrame, rule_table: DataFrame, schemes: DataFrame, requ
     tags = F.when(F.size("interests") > 0, F.array(F.struct(F.lit("interests").alias("attribute"), F.array_join("interests", ", ").alias("value")))).otherwise(F.array().cast("array<struct<attribute:string,value:string>>"))
     shown = [F.col(f"s.{c}") if c != "key_benefits" else replies.shown_benefits(F.col("s.key_benefits")).alias("key_benefits") for c in SHOWN if c in schemes.columns]
     told = matched.alias("m").join(schemes.alias("s"), F.col("m.code") == F.col("s.code")) if shown else matched.alias("m")
-    hits = told.groupBy("m.query_id").agg(F.array_sort(F.collect_list(F.struct("m.rank", "m.code", "m.boost_hits", *shown))).alias("matches"))
+    hits = told.groupBy("m.query_id").agg(F.array_sort(F.collect_list(F.struct("m.rank", "m.code", "m.boost_hits", *shown)), lambda x, y: x["rank"] - y["rank"]).alias("matches"))
     cited = [c for c in ("filename", "page", "note") if c in rule_table.columns]
     why = rules.match_reasons(matched, known, rule_table).join(matched.select("query_id", "code", "rank"), ["query_id", "code"])
     reasons = why.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "kind", "rule_idx", "code", "attribute", "matched", *cited))).alias("reasons"))
