@@ -172,15 +172,16 @@ def digest(members: np.ndarray) -> int | None:
 
 def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int, name: str) -> DataFrame:
     """cls, members (the sorted set): one row for each class in ``wanted``, from the text of its first document."""
-    firsts = classes.join(wanted, "cls", "left_semi").select(F.col("doc_id").alias("id")).distinct()
+    firsts = classes.join(wanted, "cls", "left_semi").select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("h"))
 
     def collect(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = list(shingle_sets(batch.column(0), k))
         return pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "members"])
 
-    texts = keyed_texts(docs)
-    texts = texts.join(firsts.hint("merge"), texts["doc_id"].eqNullSafe(firsts["id"]), "left_semi").select("text")
-    # Rows with one id may hold several texts; one set for each class is enough.
+    texts = keyed_texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    # By id and text: rows without an id, or that share one, are dealt by their texts.
+    texts = texts.join(firsts.hint("merge"), texts["doc_id"].eqNullSafe(firsts["id"]) & (texts["text_hash"] == firsts["h"]), "left_semi").select("text")
+    # Rows may repeat; one set for each class is enough.
     return materialize(map_batches(texts, collect, "cls long, members binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), name)
 
 
