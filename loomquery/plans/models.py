@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import struct
+import threading
 import time
 import zlib
+from collections import deque
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -27,18 +30,47 @@ class RateLimited(Exception):
 
 @dataclass(frozen=True)
 class Policy:
-    """Waits after a refusal are base, 2 base, 4 base, ..., at most ``retries`` of them; ``delay_s`` comes before every call."""
+    """Waits after a refusal are base, 2 base, 4 base, ..., at most ``retries`` of them; ``delay_s`` comes before every call.
+
+    ``window`` calls of a task are in flight at once; its client then serves as many threads. ``tokens_per_minute`` is a budget for all tasks together: the calls go through ``lanes`` tasks, each with
+    its share, so it holds on any number of executors. A call reserves ``reserve`` tokens, by default a quarter of its characters and 256, and what it used in the end is settled afterwards.
+    """
 
     retries: int = 5
     base_s: float = 2.0
     delay_s: float = 0.0
+    window: int = 1
+    tokens_per_minute: float | None = None
+    lanes: int = 1
+    reserve: Callable[[str], float] = lambda prompt: len(prompt) / 4 + 256
+
+
+class Budget:
+    """Tokens that come at an even rate; at most a second's worth is saved up. Calls reserve in turn and settle what they used."""
+
+    def __init__(self, per_minute: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.rate, self.clock, self.sleep, self.lock = per_minute / 60, clock, sleep, threading.Lock()
+        self.held, self.at = 0.0, clock()
+
+    def reserve(self, n: float) -> None:
+        with self.lock:
+            now = self.clock()
+            self.held = min(self.rate, self.held + (now - self.at) * self.rate) - n
+            self.at, wait = now, max(0.0, -self.held / self.rate) if self.held < 0 else 0.0
+        if wait:
+            self.sleep(wait)
+
+    def settle(self, reserved: float, used: float) -> None:
+        with self.lock:
+            self.held += reserved - used
 
 
 def call_model(prompts: DataFrame, connect: Callable[[], Callable[[str], dict]], policy: Policy = Policy()) -> DataFrame:
     """query_id and REPLY_SCHEMA for (query_id, prompt).
 
     ``connect()`` gives a client of a task's own: it takes a prompt and returns a dict with content and, if known, finish_reason and token counts.
-    A blank reply that ended for its length becomes a fixed sentence. A failure is a row with an error and no reply; a null prompt isn't sent.
+    A blank reply that ended for its length becomes a fixed sentence. A failure is a row with an error and no reply; a null prompt isn't sent. Rows keep their order within a task, however many
+    calls are in flight.
     """
 
     def ask(complete: Callable[[str], dict], prompt: str) -> tuple:
@@ -52,25 +84,44 @@ def call_model(prompts: DataFrame, connect: Callable[[], Callable[[str], dict]],
             except Exception as e:  # noqa: BLE001  a failed call is a result
                 return {}, attempt, f"{type(e).__name__}: {e}"
 
+    names = ["query_id", "reply", "error", "finish_reason", "prompt_tokens", "completion_tokens", "reasoning_tokens", "retries", "latency_ms"]
+
+    def row(key, prompt: str, complete: Callable[[str], dict], budget: Budget | None) -> tuple:
+        reserved = policy.reserve(prompt)
+        if budget is not None:
+            budget.reserve(reserved)
+        time.sleep(policy.delay_s)
+        began = time.monotonic()
+        said, retries, error = ask(complete, prompt)
+        content, ended = said.get("content") or "", said.get("finish_reason")
+        reply = None if error else fx.NO_ANSWER if not content.strip() and ended == "length" else content
+        counts = [int(said.get(f"{k}_tokens") or 0) for k in ("prompt", "completion", "reasoning")]
+        if budget is not None and sum(counts):
+            budget.settle(reserved, sum(counts))
+        return (key, reply, error, ended, *counts, retries, int((time.monotonic() - began) * 1000))
+
     def run(frames):
-        complete = None
-        for frame in frames:
-            rows = []
-            for key, prompt in zip(frame["query_id"], frame["prompt"], strict=True):
-                if prompt is None:
-                    rows.append((key, None, "no prompt", None, 0, 0, 0, 0, 0))
-                    continue
-                complete = complete or connect()
-                time.sleep(policy.delay_s)
-                began = time.monotonic()
-                said, retries, error = ask(complete, prompt)
-                content, ended = said.get("content") or "", said.get("finish_reason")
-                reply = None if error else fx.NO_ANSWER if not content.strip() and ended == "length" else content
-                rows.append((key, reply, error, ended, *(int(said.get(f"{k}_tokens") or 0) for k in ("prompt", "completion", "reasoning")), retries, int((time.monotonic() - began) * 1000)))
-            yield pd.DataFrame(rows, columns=["query_id", "reply", "error", "finish_reason", "prompt_tokens", "completion_tokens", "reasoning_tokens", "retries", "latency_ms"])
+        complete, budget, flight = None, None, deque()
+        with ThreadPoolExecutor(max(1, policy.window)) as pool:
+            for frame in frames:
+                rows = []
+                for key, prompt in zip(frame["query_id"], frame["prompt"], strict=True):
+                    if prompt is None:
+                        flight.append((key, None, "no prompt", None, 0, 0, 0, 0, 0))
+                    else:
+                        if complete is None:
+                            complete = connect()
+                            budget = Budget(policy.tokens_per_minute / policy.lanes) if policy.tokens_per_minute else None
+                        flight.append(pool.submit(row, key, prompt, complete, budget))
+                    while len(flight) >= max(1, policy.window):
+                        first = flight.popleft()
+                        rows.append(first if isinstance(first, tuple) else first.result())
+                yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame([x if isinstance(x, tuple) else x.result() for x in flight], columns=names)
 
     key = prompts.schema["query_id"].dataType.simpleString()
-    return prompts.select("query_id", "prompt").mapInPandas(run, f"query_id {key}, {REPLY_SCHEMA}")
+    asked = prompts.select("query_id", "prompt")
+    return (asked.repartition(policy.lanes) if policy.tokens_per_minute else asked).mapInPandas(run, f"query_id {key}, {REPLY_SCHEMA}")
 
 
 class RotatingClient:
