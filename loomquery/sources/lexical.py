@@ -47,11 +47,13 @@ def _lists(starts: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 def index_segment(group: pa.Table) -> pa.Table:
-    """POSTINGS of one segment from (segment, chunk_id, w)."""
+    """POSTINGS of one segment from (segment, chunk_id, w: words between single blanks)."""
     group = group.take(pc.sort_indices(group.column("chunk_id")))
-    words = group.column("w").combine_chunks()
-    dl = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = words.flatten().dictionary_encode()
+    texts = group.column("w").combine_chunks()
+    words = pc.split_pattern(texts, " ")
+    dl = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64) - pc.equal(texts, "").to_numpy(zero_copy_only=False)
+    flat = words.flatten()
+    flat = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
     n_docs = len(dl)
     if not len(flat):
         return pa.table([pa.array([], f.type) for f in _SCHEMA], schema=_SCHEMA)
@@ -90,9 +92,18 @@ def build_index(chunks: DataFrame, path: str, segment_words: int = SEGMENT_WORDS
     chunks = chunks.select("chunk_id", "text")
     sizes = chunks.agg(F.count("*").alias("n"), F.sum(F.size(tokens(F.col("text")))).alias("words")).first()
     n_segments = max(1, -(-(sizes["words"] or 0) // segment_words), -(-sizes["n"] // segment_words))
-    keyed = chunks.withColumn("segment", F.pmod(F.xxhash64("chunk_id"), F.lit(n_segments)).cast("int")).repartition(n_segments, "segment")
-    cut = keyed.select("segment", "chunk_id", tokens(F.col("text")).alias("w"))
-    built = cut.groupBy("segment").applyInArrow(lambda group: index_segment(group), POSTINGS)
+    keyed = chunks.withColumn("segment", F.pmod(F.xxhash64("chunk_id"), F.lit(n_segments)).cast("int"))
+
+    def work(batches):
+        held = list(batches)
+        if held:
+            rows = pa.Table.from_batches(held)
+            for segment in pc.unique(rows.column("segment")):
+                yield from index_segment(rows.filter(pc.equal(rows.column("segment"), segment))).to_batches()
+
+    # A task has one segment, without a sort.
+    cut = keyed.select("segment", "chunk_id", F.array_join(tokens(F.col("text")), " ").alias("w")).repartitionById(n_segments, "segment")
+    built = cut.mapInArrow(work, POSTINGS)
     spread = F.floor(F.col("segment") / FILE_SEGMENTS)
     placed = built.withColumn("bucket", bucket("term")).repartition(BUCKETS * -(-n_segments // FILE_SEGMENTS), "bucket", spread).sortWithinPartitions("bucket", "term", "segment")
     placed.write.partitionBy("bucket").parquet(f"{path}/postings")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import fixed as fx
 
@@ -75,3 +76,63 @@ def limited_stream(requests: DataFrame, limit: int = fx.RATE_LIMIT, window_s: in
     known = requests.where("client is not null and t is not null").select("client", F.col("t").cast("double").alias("t"), *own)
     schema = f"client {kinds['client']}, t double, admitted boolean" + "".join(f", {c} {kinds[c]}" for c in own)
     return known.groupBy("client").applyInPandasWithState(admit, schema, "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
+
+
+class _EventTimeLog(StatefulProcessor):
+    """Of a client: requests that wait for the watermark, and the times of those admitted."""
+
+    def __init__(self, limit: int, window_s: int, id_type: str | None):
+        self.limit, self.window_s, self.id_type = limit, window_s, id_type
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"t double, query_id {self.id_type or 'string'}")
+        self.log = handle.getListState("log", "t double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new, times = [], set()
+        for frame in rows:
+            new += zip(frame["t"].tolist(), frame["query_id"].tolist() if self.id_type else [None] * len(frame), strict=True)
+            times.update(frame["t"].tolist())
+        if new:
+            self.waiting.appendList(new)
+        for t in times:
+            self.handle.registerTimer(int(t * 1000) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """All of a client's requests up to the timer's moment: no earlier one can come any more."""
+        upto = (expiredTimerInfo.getExpiryTimeInMs() - 1) / 1000
+        rows = sorted(((t, q) for t, q in self.waiting.get()), key=lambda r: (r[0], *((r[1],) if self.id_type else ())))
+        due = [r for r in rows if int(r[0] * 1000) / 1000 <= upto]
+        if not due:
+            return
+        rest = rows[len(due) :]
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        log = [r[0] for r in self.log.get()]
+        kept, out = deque(log), []
+        for t, query in due:
+            while kept and kept[0] < t - self.window_s:
+                kept.popleft()
+            out.append((key[0], t, len(kept) < self.limit, query))
+            if out[-1][2]:
+                kept.append(t)
+        self.log.put([(t,) for t in kept]) if kept else self.log.clear()
+        yield pd.DataFrame(out, columns=["client", "t", "admitted", "query_id"])
+
+    def close(self) -> None:
+        pass
+
+
+def limited_in_event_time(requests: DataFrame, late: str = "1 minute", limit: int = fx.RATE_LIMIT, window_s: int = fx.RATE_WINDOW_S) -> DataFrame:
+    """client, t, admitted, and query_id where there is one, for a stream of (client, t) whose rows may be out of order by ``late``: each is judged once the watermark has passed it, by time and id, as ``admissions``
+    judges a table of them.
+
+    State is kept in lists (requests that wait; times admitted within the window), timers of event time wake a client when something of it is due. What comes later than the watermark is dropped
+    by it; a request without a client or time isn't limited and has no row. Times count in whole milliseconds as to when they are due. The session needs the RocksDB state store.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
+    own = ["query_id"] if "query_id" in kinds else []
+    known = requests.where("client is not null and t is not null").select("client", F.col("t").cast("double").alias("t"), *own).withColumn("at", F.timestamp_micros((F.col("t") * 1e6).cast("long"))).withWatermark("at", late)
+    out = known.groupBy("client").transformWithStateInPandas(_EventTimeLog(limit, window_s, kinds.get("query_id")), f"client {kinds['client']}, t double, admitted boolean, query_id {kinds.get('query_id', 'string')}", "append", "EventTime")
+    return out.select("client", "t", "admitted", *own)
