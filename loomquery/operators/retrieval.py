@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -20,12 +21,50 @@ def top(df: DataFrame, group: str, k: int, *order: Column, rank: str = "rank") -
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(rank) <= k)
 
 
+#: Distinct terms that a task counts before it hands them on.
+MEMO = 200_000
+
+
+def counted_terms(rows: DataFrame) -> DataFrame:
+    """term, df, cf of rows (sign, text): how many texts hold a term and how often it occurs, times the sign; under an empty term the texts and their words. Partial sums, as many rows for a term as tasks met it.
+
+    Words are cut by the same expression as everywhere; a task counts them in a memo of bounded size, so what is shuffled are terms, not occurrences.
+    """
+
+    def count(batches):
+        df, cf = Counter(), Counter()
+
+        def emit():
+            terms = list(cf)
+            for a in range(0, len(terms), 50_000):
+                part = terms[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([df[t] for t in part], pa.int64()), pa.array([cf[t] for t in part], pa.int64())], ["term", "df", "cf"])
+            df.clear()
+            cf.clear()
+
+        for batch in batches:
+            for sign, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = words.split(" ") if words else []
+                cf[""] += sign * len(found)
+                df[""] += sign
+                if sign == 1:
+                    cf.update(found)
+                    df.update(set(found))
+                else:
+                    for t, n in Counter(found).items():
+                        cf[t] += sign * n
+                        df[t] += sign
+                if len(cf) > MEMO:
+                    yield from emit()
+        yield from emit()
+
+    return rows.select(F.col("sign").cast("int"), F.array_join(tokens(F.col("text")), " ").alias("w")).mapInArrow(count, "term string, df long, cf long")
+
+
 def term_counts(chunks: DataFrame) -> DataFrame:
-    """term, df, cf: how many chunks hold a term, and how often it occurs. A chunk's words and its distinct ones are counted side by side, within the task before anything is shuffled."""
-    words = tokens(F.col("text"))
-    tagged = lambda w, df, cf: F.transform(w, lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf")))
-    w = chunks.select(F.explode(F.concat(tagged(words, 0, 1), tagged(F.array_distinct(words), 1, 0))).alias("w"))
-    return w.groupBy("w.term").agg(F.sum("w.df").alias("df"), F.sum("w.cf").alias("cf"))
+    """term, df, cf: how many chunks hold a term, and how often it occurs."""
+    counted = counted_terms(chunks.select(F.lit(1).alias("sign"), "text")).where("term <> ''")
+    return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def corpus_facts(chunks: DataFrame, n: int) -> tuple[float, float]:

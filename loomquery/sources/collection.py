@@ -9,7 +9,6 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from ..operators import images, ingest, retrieval
 from .readers import recovered, write_json
 from .shared import stored
@@ -27,17 +26,8 @@ def records(chunks: DataFrame, *carried: str) -> DataFrame:
     return chunks.select("chunk_id", F.col("text").alias("document"), F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())).alias("metadata"), *carried)
 
 
-def signed_terms(rows: DataFrame) -> DataFrame:
-    """term, df, cf of rows (text, sign): how many texts gain or lose a term, and occurrences; under an empty term the texts themselves and their words."""
-    words = tokens(F.col("text"))
-    each = F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf")))
-    once = F.transform(F.array_distinct(words), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf")))
-    whole = F.array(F.struct(F.lit("").alias("term"), F.lit(1).alias("df"), F.size(words).alias("cf")))
-    return rows.select("sign", F.explode(F.concat(each, once, whole)).alias("w")).select("w.term", (F.col("sign") * F.col("w.df")).cast("long").alias("df"), (F.col("sign") * F.col("w.cf")).cast("long").alias("cf"))
-
-
-#: Corpus statistics that follow a store of chunks.
-TERMS = Ledger("terms", ("term",), ("df", "cf"), signed_terms)
+#: Corpus statistics that follow a store of chunks; the empty term stands for chunks and words.
+TERMS = Ledger("terms", ("term",), ("df", "cf"), retrieval.counted_terms)
 
 
 def term_statistics(store: KeyedStore) -> DataFrame:

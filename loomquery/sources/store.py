@@ -125,10 +125,15 @@ class KeyedStore:
         """One delta; its entry. Nothing reads it before a manifest names it."""
         name = uuid.uuid4().hex
         folder = f"{self.path}/{kind}/{DELTA}={name}"
-        df.repartition(state["buckets"], BUCKET).write.partitionBy(BUCKET).parquet(folder)
+        df.write.partitionBy(BUCKET).parquet(folder)
         found = [int(n.split("=")[1]) for n in self.log.names(folder) if n.startswith(f"{BUCKET}=")]
         return {"name": name, "kind": kind, "buckets": sorted(found), "seq": None}
 
+    @staticmethod
+    def _dealt(df: DataFrame, state: dict) -> DataFrame:
+        """One task for each folder; a window by folder and key then needs no further shuffle."""
+        return df.repartition(state["buckets"], BUCKET)
+
     def _load(self, state: dict, kind: str, buckets: set[int] | None = None) -> DataFrame:
         """All rows of the deltas that a manifest names, with their folder and seq; of some folders alone, if asked."""
         schema = StructType.fromJson(state["schemas"][kind])
@@ -172,7 +177,7 @@ class KeyedStore:
             if batch is None:
                 parts = [p.withColumn(DELETED, F.lit(gone)) for p, gone in ((rows, False), (deletes, True)) if p is not None]
                 both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-                both = self._merged(state, both.withColumn(BUCKET, self._bucket(state)).withColumn(SEQ, F.lit(0))).drop(SEQ)
+                both = self._merged(state, self._dealt(both.withColumn(BUCKET, self._bucket(state)), state).withColumn(SEQ, F.lit(0))).drop(SEQ)
                 batch = self._write(both, "rows", state)
                 schema = both.drop(BUCKET).schema
             made = self._next(state, stream)
@@ -182,7 +187,7 @@ class KeyedStore:
             if entries:
                 for ledger in self.ledgers:
                     delta = self._ledger_delta(ledger, state, made, set(batch["buckets"]), batch["name"])
-                    entry = self._write(delta.withColumn(BUCKET, F.pmod(F.xxhash64(*ledger.keys), F.lit(state["buckets"])).cast("int")), ledger.name, state)
+                    entry = self._write(self._dealt(delta.withColumn(BUCKET, F.pmod(F.xxhash64(*ledger.keys), F.lit(state["buckets"])).cast("int")), state), ledger.name, state)
                     self._grow(made, ledger.name, delta.schema)
                     if entry["buckets"]:
                         made["deltas"].append(entry | {"seq": made["number"]})
@@ -214,6 +219,9 @@ class KeyedStore:
     def _ledger_delta(self, ledger: Ledger, before: dict, after: dict, buckets: set[int], name: str) -> DataFrame:
         """What the keys of a batch count now, less what they counted before."""
         only = after | {"deltas": [e for e in after["deltas"] if e["name"] == name]}
+        if not any(e["kind"] == "rows" for e in before["deltas"]):
+            new = self._load(only, "rows", buckets)  # nothing is replaced, and a batch has each key once
+            return self._summed(ledger, ledger.make(new.where(~F.col(DELETED)).drop(BUCKET, SEQ, DELETED).withColumn("sign", F.lit(1))))
         key = F.col(f"`{after['key']}`")
         touched = self._load(only, "rows", buckets).select(key.alias("_store_key"))
         signed = None
@@ -259,7 +267,7 @@ class KeyedStore:
                     continue
                 rows = rows.drop(SEQ)
                 rows = rows.groupBy(BUCKET, *known.keys).agg(*(F.sum(c).alias(c) for c in known.sums)).where(" or ".join(f"`{c}` <> 0" for c in known.sums))
-            entry = self._write(rows, kind, state) | {"seq": max(e["seq"] for b in buckets for e in held[b])}
+            entry = self._write(self._dealt(rows, state), kind, state) | {"seq": max(e["seq"] for b in buckets for e in held[b])}
             written.append((kind, buckets, entry, {e["name"] for b in buckets for e in held[b]}))
         while written:
             state = self.state()

@@ -71,7 +71,7 @@ def test_blocks_and_segments_are_pruned(spark, tmp_path):
     queries = spark.createDataFrame([(1, "gem")], "query_id long, text string")
     assert rows(index.search(queries, 1)) == rows(retrieval.bm25(queries, rare, 1))
     assert index.facts["n_segments"] >= 4 and index.hits(queries, 1).select("segment").distinct().count() == 1
-    postings = lexical.Postings.of(lexical.index_segment(__import__("pyarrow").table({"segment": [0] * 640, "chunk_id": list(range(640)), "w": [["t"] * (9 if i == 200 else 1) + ["u"] * 3 for i in range(640)]})), 4.0)
+    postings = lexical.Postings.of(lexical.index_segment(__import__("pyarrow").table({"segment": [0] * 640, "chunk_id": list(range(640)), "w": ["t " * (9 if i == 200 else 1) + "u u u" for i in range(640)]})), 4.0)
     best, score, blocks = lexical.search_segment(postings, ["t"], [1.0], None, 640, 1, False)
     assert best.tolist() == [200] and blocks == 10
     best, again, blocks = lexical.search_segment(postings, ["t"], [1.0], score[0], 640, 1, False)
