@@ -15,7 +15,7 @@ from .functions import text as tx
 from .operators import chat, chunking, images, ingest, retrieval, rules
 from .plans import answering, evaluation, models
 from .sources import collection, lexical, readers, shared, store, vector_index
-from .streaming import limiter, upserts
+from .streaming import chat_view, limiter, upserts
 
 RULES = (
     ("ALPHA", "applicability", 0, "has_land", ("true", "unknown")),
@@ -350,6 +350,26 @@ def chat_messages(spark, d):
     return chat.messages(_chat_log(spark, d)).select("conv_id", "pos", "role", F.md5(F.encode("content", "UTF-8")).alias("digest"), "payload")
 
 
+def _chat_view(spark, d):
+    """The log of changes in three batches, by turns, into the maintained view."""
+
+    def build(path):
+        log, view = shared.stored(_chat_log(spark, d), "chat_log"), chat_view.ChatView(spark, path)
+        turn = F.col("seq") % 1000
+        for n, part in enumerate((turn < 2, turn.between(2, 4), turn > 4)):
+            view.apply(log.where(part), ("turns", n))
+
+    return chat_view.ChatView(spark, shared.derived(spark, _t(spark, d, "conversations"), "chat_view", build))
+
+
+def chat_view_conversations(spark, d):
+    return _chat_view(spark, d).conversations().select("user_id", "conv_id", "title", "n_messages", "rank")
+
+
+def chat_view_messages(spark, d):
+    return _chat_view(spark, d).messages().select("conv_id", "pos", "role", F.md5(F.encode("content", "UTF-8")).alias("digest"), "payload")
+
+
 def key_rotation(spark, d):
     e = _t(spark, d, "events").where("user_id is not null").select((F.col("user_id") % 50).alias("client"), F.col("event_id").alias("seq"), (F.col("event_id") % 4 == 0).alias("limited"))
     return upserts.rotations(e, 3)
@@ -634,4 +654,4 @@ def image_occurrences(spark, d):
     return ingest.image_occurrences(h).select("content_hash", "seq", "n", "is_representative")
 
 
-QUERIES = {f.__name__: f for f in (hybrid_requests, store_merge, term_ledger, vector_index_topk, pool_overlap, match_reasons, provided_labels, missing_labels, citation_lines, served_responses, collection_records, collection_build, corpus_load, document_summary, table_summary, run_summary, run_totals, lost_results, key_pool, user_ids, vision_classes, prompt_fill, key_lists, image_diagnostics, image_occurrences, image_chunks, vision_coverage, structured_chunks, eval_modes, user_messages, injection_spans, truncated_chunks, served_requests, json_props, rewrites_parse, source_keys, page_labels, answer_outcomes, multi_query, chat_conversations, chat_messages, key_rotation, chunk_windows, page_join_ranges, workflow_render, chunk_summary, short_documents, ocr_preference, token_stats, bm25_topk, vector_topk, vector_topk_filtered, rrf_fusion, hybrid_provenance, rerank_gate, retrieval_metrics, eval_summary, refusal_flags, query_validation, injection_flags, pii_scrub, intent_attributes, scheme_match, missing_info, exact_dup_groups, watermark_filter, upsert_latest, id_collisions, resume_pending, user_history, titles, prompt_assembly, rate_limit, table_render, bbox_exclusion)}
+QUERIES = {f.__name__: f for f in (chat_view_conversations, chat_view_messages, hybrid_requests, store_merge, term_ledger, vector_index_topk, pool_overlap, match_reasons, provided_labels, missing_labels, citation_lines, served_responses, collection_records, collection_build, corpus_load, document_summary, table_summary, run_summary, run_totals, lost_results, key_pool, user_ids, vision_classes, prompt_fill, key_lists, image_diagnostics, image_occurrences, image_chunks, vision_coverage, structured_chunks, eval_modes, user_messages, injection_spans, truncated_chunks, served_requests, json_props, rewrites_parse, source_keys, page_labels, answer_outcomes, multi_query, chat_conversations, chat_messages, key_rotation, chunk_windows, page_join_ranges, workflow_render, chunk_summary, short_documents, ocr_preference, token_stats, bm25_topk, vector_topk, vector_topk_filtered, rrf_fusion, hybrid_provenance, rerank_gate, retrieval_metrics, eval_summary, refusal_flags, query_validation, injection_flags, pii_scrub, intent_attributes, scheme_match, missing_info, exact_dup_groups, watermark_filter, upsert_latest, id_collisions, resume_pending, user_history, titles, prompt_assembly, rate_limit, table_render, bbox_exclusion)}

@@ -362,3 +362,4 @@ SELECT qs.query_id, CASE WHEN v = 'rate_limited' THEN v WHEN v <> 'valid' THEN '
   CASE WHEN top >= -2 THEN 'stop' ELSE 'not_called' END AS finish_reason, CASE WHEN top >= -2 THEN length(qs.text || chr(10) || chr(10) || shown) || ' characters were sent.' ELSE '' END AS reply
 FROM qs LEFT JOIN g USING (query_id) LEFT JOIN mt USING (query_id) LEFT JOIN rs USING (query_id) LEFT JOIN ms USING (query_id)""",
 }
+SQL |= {"chat_view_conversations": SQL["chat_conversations"], "chat_view_messages": SQL["chat_messages"]}
