@@ -27,7 +27,7 @@ from ..functions.text import tokens
 from ..operators.retrieval import top
 from .shared import stored
 
-SEGMENT_WORDS = 1 << 20
+SEGMENT_WORDS = 1 << 22
 BUCKETS = 32
 BLOCK = 64
 #: Stretches of chunks within a segment that are skipped or scored together.
@@ -38,12 +38,19 @@ QUERIES = 1_024
 #: Segments whose rows of one bucket share a file.
 FILE_SEGMENTS = 64
 
-POSTINGS = "segment int, term string, n int, top_tf int, low_dl int, firsts array<int>, top_tfs array<int>, low_dls array<int>, deltas array<int>, tfs array<int>, dls array<int>"
-PAYLOAD = ("firsts", "top_tfs", "low_dls", "deltas", "tfs", "dls")
+#: data holds, one after the other: of each block the first number, highest frequency and least length; of each posting the delta, frequency and length. Most terms are rare, and one list is short to write.
+POSTINGS = "segment int, term string, n int, top_tf int, low_dl int, data array<int>"
 
 
-def _lists(starts: np.ndarray, values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values.astype(np.int32)))
+def _lists(runs: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """One list for each row: its runs in order. runs: (how many each row has, their values row by row)."""
+    size = sum(n for n, _ in runs)
+    ends = np.cumsum(size)
+    out, at = np.empty(int(ends[-1]), np.int32), ends - size
+    for n, values in runs:
+        out[np.arange(len(values)) + np.repeat(at - (np.cumsum(n) - n), n)] = values
+        at = at + n
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(out))
 
 
 def index_segment(group: pa.Table) -> pa.Table:
@@ -71,12 +78,12 @@ def index_segment(group: pa.Table) -> pa.Table:
     columns = [
         pa.array(np.full(len(starts), group.column("segment")[0].as_py(), np.int32)), flat.dictionary.take(pa.array(term[starts])), pa.array(n.astype(np.int32)),
         pa.array(np.maximum.reduceat(top_tfs, block_starts).astype(np.int32)), pa.array(np.minimum.reduceat(low_dls, block_starts).astype(np.int32)),
-        *(_lists(block_starts, x) for x in (doc[blocks], top_tfs, low_dls)), *(_lists(starts, x) for x in (delta, tf, dl[doc])),
+        _lists([*((np.diff(block_starts, append=len(blocks)), x) for x in (doc[blocks], top_tfs, low_dls)), *((n, x) for x in (delta, tf, dl[doc]))]),
     ]
     return pa.table(columns, schema=_SCHEMA)
 
 
-_SCHEMA = pa.schema([("segment", pa.int32()), ("term", pa.string()), *((c, pa.int32()) for c in ("n", "top_tf", "low_dl")), *((c, pa.list_(pa.int32())) for c in PAYLOAD)])
+_SCHEMA = pa.schema([("segment", pa.int32()), ("term", pa.string()), *((c, pa.int32()) for c in ("n", "top_tf", "low_dl")), ("data", pa.list_(pa.int32()))])
 
 
 def bucket(term):
@@ -132,9 +139,11 @@ class Postings:
 
     @classmethod
     def of(cls, table: pa.Table, avgdl: float) -> Postings:
-        lists = {c: table.column(c).combine_chunks() for c in PAYLOAD}
-        view = {c: (a.offsets.to_numpy(), a.values.to_numpy()) for c, a in lists.items()}
-        rows = {t: tuple(values[offsets[i] : offsets[i + 1]] for offsets, values in view.values()) for i, t in enumerate(table.column("term").to_pylist())}
+        data = table.column("data").combine_chunks()
+        offsets, values, rows = data.offsets.to_numpy(), data.values.to_numpy(), {}
+        for i, (term, n) in enumerate(zip(table.column("term").to_pylist(), table.column("n").to_pylist(), strict=True)):
+            own, b = values[offsets[i] : offsets[i + 1]], -(-n // BLOCK)
+            rows[term] = tuple(np.split(own, [b, 2 * b, 3 * b, 3 * b + n, 3 * b + 2 * n]))
         return cls(rows, avgdl)
 
     def bounds(self, term: str, n_stretches: int) -> np.ndarray:
@@ -232,7 +241,7 @@ class LexicalIndex:
         asked = pairs.join(weights, "query_id").groupBy("query_id", "segment", "threshold").agg(F.collect_list(F.struct("term", "w")).alias("terms")).withColumn("part", part)
         asked = stored(asked.join(self.segments, "segment"), "asked_segments")
         wanted = asked.select("segment", F.col("part").alias("with_part"), F.explode("terms.term").alias("term")).distinct()
-        rows = self.postings(buckets).select("segment", "term", *PAYLOAD).join(wanted, ["segment", "term"])
+        rows = self.postings(buckets).select("segment", "term", "n", "data").join(wanted, ["segment", "term"])
         avgdl, every = self.avgdl, self.every
 
         def work(key, left, right):
