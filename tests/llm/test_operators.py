@@ -570,8 +570,9 @@ def test_one_long_factor_and_greedy_steps():
 def test_a_factor_of_more_than_2_to_24_windows():
     n = (1 << 24) + 5
     one = lambda x, kind: np.array([x], kind)
-    packed = substring._pack_factors(one(7, "<i8"), one(1, "<u4"), one(3, "<u4"), one(n, "<u4"), one(2, "<i8"), one(4, "<u4"))
-    assert [int(c[0]) for c in substring.unpack(packed, substring.FACTOR_KINDS)[:6]] == [7, 1, 3, n, 2, 4]
+    packed = substring._pack_factors(one((7, 1, -1), substring.ROW), one(3, "<u4"), one(n, "<u4"), one(2, "<i8"), one(4, "<u4"))
+    row, *numbers = (c[0] for c in substring.unpack(packed, substring.FACTOR_KINDS)[:5])
+    assert row.tolist() == (7, 1, -1) and [int(x) for x in numbers] == [3, n, 2, 4]
     text = "a " * (n + 20)
     total, removed, kept = substring.keep_words(text, (np.array([3]), np.array([n])), 13)
     assert (total, removed, len(kept)) == (n + 20, n + 12, 8)
