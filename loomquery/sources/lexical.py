@@ -14,6 +14,7 @@ Defined results: as ``retrieval.bm25`` over the same chunks, in every row; a nul
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +37,9 @@ HEAD = 1
 #: Queries that meet a segment in one task.
 QUERIES = 1_024
 #: Segments whose rows of one bucket share a file.
-FILE_SEGMENTS = 64
+FILE_SEGMENTS = 16
+#: Words, or postings, that a task that builds a segment handles at once.
+SLICE = 1 << 18
 
 #: data holds, one after the other: of each block the first number, highest frequency and least length; of each posting the delta, frequency and length. Most terms are rare, and one list is short to write.
 POSTINGS = "segment int, term string, n int, top_tf int, low_dl int, data array<int>"
@@ -53,36 +56,68 @@ def _lists(runs: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(out))
 
 
-def index_segment(group: pa.Table) -> pa.Table:
-    """POSTINGS of one segment from (segment, chunk_id, w: words between single blanks)."""
-    group = group.take(pc.sort_indices(group.column("chunk_id")))
-    texts = group.column("w").combine_chunks()
-    words = pc.split_pattern(texts, " ")
-    dl = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64) - pc.equal(texts, "").to_numpy(zero_copy_only=False)
-    flat = words.flatten()
-    flat = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
-    n_docs = len(dl)
-    if not len(flat):
-        return pa.table([pa.array([], f.type) for f in _SCHEMA], schema=_SCHEMA)
-    # One number for term and chunk: its distinct values in order are the postings.
-    pair, tf = np.unique(flat.indices.to_numpy().astype(np.int64) * n_docs + np.repeat(np.arange(n_docs), dl), return_counts=True)
-    term, doc = pair // n_docs, pair % n_docs
-    starts = np.flatnonzero(np.diff(term, prepend=-1))
-    n = np.diff(starts, append=len(pair))
-    place = np.arange(len(pair)) - np.repeat(starts, n)
+def _packed(segment: int, terms: pa.Array, starts: np.ndarray, doc: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> pa.Table:
+    """POSTINGS of some terms: those of a term begin at its start, in the order of their chunks; dl: the length of each posting's chunk."""
+    n = np.diff(starts, append=len(doc))
+    place = np.arange(len(doc)) - np.repeat(starts, n)
     blocks = np.flatnonzero(place % BLOCK == 0)
     block_starts = np.searchsorted(blocks, starts)
     delta = np.diff(doc, prepend=0)
     delta[blocks] = 0
-    top_tfs, low_dls = np.maximum.reduceat(tf, blocks), np.minimum.reduceat(dl[doc], blocks)
+    top_tfs, low_dls = np.maximum.reduceat(tf, blocks), np.minimum.reduceat(dl, blocks)
     columns = [
-        pa.array(np.full(len(starts), group.column("segment")[0].as_py(), np.int32)), flat.dictionary.take(pa.array(term[starts])), pa.array(n.astype(np.int32)),
+        pa.array(np.full(len(starts), segment, np.int32)), terms, pa.array(n.astype(np.int32)),
         pa.array(np.maximum.reduceat(top_tfs, block_starts).astype(np.int32)), pa.array(np.minimum.reduceat(low_dls, block_starts).astype(np.int32)),
-        _lists([*((np.diff(block_starts, append=len(blocks)), x) for x in (doc[blocks], top_tfs, low_dls)), *((n, x) for x in (delta, tf, dl[doc]))]),
+        _lists([*((np.diff(block_starts, append=len(blocks)), x) for x in (doc[blocks], top_tfs, low_dls)), *((n, x) for x in (delta, tf, dl))]),
     ]
     return pa.table(columns, schema=_SCHEMA)
 
 
+def _slices(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of rows of about SLICE in all; a larger row is a run of its own or ends one."""
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // SLICE, prepend=-1))
+    return list(zip(cuts.tolist(), np.append(cuts[1:], len(sizes)).tolist(), strict=True))
+
+
+def segment_postings(group: pa.Table) -> Iterator[pa.Table]:
+    """POSTINGS of one segment from (segment, chunk_id, w: words between single blanks), in pieces.
+
+    Words are cut SLICE at a time, and postings packed SLICE at a time; in between a posting takes twelve bytes.
+    """
+    segment, order = group.column("segment")[0].as_py(), pc.sort_indices(group.column("chunk_id"))
+    texts = group.column("w").combine_chunks()
+    dl = (pc.count_substring(texts, " ").to_numpy(zero_copy_only=False) + pc.not_equal(texts, "").to_numpy(zero_copy_only=False)).astype(np.int32)[order.to_numpy()]
+    known, found, n_known = [], [], 0
+    for a, b in _slices(dl):
+        flat = pc.split_pattern(texts.take(order.slice(a, b - a)), " ").flatten()
+        flat = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
+        # One number for term and chunk: its distinct values in order are the postings.
+        pair, tf = np.unique(flat.indices.to_numpy().astype(np.int64) * (b - a) + np.repeat(np.arange(b - a), dl[a:b]), return_counts=True)
+        known.append(flat.dictionary)
+        found.append(((pair // (b - a) + n_known).astype(np.int32), (pair % (b - a) + a).astype(np.int32), tf.astype(np.int32)))
+        n_known += len(flat.dictionary)
+    if not n_known:
+        return
+    # Terms of all slices get one number each; slices follow each other, so a stable order keeps the chunks of a term ascending.
+    terms = pa.concat_arrays(known).dictionary_encode()
+    term, doc, tf = (np.concatenate(x) for x in zip(*found, strict=True))
+    del known, found
+    term = terms.indices.to_numpy()[term]
+    by_term = np.argsort(term, kind="stable")
+    term, doc, tf = term[by_term], doc[by_term], tf[by_term]
+    del by_term
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    ends = np.append(starts[1:], len(term))
+    for a, b in _slices(ends - starts):
+        own = slice(starts[a], ends[b - 1])
+        yield _packed(segment, terms.dictionary.take(pa.array(term[starts[a:b]])), starts[a:b] - starts[a], doc[own], tf[own], dl[doc[own]])
+
+
+def index_segment(group: pa.Table) -> pa.Table:
+    """segment_postings as one table."""
+    return pa.concat_tables([_SCHEMA.empty_table(), *segment_postings(group)]).combine_chunks()
+
+
 _SCHEMA = pa.schema([("segment", pa.int32()), ("term", pa.string()), *((c, pa.int32()) for c in ("n", "top_tf", "low_dl")), ("data", pa.list_(pa.int32()))])
 
 
@@ -104,15 +139,20 @@ def build_index(chunks: DataFrame, path: str, segment_words: int = SEGMENT_WORDS
     def work(batches):
         held = list(batches)
         if held:
-            rows = pa.Table.from_batches(held)
-            for segment in pc.unique(rows.column("segment")):
-                yield from index_segment(rows.filter(pc.equal(rows.column("segment"), segment))).to_batches()
+            rows = pa.Table.from_batches(held).combine_chunks()
+            del held
+            segments = pc.unique(rows.column("segment"))
+            for segment in segments:
+                own = rows if len(segments) == 1 else rows.filter(pc.equal(rows.column("segment"), segment))
+                for piece in segment_postings(own):
+                    yield from piece.to_batches()
 
     # A task has one segment, without a sort.
     cut = keyed.select("segment", "chunk_id", F.array_join(tokens(F.col("text")), " ").alias("w")).repartitionById(n_segments, "segment")
     built = cut.mapInArrow(work, POSTINGS)
-    spread = F.floor(F.col("segment") / FILE_SEGMENTS)
-    placed = built.withColumn("bucket", bucket("term")).repartition(BUCKETS * -(-n_segments // FILE_SEGMENTS), "bucket", spread).sortWithinPartitions("bucket", "term", "segment")
+    # A task has one file: the rows of one bucket of FILE_SEGMENTS segments.
+    file = (F.col("bucket") + BUCKETS * F.floor(F.col("segment") / FILE_SEGMENTS)).cast("int")
+    placed = built.withColumn("bucket", bucket("term")).repartitionById(BUCKETS * -(-n_segments // FILE_SEGMENTS), file).sortWithinPartitions("bucket", "term", "segment")
     placed.write.partitionBy("bucket").parquet(f"{path}/postings")
     # Numbers within a segment follow the ids, as in index_segment.
     order = Window.partitionBy("segment").orderBy(F.col("chunk_id").asc_nulls_last())
