@@ -287,6 +287,17 @@ def test_many_queries_meet_vectors_in_a_grid(spark, monkeypatch):
     assert retrieval.vector_topk(q.where("false"), v).count() == 0
 
 
+def test_blocks_of_scores_are_bounded(monkeypatch):
+    """Many queries against many vectors: no more scores at once than SCORES, and the same hits."""
+    rng, seen, best = np.random.default_rng(5), [], retrieval._best
+    q, v = rng.normal(size=(90, 4)).round(1), rng.normal(size=(70, 4)).round(1)
+    whole = retrieval._hits(np.arange(90), np.arange(70), q @ v.T, 3)
+    monkeypatch.setattr(retrieval, "_best", lambda score, own, k: seen.append(score.size) or best(score, own, k))
+    monkeypatch.setattr(retrieval, "SCORES", 500)
+    got = retrieval._tiled(np.arange(90), q, np.arange(70), v, 3)
+    assert got.drop_columns("score").equals(whole.drop_columns("score").combine_chunks()) and max(seen) <= 500 and sum(seen) == 6300
+
+
 def test_streams_keep_ids(spark, tmp_path):
     rows = [(f"c{i % 3}", float(i), i) for i in range(40)] + [(None, 1.0, 99), ("c0", None, 98)]
     df = spark.createDataFrame(rows, "client string, t double, query_id long")
