@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as fx
 from ..functions.text import tokens
-from ..operators.retrieval import top
+from ..operators.retrieval import distinct_words, runs, text_sizes, top
 from .shared import stored
 
 SEGMENT_WORDS = 1 << 22
@@ -73,12 +73,6 @@ def _packed(segment: int, terms: pa.Array, starts: np.ndarray, doc: np.ndarray,
     return pa.table(columns, schema=_SCHEMA)
 
 
-def _slices(sizes: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of rows of about SLICE in all; a larger row is a run of its own or ends one."""
-    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // SLICE, prepend=-1))
-    return list(zip(cuts.tolist(), np.append(cuts[1:], len(sizes)).tolist(), strict=True))
-
-
 def segment_postings(group: pa.Table) -> Iterator[pa.Table]:
     """POSTINGS of one segment from (segment, chunk_id, w: words between single blanks), in pieces.
 
@@ -86,16 +80,13 @@ def segment_postings(group: pa.Table) -> Iterator[pa.Table]:
     """
     segment, order = group.column("segment")[0].as_py(), pc.sort_indices(group.column("chunk_id"))
     texts = group.column("w").combine_chunks()
-    dl = (pc.count_substring(texts, " ").to_numpy(zero_copy_only=False) + pc.not_equal(texts, "").to_numpy(zero_copy_only=False)).astype(np.int32)[order.to_numpy()]
+    dl = text_sizes(texts).astype(np.int32)[order.to_numpy()]
     known, found, n_known = [], [], 0
-    for a, b in _slices(dl):
-        flat = pc.split_pattern(texts.take(order.slice(a, b - a)), " ").flatten()
-        flat = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
-        # One number for term and chunk: its distinct values in order are the postings.
-        pair, tf = np.unique(flat.indices.to_numpy().astype(np.int64) * (b - a) + np.repeat(np.arange(b - a), dl[a:b]), return_counts=True)
-        known.append(flat.dictionary)
-        found.append(((pair // (b - a) + n_known).astype(np.int32), (pair % (b - a) + a).astype(np.int32), tf.astype(np.int32)))
-        n_known += len(flat.dictionary)
+    for a, b in runs(dl, SLICE):
+        words, (term, doc), tf = distinct_words(texts.take(order.slice(a, b - a)), dl[a:b])
+        known.append(words)
+        found.append(((term + n_known).astype(np.int32), (doc + a).astype(np.int32), tf.astype(np.int32)))
+        n_known += len(words)
     if not n_known:
         return
     # Terms of all slices get one number each; slices follow each other, so a stable order keeps the chunks of a term ascending.
@@ -108,7 +99,7 @@ def segment_postings(group: pa.Table) -> Iterator[pa.Table]:
     del by_term
     starts = np.flatnonzero(np.diff(term, prepend=-1))
     ends = np.append(starts[1:], len(term))
-    for a, b in _slices(ends - starts):
+    for a, b in runs(ends - starts, SLICE):
         own = slice(starts[a], ends[b - 1])
         yield _packed(segment, terms.dictionary.take(pa.array(term[starts[a:b]])), starts[a:b] - starts[a], doc[own], tf[own], dl[doc[own]])
 

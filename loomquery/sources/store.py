@@ -131,8 +131,8 @@ class KeyedStore:
 
     @staticmethod
     def _dealt(df: DataFrame, state: dict) -> DataFrame:
-        """One task for each folder; a window by folder and key then needs no further shuffle."""
-        return df.repartition(state["buckets"], BUCKET)
+        """One task for each folder, and no task with two; a window by folder and key then needs no further shuffle."""
+        return df.repartitionById(state["buckets"], BUCKET)
 
     def _load(self, state: dict, kind: str, buckets: set[int] | None = None) -> DataFrame:
         """All rows of the deltas that a manifest names, with their folder and seq; of some folders alone, if asked."""

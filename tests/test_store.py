@@ -1,6 +1,7 @@
 """The keyed store: merges, ledgers, crashes, conflicts, streams, compaction."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,27 @@ def test_a_batch_writes_in_proportion_to_itself(spark, tmp_path):
     assert s.apply(many.where("false")) == 2 and s.delta_bytes(2) == 0
     one = s.read_keys(spark.createDataFrame([(7,)], "id long"))
     assert one.first().more == 1 and len({f.split("_store_bucket=")[1][0] for f in one.inputFiles() if "_store_bucket=" in f}) == 1
+
+
+def test_a_task_writes_one_folder(spark, tmp_path):
+    """No task of a delta has the rows of two folders, of the table or of its ledger."""
+    s = store.KeyedStore(spark, f"file://{tmp_path}/t", "chunk_id", "v", ledgers=(collection.TERMS,))
+    s.apply(spark.createDataFrame([(i, f"w{i} w{i % 7}", 1) for i in range(400)], "chunk_id long, text string, v int"))
+    for kind in ("rows", "terms"):
+        files = [f.name for f in (tmp_path / "t" / kind).rglob("part-*.parquet")]
+        assert len(files) == store.BUCKETS and len({f.split("-")[1] for f in files}) == len(files)
+
+
+def test_terms_are_counted_by_sign(spark):
+    rng = random.Random(3)
+    texts = [(rng.choice((1, 1, -1)), rng.choice((None, "", " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 90)))))) for _ in range(300)]
+    got = retrieval.counted_terms(spark.createDataFrame(texts, "sign int, text string").repartition(3)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    df, cf = Counter(), Counter()
+    for sign, text in texts:
+        words = (text or "").split()
+        df[""] += sign
+        cf[""] += sign * len(words)
+        for w, n in Counter(words).items():
+            df[w] += sign
+            cf[w] += sign * n
+    assert {r.term: (r.df, r.cf) for r in got.collect()} == {t: (df[t], cf[t]) for t in df}
